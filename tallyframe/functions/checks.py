@@ -1,104 +1,94 @@
-"""Checksum, date and numeric predicates as pure Column expressions (no UDF)."""
+"""Checksum, date and numeric predicates as SQL expression text: native, code-generated, no UDF.
+
+Every function takes the text of a string expression and returns expression text, to be used with ``F.expr``.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from tallyframe.functions.sqltext import q
 
 # Routing weights, accepted date formats (shape, parse pattern).
 ABA_WEIGHTS = (3, 7, 1, 3, 7, 1, 3, 7, 1)
 DATE_FORMATS = {
-    "YYMMDD": (r"^[0-9]{6}$", "yyMMdd"),
-    "YYYYMMDD": (r"^[0-9]{8}$", "yyyyMMdd"),
-    "MMDD": (r"^[0-9]{4}$", "MMdd"),
-    "DD-MON-YYYY": (r"^[0-9]{2}-[A-Za-z]{3}-[0-9]{4}$", "dd-MMM-yyyy"),
+    "YYMMDD": ("^[0-9]{6}$", "yyMMdd"),
+    "YYYYMMDD": ("^[0-9]{8}$", "yyyyMMdd"),
+    "MMDD": ("^[0-9]{4}$", "MMdd"),
+    "DD-MON-YYYY": ("^[0-9]{2}-[A-Za-z]{3}-[0-9]{4}$", "dd-MMM-yyyy"),
 }
+NUMBER_SHAPE = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
 
 _WIDE = 20  # unrolled positions; card numbers have at most 19 digits
 
 
-def only_digits(value: Column) -> Column:
-    return F.regexp_replace(value, "[^0-9]", "")
+def only_digits(x: str) -> str:
+    return f"regexp_replace({x}, '[^0-9]', '')"
 
 
-def _digit(text: Column, position: int) -> Column:
-    return F.ascii(F.substring(text, position, 1)) - F.lit(48)
+def _digit(x: str, position: int) -> str:
+    return f"(ascii(substring({x}, {position}, 1)) - 48)"
 
 
-def _luhn_sum(digit_text: Column, double_rightmost: bool) -> Column:
+def _luhn_sum(d: str, double_rightmost: bool) -> str:
     """Luhn sum of a digit string; doubling starts at the last or the last but one digit.
 
-    The last 20 digits are unrolled and evaluated unconditionally, so the digit string itself is computed once;
-    only longer input pays for the loop over its head (20 is even, so the parity of the head is unchanged)."""
-    tail = F.lpad(F.substring(digit_text, -_WIDE, _WIDE), _WIDE, "0")
-    doubled = F.translate(tail, "0123456789", "0246813579")
-    total = None
-    for from_right in range(_WIDE):
-        source = doubled if (from_right % 2 == 0) == double_rightmost else tail
-        term = _digit(source, _WIDE - from_right)
-        total = term if total is None else total + term
-    head_length = F.length(digit_text) - _WIDE
-    head = F.aggregate(
-        F.sequence(F.lit(1), head_length), F.lit(0),
-        lambda acc, i: acc + F.ascii(F.translate(
-            F.substr(digit_text, i, F.lit(1)), "0123456789",
-            F.when((head_length - i) % 2 == F.lit(0 if double_rightmost else 1), F.lit("0246813579"))
-            .otherwise(F.lit("0123456789")))) - F.lit(48))
-    return total + F.when(head_length > 0, head).otherwise(0)
-
-
-def luhn_ok(value: Column) -> Column:
+    The last 20 digits are unrolled and evaluated unconditionally, so common-subexpression elimination computes the
+    digit string once; only longer input pays for the loop over its head (20 is even: the head's parity is the same).
+    """
+    tail = f"lpad(substring({d}, -{_WIDE}, {_WIDE}), {_WIDE}, '0')"
+    doubled = f"translate({tail}, '0123456789', '0246813579')"
+    terms = [_digit(doubled if (i % 2 == 0) == double_rightmost else tail, _WIDE - i) for i in range(_WIDE)]
+    head = (f"aggregate(sequence(1, length({d}) - {_WIDE}), 0, (acc, i) -> acc + ascii(translate(substr({d}, i, 1),"
+            f" '0123456789', if((length({d}) - {_WIDE} - i) % 2 = {0 if double_rightmost else 1},"
+            f" '0246813579', '0123456789'))) - 48)")
+    return f"({' + '.join(terms)} + if(length({d}) > {_WIDE}, {head}, 0))"
+
+
+def luhn_ok(x: str) -> str:
     """True when the digits of the value (13 or more) pass the Luhn test."""
-    d = only_digits(F.coalesce(value, F.lit("")))
-    return F.greatest(F.lit(13) - F.length(d), _luhn_sum(d, double_rightmost=False) % 10) <= 0
+    d = only_digits(f"coalesce({x}, '')")
+    return f"(greatest(13 - length({d}), {_luhn_sum(d, False)} % 10) <= 0)"
 
 
-def luhn_check_digit(partial: Column) -> Column:
+def luhn_check_digit(partial: str) -> str:
     """The digit that completes a partial card number."""
-    return ((F.lit(10) - _luhn_sum(partial, double_rightmost=True) % 10) % 10).cast("int")
+    return f"((10 - {_luhn_sum(partial, True)} % 10) % 10)"
 
 
-def aba_sum(value: Column, places: int) -> Column:
-    total = None
-    for i in range(places):
-        term = _digit(value, i + 1) * F.lit(ABA_WEIGHTS[i])
-        total = term if total is None else total + term
-    return total
+def aba_sum(x: str, places: int) -> str:
+    return "(" + " + ".join(f"{_digit(x, i + 1)} * {ABA_WEIGHTS[i]}" for i in range(places)) + ")"
 
 
-def aba_ok(value: Column) -> Column:
+def aba_ok(x: str) -> str:
     """True for nine digits whose weighted sum is a multiple of ten."""
-    return F.coalesce(value.rlike("^[0-9]{9}$") & (aba_sum(value, 9) % 10 == 0), F.lit(False))
+    return f"coalesce({x} rlike '^[0-9]{{9}}$' and {aba_sum(x, 9)} % 10 = 0, false)"
 
 
-def aba_check_digit(first8: Column) -> Column:
+def aba_check_digit(first8: str) -> str:
     """Ninth routing digit; null unless the input is eight digits."""
-    return F.when(first8.rlike("^[0-9]{8}$"), (F.lit(10) - aba_sum(first8, 8) % 10) % 10).cast("int")
+    return f"if({first8} rlike '^[0-9]{{8}}$', (10 - {aba_sum(first8, 8)} % 10) % 10, null)"
 
 
-def date_ok(value: Column, fmt: str | None) -> Column:
+def date_ok(x: str, fmt: str | None) -> str:
     """Shape test and calendar test; an unknown format falls back to YYMMDD."""
     shape, pattern = DATE_FORMATS.get(fmt or "YYMMDD", DATE_FORMATS["YYMMDD"])
-    parsed = F.try_to_timestamp(F.when(value.rlike(shape), value), F.lit(pattern))
-    return F.coalesce(value.rlike(shape) & parsed.isNotNull(), F.lit(False))
+    return f"(coalesce({x}, '') rlike {q(shape)} and try_to_timestamp({x}, {q(pattern)}) is not null)"
 
 
-def to_number(value: Column) -> Column:
+def to_number(x: str) -> str:
     """Numeric coercion after dropping thousands commas and dollar signs; null when not a number."""
-    cleaned = F.trim(F.regexp_replace(value, "[,$]", ""))
-    shaped = F.when(cleaned.rlike(r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"), cleaned)
-    return shaped.try_cast("double")
+    cleaned = f"trim(translate({x}, ',$', ''))"
+    return f"try_cast(if({cleaned} rlike {q(NUMBER_SHAPE)}, {cleaned}, null) as double)"
 
 
-def full_match(value: Column, pattern: str) -> Column:
-    return value.rlike(f"^(?:{pattern})$")
+def full_match(x: str, pattern: str) -> str:
+    return f"({x} rlike {q(f'^(?:{pattern})$')})"
 
 
-def swift_amount_to_cents(text: Column) -> Column:
+def swift_amount_to_cents(x: str) -> str:
     """'25000,00' -> 2500000; null unless digits, one comma, digits."""
-    shaped = F.when(text.rlike(r"^[0-9]+,[0-9]*$"), F.replace(text, F.lit(","), F.lit(".")))
-    return F.round(shaped.try_cast("decimal(30,4)") * 100).cast("bigint")
+    return (f"cast(round(try_cast(if({x} rlike '^[0-9]+,[0-9]*$', replace({x}, ',', '.'), null) as decimal(30,4))"
+            f" * 100) as bigint)")
 
 
-def cents_to_swift_amount(cents: Column) -> Column:
-    return F.concat(F.floor(cents / 100).cast("bigint").cast("string"), F.lit(","),
-                    F.lpad((cents % 100).cast("string"), 2, "0"))
+def cents_to_swift_amount(x: str) -> str:
+    return f"concat(cast({x} div 100 as string), ',', lpad(cast({x} % 100 as string), 2, '0'))"

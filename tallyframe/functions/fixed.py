@@ -1,4 +1,4 @@
-"""Fixed-width and delimited slicing, rendering and naming as Column expressions."""
+"""Fixed-width and delimited slicing and rendering (SQL expression text), naming and classification (Columns)."""
 
 from __future__ import annotations
 
@@ -6,45 +6,45 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, functions as F
 
+from tallyframe.functions.sqltext import q
 
-def slice_field(line: Column, start: int, end: int) -> Column:
+
+def slice_field(line: str, start: int, end: int) -> str:
     """1-based inclusive slice; a slice that runs past the line is empty."""
-    return F.when(F.length(line) >= end, F.substring(line, start, end - start + 1)).otherwise(F.lit(""))
+    return f"if(length({line}) >= {end}, substring({line}, {start}, {end - start + 1}), '')"
 
 
-def fit(value: Column, width: int, justify: str = "left", pad: str | None = None) -> Column:
+def fit(value: str, width: int, justify: str = "left", pad: str | None = None) -> str:
     """Cut to width, then justify with the pad character."""
-    text = F.coalesce(value.cast("string"), F.lit(""))
-    if justify == "right":
-        return F.lpad(text, width, pad or "0")
-    return F.rpad(text, width, pad or " ")
+    side, fill = ("lpad", pad or "0") if justify == "right" else ("rpad", pad or " ")
+    return f"{side}(coalesce(cast({value} as string), ''), {width}, {q(fill)})"
 
 
-def render_fixed(parts: Sequence[tuple[int, int, Column]], record_length: int) -> Column:
+def render_fixed(parts: Sequence[tuple[int, int, str]], record_length: int) -> str:
     """Place already fitted (start, end, value) parts in a blank record."""
     pieces, at = [], 1
     for start, end, value in sorted(parts, key=lambda p: p[0]):
         if start > at:
-            pieces.append(F.lit(" " * (start - at)))
-        pieces.append(F.rpad(F.coalesce(value.cast("string"), F.lit("")), end - start + 1, " "))
+            pieces.append(q(" " * (start - at)))
+        pieces.append(value)
         at = end + 1
     if at <= record_length:
-        pieces.append(F.lit(" " * (record_length - at + 1)))
-    return F.substring(F.concat(*pieces), 1, record_length)
+        pieces.append(q(" " * (record_length - at + 1)))
+    return f"concat({', '.join(pieces)})"
 
 
-def render_delimited(values: Sequence[Column], delimiter: str) -> Column:
-    return F.concat_ws(delimiter, *[F.coalesce(F.trim(v.cast("string")), F.lit("")) for v in values])
+def render_delimited(values: Sequence[str], delimiter: str) -> str:
+    trimmed = ", ".join(f"coalesce(trim(cast({v} as string)), '')" for v in values)
+    return f"concat_ws({q(delimiter)}, {trimmed})"
 
 
 def regex_quote(text: str) -> str:
     return "".join("\\" + ch if ch in r"\.[]{}()*+-?^$|/" else ch for ch in text)
 
 
-def split_fields(line: Column, delimiter: str, count: int) -> list[Column]:
-    """Plain split; a missing position is the empty string."""
-    parts = F.split(line, regex_quote(delimiter), -1)
-    return [F.coalesce(F.try_element_at(parts, F.lit(i + 1)), F.lit("")) for i in range(count)]
+def split_field(line: str, delimiter: str, position: int) -> str:
+    """Plain split, 1-based; a missing position is the empty string."""
+    return f"coalesce(try_element_at(split({line}, {q(regex_quote(delimiter))}, -1), {position}), '')"
 
 
 def snake_name(raw: Column) -> Column:

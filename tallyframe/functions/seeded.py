@@ -1,62 +1,53 @@
-"""Deterministic pseudo-random columns: every value is a pure function of (seed, row id, field name).
+"""Deterministic pseudo-random values: each is a pure function of (seed, row id, field name).
 
-A retried task therefore produces the same value, and partitions generate independently.
+A retried task therefore produces the same value, and partitions generate independently. All functions take SQL
+expression text for the row id and return SQL expression text.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, functions as F
+from tallyframe.functions.sqltext import array, q
 
 
-def u32(seed: int | str, row_id: Column, field: str) -> Column:
+def digest(seed, row_id: str, field: str) -> str:
+    return f"md5(concat_ws('|', {q(str(seed))}, cast({row_id} as string), {q(field)}))"
+
+
+def u32(seed, row_id: str, field: str) -> str:
     """Uniform integer in [0, 2^32)."""
-    digest = F.md5(F.concat_ws("|", F.lit(str(seed)), row_id.cast("string"), F.lit(field)))
-    return F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint")
+    return f"cast(conv(substring({digest(seed, row_id, field)}, 1, 8), 16, 10) as bigint)"
 
 
-def unit(seed: int | str, row_id: Column, field: str) -> Column:
+def unit(seed, row_id: str, field: str) -> str:
     """Uniform double in [0, 1)."""
-    return u32(seed, row_id, field) / F.lit(4294967296.0)
+    return f"({u32(seed, row_id, field)} / 4294967296D)"
 
 
-def between(seed, row_id: Column, field: str, low: int, high: int) -> Column:
+def between(seed, row_id: str, field: str, low: int, high: int) -> str:
     """Uniform integer in [low, high]."""
-    return u32(seed, row_id, field) % F.lit(high - low + 1) + F.lit(low)
+    return f"({u32(seed, row_id, field)} % {high - low + 1} + {low})"
 
 
-def pick(seed, row_id: Column, field: str, values: Sequence[str]) -> Column:
+def pick(seed, row_id: str, field: str, values: Sequence[str]) -> str:
     """One of the given values."""
-    position = (u32(seed, row_id, field) % F.lit(len(values)) + 1).cast("int")
-    return F.element_at(F.array(*[F.lit(v) for v in values]), position)
-
-
-def digits(seed, row_id: Column, field: str, width: int) -> Column:
-    """``width`` decimal digits (32 per digest)."""
-    blocks = [
-        F.translate(F.md5(F.concat_ws("|", F.lit(str(seed)), row_id.cast("string"), F.lit(f"{field}#{i}"))),
-                    "abcdef", "012345")
-        for i in range((width + 31) // 32)
-    ]
-    return F.substring(F.concat(*blocks), 1, width)
-
-
-def alnum(seed, row_id: Column, field: str, width: int) -> Column:
-    """``width`` upper-case letters and digits."""
-    blocks = [
-        F.upper(F.translate(F.md5(F.concat_ws("|", F.lit(str(seed)), row_id.cast("string"), F.lit(f"{field}#{i}"))),
-                            "0123456789abcdef", "K7MQ2XZ9TB4WRD8H"))
-        for i in range((width + 31) // 32)
-    ]
-    return F.substring(F.concat(*blocks), 1, width)
-
-
-def letters(seed, row_id: Column, field: str, width: int) -> Column:
-    """``width`` upper-case letters."""
-    blocks = [
-        F.translate(F.md5(F.concat_ws("|", F.lit(str(seed)), row_id.cast("string"), F.lit(f"{field}#{i}"))),
-                    "0123456789abcdef", "ETAOINSHRDLUCMFW")
-        for i in range((width + 31) // 32)
-    ]
-    return F.substring(F.concat(*blocks), 1, width)
+    return f"element_at({array(values)}, cast({u32(seed, row_id, field)} % {len(values)} + 1 as int))"
+
+
+def _stream(seed, row_id: str, field: str, width: int, alphabet: str) -> str:
+    blocks = [f"translate({digest(seed, row_id, f'{field}#{i}')}, '0123456789abcdef', '{alphabet}')"
+              for i in range((width + 31) // 32)]
+    return f"substring(concat({', '.join(blocks)}), 1, {width})"
+
+
+def digits(seed, row_id: str, field: str, width: int) -> str:
+    return _stream(seed, row_id, field, width, "0123456789012345")
+
+
+def alnum(seed, row_id: str, field: str, width: int) -> str:
+    return _stream(seed, row_id, field, width, "K7MQ2XZ9TB4WRD8H")
+
+
+def letters(seed, row_id: str, field: str, width: int) -> str:
+    return _stream(seed, row_id, field, width, "ETAOINSHRDLUCMFW")
