@@ -6,7 +6,7 @@ import importlib
 
 from tallyframe.plans.registry import ORACLES, QUERIES
 
-MODULES = ("q_files", "q_validate")
+MODULES = ("q_files", "q_validate", "q_profile")
 
 for _name in MODULES:
     importlib.import_module(f"tallyframe.plans.{_name}")
