@@ -55,9 +55,10 @@ def running_sums(df: DataFrame, keys: Sequence[str], order: Sequence[str], value
 
 
 def numbered(df: DataFrame, keys: Sequence[str], order: Sequence[str], out: str = "rn",
-             chunk_of: Column | None = None, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+             chunk_of: Column | None = None, chunk_rows: int = CHUNK_ROWS,
+             per_group: DataFrame | None = None) -> DataFrame:
     """Row number 1..n per group in order."""
-    return running_sums(df, keys, order, {out: F.lit(1)}, chunk_of, chunk_rows)
+    return running_sums(df, keys, order, {out: F.lit(1)}, chunk_of, chunk_rows, per_group)
 
 
 def neighbour(df: DataFrame, keys: Sequence[str], order: str, cols: dict[str, str], forward: bool,
