@@ -8,7 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, functions as F
 from pyspark.sql.functions import pandas_udf
 
-# Typographic characters and their plain forms.
+# White space (as str.split sees it), typographic characters and their plain forms.
+SPACE = r" \t\n\x0B\f\r\x1c-\x1f\x{85}\p{Z}"
 TYPOGRAPHY = (("‘", "'"), ("’", "'"), ("“", '"'), ("”", '"'), ("–", "-"), ("—", "--"))
 
 
@@ -39,7 +40,7 @@ def strip_control(text: Column, keep_newline: bool = True) -> Column:
 
 def strip_blank(text: Column) -> Column:
     """Trim all leading and trailing white space."""
-    return F.regexp_replace(text, r"(?U)^\s+|\s+\z", "")
+    return F.regexp_replace(text, rf"^[{SPACE}]+|[{SPACE}]+\z", "")
 
 
 def squeeze_blank(text: Column, preserve_newlines: bool = True) -> Column:
@@ -75,20 +76,24 @@ def characters(text: Column) -> Column:
 
 def words(text: Column) -> Column:
     """White-space separated words."""
-    return F.filter(F.split(text, r"(?U)\s+"), lambda w: w != "")
+    return F.regexp_extract_all(text, F.lit(f"[^{SPACE}]+"), F.lit(0))
 
 
-def ngrams(items: Column, n: int) -> Column:
-    """All windows of n consecutive items; shorter input gives an empty array."""
-    last = F.size(items) - (n - 1)
-    return F.when(last >= 1, F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))),
-                                         lambda i: F.slice(items, i, n))) \
-        .otherwise(F.array().cast("array<array<string>>"))
+def _joined_windows(items: Column, n: int, glue: str) -> Column:
+    """Windows of n neighbours joined to strings. Built from n shifted arrays, so the cost is linear in the length
+    (cutting substrings of multi-byte text would scan from the start each time)."""
+    last = F.greatest(F.size(items) - (n - 1), F.lit(0))
+    out = F.slice(items, F.lit(1), last)
+    for shift in range(1, n):
+        out = F.zip_with(out, F.slice(items, F.lit(shift + 1), last), lambda a, b: F.concat(a, F.lit(glue), b))
+    return out
+
+
+def word_ngrams(items: Column, n: int) -> Column:
+    """All windows of n consecutive tokens, joined by a blank."""
+    return _joined_windows(items, n, " ")
 
 
 def char_ngrams(text: Column, n: int) -> Column:
     """All n-character substrings."""
-    last = F.length(text) - (n - 1)
-    return F.when(last >= 1, F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))),
-                                         lambda i: F.substr(text, i, F.lit(n)))) \
-        .otherwise(F.array().cast("array<string>"))
+    return _joined_windows(characters(text), n, "")
