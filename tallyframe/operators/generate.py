@@ -328,3 +328,61 @@ def mt103_lines(parsed: DataFrame, key: str, spec: Spec, quote: str = "\x1f") ->
     """Parsed messages as delimited lines in spec order, ready for the field checks."""
     return parsed.select(F.col(key).alias("line_no"), F.lit("mt103").alias("file_id"),
                          F.concat_ws(quote, *[F.coalesce(F.col(f.name), F.lit("")) for f in spec.fields]).alias("line"))
+
+
+# ------------------------------------------------------------------------------------- learned fixed-width layouts
+def learned_layout(lines: DataFrame, record_id: str, width: int) -> tuple[list[dict], DataFrame]:
+    """Boundary-learned fields of one record id and the long table of their values.
+
+    The field list (at most one entry per character position) comes to the driver to build the plan; values stay."""
+    from tallyframe.operators import profile
+    grouped = lines.filter(F.col("rid") == record_id)
+    bounds = profile.learned_boundaries(grouped, ["rid"], str(width)).orderBy("field_no").collect()
+    cells = ", ".join(f"struct('{b['field_no']:03d}' as field, trim(substring(line, {b['start'] + 1}, {b['end'] - b['start']})) as value)" for b in bounds)
+    long = grouped.filter(F.length("line") >= width).select(F.expr(f"inline(array({cells}))"), F.col("line_no").alias("pos"))
+    counts = profile.value_counts(long)
+    kinds = {r["field"]: r for r in profile.strict_ladder(counts).join(
+        counts.groupBy("field").agg(F.expr("min_by(value, first_pos) as example")), "field").collect()}
+    fields = []
+    for b in bounds:
+        k = kinds.get(f"{b['field_no']:03d}")
+        fields.append({"field": f"{b['field_no']:03d}", "start": b["start"] + 1, "length": b["end"] - b["start"],
+                       "type": k["type"] if k else "BLANK", "example": k["example"] if k else ""})
+    return fields, counts
+
+
+def from_learned(drive: DataFrame, row: str, lines: DataFrame, record_id: str, width: int, seed: int, as_of: str) -> DataFrame:
+    """One line per row of ``drive`` in a layout learned from sample lines: constants repeat, numbers, amounts, dates and
+    times are drawn by type, text fields come from an n-gram model of their own values."""
+    from tallyframe.operators import ngram
+    fields, counts = learned_layout(lines, record_id, width)
+    rows_ = drive.select(F.col(row).alias("row"))
+    cols = {}
+    for f in fields:
+        name, n, kind = f"f{f['field']}", f["length"], f["type"]
+        if kind == "FIXED":
+            text = q(f["example"])
+        elif kind == "AMOUNT":
+            text = amount(seed, "row", name, n)
+        elif kind.startswith("DATE"):
+            text = render_date(near_date(seed, "row", name, as_of), "YYYYMMDD" if kind.endswith("YYYYMMDD") else "YYMMDD")
+        elif kind == "TIME":
+            text = clock(seed, "row", name)
+        elif kind == "NUMERIC":
+            text = seeded.digits(seed, "row", name, n)
+        elif kind == "BLANK":
+            text = "''"
+        else:
+            cols[name] = None
+            continue
+        cols[name] = fixed.fit(text, n)
+    out = rows_.select("row", *[F.expr(t).alias(c) for c, t in cols.items() if t])
+    for f in fields:
+        name = f"f{f['field']}"
+        if cols[name] is None:
+            own = counts.filter(F.col("field") == f["field"])
+            model = ngram.model(own, "field", "value", weight="n")
+            drawn = ngram.generate_text(rows_.withColumn("field", F.lit(f["field"])), "row", "field", model, f["length"], seed=seed)
+            out = out.join(drawn.select("row", F.col("text").alias(name)), "row")
+    parts = ", ".join(f"rpad(f{f['field']}, {f['length']}, ' ')" for f in fields)
+    return out.select("row", F.expr(f"concat({parts}) as line"))

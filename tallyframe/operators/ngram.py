@@ -16,11 +16,13 @@ SPECIALS = {"<PAD>": 0, "<BOS>": 1, "<EOS>": 2, "<UNK>": 3}
 BROADCAST_ROWS = 1_000_000
 
 
-def model(texts: DataFrame, field: str, text: str, n: int = 3) -> DataFrame:
-    """(field, context, next, n): counts of the next character after each context of n-1 characters."""
+def model(texts: DataFrame, field: str, text: str, n: int = 3, weight: str | None = None) -> DataFrame:
+    """(field, context, next, n): counts of the next character after each context of n-1 characters. ``weight`` names a
+    column with the number of copies of a text."""
     padded = F.concat(F.lit(START * (n - 1)), F.col("_t"), F.lit(END))
-    rows = texts.select(F.col(field).alias("field"), tx.strip_blank(F.col(text)).alias("_t")).filter("_t <> ''")
-    grams = rows.select("field", F.explode(tx.char_ngrams(padded, n)).alias("g")).groupBy("field", "g").agg(F.count(F.lit(1)).alias("n"))
+    copies = F.col(weight) if weight else F.lit(1)
+    rows = texts.select(F.col(field).alias("field"), tx.strip_blank(F.col(text)).alias("_t"), copies.cast("bigint").alias("_w")).filter("_t <> ''")
+    grams = rows.select("field", "_w", F.explode(tx.char_ngrams(padded, n)).alias("g")).groupBy("field", "g").agg(F.sum("_w").alias("n"))
     return grams.select("field", F.expr(f"substring(g, 1, {n - 1}) as context"), F.expr(f"substring(g, {n}, 1) as next"), "n")
 
 
@@ -69,10 +71,16 @@ def lookup(tests: DataFrame, counts: DataFrame, key: str, text: str, n: int = 3,
 
 
 def loss(looked: DataFrame, by: list[str]) -> DataFrame:
-    """Mean negative log-likelihood, perplexity exp(min(loss, 20)), bits per token, tokens."""
+    """Mean negative log-likelihood, perplexity exp(min(loss, 20)), bits per token, tokens, total."""
     return looked.groupBy(*by).agg(F.expr("sum(-ln(p) * n) as nll"), F.expr("sum(n) as n_tokens")).select(
-        *by, "n_tokens", F.expr("round(nll / n_tokens, 6) as loss"), F.expr("round(exp(least(nll / n_tokens, 20D)), 4) as ppl"),
-        F.expr("round(nll / n_tokens / ln(2), 6) as bpt"), F.expr("round(nll, 4) as nll"))
+        *by, "n_tokens", F.expr("nll / n_tokens as loss"), F.expr("exp(least(nll / n_tokens, 20D)) as ppl"),
+        F.expr("nll / n_tokens / ln(2) as bpt"), "nll")
+
+
+def bits_per_char(losses: DataFrame, texts: DataFrame, key: str, text: str) -> DataFrame:
+    """Add bits per character, from the total and the length of each text."""
+    return losses.join(texts.select(key, F.length(text).alias("_c")), key).withColumn(
+        "bpc", F.expr("nll / ln(2) / greatest(_c, 1)")).drop("_c")
 
 
 # ---------------------------------------------------------------------------------------------------- generation
@@ -185,7 +193,7 @@ def coverage(encoded: DataFrame, key: str) -> DataFrame:
 
 
 def windows(encoded: DataFrame, key: str, length: int, stride: int = 1) -> DataFrame:
-    """(key, at, x, y): every training window x and the same window shifted by one."""
-    starts = F.expr(f"explode(if(size(ids) > {length}, sequence(0, size(ids) - {length} - 1, {stride}), cast(array() as array<int>))) as at")
+    """(key, start, x, y): every training window x and the same window shifted by one."""
+    starts = F.expr(f"explode(if(size(ids) > {length}, sequence(0, size(ids) - {length} - 1, {stride}), cast(array() as array<int>))) as start")
     return encoded.select(key, "ids", starts).select(
-        key, "at", F.expr(f"slice(ids, at + 1, {length}) as x"), F.expr(f"slice(ids, at + 2, {length}) as y"))
+        key, "start", F.expr(f"slice(ids, start + 1, {length}) as x"), F.expr(f"slice(ids, start + 2, {length}) as y"))

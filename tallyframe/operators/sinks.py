@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tallyframe.sources.files import AUDIT_SCHEMA
 
+ISO_MICROS = "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"
+
 
 def write_lines(lines: DataFrame, path: str, line_sep: str = "\n") -> None:
     """Ordered text files, one directory per file_id. Rows are range-partitioned by (file, line), so a huge file
@@ -37,7 +39,8 @@ def append_audit(events: DataFrame, path: str, run_id: str) -> None:
                for f in AUDIT_SCHEMA.fields]
     extra = [c for c in events.columns if c not in columns]
     (events.select(*present, *extra, F.to_date("ts").alias("day"), F.lit(run_id).alias("run_id"))
-     .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_id", "day").json(path))
+     .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("timestampFormat", ISO_MICROS)
+     .partitionBy("run_id", "day").json(path))
 
 
 def clear_audit(spark: SparkSession, path: str) -> int:

@@ -4,6 +4,7 @@ over the joined row, so the whole pass is one code-generated stage without UDF o
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
@@ -280,6 +281,18 @@ def apply_transforms(records: DataFrame, transforms: dict[str, Column]) -> DataF
     return records.withColumns({name: F.coalesce(new, F.col(name)) for name, new in transforms.items()})
 
 
+def field_rules(records: DataFrame, rules: dict[str, Callable[[Column], Column]]) -> DataFrame:
+    """User rules on single fields, each a function from Column to Column: one row per broken (rule, value)."""
+    cells = [F.when(~F.coalesce(rule(F.col(name)), F.lit(False)), F.struct(F.lit(name).alias("field"), F.col(name).cast("string").alias("value")))
+             for name, rule in rules.items()]
+    return records.withColumn("_b", F.explode(F.array_compact(F.array(*cells)))).select("*", "_b.field", "_b.value").drop("_b")
+
+
+def text_rules(records: DataFrame, key: str, rules: list[str]) -> DataFrame:
+    """Global rules as text ``left = right`` over the aggregates of a file (SQL vocabulary, never evaluated in Python)."""
+    return file_rules(records, key, {rule: tuple(side.strip() for side in rule.split(" = ", 1)) for rule in rules})
+
+
 def file_rules(records: DataFrame, key: str, rules: dict[str, tuple[str, str]]) -> DataFrame:
     """Aggregate rules as text (left, right): one row per file and rule whose sides differ."""
     sides = [F.struct(F.lit(name).alias("rule"), F.expr(left).cast("string").alias("expected"),

@@ -6,7 +6,7 @@ import importlib
 
 from tallyframe.plans.registry import ORACLES, QUERIES
 
-MODULES = ("q_files", "q_validate", "q_profile", "q_structure", "q_synth")
+MODULES = ("q_files", "q_validate", "q_profile", "q_structure", "q_synth", "q_corpus", "q_audit")
 
 for _name in MODULES:
     importlib.import_module(f"tallyframe.plans.{_name}")

@@ -354,7 +354,7 @@ def round_trip(spark, label, write):
 def s1(spark, folder):
     """Lines written as ordered text files and read back with their numbers."""
     path = round_trip(spark, "lines", lambda p: sinks.write_lines(shared.raw(spark, folder), p))
-    return files.read_lines(spark, path, F.col("file_id"))
+    return files.read_lines(spark, path, files.partition_file_id())
 
 
 @query("k2_s2_delimited", """SELECT cast(c_custkey AS varchar) AS c_custkey, 'say "' || c_name || '", ok' AS c_name, c_mktsegment FROM customer""")

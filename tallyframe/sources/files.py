@@ -13,18 +13,22 @@ AUDIT_SCHEMA = T.StructType([
     T.StructField("field_count", T.LongType()), T.StructField("filename", T.StringType())])
 
 
-def read_lines(spark: SparkSession, path: str, file_id: Column | None = None) -> DataFrame:
-    """(file_id, line_no, line): non-blank lines numbered from 1 in file order, bad bytes replaced.
+def raw_lines(spark: SparkSession, path: str, streaming: bool = False) -> DataFrame:
+    """Text rows with the place they came from: path, part number, file name, split start."""
+    reader = spark.readStream if streaming else spark.read
+    part = F.coalesce(F.regexp_extract("_metadata.file_name", r"part-(\d+)", 1).try_cast("bigint"), F.lit(0).cast("bigint"))
+    return reader.text(path).select(
+        F.regexp_replace(F.make_valid_utf8("value"), r"\r$", "").alias("line"), F.col("_metadata.file_path").alias("path"),
+        part.alias("_part"), F.col("_metadata.file_name").alias("_name"), F.col("_metadata.file_block_start").alias("_block"))
+
+
+def numbered_lines(raw: DataFrame, file_id: Column) -> DataFrame:
+    """(file_id, line_no, line): non-blank lines numbered from 1 in file order.
 
     Files stay splittable. Inside one split the row order is the file order, so lines are numbered per split, and the
-    counts of the splits before it give the offset: no task sees more than one split of a file. ``file_id`` defaults
-    to the path; pass a partition column to treat the ordered part files of a directory as one file."""
-    part = F.coalesce(F.regexp_extract("_metadata.file_name", r"part-(\d+)", 1).try_cast("bigint"), F.lit(0).cast("bigint"))
-    raw = spark.read.text(path).withColumn("line", F.make_valid_utf8("value")).select(
-        (file_id if file_id is not None else F.col("_metadata.file_path")).alias("file_id"), part.alias("_part"),
-        F.col("_metadata.file_name").alias("_name"), F.col("_metadata.file_block_start").alias("_block"),
-        F.regexp_replace("line", r"\r$", "").alias("line"), F.monotonically_increasing_id().alias("_at"))
-    rows = raw.filter(F.trim("line") != "")
+    counts of the splits before it give the offset: no task sees more than one split of a file."""
+    rows = raw.filter(F.trim("line") != "").select(
+        file_id.alias("file_id"), "line", "_part", "_name", "_block", F.monotonically_increasing_id().alias("_at"))
     split = ["file_id", "_part", "_name", "_block"]
     local = rows.withColumn("_rn", F.row_number().over(Window.partitionBy(*split).orderBy("_at")))
     before = Window.partitionBy("file_id").orderBy("_part", "_name", "_block").rowsBetween(Window.unboundedPreceding, -1)
@@ -33,6 +37,16 @@ def read_lines(spark: SparkSession, path: str, file_id: Column | None = None) ->
     return local.join(offsets, split).select("file_id", (F.col("_before") + F.col("_rn")).alias("line_no"), "line")
 
 
+def read_lines(spark: SparkSession, path: str, file_id: Column | None = None) -> DataFrame:
+    """Ordered lines of text files, bad bytes replaced. ``file_id`` defaults to the path; ``partition_file_id()`` takes
+    the ordered part files of a ``file_id=...`` directory as one file."""
+    return numbered_lines(raw_lines(spark, path), file_id if file_id is not None else F.col("path"))
+
+
+def partition_file_id() -> Column:
+    return F.regexp_extract("path", "file_id=([^/]+)", 1)
+
+
 def read_delimited(spark: SparkSession, path: str, delimiter: str, header: bool = True, schema: str | None = None) -> DataFrame:
     """Quoted delimited files; blank rows are skipped."""
     reader = spark.read.option("sep", delimiter).option("header", header).option("quote", '"').option("escape", '"')
