@@ -60,13 +60,17 @@ def valid_pattern(pattern: str | None) -> bool:
         return False
 
 
+def _float(bound) -> float | None:
+    return None if bound is None else float(bound)
+
+
 def check_table(spark: SparkSession, spec: Spec) -> DataFrame:
     """The spec as rows to join with; position 0 stands for the line itself ('?' for an unknown record type)."""
     rows = []
     for f in spec.fields:
         digit = next((x for x in spec.of(f.record_type) if x.pos == f.pos + 1 and x.name == "check_digit"), None)
         rows.append((f.record_type, f.pos, f.name, f.data_type, f.start, f.end, f.length, f.required, f.fixed, f.fmt,
-                     list(f.allowed), f.min_len, f.max_len, f.min_value, f.max_value,
+                     list(f.allowed), f.min_len, f.max_len, _float(f.min_value), _float(f.max_value),
                      f.pattern if valid_pattern(f.pattern) else None, f.checksum, digit is not None))
     width = None if spec.delimiter else max((r.length or 0) for r in spec.records) or None
     for kind in [*spec.record_types, "?", "padding", "names"]:
