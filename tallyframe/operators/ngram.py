@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tallyframe.functions import seeded, text as tx
 from tallyframe.operators import skew
+from tallyframe.session import ensure_checkpoint_dir
 
 START, END = "^", "$"
 FLOOR = 1e-6
@@ -142,8 +143,9 @@ def _walk_batches(rows: DataFrame, choices: DataFrame, alphabet: DataFrame, leng
 
 
 def _walk_joins(rows: DataFrame, choices: DataFrame, alphabet: DataFrame, length: int, seed: int, n: int) -> DataFrame:
+    ensure_checkpoint_dir(rows.sparkSession)
     state = rows.join(alphabet, "field", "left").withColumns({
-        "context": F.lit(START * (n - 1)), "text": F.lit(""), "done": F.lit(False)})
+        "context": F.lit(START * (n - 1)), "text": F.lit(""), "done": F.lit(False)}).checkpoint()
     for step in range(length):
         weights = state.groupBy("field", "context").agg(F.count(F.lit(1)).alias("_w"))
         table = choices.join(weights, ["field", "context"])
@@ -156,6 +158,7 @@ def _walk_joins(rows: DataFrame, choices: DataFrame, alphabet: DataFrame, length
             "done", F.expr(f"done or (choices is not null and _ch = '{END}')")).withColumns({
                 "text": F.expr("if(done, text, concat(text, _ch))"),
                 "context": F.expr(f"if(done, context, right(concat(context, _ch), {n - 1}))")}).drop("_ch", "choices")
+        state = state.checkpoint()  # every step reads the state twice; without the cut the plan would grow exponentially
     return state.select("row", "field", F.rpad("text", length, " ").alias("text"))
 
 
