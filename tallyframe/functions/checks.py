@@ -17,7 +17,7 @@ DATE_FORMATS = {
 }
 NUMBER_SHAPE = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
 
-_WIDE = 20  # unrolled positions; card numbers have at most 19 digits
+_WIDE = 18  # digits that fit a 64-bit integer; an even number, so the parity of any digits before them is unchanged
 
 
 def only_digits(x: str) -> str:
@@ -31,12 +31,12 @@ def _digit(x: str, position: int) -> str:
 def _luhn_sum(d: str, double_rightmost: bool) -> str:
     """Luhn sum of a digit string; doubling starts at the last or the last but one digit.
 
-    The last 20 digits are unrolled and evaluated unconditionally, so common-subexpression elimination computes the
-    digit string once; only longer input pays for the loop over its head (20 is even: the head's parity is the same).
-    """
-    tail = f"lpad(substring({d}, -{_WIDE}, {_WIDE}), {_WIDE}, '0')"
-    doubled = f"translate({tail}, '0123456789', '0246813579')"
-    terms = [_digit(doubled if (i % 2 == 0) == double_rightmost else tail, _WIDE - i) for i in range(_WIDE)]
+    The last 18 digits are taken apart by integer arithmetic; only longer input pays for the loop over its head."""
+    number = f"coalesce(try_cast(substring({d}, -{_WIDE}, {_WIDE}) as bigint), 0L)"
+    terms = []
+    for i in range(_WIDE):
+        digit = f"({number} div {10 ** i}L % 10L)"
+        terms.append(f"({digit} * 2 - if({digit} > 4, 9, 0))" if (i % 2 == 0) == double_rightmost else digit)
     head = (f"aggregate(sequence(1, length({d}) - {_WIDE}), 0, (acc, i) -> acc + ascii(translate(substr({d}, i, 1),"
             f" '0123456789', if((length({d}) - {_WIDE} - i) % 2 = {0 if double_rightmost else 1},"
             f" '0246813579', '0123456789'))) - 48)")

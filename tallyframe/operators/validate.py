@@ -106,7 +106,8 @@ def pattern_ok(spec: Spec) -> str:
 
 
 def checked(lines: DataFrame, spec: Spec, dialect: str = "lenient") -> DataFrame:
-    """One row per line x field (position 0 = the line) with ``codes``, the findings, and ``good``, the passed checks.
+    """One row per line x field (position 0 = the line) with ``codes``, the findings as comma-separated text (plain text
+    keeps the stage code-generated where arrays with lambdas would not), and ``good``, the passed checks.
 
     The join with the spec table is a broadcast of fixed size, so lines are read once and nothing is shuffled; only
     findings and per-file sums travel. ``lenient`` trims and checks presence, fixed value, length, type, allowed
@@ -132,20 +133,19 @@ def checked(lines: DataFrame, spec: Spec, dialect: str = "lenient") -> DataFrame
         fields = ", ".join(f"{text} as {name}" for name, text in named.items())
         return valued.select("*", F.expr(f"inline(array(struct({fields})))"))
 
-    note = "array_compact(array(if(line_len <> len, 'RECORD_LENGTH', null), if(k = '?', 'RECORD_TYPE', null)))"
-    none = "cast(array() as array<string>)"
+    note = "concat_ws(',', if(line_len <> len, 'RECORD_LENGTH', null), if(k = '?', 'RECORD_TYPE', null))"
     number = checks.to_number("v")
     if dialect == "lenient":
         tested = bound(tok=type_ok(), pok=pattern_ok(spec),
                        num=f"if(minv is not null and maxv is not null and dt <> 'amount', {number}, null)")
         codes = f"""case when pos = 0 then {note}
-            when fixed is not null and v <> fixed then array('FIXED')
-            when v = '' then if(req, array('REQUIRED'), {none})
-            else array_compact(array(if(length(v) > len, 'LENGTH', null),
+            when fixed is not null and v <> fixed then 'FIXED'
+            when v = '' then if(req, 'REQUIRED', '')
+            else concat_ws(',', if(length(v) > len, 'LENGTH', null),
                 if(tok, null, case dt when 'date' then 'DATE' when 'routing_number' then 'ROUTING' else 'TYPE' end),
                 if(size(allowed) > 0 and not array_contains(allowed, v), 'ALLOWED', null), if(pok, null, 'PATTERN'),
                 if(field = 'tag_20_sender_reference' and (v like '/%' or v like '%/'), 'SLASH', null),
-                if(num < minv or num > maxv, 'RANGE', null))) end"""
+                if(num < minv or num > maxv, 'RANGE', null)) end"""
         good = """case when pos = 0 or (fixed is not null and v <> fixed) then 0 when v = '' then if(req, 0, 1)
             else if(coalesce(length(v) <= len, false), 1, 0) + if(tok, 1, 0) + if(coalesce(num between minv and maxv, false), 1, 0) end"""
     else:
@@ -163,8 +163,8 @@ def checked(lines: DataFrame, spec: Spec, dialect: str = "lenient") -> DataFrame
                  ("cks in ('aba', 'mod10') and dt = 'routing_number'", "not sum_ok", "ABA")]
         bad = ", ".join(f"if({when} and coalesce({test}, false), '{code}', null)" for when, test, code in tests)
         count = " + ".join(f"if(coalesce({when}, false) and not coalesce({test}, false), 1, 0)" for when, test, _ in tests)
-        codes = f"""case when pos = 0 then {note} when trim(v) = '' then if(req, array('REQUIRED'), {none})
-            else array_compact(array({bad})) end"""
+        codes = f"""case when pos = 0 then {note} when trim(v) = '' then if(req, 'REQUIRED', '')
+            else concat_ws(',', {bad}) end"""
         good = f"case when pos = 0 then 0 when trim(v) = '' then if(req, 0, 1) else {count} end"
     return tested.select(*keep, F.expr("if(pos = 0, head, v) as value"), F.expr(f"{codes} as codes"),
                          F.expr(f"{good} as good"))
@@ -172,7 +172,7 @@ def checked(lines: DataFrame, spec: Spec, dialect: str = "lenient") -> DataFrame
 
 def errors(result: DataFrame) -> DataFrame:
     """Long error table: file_id, line_no, record_type, field, pos, severity, code, value (cut to 80 characters)."""
-    found = result.filter(F.size("codes") > 0).withColumn("code", F.explode("codes"))
+    found = result.filter("codes <> ''").withColumn("code", F.explode(F.split("codes", ",")))
     return found.select(
         "file_id", "line_no", "record_type", F.when(F.col("pos") == 0, F.col("code")).otherwise(F.col("field")).alias("field"),
         "pos", F.when(F.col("pos") == 0, "WARNING").otherwise("ERROR").alias("severity"), "code",
@@ -201,12 +201,13 @@ def capped_report(found: DataFrame, errors_cap: int = REPORT_ERRORS, warnings_ca
 
 def report(result: DataFrame) -> DataFrame:
     """Per file: lines, passed and failed checks, warnings, affected lines, validity and score percent."""
+    found = "if(codes = '', 0L, cast(size(split(codes, ',')) as bigint))"
     return result.groupBy("file_id").agg(
         F.expr("count_if(pos = 0) as total_records"),
         F.expr("sum(cast(good as bigint)) as passed"),
-        F.expr("sum(if(pos > 0, cast(size(codes) as bigint), 0)) as failed"),
-        F.expr("sum(if(pos = 0, cast(size(codes) as bigint), 0)) as warnings"),
-        F.expr("count(distinct if(pos > 0 and size(codes) > 0, line_no, null)) as records_with_errors"),
+        F.expr(f"sum(if(pos > 0, {found}, 0)) as failed"),
+        F.expr(f"sum(if(pos = 0, {found}, 0)) as warnings"),
+        F.expr("count(distinct if(pos > 0 and codes <> '', line_no, null)) as records_with_errors"),
     ).withColumns({
         "is_valid": F.col("failed") == 0,
         "score": F.expr("if(passed + failed = 0, 0D, round(100D * passed / (passed + failed), 2))")})
