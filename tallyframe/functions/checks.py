@@ -17,9 +17,6 @@ DATE_FORMATS = {
 }
 NUMBER_SHAPE = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
 
-_WIDE = 18  # digits that fit a 64-bit integer; an even number, so the parity of any digits before them is unchanged
-
-
 def only_digits(x: str) -> str:
     return f"regexp_replace({x}, '[^0-9]', '')"
 
@@ -29,24 +26,17 @@ def _digit(x: str, position: int) -> str:
 
 
 def _luhn_sum(d: str, double_rightmost: bool) -> str:
-    """Luhn sum of a digit string; doubling starts at the last or the last but one digit.
-
-    The last 18 digits are taken apart by integer arithmetic; only longer input pays for the loop over its head."""
-    number = f"coalesce(try_cast(substring({d}, -{_WIDE}, {_WIDE}) as bigint), 0L)"
-    terms = []
-    for i in range(_WIDE):
-        digit = f"({number} div {10 ** i}L % 10L)"
-        terms.append(f"({digit} * 2 - if({digit} > 4, 9, 0))" if (i % 2 == 0) == double_rightmost else digit)
-    head = (f"aggregate(sequence(1, length({d}) - {_WIDE}), 0, (acc, i) -> acc + ascii(translate(substr({d}, i, 1),"
-            f" '0123456789', if((length({d}) - {_WIDE} - i) % 2 = {0 if double_rightmost else 1},"
-            f" '0246813579', '0123456789'))) - 48)")
-    return f"({' + '.join(terms)} + if(length({d}) > {_WIDE}, {head}, 0))"
+    """Luhn sum of a digit string of any length; doubling starts at the last or the last but one digit. The digit
+    string occurs once in the text, so nested uses do not multiply the expression."""
+    doubled = f"i % 2 = {0 if double_rightmost else 1}"
+    digit = f"if(c = '', 0, (ascii(c) - 48) * if({doubled}, 2, 1) - if({doubled} and c > '4', 9, 0))"
+    return f"aggregate(transform(split(reverse({d}), ''), (c, i) -> {digit}), 0, (a, x) -> a + x)"
 
 
 def luhn_ok(x: str) -> str:
     """True when the digits of the value (13 or more) pass the Luhn test."""
     d = only_digits(f"coalesce({x}, '')")
-    return f"(greatest(13 - length({d}), {_luhn_sum(d, False)} % 10) <= 0)"
+    return f"(length({d}) >= 13 and {_luhn_sum(d, False)} % 10 = 0)"
 
 
 def luhn_check_digit(partial: str) -> str:
