@@ -64,7 +64,7 @@ def vocabulary(texts: DataFrame, text: str, pattern: str = "[a-z_]+", most: int
 def cosine(left: DataFrame, right: DataFrame, key: str, term: str) -> DataFrame:
     """Cosine of each keyed profile in ``left`` (key, term, n) with the single profile ``right`` (term, n)."""
     ln = left.groupBy(key).agg(F.expr("sqrt(sum(n * n)) as ln"))
-    rn = right.agg(F.expr("sqrt(sum(m * m)) as rn"))
+    norm = right.agg(F.expr("sqrt(sum(m * m))")).scalar()
     dots = left.join(right, term).groupBy(key).agg(F.expr("sum(n * m) as dot"))
-    joined = ln.join(dots, key, "left").join(F.broadcast(rn))
+    joined = ln.join(dots, key, "left").withColumn("rn", norm)
     return joined.select(key, F.expr("round(if(ln = 0 or rn = 0, 0D, coalesce(dot, 0) / (ln * rn)), 6) as overlap"))

@@ -88,7 +88,8 @@ def a38(spark, folder):
     return audit.run_statistics(profile.learn(q_profile.long(spark, folder)), anomalies, profile.CONFIDENCE_THRESHOLD)
 
 
-@query("c11_audit_report", None)
+@query("c11_audit_report", f"""WITH {EVENTS_SQL} SELECT action, cast(count(*) AS bigint) AS n, round(avg(CASE WHEN action = 'VALIDATE' THEN score END), 2) AS avg_valid_score,
+  max(ts) AS last_ts, cast(count(DISTINCT spec) AS bigint) AS specs FROM ev GROUP BY 1""")
 def c11(spark, folder):
     """Statistics by action next to the newest page of each action."""
     ev = events(spark, folder)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tallyframe.functions import checks, fixed
 from tallyframe.operators import reconcile, synth, validate
 from tallyframe.plans import shared
-from tallyframe.plans.registry import query
+from tallyframe.plans.registry import ORACLES, query
 from tallyframe.plans.shared import ACH_TYPED, LINES
 from tallyframe.sources import derived, layouts
 from tallyframe.sources.layouts import ACH, CARD, GL
@@ -433,7 +433,17 @@ def c1(spark, folder):
     return validate.report(result).join(top, "file_id", "left")
 
 
-@query("c2_reconcile_files", None)
+def _c2_sql():
+    def inner(name):
+        return ORACLES[name]
+    return f"""SELECT file_id, 'BATCH_TOTAL' AS "check", field, cast(batch_id AS varchar) AS "at", cast(expected AS varchar) AS expected, cast(actual AS varchar) AS actual FROM ({inner("j5_batch_mismatches")})
+      UNION ALL SELECT file_id, 'FILE_TOTAL', field, '', cast(expected AS varchar), cast(actual AS varchar) FROM ({inner("j6_file_mismatches")})
+      UNION ALL SELECT file_id, 'HEADER_CONTROL', field, cast(batch_id AS varchar), expected, actual FROM ({inner("j8_header_control")})
+      UNION ALL SELECT file_id, 'ORPHAN_ADDENDA', 'trace', cast(line_no AS varchar), NULL, parent FROM ({inner("j9_orphan_addenda")})
+      UNION ALL SELECT file_id, 'SEQUENCE', rule, cast(line_no AS varchar), expected, actual FROM ({inner("w16_sequence_rules")})"""
+
+
+@query("c2_reconcile_files", _c2_sql())
 def c2(spark, folder):
     """All cross-record findings of each file as one table."""
     rec = records(spark, folder)
