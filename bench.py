@@ -12,7 +12,7 @@ import time
 from tallyframe.plans import catalog, shared
 from tallyframe.session import build_session
 
-HEADLINE = ["g11_ach_files", "c1_validate_files", "a1_validation_report_strict", "a1_validation_report_delimited", "c2_reconcile_files", "c3_learn_spec",
+HEADLINE = ["g11_ach_files", "c1_validate_files", "a1_validation_report_strict", "c2_reconcile_files", "c3_learn_spec",
             "c4_detect_structure", "c5_identify_files", "g1_spec_rows", "s7_message_tags", "k1_s1_ordered_lines", "w10_distinct_lines",
             "u5_dedup_one_pass", "u5_dedup_documents", "c8_prepare_corpus", "a29_document_model", "a36_model_loss", "w18_training_windows", "st1_audit_stream"]
 

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from tallyframe.functions import checks
 from tallyframe.functions.sqltext import q
+from tallyframe.session import written
 
 # ---------------------------------------------------------------------------------------------------------------
 # Fixed values: (type, full-match pattern, weight) and (type, weight, name keywords) of the two voting schemes.
@@ -258,8 +259,10 @@ def justification(kind: str) -> tuple[str, str]:
 
 
 def learn(long: DataFrame, threshold: float = CONFIDENCE_THRESHOLD) -> DataFrame:
-    """Learned spec: one row per field with type, confidence, lengths, range, allowed values, format, default, samples."""
-    counts = value_counts(long)
+    """Learned spec: one row per field with type, confidence, lengths, range, allowed values, format, default, samples.
+
+    Six aggregations read the value counts, which are far smaller than the input; they are written once."""
+    counts = written(value_counts(long), "value-counts")
     typed = winners(field_votes(counts)).withColumn(
         "type", F.expr(f"if(type <> 'STRING' and confidence < {threshold}, 'STRING', type)"))
     justify, pad = justification("type")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from tallyframe.functions import fixed
 from tallyframe.operators import ordered, synth
+from tallyframe.session import written
 from tallyframe.sources.layouts import ACH, CARD
 
 HASH = synth.HASH_MODULUS
@@ -153,6 +154,28 @@ def sequence_errors(records: DataFrame) -> DataFrame:
     return batches.unionByName(origin).unionByName(order)
 
 
+def findings(lines: DataFrame) -> DataFrame:
+    """All cross-record findings as one table (file_id, check, field, at, expected, actual). Five checks read the lines
+    with their batch, so that table is written once."""
+    rec = written(with_batch(lines), "batched-lines")
+    parts = [
+        batch_mismatches(rec).selectExpr("file_id", "'BATCH_TOTAL' as check", "field", "cast(batch_id as string) as at",
+                                         "cast(expected as string) as expected", "cast(actual as string) as actual"),
+        file_mismatches(rec).selectExpr("file_id", "'FILE_TOTAL' as check", "field", "'' as at",
+                                        "cast(expected as string) as expected", "cast(actual as string) as actual"),
+        header_control_mismatches(rec).selectExpr("file_id", "'HEADER_CONTROL' as check", "field",
+                                                  "cast(batch_id as string) as at", "expected", "actual"),
+        orphan_addenda(rec).selectExpr("file_id", "'ORPHAN_ADDENDA' as check", "'trace' as field", "cast(line_no as string) as at",
+                                       "cast(null as string) as expected", "parent as actual"),
+        sequence_errors(rec).selectExpr("file_id", "'SEQUENCE' as check", "rule as field", "cast(line_no as string) as at",
+                                        "expected", "actual"),
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
 def native_stats(lines: DataFrame) -> DataFrame:
     """Per file: lines, lines not 94 wide, record types found."""
     kind = F.substring("line", 1, 1)

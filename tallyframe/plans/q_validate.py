@@ -446,15 +446,4 @@ def _c2_sql():
 @query("c2_reconcile_files", _c2_sql())
 def c2(spark, folder):
     """All cross-record findings of each file as one table."""
-    rec = records(spark, folder)
-    parts = [
-        reconcile.batch_mismatches(rec).selectExpr("file_id", "'BATCH_TOTAL' as check", "field", "cast(batch_id as string) as at", "cast(expected as string) as expected", "cast(actual as string) as actual"),
-        reconcile.file_mismatches(rec).selectExpr("file_id", "'FILE_TOTAL' as check", "field", "'' as at", "cast(expected as string) as expected", "cast(actual as string) as actual"),
-        reconcile.header_control_mismatches(rec).selectExpr("file_id", "'HEADER_CONTROL' as check", "field", "cast(batch_id as string) as at", "expected", "actual"),
-        reconcile.orphan_addenda(rec).selectExpr("file_id", "'ORPHAN_ADDENDA' as check", "'trace' as field", "cast(line_no as string) as at", "cast(null as string) as expected", "parent as actual"),
-        reconcile.sequence_errors(rec).selectExpr("file_id", "'SEQUENCE' as check", "rule as field", "cast(line_no as string) as at", "expected", "actual"),
-    ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    return reconcile.findings(shared.raw(spark, folder))

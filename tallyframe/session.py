@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(app: str = "tallyframe", master: str | None = None, **conf: str) -> SparkSession:
@@ -47,3 +47,11 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A fresh path below the shared folder for a written intermediate table."""
     return os.path.join(shared_dir(spark), f"{label}-{uuid.uuid4().hex}")
+
+
+def written(df: DataFrame, label: str) -> DataFrame:
+    """An intermediate result that several branches read: written once to the shared folder and read back, so it is
+    neither recomputed per branch nor lost with an executor."""
+    path = scratch_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
