@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -25,13 +26,17 @@ def build_session(app: str = "tallyframe", master: str | None = None, **conf: st
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``; a private one only where that is unset (tests)."""
+    """The shared folder named by ``spark.checkpoint.dir``. A private one only where that is unset and the master is local
+    (tests); on a cluster a machine-local folder would be unreadable elsewhere, so an unset folder is an error there."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
     current = spark.sparkContext._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get().rstrip("/")
+    master = spark.sparkContext.master
+    if not re.fullmatch(r"local(\[[^\]]*\])?", master):
+        raise ValueError(f"set spark.checkpoint.dir to a folder that all of {master} shares")
     private = tempfile.mkdtemp(prefix="tallyframe-")
     spark.sparkContext.setCheckpointDir(private)
     return private
