@@ -4,8 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tallyframe.llm import phrase_index, quality
+from tallyframe.llm import langid, phrase_index, quality, token_files
 from tallyframe.llm.common import read
+from tallyframe.session import scratch_path
+
+
+def tokenizer() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
 
 
 def op2_decontamination(spark, sf_dir):
@@ -20,5 +27,19 @@ def op5_quality_rules(spark, sf_dir):
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
-QUERIES = {"op2_decontamination": op2_decontamination, "op5_quality_rules": op5_quality_rules}
+def op7_token_files(spark, sf_dir):
+    """Every document's ids written to token files in ascending id order and read back."""
+    path = scratch_path(spark, "token-files")
+    token_files.write(token_files.tokenized(read(spark, sf_dir, "documents"), tokenizer()), path)
+    return token_files.checksums(token_files.open_files(spark, path))
+
+
+def op8_language_id(spark, sf_dir):
+    """Every document's language by rank-order profiles learned from the rows that are not held out."""
+    docs = read(spark, sf_dir, "documents").withColumn("held_out", langid.held_out(F.col("doc_id"), 4, 2))
+    model = langid.profiles(docs.where(~F.col("held_out")))
+    return langid.identified(docs.select("doc_id", "held_out", "text"), model)
+
+
+QUERIES = {"op2_decontamination": op2_decontamination, "op5_quality_rules": op5_quality_rules, "op7_token_files": op7_token_files, "op8_language_id": op8_language_id}
 ORACLES = {}
