@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import functools
+import itertools
+import os
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -100,9 +104,9 @@ def gather(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 
 class Subwords:
     """Subword ids of whole texts. The tokenizer's pre-tokens never cross a blank or line feed, so each distinct unit
-    between those is encoded once and kept; the cache is bounded and only saves work."""
+    between those is encoded once and kept; the cache holds the first ``most`` units and only saves work."""
 
-    def __init__(self, file: str, most: int = 400_000):
+    def __init__(self, file: str, most: int = 1_000_000):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most, self.known = Tokenizer.from_file(file), most, {}
@@ -119,19 +123,23 @@ class Subwords:
 
     def units(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         missing = [w for w in words if w not in self.known]
-        if len(self.known) + len(missing) > self.most:
-            self.known, missing = {}, words
         fresh = {}
         for at in range(0, len(missing), 20_000):
             part = missing[at:at + 20_000]
-            for w, e in zip(part, self.tokenizer.encode_batch([w.decode() for w in part], add_special_tokens=False)):
-                fresh[w] = np.array(e.ids, np.uint32).tobytes()
-        if len(self.known) + len(fresh) <= self.most:
-            self.known.update(fresh)
-            found = [self.known[w] for w in words]
-        else:
-            found = [fresh[w] if w in fresh else self.known[w] for w in words]
-        return np.frombuffer(b"".join(found), np.uint32), np.array([len(x) // 4 for x in found], np.int64)
+            coded = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in part], add_special_tokens=False)
+            fresh.update(zip(part, [array("I", e.ids).tobytes() for e in coded]))
+        room = self.most - len(self.known)
+        if room > 0:
+            self.known.update(fresh if room >= len(fresh) else itertools.islice(fresh.items(), room))
+        found = [fresh[w] if w in fresh else self.known[w] for w in words]
+        return np.frombuffer(b"".join(found), np.uint32), np.array([len(x) for x in found], np.int64) // 4
+
+
+@functools.lru_cache(1)
+def subwords(file: str) -> Subwords:
+    """One per Python worker, so that its cache lasts from task to task."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    return Subwords(file)
 
 
 def components(edges: DataFrame, label: str = "components") -> DataFrame:

@@ -26,40 +26,42 @@ BITS = 21
 COUNTS = "lang string, gram long, n long"
 
 
-def letters() -> np.ndarray:
-    """For each code point: is it a letter."""
-    table = np.zeros(0x110000, bool)
-    for c in range(0x110000):
-        table[c] = chr(c).isalpha()
-    return table
+class Letters:
+    """Is a code point a letter: a table for the first planes' common part, one look per other code point."""
 
+    def __init__(self, common: int = 0x3000):
+        self.table = np.array([chr(c).isalpha() for c in range(common)])
 
-_LETTERS: list[np.ndarray] = []
+    def __call__(self, points: np.ndarray) -> np.ndarray:
+        beyond = points >= len(self.table)
+        if not beyond.any():
+            return self.table[points]
+        found = self.table[np.where(beyond, 0, points)]
+        kinds, inverse = np.unique(points[beyond], return_inverse=True)
+        found[beyond] = np.array([chr(c).isalpha() for c in kinds])[inverse]
+        return found
 
 
-def letter_table() -> np.ndarray:
-    if not _LETTERS:
-        _LETTERS.append(letters())
-    return _LETTERS[0]
+IS_LETTER = Letters()
 
 
 def grams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """(n-grams of all texts in order of text, start of each text's n-grams): packed code points, a word end is 1."""
     lowered = [(t or "").lower() for t in texts]
-    sizes = np.array([len(t) + 1 for t in lowered])
+    ends = np.cumsum([len(t) + 1 for t in lowered])
     points = np.frombuffer((" ".join(lowered) + " ").encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
-    ok = letter_table()[points]
+    ok = IS_LETTER(points)
     code = np.where(ok, points + 2, 1)
-    at = np.arange(len(code))
-    before, after = np.append(1, code[:-1]), np.append(code[1:], 1)
+    before, after = np.ones_like(code), np.ones_like(code)
+    before[1:], after[:-1] = code[:-1], code[1:]
     # around each letter: the letter, the pair with the next sign, the pair with a word start, the triple around it
-    pair, start, triple = code << BITS | after, before << BITS | code, (before << 2 * BITS) | (code << BITS) | after
-    opens = ok & (before == 1)
-    values = np.concatenate([code[ok], pair[ok], start[opens], triple[ok]])
-    places = np.concatenate([at[ok], at[ok], at[opens], at[ok]])
-    row = np.searchsorted(np.cumsum(sizes), places, side="right").astype(np.int32)
-    order = np.argsort(row, kind="stable")
-    return values[order], np.searchsorted(row[order], np.arange(len(texts) + 1))
+    values, mask = np.empty((len(code), 4), np.int64), np.empty((len(code), 4), bool)
+    values[:, 0], values[:, 1], values[:, 2] = code, code << BITS | after, before << BITS | code
+    values[:, 3] = values[:, 2] << BITS | after
+    mask[:] = ok[:, None]
+    mask[:, 2] &= before == 1
+    starts = np.append(0, np.cumsum(ok * 3 + mask[:, 2])[ends - 1])
+    return values[mask], starts
 
 
 def tallied(values: np.ndarray, weights: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -86,7 +88,7 @@ def profiles(labelled: DataFrame, text: str = "text", lang: str = "lang", ranks:
                 g, n = tallied(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]))
                 yield pa.RecordBatch.from_pydict({"lang": pa.array([name] * len(g), pa.string()), "gram": g, "n": n.astype(np.int64)})
 
-        for part in slices(batches, "_text", 4 << 20):
+        for part in slices(batches, "_text", 2 << 20):
             names = np.array(field(part, "_lang").to_pylist(), object)
             texts = field(part, "_text").to_pylist()
             for name in set(names.tolist()):
@@ -148,7 +150,7 @@ def identified(docs: DataFrame, model: pd.DataFrame, text: str = "text", ranks:
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         judge = Distances(model, ranks)
-        for part in slices(batches, text, 4 << 20):
+        for part in slices(batches, text, 2 << 20):
             values, starts = grams(field(part, text).to_pylist())
             found = [judge.nearest(values[a:b]) for a, b in zip(starts[:-1], starts[1:])]
             yield pa.RecordBatch.from_arrays([*[field(part, f.name) for f in others], pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())],

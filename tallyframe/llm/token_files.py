@@ -10,7 +10,6 @@ rows stand beside each other; an empty table gives files without rows; only the
 
 from __future__ import annotations
 
-import os
 import zlib
 from collections.abc import Iterator
 
@@ -19,7 +18,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from tallyframe.llm.common import Subwords, field, slices
+from tallyframe.llm.common import field, slices, subwords
 from tallyframe.session import written
 
 END, GROUP_BYTES, PAGE_BYTES, PAGE_ROWS = 2, 32 << 20, 1 << 20, 2_000
@@ -33,8 +32,7 @@ def tokenized(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str =
     rows = rows.repartitionByRange(F.col("_id"), tie).sortWithinPartitions("_id", tie)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        coder, part, place = Subwords(tokenizer), TaskContext.get().partitionId(), 0
+        coder, part, place = subwords(tokenizer), TaskContext.get().partitionId(), 0
         for batch in slices(batches, "_text", 4 << 20):
             ids, ends = coder.encode(field(batch, "_text"))
             n = batch.num_rows
