@@ -106,7 +106,7 @@ class Subwords:
     """Subword ids of whole texts. The tokenizer's pre-tokens never cross a blank or line feed, so each distinct unit
     between those is encoded once and kept; the cache holds the first ``most`` units and only saves work."""
 
-    def __init__(self, file: str, most: int = 1_000_000):
+    def __init__(self, file: str, most: int = 700_000):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most, self.known = Tokenizer.from_file(file), most, {}

@@ -24,7 +24,7 @@ import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from tallyframe.llm.common import blank_separated, components, cut_words, encoded, field, slices
 from tallyframe.session import written
@@ -124,3 +124,121 @@ def signed(texts: DataFrame, n: int, percent: int, order: np.ndarray) -> DataFra
             row += part.num_rows
 
     return written(texts.select("_id", "_text").mapInArrow(sign, SIGNED), "shingle-signs")
+
+
+def met(prefixes: DataFrame, percent: int) -> DataFrame:
+    """Prefix rows (token, row, n, pos) -> pairs (a, b) that share the token and pass the length and positional filters,
+    where b is the pivot of its length band or of the band below."""
+    band = F.floor(F.log("n") / float(-np.log(percent / 100))).cast("int") if percent < 100 else F.col("n")
+    rows = prefixes.withColumn("band", band)
+    pivots = rows.groupBy("token", "band").agg(F.min(F.struct("n", "row", "pos")).alias("p"), F.count(F.lit(1)).alias("k"))
+    near = pivots.select("token", F.explode(F.array("band", F.col("band") + 1)).alias("band"), "p")
+    found = rows.join(near, ["token", "band"]).where(F.col("row") != F.col("p.row"))
+    return close(found.select(F.col("row").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"), F.col("p.row").alias("b"), F.col("p.n").alias("nb"), F.col("p.pos").alias("pb")), percent)
+
+
+def close(pairs: DataFrame, percent: int) -> DataFrame:
+    """The distinct pairs left by the length filter and the positional filter (tokens behind the shared one are all that the
+    pair can still share)."""
+    need = F.ceil(percent * (F.col("na") + F.col("nb")) / (100.0 + percent) - 1e-9)
+    length = 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
+    # the shared token is the first of both prefixes that the two have in common, for one of the rows that a pair has
+    reach = 1 + F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) - 1 + F.least("pa", "pb")
+    return pairs.where(length & (reach >= need)).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+
+
+def untried(prefixes: DataFrame, labels: DataFrame, tried: DataFrame, percent: int) -> DataFrame:
+    """Pairs of classes in different components that share a prefix token and were not tried. Rows of a token's most frequent
+    component are not paired with each other, so a token costs its other rows times its rows."""
+    rows = prefixes.join(labels, "row", "left").withColumn("c", F.coalesce("component", "row")).drop("component")
+    sizes = rows.groupBy("token", "c").agg(F.count(F.lit(1)).alias("k"))
+    main = sizes.groupBy("token").agg(F.max(F.struct("k", "c")).alias("m"), F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
+    mixed_rows = rows.join(main.select("token", F.col("m.c").alias("main")), "token")
+    mixed_rows = written(mixed_rows, "shingle-mixed")
+    other = mixed_rows.where("c <> main").select("token", F.col("row").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"), F.col("c").alias("ca"))
+    every = mixed_rows.select("token", F.col("row").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"), F.col("c").alias("cb"), (F.col("c") == F.col("main")).alias("in_main"))
+    found = other.join(every, "token").where((F.col("ca") != F.col("cb")) & (F.col("in_main") | (F.col("a") > F.col("b"))))
+    return close(found, percent).join(tried, ["a", "b"], "left_anti")
+
+
+def verified(pairs: DataFrame, signs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
+    """The pairs whose sets are similar enough. The suffix filter compares how the sets spread over hash ranges; the rest is
+    decided on the texts, which meet their pairs by two joins."""
+    bins = signs.select("row", F.col("n").alias("size"), "id", "d1", "d2", "bins")
+    both = pairs.join(bins.select(F.col("row").alias("a"), F.col("size").alias("na"), F.col("bins").alias("ba")), "a") \
+        .join(bins.select(F.col("row").alias("b"), F.col("size").alias("nb"), F.col("bins").alias("bb")), "b")
+
+    def suffix(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            one, two = (np.frombuffer(b"".join(field(batch, c).to_pylist()), np.uint32).reshape(-1, BINS) for c in ("ba", "bb"))
+            most = np.minimum(one, two).sum(1, dtype=np.int64)
+            union = field(batch, "na").to_numpy().astype(np.int64) + field(batch, "nb").to_numpy() - most
+            keep = pa.array(100 * most >= percent * union)
+            yield pa.RecordBatch.from_arrays([field(batch, "a").filter(keep), field(batch, "b").filter(keep)], names=["a", "b"])
+
+    left = written(both.mapInArrow(suffix, "a long, b long"), "shingle-pairs")
+    wanted = left.select(F.col("a").alias("row")).union(left.select("b")).distinct().join(bins.select("row", "id", "d1", "d2"), "row")
+    named = texts.join(wanted, texts["_id"].eqNullSafe(wanted["id"])).select("row", "d1", "d2", "_text")
+
+    def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # equal ids may have several texts: a row's text is one with the row's digest
+        for part in slices(batches, "_text", 4 << 20):
+            sets = shingle_sets(field(part, "_text"), n)
+            one, two = field(part, "d1").to_pylist(), field(part, "d2").to_pylist()
+            same = [int(s.sum(dtype=np.uint64).astype(np.int64)) == x and int(mixed(s ^ PRIMES[1]).sum(dtype=np.uint64).astype(np.int64)) == y for s, x, y in zip(sets, one, two)]
+            yield pa.RecordBatch.from_arrays([field(part, "row"), field(part, "_text")], names=["row", "_text"]).filter(pa.array(same))
+
+    # rows with the same id and text give their class the same text again
+    found = written(named.mapInArrow(own, "row long, _text string").groupBy("row").agg(F.first("_text").alias("_text")), "shingle-texts")
+    both = left.join(found.select(F.col("row").alias("b"), F.col("_text").alias("tb")), "b").join(found.select(F.col("row").alias("a"), F.col("_text").alias("ta")), "a")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(iter([batch]), "ta", 4 << 20):
+                ones = shingle_sets(field(part, "ta"), n)
+                keep = []
+                for i, one in enumerate(ones):
+                    two = shingle_sets(field(part, "tb").slice(i, 1), n)[0]
+                    shared = int(np.isin(one, two, assume_unique=True).sum())
+                    keep.append(100 * shared >= percent * (len(one) + len(two) - shared))
+                yield part.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return written(both.select("a", "b", "ta", "tb").mapInArrow(compare, "a long, b long"), "shingle-links")
+
+
+def joined(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 3, percent: int = 90) -> DataFrame:
+    """One row per document: (key, n_shingles, component_id, n_class: texts with the same set). ``percent``: least Jaccard
+    similarity in hundredths."""
+    texts = docs.select(F.col(key).cast("long").alias("_id"), F.col(text).cast("string").alias("_text"))
+    signs = signed(texts, n, percent, frequencies(texts, n))
+    classes = written(signs.where("n > 0").groupBy("d1", "d2", "n").agg(F.min("row").alias("head"), F.count(F.lit(1)).alias("n_class"), F.min("id").alias("least")), "shingle-classes")
+    heads = signs.join(classes.select(F.col("head").alias("row")), "row")
+    prefixes = heads.select("row", "n", F.posexplode("prefix").alias("pos", "token"))
+    shared = prefixes.groupBy("token").agg(F.count(F.lit(1)).alias("k")).where("k > 1").drop("k")
+    prefixes = written(prefixes.join(shared, "token"), "shingle-prefixes")
+    tried = written(met(prefixes, percent), "shingle-tried")
+    links = verified(tried, signs, texts, n, percent)
+    labels = components(links).select(F.col("node").alias("row"), "component")
+    links = links.union(verified(untried(prefixes, labels, tried, percent), signs, texts, n, percent))
+    labels = written(components(links).select(F.col("node").alias("head"), "component"), "shingle-labels")
+    placed = classes.join(labels, "head", "left").withColumn("component", F.coalesce("component", "head"))
+    least = placed.groupBy("component").agg(F.min("least").alias("component_id"))
+    placed = placed.join(least, "component").select("d1", "d2", "n", "component_id", "n_class")
+    out = signs.select("id", "n", "d1", "d2").join(placed, ["d1", "d2", "n"], "left")
+    own = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id"))
+    return out.select(F.col("id").alias(key), F.col("n").cast("long").alias("n_shingles"), own.alias("component_id"), F.coalesce("n_class", F.lit(1)).alias("n_class"))
+
+
+def one_per_component(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 3, percent: int = 90) -> DataFrame:
+    """Of each component the row with its smallest id stays (of rows that share that id the smallest text); rows without
+    n-grams all stay, with all columns."""
+    marked = docs.withColumn("_mark", F.xxhash64(F.col(key), F.col(text)))
+    found = joined(marked, key, text, n, percent).select(F.col(key).alias("_id"), "n_shingles", "component_id").distinct()
+    # an id is kept if it names its component; equal ids with different texts are told apart by the text's hash below
+    gone = found.where((F.col("n_shingles") > 0) & ~F.col("_id").eqNullSafe(F.col("component_id"))).select("_id").distinct()
+    left = marked.join(gone, marked[key].eqNullSafe(gone["_id"]), "left_anti")
+    first = left.where(F.col(key).isNotNull()).groupBy(key).agg(F.min("_mark").alias("_first"), F.count(F.lit(1)).alias("_k")).where("_k > 1").drop("_k")
+    return left.join(first, key, "left").where(F.col("_first").isNull() | (F.col("_mark") == F.col("_first"))).select(*docs.columns)
+

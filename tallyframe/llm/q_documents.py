@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tallyframe.llm import langid, phrase_index, quality, token_files
+from tallyframe.llm import attention_lm, jaccard, langid, phrase_index, quality, token_files
 from tallyframe.llm.common import read
 from tallyframe.session import scratch_path
 
@@ -21,6 +21,11 @@ def op2_decontamination(spark, sf_dir):
     return out.withColumn("doc_id", F.col("doc").cast("long")).select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def op4_jaccard_join(spark, sf_dir):
+    """Every document's component under Jaccard similarity of word trigrams of at least 0.9."""
+    return jaccard.joined(read(spark, sf_dir, "documents"))
+
+
 def op5_quality_rules(spark, sf_dir):
     """Counts, base rules and the risk-controlled rules' verdict for every document."""
     out = quality.judged(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
@@ -41,5 +46,11 @@ def op8_language_id(spark, sf_dir):
     return langid.identified(docs.select("doc_id", "held_out", "text"), model)
 
 
-QUERIES = {"op2_decontamination": op2_decontamination, "op5_quality_rules": op5_quality_rules, "op7_token_files": op7_token_files, "op8_language_id": op8_language_id}
+def op10_lm_score(spark, sf_dir):
+    """Every document's unigram base and self-attention score, learned from the rows that are not held out."""
+    docs = read(spark, sf_dir, "documents").withColumn("held_out", langid.held_out(F.col("doc_id"), 5, 1))
+    return attention_lm.scored(docs.select("doc_id", "held_out", "text"), docs.where(~F.col("held_out")), tokenizer())
+
+
+QUERIES = {f.__name__: f for f in (op2_decontamination, op4_jaccard_join, op5_quality_rules, op7_token_files, op8_language_id, op10_lm_score)}
 ORACLES = {}

@@ -33,7 +33,7 @@ def tokenized(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str =
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, part, place = subwords(tokenizer), TaskContext.get().partitionId(), 0
-        for batch in slices(batches, "_text", 4 << 20):
+        for batch in slices(batches, "_text", 6 << 20):
             ids, ends = coder.encode(field(batch, "_text"))
             n = batch.num_rows
             sizes = np.diff(ends, prepend=0) + 1
