@@ -6,9 +6,11 @@ sets are one class. Two classes can only be similar enough if they share an n-gr
 meet. Length, positional and suffix filters drop pairs that cannot reach the threshold; what is left is verified once per
 pair on the full sets.
 
-Not all pairs of a group are made: classes first meet one pivot per prefix n-gram and length band; after that only pairs that
-the links found so far do not connect already are tried, and never pairs tried before. So no link between different
-components is lost, and a group of near copies costs as many pairs as it has members.
+Not all pairs of a group are made: classes first meet one pivot per prefix n-gram and length
+band (one with few n-grams of its own before it), then in ``MEETINGS`` rounds
+those not yet connected meet a drawn member of their n-gram's main component; at last all pairs that the links found so far
+do not connect are tried, and never pairs tried before. So no link between different components is lost, and a group of near
+copies costs about as many pairs as it has members.
 
 Defined cases: null, empty and blank texts have no n-grams and are linked with nothing (their own component); texts with
 fewer words than n are one n-gram; repeated rows are one class; a null id takes part, but the smallest id that is not null
@@ -24,12 +26,12 @@ import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from tallyframe.llm.common import blank_separated, components, cut_words, encoded, field, slices
 from tallyframe.session import written
 
-BITS, SHARDS, FAN_IN, BINS = 20, 16, 64, 32
+BITS, SHARDS, FAN_IN, BINS, MEETINGS = 20, 16, 64, 32, 1
 PRIMES = [np.uint64(x | 1) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD, 0x2545F4914F6CDD1D, 0x94D049BB133111EB)]
 
 
@@ -114,8 +116,9 @@ def signed(texts: DataFrame, n: int, percent: int, order: np.ndarray) -> DataFra
                     may = np.arange(len(s))
                 first = s[may[np.lexsort((s[may], cell[may]))[:keep]]]
                 sizes.append(len(s))
-                one.append(int(s.sum(dtype=np.uint64).astype(np.int64)))
-                two.append(int(mixed(s ^ PRIMES[1]).sum(dtype=np.uint64).astype(np.int64)))
+                x, y = digest(s)
+                one.append(x)
+                two.append(y)
                 prefixes.append(first.astype(np.int64))
                 bins.append(np.bincount((s & np.uint64(BINS - 1)).astype(np.int64), minlength=BINS).astype(np.uint32).tobytes())
             ends = np.append(0, np.cumsum([len(p) for p in prefixes])).astype(np.int32)
@@ -127,14 +130,14 @@ def signed(texts: DataFrame, n: int, percent: int, order: np.ndarray) -> DataFra
 
 
 def met(prefixes: DataFrame, percent: int) -> DataFrame:
-    """Prefix rows (token, row, n, pos) -> pairs (a, b) that share the token and pass the length and positional filters,
+    """Prefix rows (token, row, n, pos, s: earlier shared tokens of the row) -> pairs (a, b) that share the token and pass the length and positional filters,
     where b is the pivot of its length band or of the band below."""
     band = F.floor(F.log("n") / float(-np.log(percent / 100))).cast("int") if percent < 100 else F.col("n")
     rows = prefixes.withColumn("band", band)
-    pivots = rows.groupBy("token", "band").agg(F.min(F.struct("n", "row", "pos")).alias("p"), F.count(F.lit(1)).alias("k"))
+    pivots = rows.groupBy("token", "band").agg(F.min(F.struct((F.col("pos") - F.col("s")).alias("own"), "n", "row", "pos", "s")).alias("p"), F.count(F.lit(1)).alias("k"))
     near = pivots.select("token", F.explode(F.array("band", F.col("band") + 1)).alias("band"), "p")
     found = rows.join(near, ["token", "band"]).where(F.col("row") != F.col("p.row"))
-    return close(found.select(F.col("row").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"), F.col("p.row").alias("b"), F.col("p.n").alias("nb"), F.col("p.pos").alias("pb")), percent)
+    return close(found.select(F.col("row").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"), F.col("s").alias("sa"), F.col("p.row").alias("b"), F.col("p.n").alias("nb"), F.col("p.pos").alias("pb"), F.col("p.s").alias("sb")), percent)
 
 
 def close(pairs: DataFrame, percent: int) -> DataFrame:
@@ -142,29 +145,59 @@ def close(pairs: DataFrame, percent: int) -> DataFrame:
     pair can still share)."""
     need = F.ceil(percent * (F.col("na") + F.col("nb")) / (100.0 + percent) - 1e-9)
     length = 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
-    # the shared token is the first of both prefixes that the two have in common, for one of the rows that a pair has
-    reach = 1 + F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) - 1 + F.least("pa", "pb")
+    # what two sets share before the token stands in both prefixes, so it is among their prefix tokens that others have too
+    reach = F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) + F.least("sa", "sb")
     return pairs.where(length & (reach >= need)).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
 
-def untried(prefixes: DataFrame, labels: DataFrame, tried: DataFrame, percent: int) -> DataFrame:
-    """Pairs of classes in different components that share a prefix token and were not tried. Rows of a token's most frequent
-    component are not paired with each other, so a token costs its other rows times its rows."""
+def unconnected(prefixes: DataFrame, labels: DataFrame) -> DataFrame:
+    """Prefix rows of tokens whose rows are in several components, with their component and the token's most frequent one."""
     rows = prefixes.join(labels, "row", "left").withColumn("c", F.coalesce("component", "row")).drop("component")
     sizes = rows.groupBy("token", "c").agg(F.count(F.lit(1)).alias("k"))
     main = sizes.groupBy("token").agg(F.max(F.struct("k", "c")).alias("m"), F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
-    mixed_rows = rows.join(main.select("token", F.col("m.c").alias("main")), "token")
-    mixed_rows = written(mixed_rows, "shingle-mixed")
-    other = mixed_rows.where("c <> main").select("token", F.col("row").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"), F.col("c").alias("ca"))
-    every = mixed_rows.select("token", F.col("row").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"), F.col("c").alias("cb"), (F.col("c") == F.col("main")).alias("in_main"))
-    found = other.join(every, "token").where((F.col("ca") != F.col("cb")) & (F.col("in_main") | (F.col("a") > F.col("b"))))
+    return written(rows.join(main.select("token", F.col("m.c").alias("main")), "token"), "shingle-unconnected")
+
+
+def sided(rows: DataFrame, side: str) -> DataFrame:
+    return rows.select("token", F.col("row").alias(side), F.col("n").alias(f"n{side}"), F.col("pos").alias(f"p{side}"), F.col("s").alias(f"s{side}"), F.col("c").alias(f"c{side}"), (F.col("c") == F.col("main")).alias(f"main_{side}"))
+
+
+def introduced(rows: DataFrame, tried: DataFrame, seed: int, percent: int) -> DataFrame:
+    """Of unconnected rows, each outside its token's main component meets one row of that component, drawn by a hash per
+    token and length band; never a pair tried before."""
+    banded = sided(rows, "b").where("main_b").withColumn("band", F.floor(F.log("nb") / 0.05).cast("int"))
+    drawn = banded.groupBy("token", "band").agg(F.min(F.struct((F.col("pb") - F.col("sb")).alias("own"), F.xxhash64(F.lit(seed), "b").alias("h"), "b", "nb", "pb", "sb")).alias("p")).select("token", F.explode(F.array(F.col("band") - 1, "band", F.col("band") + 1)).alias("band"), "p.*")
+    others = sided(rows, "a").where("NOT main_a").withColumn("band", F.floor(F.log("na") / 0.05).cast("int"))
+    return close(others.join(drawn, ["token", "band"]), percent).join(tried, ["a", "b"], "left_anti")
+
+
+def untried(rows: DataFrame, tried: DataFrame, percent: int) -> DataFrame:
+    """All pairs of unconnected rows in different components that share a token, without those tried before. Rows of a token's
+    main component are not paired with each other, so a token costs its other rows times its rows."""
+    found = sided(rows, "a").where("NOT main_a").join(sided(rows, "b"), "token").where((F.col("ca") != F.col("cb")) & (F.col("main_b") | (F.col("a") > F.col("b"))))
     return close(found, percent).join(tried, ["a", "b"], "left_anti")
 
 
-def verified(pairs: DataFrame, signs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
-    """The pairs whose sets are similar enough. The suffix filter compares how the sets spread over hash ranges; the rest is
-    decided on the texts, which meet their pairs by two joins."""
-    bins = signs.select("row", F.col("n").alias("size"), "id", "d1", "d2", "bins")
+def texts_of(heads: DataFrame, texts: DataFrame, n: int) -> DataFrame:
+    """(row, size, bins, _text) of the classes (row, id, n, d1, d2, bins). Equal ids may have several texts: a class's text is
+    one with its digest."""
+    named = texts.join(heads, texts["_id"].eqNullSafe(heads["id"])).select("row", "n", "d1", "d2", "bins", "_text")
+
+    def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, "_text", 4 << 20):
+            sets = shingle_sets(field(part, "_text"), n)
+            one, two = field(part, "d1").to_pylist(), field(part, "d2").to_pylist()
+            same = [digest(s) == (x, y) for s, x, y in zip(sets, one, two)]
+            yield pa.RecordBatch.from_arrays([field(part, c) for c in ("row", "n", "bins", "_text")], names=["row", "size", "bins", "_text"]).filter(pa.array(same, pa.bool_()))
+
+    found = named.mapInArrow(own, "row long, size int, bins binary, _text string").groupBy("row").agg(F.first("size").alias("size"), F.first("bins").alias("bins"), F.first("_text").alias("_text"))
+    return written(found, "shingle-texts")
+
+
+def verified(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
+    """The pairs whose sets are similar enough. The suffix filter compares how the sets spread over hash ranges; what it
+    leaves is decided on the whole texts, which meet their pairs by two joins."""
+    bins = texts.select("row", "size", "bins")
     both = pairs.join(bins.select(F.col("row").alias("a"), F.col("size").alias("na"), F.col("bins").alias("ba")), "a") \
         .join(bins.select(F.col("row").alias("b"), F.col("size").alias("nb"), F.col("bins").alias("bb")), "b")
 
@@ -178,36 +211,32 @@ def verified(pairs: DataFrame, signs: DataFrame, texts: DataFrame, n: int, perce
             keep = pa.array(100 * most >= percent * union)
             yield pa.RecordBatch.from_arrays([field(batch, "a").filter(keep), field(batch, "b").filter(keep)], names=["a", "b"])
 
-    left = written(both.mapInArrow(suffix, "a long, b long"), "shingle-pairs")
-    wanted = left.select(F.col("a").alias("row")).union(left.select("b")).distinct().join(bins.select("row", "id", "d1", "d2"), "row")
-    named = texts.join(wanted, texts["_id"].eqNullSafe(wanted["id"])).select("row", "d1", "d2", "_text")
-
-    def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # equal ids may have several texts: a row's text is one with the row's digest
-        for part in slices(batches, "_text", 4 << 20):
-            sets = shingle_sets(field(part, "_text"), n)
-            one, two = field(part, "d1").to_pylist(), field(part, "d2").to_pylist()
-            same = [int(s.sum(dtype=np.uint64).astype(np.int64)) == x and int(mixed(s ^ PRIMES[1]).sum(dtype=np.uint64).astype(np.int64)) == y for s, x, y in zip(sets, one, two)]
-            yield pa.RecordBatch.from_arrays([field(part, "row"), field(part, "_text")], names=["row", "_text"]).filter(pa.array(same))
-
-    # rows with the same id and text give their class the same text again
-    found = written(named.mapInArrow(own, "row long, _text string").groupBy("row").agg(F.first("_text").alias("_text")), "shingle-texts")
-    both = left.join(found.select(F.col("row").alias("b"), F.col("_text").alias("tb")), "b").join(found.select(F.col("row").alias("a"), F.col("_text").alias("ta")), "a")
+    left = written(both.select("a", "b", "na", "nb", "ba", "bb").mapInArrow(suffix, "a long, b long"), "shingle-pairs")
+    both = left.join(texts.select(F.col("row").alias("a"), F.col("_text").alias("ta")), "a").join(texts.select(F.col("row").alias("b"), F.col("_text").alias("tb")), "b")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(iter([batch]), "ta", 4 << 20):
-                ones = shingle_sets(field(part, "ta"), n)
-                keep = []
-                for i, one in enumerate(ones):
-                    two = shingle_sets(field(part, "tb").slice(i, 1), n)[0]
-                    shared = int(np.isin(one, two, assume_unique=True).sum())
-                    keep.append(100 * shared >= percent * (len(one) + len(two) - shared))
-                yield part.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+        for batch in slices(batches, "ta", 2 << 20):
+            for part in slices(iter([batch]), "tb", 2 << 20):
+                codes, distinct = encoded(pa.concat_arrays([field(part, "ta"), field(part, "tb")]))
+                sets, rows = shingle_sets(distinct, n), part.num_rows
+                shared = np.array([overlap(sets[x], sets[y]) for x, y in zip(codes[:rows], codes[rows:])], np.int64)
+                sizes = np.array([len(x) for x in sets], np.int64)[codes]
+                yield part.select(["a", "b"]).filter(pa.array(100 * shared >= percent * (sizes[:rows] + sizes[rows:] - shared)))
 
     return written(both.select("a", "b", "ta", "tb").mapInArrow(compare, "a long, b long"), "shingle-links")
 
 
+def overlap(one: np.ndarray, two: np.ndarray) -> int:
+    """Common members of two sorted sets."""
+    both = np.sort(np.concatenate([one, two]))
+    return int((both[1:] == both[:-1]).sum())
+
+
+def digest(s: np.ndarray) -> tuple[int, int]:
+    """128 bits that depend on the set only."""
+    return int(s.sum(dtype=np.uint64).astype(np.int64)), int(mixed(s ^ PRIMES[1]).sum(dtype=np.uint64).astype(np.int64))
+
+
 def joined(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 3, percent: int = 90) -> DataFrame:
     """One row per document: (key, n_shingles, component_id, n_class: texts with the same set). ``percent``: least Jaccard
     similarity in hundredths."""
@@ -217,11 +246,17 @@ def joined(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 3,
     heads = signs.join(classes.select(F.col("head").alias("row")), "row")
     prefixes = heads.select("row", "n", F.posexplode("prefix").alias("pos", "token"))
     shared = prefixes.groupBy("token").agg(F.count(F.lit(1)).alias("k")).where("k > 1").drop("k")
-    prefixes = written(prefixes.join(shared, "token"), "shingle-prefixes")
+    own = F.row_number().over(Window.partitionBy("row").orderBy("pos")) - 1  # a window over one prefix
+    prefixes = written(prefixes.join(shared, "token").withColumn("s", own), "shingle-prefixes")
+    # a class whose prefix tokens nobody shares is linked with nothing
+    bodies = texts_of(signs.select("row", "id", "n", "d1", "d2", "bins").join(prefixes.select("row").distinct(), "row"), texts, n)
     tried = written(met(prefixes, percent), "shingle-tried")
-    links = verified(tried, signs, texts, n, percent)
-    labels = components(links).select(F.col("node").alias("row"), "component")
-    links = links.union(verified(untried(prefixes, labels, tried, percent), signs, texts, n, percent))
+    links = verified(tried, bodies, n, percent)
+    for meeting in range(MEETINGS + 1):
+        labels = components(links).select(F.col("node").alias("row"), "component")
+        apart = unconnected(prefixes, labels)
+        fresh = written(introduced(apart, tried, meeting, percent) if meeting < MEETINGS else untried(apart, tried, percent), "shingle-tried")
+        links, tried = links.union(verified(fresh, bodies, n, percent)), tried.union(fresh)
     labels = written(components(links).select(F.col("node").alias("head"), "component"), "shingle-labels")
     placed = classes.join(labels, "head", "left").withColumn("component", F.coalesce("component", "head"))
     least = placed.groupBy("component").agg(F.min("least").alias("component_id"))
