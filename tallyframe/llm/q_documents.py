@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tallyframe.llm import attention_lm, jaccard, langid, phrase_index, quality, token_files
+from tallyframe.llm import attention_lm, jaccard, langid, phrase_index, quality, suffix_dedup, token_files
 from tallyframe.llm.common import read
 from tallyframe.session import scratch_path
 
@@ -21,6 +21,11 @@ def op2_decontamination(spark, sf_dir):
     return out.withColumn("doc_id", F.col("doc").cast("long")).select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def op3_suffix_dedup(spark, sf_dir):
+    """Every document without the bytes of 100-byte strings that start earlier."""
+    return suffix_dedup.removed(read(spark, sf_dir, "documents"))
+
+
 def op4_jaccard_join(spark, sf_dir):
     """Every document's component under Jaccard similarity of word trigrams of at least 0.9."""
     return jaccard.joined(read(spark, sf_dir, "documents"))
@@ -52,5 +57,5 @@ def op10_lm_score(spark, sf_dir):
     return attention_lm.scored(docs.select("doc_id", "held_out", "text"), docs.where(~F.col("held_out")), tokenizer())
 
 
-QUERIES = {f.__name__: f for f in (op2_decontamination, op4_jaccard_join, op5_quality_rules, op7_token_files, op8_language_id, op10_lm_score)}
+QUERIES = {f.__name__: f for f in (op2_decontamination, op3_suffix_dedup, op4_jaccard_join, op5_quality_rules, op7_token_files, op8_language_id, op10_lm_score)}
 ORACLES = {}
