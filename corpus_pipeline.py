@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tallyframe.llm import phrase_index, quality
+from tallyframe.llm import jaccard, mixing, phrase_index, quality, token_files
 from tallyframe.llm.common import read
-from tallyframe.session import written
+from tallyframe.llm.q_documents import TARGETS, labelled, tokenizer
+from tallyframe.session import scratch_path, written
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -14,17 +15,41 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.kept_documents(docs, read(spark, sf_dir, "labels"))
 
 
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group stays: five words, similarity of 0.8 or more."""
+    return jaccard.one_per_component(docs, n=5, percent=80)
+
+
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a twentieth of their words inside benchmark passages go."""
     return phrase_index.clean_documents(docs, read(spark, sf_dir, "benchmark"))
 
 
-STAGES = [("quality rules", quality_rules), ("benchmark decontamination", decontamination)]
+def mixing_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents are taken as often as their rate says: those of the toxic and junk domains seldom or never, clean ones once or
+    more. A rate of at least one half never drops a document, so clean ones stay."""
+    rates = mixing.mixed(docs, labelled(docs, read(spark, sf_dir, "labels")), TARGETS).groupBy("doc_id").agg(F.max("rate").alias("_rate"))
+    rated = docs.join(rates, docs["doc_id"].eqNullSafe(rates["doc_id"]), "left").select(docs["*"], F.coalesce("_rate", F.lit(1.0)).alias("_rate"))
+    times = mixing.copies(F.col("_rate"), F.col("doc_id"))
+    times = F.when(F.col("_rate") >= 0.5, F.greatest(F.lit(1), times)).otherwise(times)
+    return rated.where(times > 0).withColumn("_copy", F.explode(F.sequence(F.lit(1), times))).select(*docs.columns)
+
+
+def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token files in ascending id order; the result is read back from them."""
+    path = scratch_path(spark, "pipeline-tokens")
+    token_files.write(token_files.tokenized(docs, tokenizer()), path)
+    return token_files.checksums(token_files.open_files(spark, path))
+
+
+STAGES = [("quality rules", quality_rules), ("n-gram Jaccard join", near_duplicates), ("benchmark decontamination", decontamination),
+          ("mixing sources to target weights", mixing_sources), ("token-ID / binary output", token_output)]
+#: Learned thresholds, near duplicates, posteriors and token ids have no SQL; the tests recompute them.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-").replace("/", "-"))
+        docs = written(stage(spark, docs, sf_dir), "stage-" + "-".join(name.replace("/", " ").split()))
     return docs

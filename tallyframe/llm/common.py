@@ -115,7 +115,10 @@ class Subwords:
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all rows in order, ends of the rows)"""
         units, bounds = cut_words(texts, self.table)
-        codes, distinct = encoded(units)
+        return self.expanded(*encoded(units), bounds)
+
+    def expanded(self, codes: np.ndarray, distinct: pa.Array, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The same from units that are cut and coded already."""
         unit_ids, lengths = self.units(distinct.to_pylist())
         starts = np.cumsum(lengths) - lengths
         ids = unit_ids[gather(starts[codes], lengths[codes])]

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tallyframe.llm import attention_lm, jaccard, langid, phrase_index, quality, suffix_dedup, token_files
+from tallyframe.llm import attention_lm, jaccard, langid, mixing, phrase_index, quality, suffix_dedup, token_files
 from tallyframe.llm.common import read
 from tallyframe.session import scratch_path
 
@@ -51,11 +51,29 @@ def op8_language_id(spark, sf_dir):
     return langid.identified(docs.select("doc_id", "held_out", "text"), model)
 
 
+def labelled(docs, labels):
+    """Documents with a domain: toxic, or of low quality, or clean; of repeated labels the worst."""
+    marks = labels.groupBy("doc_id").agg(F.max("toxic").alias("_t"), F.min("quality").alias("_q"))
+    domain = F.when(F.col("_t") == 1, "toxic").when(F.col("_q") == 0, "junk").when(F.col("_q") == 1, "clean")
+    return docs.select("doc_id", "text").join(marks, "doc_id").select("doc_id", "text", domain.alias("domain"))
+
+
+#: Shares of all tokens that the mix aims at.
+TARGETS = {"clean": 0.98, "junk": 0.01, "toxic": 0.01}
+
+
+def op9_mixing(spark, sf_dir):
+    """Every document's posteriors over clean, junk and toxic, and the rate that meets the target weights."""
+    docs = read(spark, sf_dir, "documents")
+    out = mixing.mixed(docs, labelled(docs, read(spark, sf_dir, "labels")), TARGETS)
+    return out.select("doc_id", "n_tokens", *[F.col("posterior")[i].alias(f"p_{d}") for i, d in enumerate(sorted(TARGETS))], "rate")
+
+
 def op10_lm_score(spark, sf_dir):
     """Every document's unigram base and self-attention score, learned from the rows that are not held out."""
     docs = read(spark, sf_dir, "documents").withColumn("held_out", langid.held_out(F.col("doc_id"), 5, 1))
     return attention_lm.scored(docs.select("doc_id", "held_out", "text"), docs.where(~F.col("held_out")), tokenizer())
 
 
-QUERIES = {f.__name__: f for f in (op2_decontamination, op3_suffix_dedup, op4_jaccard_join, op5_quality_rules, op7_token_files, op8_language_id, op10_lm_score)}
+QUERIES = {f.__name__: f for f in (op2_decontamination, op3_suffix_dedup, op4_jaccard_join, op5_quality_rules, op7_token_files, op8_language_id, op9_mixing, op10_lm_score)}
 ORACLES = {}
