@@ -5,7 +5,6 @@ from __future__ import annotations
 import functools
 import itertools
 import os
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -102,15 +101,30 @@ def gather(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.arange(total) + np.repeat(starts - (ends - lengths), lengths)
 
 
+HASH_BASE = 0x9E3779B97F4A7C15
+HASH_BYTES = np.random.default_rng(11).integers(0, 1 << 64, 256, np.uint64)
+
+
+def word_hashes(words: pa.Array) -> np.ndarray:
+    """64-bit hashes of binary values: random numbers per byte, weighted by the powers of an odd base, and the length."""
+    offs, raw = text_buffers(words)
+    powers = np.cumprod(np.full(len(raw) + 1, HASH_BASE, np.uint64))
+    inverse = np.cumprod(np.full(len(raw) + 1, pow(HASH_BASE, -1, 1 << 64), np.uint64))
+    sums = np.append(np.uint64(0), np.cumsum(HASH_BYTES[raw] * powers[:-1]))
+    value = (sums[offs[1:]] - sums[offs[:-1]]) * inverse[offs[:-1]] + np.diff(offs).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+    value = (value ^ (value >> np.uint64(32))) * np.uint64(0xFF51AFD7ED558CCD)
+    return value ^ (value >> np.uint64(29))
+
+
 class Subwords:
     """Subword ids of whole texts. The tokenizer's pre-tokens never cross a blank or line feed, so each distinct unit
-    between those is encoded once and kept; the cache holds the first ``most`` units and only saves work."""
+    between those is encoded once. Ids of the first ``most`` units are kept, by the units' hashes; that only saves work."""
 
-    def __init__(self, file: str, most: int = 700_000):
+    def __init__(self, file: str, most: int = 2_000_000):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.most, self.known = Tokenizer.from_file(file), most, {}
-        self.table = byte_table(b" \n", False)
+        self.tokenizer, self.most, self.table = Tokenizer.from_file(file), most, byte_table(b" \n", False)
+        self.keys, self.starts, self.sizes, self.store = np.zeros(0, np.uint64), np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, np.uint32)
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all rows in order, ends of the rows)"""
@@ -119,23 +133,35 @@ class Subwords:
 
     def expanded(self, codes: np.ndarray, distinct: pa.Array, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The same from units that are cut and coded already."""
-        unit_ids, lengths = self.units(distinct.to_pylist())
-        starts = np.cumsum(lengths) - lengths
-        ids = unit_ids[gather(starts[codes], lengths[codes])]
-        return ids, np.append(0, np.cumsum(lengths[codes]))[bounds[1:]]
-
-    def units(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        missing = [w for w in words if w not in self.known]
-        fresh = {}
-        for at in range(0, len(missing), 20_000):
-            part = missing[at:at + 20_000]
-            coded = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in part], add_special_tokens=False)
-            fresh.update(zip(part, [array("I", e.ids).tobytes() for e in coded]))
-        room = self.most - len(self.known)
-        if room > 0:
-            self.known.update(fresh if room >= len(fresh) else itertools.islice(fresh.items(), room))
-        found = [fresh[w] if w in fresh else self.known[w] for w in words]
-        return np.frombuffer(b"".join(found), np.uint32), np.array([len(x) for x in found], np.int64) // 4
+        starts, sizes, store = self.units(distinct)
+        sizes = sizes[codes]
+        return store[gather(starts[codes], sizes)], np.append(0, np.cumsum(sizes))[bounds[1:]]
+
+    def units(self, distinct: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Where the ids of each unit are: starts and sizes in the returned ids."""
+        hashes = word_hashes(distinct)
+        at = np.searchsorted(self.keys, hashes)
+        known = np.zeros(len(hashes), bool)
+        inside = at < len(self.keys)
+        known[inside] = self.keys[at[inside]] == hashes[inside]
+        starts, sizes = np.zeros(len(hashes), np.int64), np.zeros(len(hashes), np.int64)
+        starts[known], sizes[known] = self.starts[at[known]], self.sizes[at[known]]
+        missing = np.flatnonzero(~known)
+        if not len(missing):
+            return starts, sizes, self.store
+        words, ids = distinct.take(pa.array(missing)).to_pylist(), [self.store]
+        for a in range(0, len(words), 20_000):
+            coded = [e.ids for e in self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in words[a:a + 20_000]], add_special_tokens=False)]
+            sizes[missing[a:a + 20_000]] = [len(x) for x in coded]
+            ids.append(np.fromiter(itertools.chain.from_iterable(coded), np.uint32))
+        starts[missing] = len(self.store) + np.cumsum(sizes[missing]) - sizes[missing]
+        store = np.concatenate(ids)
+        if len(self.keys) + len(missing) <= self.most:
+            order = missing[np.argsort(hashes[missing])]
+            place = np.searchsorted(self.keys, hashes[order])
+            self.keys, self.store = np.insert(self.keys, place, hashes[order]), store
+            self.starts, self.sizes = np.insert(self.starts, place, starts[order]), np.insert(self.sizes, place, sizes[order])
+        return starts, sizes, store
 
 
 @functools.lru_cache(1)

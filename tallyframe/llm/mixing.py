@@ -22,13 +22,12 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tallyframe.session import written
 
-SAMPLE, WORDS, SMOOTH, STEPS, PULL, LEAST_ROWS = 20_000, 400, 0.5, 60, 0.02, 8
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+SAMPLE, WORDS, SMOOTH, STEPS, PULL, LEAST_ROWS = 20_000, 400, 0.5, 40, 0.02, 8
 
 
 def words(text: Column) -> Column:
     """Lower-cased words of the whole text, in order."""
-    return F.array_remove(F.split(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), r"[\x20\x09-\x0D]+"), "")
+    return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[\x20\x09-\x0D]+"), "")
 
 
 def learned(labelled: DataFrame, domains: list[str], text: str, domain: str, key: str) -> dict:
@@ -109,8 +108,8 @@ def rated(scored: DataFrame, targets: list[float], steps: int = STEPS, pull: flo
         return [(x or 0.0) / total for x in row]
 
     base = scored.agg(*[F.sum(F.col("n_tokens") * F.col("posterior")[i] * F.col("posterior")[k]) for i in range(width) for k in range(width)]).first()
-    # the step is bounded by the largest curvature, at most the trace of sum t p p' / sum t
-    size = 1.0 / (sum((base[i * width + i] or 0.0) / total for i in range(width)) + pull)
+    # the step is one over the largest curvature: the largest eigenvalue of sum t p p' / sum t, at most its largest row sum
+    size = 1.0 / (max(sum((base[i * width + k] or 0.0) / total for k in range(width)) for i in range(width)) + pull)
     history: list[list[float]] = []
     reached = shares(history, size)
     for _ in range(steps):
