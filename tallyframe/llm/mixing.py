@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tallyframe.session import written
 
-SAMPLE, WORDS, SMOOTH, STEPS, PULL, LEAST_ROWS = 20_000, 400, 0.5, 40, 0.02, 8
+SAMPLE, WORDS, SMOOTH, STEPS, PULL, LEAST_ROWS = 20_000, 400, 0.5, 25, 0.002, 8
 
 
 def words(text: Column) -> Column:
@@ -93,10 +93,18 @@ def rate_after(steps: list[list[float]], pull: float, size: float) -> Column:
     return F.aggregate(gradients, F.lit(1.0), lambda r, g: F.greatest(F.lit(0.0), r - F.lit(size) * (dot(g) + F.lit(pull) * (r - 1.0))))
 
 
+def scales(second: list[list[float]], pull: float) -> tuple[list[float], float]:
+    """Domain weights and the step size from the second moments sum t p p' / sum t. Weights of one over a domain's share give all
+    domains about the same curvature; the step is one over the largest row sum of the weighted moments, a bound of it."""
+    weight = [1.0 / max(sum(row), 1e-3) for row in second]
+    width = range(len(weight))
+    return weight, 1.0 / (max(sum(second[i][k] * math.sqrt(weight[i] * weight[k]) for k in width) for i in width) + pull)
+
+
 def rated(scored: DataFrame, targets: list[float], steps: int = STEPS, pull: float = PULL) -> tuple[DataFrame, list[float]]:
     """Adds ``rate`` to rows with ``n_tokens`` and ``posterior``, and returns the domains' shares that the rates reach.
     Targets are shares of all tokens. With T the expected domain totals as shares, the objective is
-    1/2 |T(r) - target|^2 + pull/2 sum t_i (r_i - 1)^2 / sum t_i; a row's gradient is taken per token."""
+    1/2 sum_d w_d (T_d(r) - target_d)^2 + pull/2 sum t_i (r_i - 1)^2 / sum t_i; a row's gradient is taken per token, see ``scales`` for w."""
     total = scored.agg(F.sum("n_tokens")).first()[0] or 0
     width = len(targets)
     if not total:
@@ -107,16 +115,16 @@ def rated(scored: DataFrame, targets: list[float], steps: int = STEPS, pull: flo
         row = scored.select("n_tokens", "posterior", r.alias("r")).agg(*[F.sum(F.col("n_tokens") * F.col("r") * F.col("posterior")[i]) for i in range(width)]).first()
         return [(x or 0.0) / total for x in row]
 
-    base = scored.agg(*[F.sum(F.col("n_tokens") * F.col("posterior")[i] * F.col("posterior")[k]) for i in range(width) for k in range(width)]).first()
-    # the step is one over the largest curvature: the largest eigenvalue of sum t p p' / sum t, at most its largest row sum
-    size = 1.0 / (max(sum((base[i * width + k] or 0.0) / total for k in range(width)) for i in range(width)) + pull)
+    cells = scored.agg(*[F.sum(F.col("n_tokens") * F.col("posterior")[i] * F.col("posterior")[k]) for i in range(width) for k in range(width)]).first()
+    second = [[(cells[i * width + k] or 0.0) / total for k in range(width)] for i in range(width)]
+    weight, size = scales(second, pull)
     history: list[list[float]] = []
     reached = shares(history, size)
     for _ in range(steps):
         gap = [a - b for a, b in zip(reached, targets)]
         if max(map(abs, gap)) < 1e-4:
             break
-        history.append(gap)
+        history.append([w * g for w, g in zip(weight, gap)])
         reached = shares(history, size)
     return scored.withColumn("rate", rate_after(history, pull, size)), reached
 

@@ -135,7 +135,7 @@ def matcher(window: int, slop: int):
                 if len(hits):
                     found.append((uses[s][4], hits, need))
             at = end
-        out = {"segment": np.full(sum(len(h) for _, h, _ in found), key[0]), "item": [i for i, h, _ in found for _ in h],
+        out = {"segment": np.full(sum(len(h) for _, h, _ in found), key[0]), "item": pd.Series([i for i, h, _ in found for _ in h], dtype=object),
                "position": np.concatenate([h for _, h, _ in found]) if found else np.zeros(0, np.int64), "length": [n for _, h, n in found for _ in h]}
         return pd.DataFrame(out)
     return match
@@ -149,24 +149,27 @@ def matches(index: DataFrame, items: DataFrame, key: str = "item_id", text: str
     return postings.join(terms, "term").select("segment", "block", "positions", "uses").groupBy("segment", "block").applyInPandas(matcher(window, slop), HIT)
 
 
+def placed(docs: list, items: list, position: np.ndarray, length: np.ndarray) -> pd.DataFrame:
+    return pd.DataFrame({"doc": pd.Series(docs, dtype=object), "item": pd.Series(items, dtype=object), "position": position, "length": length})
+
+
 def located(index: DataFrame, hits: DataFrame) -> DataFrame:
     """(doc, item, position in the document, length) of the matches; those that reach into the next document are none."""
-    def place(key: tuple, found: pd.DataFrame, directory: pd.DataFrame) -> pd.DataFrame:
+    def place(found: pd.DataFrame, directory: pd.DataFrame) -> pd.DataFrame:
         keys, words = directory["keys"].iloc[0], np.asarray(directory["words"].iloc[0], np.int64)
         ends = np.cumsum(words)
         start = found["position"].to_numpy(np.int64)
         doc = np.searchsorted(ends, start, side="right")
-        inside = start + found["length"].to_numpy(np.int64) <= ends[np.minimum(doc, len(ends) - 1)] if len(start) else np.zeros(0, bool)
-        return pd.DataFrame({"doc": [keys[d] for d in doc[inside]], "item": found["item"][inside].tolist(), "position": (start - (ends - words)[doc])[inside] if len(start) else start, "length": found["length"][inside].tolist()})
+        inside = start + found["length"].to_numpy(np.int64) <= ends[doc]
+        return placed([keys[d] for d in doc[inside]], found["item"][inside].tolist(), (start - (ends - words)[doc])[inside], found["length"][inside].to_numpy(np.int64))
 
     directory = index.where(F.col("term").isNull()).select("segment", "keys", "words")
     return hits.groupBy("segment").cogroup(directory.groupBy("segment")).applyInPandas(
-        lambda k, a, b: place(k, a, b) if len(a) else pd.DataFrame({"doc": [], "item": [], "position": [], "length": []}), "doc string, item string, position long, length int")
+        lambda a, b: place(a, b) if len(a) else placed([], [], np.zeros(0, np.int64), np.zeros(0, np.int64)), "doc string, item string, position long, length int")
 
 
 def per_document(index: DataFrame, hits: DataFrame) -> DataFrame:
     """(doc, n_words, n_hit, n_items, items_sha256) of every indexed row: words inside any occurrence, items with one."""
-    schema = pa.schema([("doc", pa.string()), ("n_words", pa.int64()), ("n_hit", pa.int64()), ("n_items", pa.int64()), ("items_sha256", pa.string())])
     nothing = hashlib.sha256(b"").hexdigest()
 
     def count(found: pd.DataFrame, directory: pd.DataFrame) -> pd.DataFrame:
@@ -184,7 +187,7 @@ def per_document(index: DataFrame, hits: DataFrame) -> DataFrame:
             for d, own in pd.Series(item).groupby(doc):
                 names = sorted(set(own))
                 n_items[d], digests[d] = len(names), hashlib.sha256(",".join(names).encode()).hexdigest()
-        return pd.DataFrame({"doc": list(keys), "n_words": words, "n_hit": n_hit, "n_items": n_items, "items_sha256": digests})
+        return pd.DataFrame({"doc": pd.Series(list(keys), dtype=object), "n_words": words, "n_hit": n_hit, "n_items": n_items, "items_sha256": pd.Series(digests, dtype=object)})
 
     directory = index.where(F.col("term").isNull()).select("segment", "keys", "words")
     return directory.groupBy("segment").cogroup(hits.groupBy("segment")).applyInPandas(lambda a, b: count(b, a), "doc string, n_words long, n_hit long, n_items long, items_sha256 string")
