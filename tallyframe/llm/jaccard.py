@@ -6,11 +6,10 @@ sets are one class. Two classes can only be similar enough if they share an n-gr
 meet. Length, positional and suffix filters drop pairs that cannot reach the threshold; what is left is verified once per
 pair on the full sets.
 
-Not all pairs of a group are made: classes first meet one pivot per prefix n-gram and length
-band (one with few n-grams of its own before it), then in ``MEETINGS`` rounds
-those not yet connected meet a drawn member of their n-gram's main component; at last all pairs that the links found so far
-do not connect are tried, and never pairs tried before. So no link between different components is lost, and a group of near
-copies costs about as many pairs as it has members.
+Not all pairs of a group are made: classes first meet one pivot per prefix n-gram and length band, a row with few n-grams of
+its own before the shared one; after that all pairs that the links found so far do not connect are tried, and never pairs tried
+before. So no link between different components is lost, and a group of near copies costs about as many pairs as it has
+members.
 
 Defined cases: null, empty and blank texts have no n-grams and are linked with nothing (their own component); texts with
 fewer words than n are one n-gram; repeated rows are one class; a null id takes part, but the smallest id that is not null
@@ -31,7 +30,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from tallyframe.llm.common import blank_separated, components, cut_words, encoded, field, slices
 from tallyframe.session import written
 
-BITS, SHARDS, FAN_IN, BINS, MEETINGS = 20, 16, 64, 32, 1
+BITS, SHARDS, FAN_IN, BINS = 20, 16, 64, 32
 PRIMES = [np.uint64(x | 1) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD, 0x2545F4914F6CDD1D, 0x94D049BB133111EB)]
 
 
@@ -162,15 +161,6 @@ def sided(rows: DataFrame, side: str) -> DataFrame:
     return rows.select("token", F.col("row").alias(side), F.col("n").alias(f"n{side}"), F.col("pos").alias(f"p{side}"), F.col("s").alias(f"s{side}"), F.col("c").alias(f"c{side}"), (F.col("c") == F.col("main")).alias(f"main_{side}"))
 
 
-def introduced(rows: DataFrame, tried: DataFrame, seed: int, percent: int) -> DataFrame:
-    """Of unconnected rows, each outside its token's main component meets one row of that component, drawn by a hash per
-    token and length band; never a pair tried before."""
-    banded = sided(rows, "b").where("main_b").withColumn("band", F.floor(F.log("nb") / 0.05).cast("int"))
-    drawn = banded.groupBy("token", "band").agg(F.min(F.struct((F.col("pb") - F.col("sb")).alias("own"), F.xxhash64(F.lit(seed), "b").alias("h"), "b", "nb", "pb", "sb")).alias("p")).select("token", F.explode(F.array(F.col("band") - 1, "band", F.col("band") + 1)).alias("band"), "p.*")
-    others = sided(rows, "a").where("NOT main_a").withColumn("band", F.floor(F.log("na") / 0.05).cast("int"))
-    return close(others.join(drawn, ["token", "band"]), percent).join(tried, ["a", "b"], "left_anti")
-
-
 def untried(rows: DataFrame, tried: DataFrame, percent: int) -> DataFrame:
     """All pairs of unconnected rows in different components that share a token, without those tried before. Rows of a token's
     main component are not paired with each other, so a token costs its other rows times its rows."""
@@ -179,25 +169,25 @@ def untried(rows: DataFrame, tried: DataFrame, percent: int) -> DataFrame:
 
 
 def texts_of(heads: DataFrame, texts: DataFrame, n: int) -> DataFrame:
-    """(row, size, bins, _text) of the classes (row, id, n, d1, d2, bins). Equal ids may have several texts: a class's text is
-    one with its digest."""
-    named = texts.join(heads, texts["_id"].eqNullSafe(heads["id"])).select("row", "n", "d1", "d2", "bins", "_text")
+    """(row, _text) of the classes (row, id, d1, d2, n_class). Equal ids may have several texts: a class's text is one with its
+    digest. Only a class of several rows can meet its text more than once."""
+    named = texts.join(heads, texts["_id"].eqNullSafe(heads["id"])).select("row", "d1", "d2", "n_class", "_text")
 
     def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "_text", 4 << 20):
             sets = shingle_sets(field(part, "_text"), n)
             one, two = field(part, "d1").to_pylist(), field(part, "d2").to_pylist()
             same = [digest(s) == (x, y) for s, x, y in zip(sets, one, two)]
-            yield pa.RecordBatch.from_arrays([field(part, c) for c in ("row", "n", "bins", "_text")], names=["row", "size", "bins", "_text"]).filter(pa.array(same, pa.bool_()))
+            yield part.select(["row", "n_class", "_text"]).filter(pa.array(same, pa.bool_()))
 
-    found = named.mapInArrow(own, "row long, size int, bins binary, _text string").groupBy("row").agg(F.first("size").alias("size"), F.first("bins").alias("bins"), F.first("_text").alias("_text"))
-    return written(found, "shingle-texts")
+    found = written(named.mapInArrow(own, "row long, n_class long, _text string"), "shingle-texts")
+    return found.where("n_class = 1").select("row", "_text").union(found.where("n_class > 1").groupBy("row").agg(F.first("_text").alias("_text")))
 
 
-def verified(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
-    """The pairs whose sets are similar enough. The suffix filter compares how the sets spread over hash ranges; what it
-    leaves is decided on the whole texts, which meet their pairs by two joins."""
-    bins = texts.select("row", "size", "bins")
+def verified(pairs: DataFrame, heads: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
+    """The pairs of classes (``heads``) whose sets are similar enough. The suffix filter compares how the sets spread over hash
+    ranges; what it leaves is decided on the whole texts, which meet their pairs by two joins."""
+    bins = heads.select("row", F.col("n").alias("size"), "bins")
     both = pairs.join(bins.select(F.col("row").alias("a"), F.col("size").alias("na"), F.col("bins").alias("ba")), "a") \
         .join(bins.select(F.col("row").alias("b"), F.col("size").alias("nb"), F.col("bins").alias("bb")), "b")
 
@@ -212,7 +202,9 @@ def verified(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFr
             yield pa.RecordBatch.from_arrays([field(batch, "a").filter(keep), field(batch, "b").filter(keep)], names=["a", "b"])
 
     left = written(both.select("a", "b", "na", "nb", "ba", "bb").mapInArrow(suffix, "a long, b long"), "shingle-pairs")
-    both = left.join(texts.select(F.col("row").alias("a"), F.col("_text").alias("ta")), "a").join(texts.select(F.col("row").alias("b"), F.col("_text").alias("tb")), "b")
+    wanted = left.select(F.col("a").alias("row")).union(left.select("b")).distinct()
+    found = texts_of(heads.join(wanted, "row").select("row", "id", "d1", "d2", "n_class"), texts, n)
+    both = left.join(found.select(F.col("row").alias("a"), F.col("_text").alias("ta")), "a").join(found.select(F.col("row").alias("b"), F.col("_text").alias("tb")), "b")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "ta", 2 << 20):
@@ -243,20 +235,16 @@ def joined(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 3,
     texts = docs.select(F.col(key).cast("long").alias("_id"), F.col(text).cast("string").alias("_text"))
     signs = signed(texts, n, percent, frequencies(texts, n))
     classes = written(signs.where("n > 0").groupBy("d1", "d2", "n").agg(F.min("row").alias("head"), F.count(F.lit(1)).alias("n_class"), F.min("id").alias("least")), "shingle-classes")
-    heads = signs.join(classes.select(F.col("head").alias("row")), "row")
+    heads = signs.join(classes.select(F.col("head").alias("row"), "n_class"), "row")
     prefixes = heads.select("row", "n", F.posexplode("prefix").alias("pos", "token"))
     shared = prefixes.groupBy("token").agg(F.count(F.lit(1)).alias("k")).where("k > 1").drop("k")
     own = F.row_number().over(Window.partitionBy("row").orderBy("pos")) - 1  # a window over one prefix
     prefixes = written(prefixes.join(shared, "token").withColumn("s", own), "shingle-prefixes")
-    # a class whose prefix tokens nobody shares is linked with nothing
-    bodies = texts_of(signs.select("row", "id", "n", "d1", "d2", "bins").join(prefixes.select("row").distinct(), "row"), texts, n)
+    heads = written(heads.drop("prefix"), "shingle-heads")
     tried = written(met(prefixes, percent), "shingle-tried")
-    links = verified(tried, bodies, n, percent)
-    for meeting in range(MEETINGS + 1):
-        labels = components(links).select(F.col("node").alias("row"), "component")
-        apart = unconnected(prefixes, labels)
-        fresh = written(introduced(apart, tried, meeting, percent) if meeting < MEETINGS else untried(apart, tried, percent), "shingle-tried")
-        links, tried = links.union(verified(fresh, bodies, n, percent)), tried.union(fresh)
+    links = verified(tried, heads, texts, n, percent)
+    labels = components(links).select(F.col("node").alias("row"), "component")
+    links = links.union(verified(untried(unconnected(prefixes, labels), tried, percent), heads, texts, n, percent))
     labels = written(components(links).select(F.col("node").alias("head"), "component"), "shingle-labels")
     placed = classes.join(labels, "head", "left").withColumn("component", F.coalesce("component", "head"))
     least = placed.groupBy("component").agg(F.min("least").alias("component_id"))
