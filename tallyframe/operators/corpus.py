@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from tallyframe.functions import text as tx
 from tallyframe.functions.sqltext import q
 from tallyframe.operators import ordered, skew
-from tallyframe.session import ensure_checkpoint_dir, scratch_path
+from tallyframe.session import ensure_checkpoint_dir, scratch_path, written
 
 BLOCK = 512
 OVERLAP = 0.5
@@ -44,8 +44,8 @@ def rebuilt(lines: DataFrame, key: str = "doc_id") -> DataFrame:
 # --------------------------------------------------------------------------------------- near-duplicate documents
 def block_hashes(docs: DataFrame, size: int = BLOCK, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, n_blocks, hash): the distinct MD5 hashes of consecutive blocks of each document."""
-    hashes = F.expr(f"""array_distinct(transform(sequence(0, cast(ceil(length({text}) / {size}) as int) - 1),
-        i -> md5(substring({text}, i * {size} + 1, {size}))))""")
+    # one pass cuts the text; a substring per block would scan the text from its start each time
+    hashes = F.expr(f"array_distinct(transform(regexp_extract_all({text}, '(?s).{{1,{size}}}', 0), b -> md5(b)))")
     with_text = docs.filter(F.length(text) > 0).select(key, hashes.alias("hashes"))
     return with_text.select(key, F.size("hashes").alias("n_blocks"), F.explode("hashes").alias("hash"))
 
@@ -232,6 +232,7 @@ def prepared(docs: DataFrame, dedup: bool = True, factor: int = 1, key: str = "d
     """Clean, drop empty, drop near-duplicate documents, drop repeated lines over the corpus, augment."""
     out = cleaned(docs.select(key, "text"), **clean_options)
     if dedup:
-        out = dedup_documents(out, key=key)
+        # cleaning is dear and several branches read the texts: written once, and out of reach of inferred filters
+        out = dedup_documents(written(out, "cleaned-documents"), key=key)
         out = rebuilt(distinct_lines(doc_lines(out, key), key), key)
     return augment(out, factor, key=key) if factor > 1 else out

@@ -211,7 +211,7 @@ def raw_value(f: Field, seed, row: str, as_of: str, sequence: str | None = None)
         return amount(seed, row, f.name, width)
     if kind == "alpha":
         return seeded.letters(seed, row, f.name, width)
-    return seeded.alnum(seed, row, f.name, min(width, 100))
+    return seeded.alnum(seed, row, f.name, width)
 
 
 def value(f: Field, seed, row: str, as_of: str, sequence: str | None = None) -> str:
@@ -262,8 +262,8 @@ def from_table(generated: DataFrame, index: str, source: DataFrame, order: list[
 
 
 def trace_number(odfi: str, sequence: str) -> str:
-    """Originator's eight digits and a seven-digit running number."""
-    return f"concat(substring({odfi}, 1, 8), lpad(cast({sequence} as string), 7, '0'))"
+    """Originator's eight digits and a seven-digit running number, which starts again at 0 after 9,999,999."""
+    return f"concat(substring({odfi}, 1, 8), lpad(cast({sequence} % 10000000 as string), 7, '0'))"
 
 
 def batch_of(position: str, total: str, per_batch: int = 5) -> str:

@@ -147,9 +147,9 @@ def read_training_log(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(TRAINING_LOG).option("header", True).csv(path)
 
 
-def read_jdbc(spark: SparkSession, url: str, query: str, limit: int | None = 1000, partition: dict | None = None,
+def read_jdbc(spark: SparkSession, url: str, query: str, limit: int | None = None, partition: dict | None = None,
               **options: str) -> DataFrame:
-    """A database query as text-friendly rows: dates in ISO form, row limit as the caller's cap. ``partition`` names
+    """A database query as text-friendly rows: dates in ISO form; all rows, unless the caller sets a limit. ``partition`` names
     column, lowerBound, upperBound and numPartitions for a parallel read of a table."""
     reader = spark.read.format("jdbc").option("url", url).options(**options)
     if partition:
