@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.functions import pandas_udf
@@ -66,39 +69,70 @@ def learn(texts: DataFrame, text: str, vocab_size: int = 1000, checkpoint_every:
     return merges, vocabulary
 
 
-def _word_tokens(word: str, pairs: set[tuple[str, str]]) -> list[str]:
-    """Merge known pairs left to right, again and again until nothing changes."""
-    symbols, changed = [*word, WORD_END], True
-    while changed and len(symbols) > 1:
-        changed, out, i = False, [], 0
-        while i < len(symbols):
-            if i + 1 < len(symbols) and (symbols[i], symbols[i + 1]) in pairs:
-                out.append(symbols[i] + symbols[i + 1])
-                i, changed = i + 2, True
-            else:
-                out.append(symbols[i])
-                i += 1
-        symbols = out
-    return symbols
+class Joins:
+    """The learned pairs over numbered symbols, applied to many words at once. All words lie in one flat array, each behind
+    a gap that pairs with nothing. In one pass the places that start a known pair form runs of neighbours; scanning a run
+    from the left joins its first, third, fifth ... place. Passes go on until no known pair is left."""
+
+    def __init__(self, merges: list[tuple[str, str]], vocabulary: dict[str, int]):
+        symbols = sorted({*vocabulary, WORD_END, *(s for left, right in merges for s in (left, right, left + right))})
+        number = {s: i for i, s in enumerate(symbols)}
+        self.foreign, self.gap, self.end, self.width = len(symbols), len(symbols) + 1, number[WORD_END], len(symbols) + 2
+        letters = sorted((ord(s), i) for s, i in number.items() if len(s) == 1)
+        self.points, self.numbers = (np.array([x[k] for x in letters], np.int64) for k in (0, 1))
+        pairs = sorted((number[left] * self.width + number[right], number[left + right]) for left, right in set(merges))
+        self.pairs, self.joined = (np.array([x[k] for x in pairs], np.int64) for k in (0, 1))
+        self.ids = np.array([*(vocabulary.get(s, SPECIALS["<UNK>"]) for s in symbols), SPECIALS["<UNK>"]], np.int32)
+
+    @staticmethod
+    def found(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of ``wanted`` in the sorted ``keys``, and which of them are there."""
+        if not len(keys):
+            return np.zeros(len(wanted), np.int64), np.zeros(len(wanted), bool)
+        at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+        return at, keys[at] == wanted
+
+    def __call__(self, words: list[str]) -> list[np.ndarray]:
+        """The ids of every word."""
+        text = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32).astype(np.int64)
+        sizes = np.array([len(w) for w in words], np.int64)
+        at, known = self.found(self.points, text)
+        flat = np.full(len(text) + 2 * len(words), self.gap, np.int64)
+        ends = np.cumsum(sizes + 2) - 1
+        flat[ends] = self.end
+        inner = np.ones(len(flat), bool)
+        inner[ends] = inner[ends - sizes - 1] = False
+        flat[inner] = np.where(known, self.numbers[at], self.foreign) if len(self.numbers) else self.foreign
+        while len(flat) > 1:
+            at, known = self.found(self.pairs, flat[:-1] * self.width + flat[1:])
+            places = np.flatnonzero(known)
+            if not len(places):
+                break
+            first = np.flatnonzero(np.diff(places, prepend=-2) > 1)
+            offset = np.arange(len(places)) - np.repeat(first, np.diff(np.append(first, len(places))))
+            places = places[offset % 2 == 0]
+            flat[places] = self.joined[at[places]]
+            flat = np.delete(flat, places + 1)
+        starts = np.flatnonzero(flat == self.gap)
+        ids = self.ids[flat[flat != self.gap]]
+        return np.split(ids, (starts - np.arange(len(starts)))[1:]) if len(starts) else []
 
 
 def encode(texts: DataFrame, text: str, merges: list[tuple[str, str]], vocabulary: dict[str, int]) -> DataFrame:
-    """Add ``ids``. Each task keeps the words it has met; merges and vocabulary are bounded by the vocabulary size."""
-    shared = texts.sparkSession.sparkContext.broadcast((set(merges), vocabulary))
-
-    @pandas_udf("array<array<int>>")
-    def word_ids(batch: pd.Series) -> pd.Series:
-        pairs, table = shared.value
-        known: dict[str, list[int]] = {}
-
-        def ids(word: str) -> list[int]:
-            if word not in known:
-                known[word] = [table.get(t, SPECIALS["<UNK>"]) for t in _word_tokens(word, pairs)]
-            return known[word]
-
-        return batch.map(lambda ws: [ids(w) for w in ws])
-
-    return texts.withColumn("ids", F.flatten(word_ids(tx.words(F.col(text)))))
+    """Add ``ids``. The distinct words of a batch are encoded together; merges and vocabulary are bounded by the vocabulary size."""
+    shared = texts.sparkSession.sparkContext.broadcast((merges, vocabulary))
+
+    @pandas_udf("array<int>")
+    def ids(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        joins = Joins(*shared.value)
+        for batch in batches:
+            lists = [() if ws is None else ws for ws in batch]
+            codes, distinct = pd.factorize(np.array([w for ws in lists for w in ws], object))
+            coded, ends = joins(list(distinct)), np.cumsum([len(ws) for ws in lists])
+            yield pd.Series([None if ws is None else np.concatenate([coded[c] for c in codes[e - len(ws):e]]) if len(ws) else np.zeros(0, np.int32)
+                             for ws, e in zip(batch, ends)], dtype=object)
+
+    return texts.withColumn("ids", ids(tx.words(F.col(text))))
 
 
 def decode(encoded: DataFrame, vocabulary: dict[str, int]) -> DataFrame:
