@@ -139,14 +139,24 @@ def met(prefixes: DataFrame, percent: int) -> DataFrame:
     return close(found.select(F.col("row").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"), F.col("s").alias("sa"), F.col("p.row").alias("b"), F.col("p.n").alias("nb"), F.col("p.pos").alias("pb"), F.col("p.s").alias("sb")), percent)
 
 
-def close(pairs: DataFrame, percent: int) -> DataFrame:
+def close(pairs: DataFrame, percent: int, every: bool = False) -> DataFrame:
     """The distinct pairs left by the length filter and the positional filter (tokens behind the shared one are all that the
-    pair can still share)."""
+    pair can still share). With ``every`` a pair comes once per token that its prefixes share, and these must be enough: of the
+    two prefixes one ends first, and behind it the pair shares at most what that set has left. A token whose rows have too few
+    such tokens (``all`` of a row, ``s`` before the shared one) makes no pair."""
     need = F.ceil(percent * (F.col("na") + F.col("nb")) / (100.0 + percent) - 1e-9)
     length = 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
     # what two sets share before the token stands in both prefixes, so it is among their prefix tokens that others have too
     reach = F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) + F.least("sa", "sb")
-    return pairs.where(length & (reach >= need)).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    left = pairs.where(length & (reach >= need))
+    named = [F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")]
+    if not every:
+        return left.select(*named).distinct()
+    # a link passes the positional filter at each of its tokens, so its count is whole
+    behind = [F.ceil(percent * F.col(c) / 100) - 1 for c in ("na", "nb")]
+    least = need - F.greatest(*behind)
+    most = F.least("sa", "sb") + F.least(F.col("alla") - F.col("sa"), F.col("allb") - F.col("sb"))
+    return left.where(most >= least).select(*named, least.alias("least")).groupBy("a", "b", "least").agg(F.count(F.lit(1)).alias("m")).where("m >= least").select("a", "b")
 
 
 def unconnected(prefixes: DataFrame, labels: DataFrame) -> DataFrame:
@@ -154,18 +164,22 @@ def unconnected(prefixes: DataFrame, labels: DataFrame) -> DataFrame:
     rows = prefixes.join(labels, "row", "left").withColumn("c", F.coalesce("component", "row")).drop("component")
     sizes = rows.groupBy("token", "c").agg(F.count(F.lit(1)).alias("k"))
     main = sizes.groupBy("token").agg(F.max(F.struct("k", "c")).alias("m"), F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
-    return written(rows.join(main.select("token", F.col("m.c").alias("main")), "token"), "shingle-unconnected")
+    rows = rows.join(main.select("token", F.col("m.c").alias("main")), "token")
+    # rows of different components share no token but these, so a row's place among them is what the filters need
+    own = Window.partitionBy("row")
+    rows = rows.withColumn("s", F.row_number().over(own.orderBy("pos")) - 1).withColumn("all", F.count(F.lit(1)).over(own))
+    return written(rows, "shingle-unconnected")
 
 
 def sided(rows: DataFrame, side: str) -> DataFrame:
-    return rows.select("token", F.col("row").alias(side), F.col("n").alias(f"n{side}"), F.col("pos").alias(f"p{side}"), F.col("s").alias(f"s{side}"), F.col("c").alias(f"c{side}"), (F.col("c") == F.col("main")).alias(f"main_{side}"))
+    return rows.select("token", F.col("row").alias(side), F.col("n").alias(f"n{side}"), F.col("pos").alias(f"p{side}"), F.col("s").alias(f"s{side}"), F.col("all").alias(f"all{side}"), F.col("c").alias(f"c{side}"), (F.col("c") == F.col("main")).alias(f"main_{side}"))
 
 
 def untried(rows: DataFrame, tried: DataFrame, percent: int) -> DataFrame:
-    """All pairs of unconnected rows in different components that share a token, without those tried before. Rows of a token's
-    main component are not paired with each other, so a token costs its other rows times its rows."""
+    """All pairs of unconnected rows in different components whose prefixes share enough tokens, without those tried before.
+    Rows of a token's main component are not paired with each other, so a token costs its other rows times its rows."""
     found = sided(rows, "a").where("NOT main_a").join(sided(rows, "b"), "token").where((F.col("ca") != F.col("cb")) & (F.col("main_b") | (F.col("a") > F.col("b"))))
-    return close(found, percent).join(tried, ["a", "b"], "left_anti")
+    return close(found, percent, every=True).join(tried, ["a", "b"], "left_anti")
 
 
 def texts_of(heads: DataFrame, texts: DataFrame, n: int) -> DataFrame:
