@@ -1,13 +1,20 @@
 """Quality rules with risk-controlled thresholds, in DataFrame expressions only.
 
-Every document gets a few signals. For each stratum and rule a grid of cutoffs is tested on the labelled good documents:
-a cutoff is admissible if the exact binomial test rejects "this rule turns away more than ``alpha / rules`` of the good
-documents of the stratum" at level ``delta``, corrected (Bonferroni) for every (stratum, rule, cutoff) tested. Among the
-admissible cutoffs the one is taken that turns away most labelled bad documents, less ``cost`` times the good ones. With
-probability ``1 - delta`` no stratum then loses more than ``alpha`` of its good documents.
+Every document gets a few signals. For each group of strata and rule a grid of cutoffs is tested on the labelled good
+documents: a cutoff is admissible if it and all looser ones pass the exact binomial test of "this rule turns away more than
+its part of ``alpha`` of the group's good documents". The order of a rule's tests is fixed, from the loosest cutoff down to
+the first that fails, so they need no correction for their number; ``delta`` is divided over groups and rules only. The rules'
+parts of ``alpha`` and ``delta`` follow the labelled bad documents that their tightest cutoffs turn away; good documents have
+no say in that, so it costs nothing. Among the admissible cutoffs the one is taken that turns away most labelled bad
+documents, less ``cost`` times the good ones. With probability ``1 - delta`` no group then loses more than ``alpha`` of its
+good documents.
+
+A stratum is a group of its own if its labels could certify its foremost rule, should that turn away no good document:
+(1 - alpha) ** n <= delta / strata for one rule, n = 1,094 good documents of 4 strata. All other strata with labels are one
+pooled group, to which the bound applies as a whole.
 
 Defined cases: null or blank text has no words and fails the base rules; a null stratum is a stratum of its own; strata
-without (enough) labels get no cutoff and lose nothing to the method; repeated ids are judged row by row (a repeated
+without labels, or whose pooled group has too few, get no cutoff and lose nothing to the method; repeated ids are judged row by row (a repeated
 label counts once: good only if all its rows say so); an empty table gives an empty result; other columns are untouched.
 """
 
@@ -15,7 +22,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tallyframe.session import written
 
@@ -70,12 +77,13 @@ def log_factorial(n: Column) -> Column:
     return series - shift
 
 
-def binomial_tail(k: Column, n: Column, p: float) -> Column:
+def binomial_tail(k: Column, n: Column, p: float | Column) -> Column:
     """P(X <= k) for X ~ Bin(n, p), for k below the mean: exact terms downwards from k; beyond ``TERMS`` of them the rest
     is bounded by its geometric series, so the value never errs downwards. 1 at or above the mean."""
-    first = log_factorial(n) - log_factorial(k) - log_factorial(n - k) + k * F.log(F.lit(p)) + (n - k) * F.log(F.lit(1 - p))
-    step = F.expr(f"aggregate(sequence(0L, least(cast(_k AS bigint), {TERMS}L)), named_struct('t', 1D, 's', 0D), "
-                  f"(a, j) -> named_struct('t', a.t * (_k - j) * {1 - p} / ((_n - _k + j + 1) * {p}), 's', a.s + a.t))")
+    p = p if isinstance(p, Column) else F.lit(p)
+    first = log_factorial(n) - log_factorial(k) - log_factorial(n - k) + k * F.log(p) + (n - k) * F.log(1 - p)
+    step = F.aggregate(F.sequence(F.lit(0).cast("long"), F.least(k.cast("long"), F.lit(TERMS).cast("long"))), F.struct(F.lit(1.0).alias("t"), F.lit(0.0).alias("s")),
+                       lambda a, j: F.struct((a["t"] * (k - j) * (1 - p) / ((n - k + j + 1) * p)).alias("t"), (a["s"] + a["t"]).alias("s")))
     ratio = (k - TERMS) * (1 - p) / ((n - k + TERMS + 1) * p)
     rest = F.when(k > TERMS, step["t"] / (1 - ratio)).otherwise(F.lit(0.0))
     return F.when(k < n * p, F.least(F.lit(1.0), F.exp(first) * (step["s"] + rest))).otherwise(F.lit(1.0))
@@ -86,20 +94,33 @@ def calibrated(scored: DataFrame, stratum: str, good: str, alpha: float = 0.004,
     """The chosen cutoffs of each stratum, one row (stratum, one double column per rule; null = never reject) from labelled
     rows with signals named as the grids; ``good`` is boolean."""
     grids = grids or GRIDS
-    cells = [(r, i, c) for r, grid in grids.items() for i, c in enumerate(grid)]
+    cells = [(r, i, c) for r, grid in grids.items() for i, c in enumerate(sorted(grid, reverse=True))]
     over = lambda r, c, g: F.sum(F.when((F.col(r) > c) & (F.col(good) if g else ~F.col(good)), 1).otherwise(0))
     sums = scored.where(F.col(good).isNotNull()).groupBy(stratum).agg(
         F.sum(F.col(good).cast("double")).alias("_n"),
-        F.array(*[F.struct(F.lit(r).alias("rule"), F.lit(float(c)).alias("cutoff"), over(r, c, True).cast("double").alias("_k"),
-                           over(r, c, False).cast("double").alias("bad")) for r, _, c in cells]).alias("cell"))
-    tests = sums.count() * len(cells)
-    p = alpha / len(grids)
-    tried = sums.select(stratum, "_n", F.explode("cell").alias("cell")).select(stratum, "_n", "cell.*")
-    tried = tried.withColumn("p_value", binomial_tail(F.col("_k"), F.col("_n"), p))
+        F.array(*[F.struct(F.lit(r).alias("rule"), F.lit(i).alias("place"), F.lit(float(c)).alias("cutoff"), over(r, c, True).cast("double").alias("_k"),
+                           over(r, c, False).cast("double").alias("bad")) for r, i, c in cells]).alias("cell"))
+    sums = written(sums, "quality-sums")
+    # the rules' shares of what their tightest cutoffs turn away; without labelled bad documents no cutoff gains anything
+    tightest = [F.expr(f"aggregate(filter(cell, x -> x.rule = '{r}'), 0D, (s, x) -> greatest(s, x.bad))") for r in grids]
+    foremost, total = (F.greatest(*tightest) if len(tightest) > 1 else tightest[0]), sum(tightest, F.lit(0.0))
+    part = F.when(total > 0, foremost / F.greatest(total, F.lit(1.0))).otherwise(F.lit(1.0))
+    alone = F.col("_n") * F.log(1 - alpha * part) <= F.log(part * delta / max(1, sums.count()))
+    sums = sums.withColumn("_alone", alone).withColumn("_group", F.when(F.col("_alone"), F.col(stratum)))
+    group = ["_alone", "_group"]
+    tests = max(1, sums.select(*group).distinct().count())
+    tried = sums.select(*group, "_n", F.explode("cell").alias("cell")).groupBy(*group, "cell.rule", "cell.place", "cell.cutoff").agg(
+        F.sum("_n").alias("_n"), F.sum("cell._k").alias("_k"), F.sum("cell.bad").alias("bad"))
+    tried = tried.withColumn("_most", F.max("bad").over(Window.partitionBy(*group, "rule")))
+    tried = tried.withColumn("_all", F.sum(F.when(F.col("place") == 0, F.col("_most"))).over(Window.partitionBy(*group))).where("_most > 0")
+    share = F.col("_most") / F.col("_all")
+    passed = binomial_tail(F.col("_k"), F.col("_n"), alpha * share) <= share * delta / tests
+    tried = tried.withColumn("_passed", passed).withColumn("_passed", F.min("_passed").over(Window.partitionBy(*group, "rule").orderBy("place")))
     gain = F.col("bad") - cost * F.col("_k")
-    usable = (F.col("p_value") * max(1, tests) <= delta) & (gain > 0)
-    best = tried.groupBy(stratum, "rule").agg(F.max(F.when(usable, F.struct(gain.alias("gain"), F.col("cutoff")))).alias("best"))
-    return best.groupBy(stratum).agg(*[F.max(F.when(F.col("rule") == r, F.col("best.cutoff"))).alias(f"cut_{r}") for r in grids])
+    best = tried.groupBy(*group, "rule").agg(F.max(F.when(F.col("_passed") & (gain > 0), F.struct(gain.alias("gain"), F.col("cutoff")))).alias("best"))
+    best = best.groupBy(*group).agg(*[F.max(F.when(F.col("rule") == r, F.col("best.cutoff"))).alias(f"cut_{r}") for r in grids])
+    same = sums["_alone"].eqNullSafe(best["_alone"]) & sums["_group"].eqNullSafe(best["_group"])
+    return sums.join(best, same, "left").select(stratum, *[f"cut_{r}" for r in grids])
 
 
 def judged(docs: DataFrame, labels: DataFrame, key: str = "doc_id", stratum: str = "lang", text: str = "text", **risk: float) -> DataFrame:

@@ -271,6 +271,23 @@ def test_cutoffs_hold_the_risk(spark):
     assert cuts == {"a": 0.25, "few": None}
 
 
+def test_cutoffs_of_few_labels(spark):
+    # one stratum of 1,900 good rows, three of 400: alone, pooled, and a fourth rule that turns away good rows
+    rows = [("en", True, 0.0, 0.3 if i % 50 == 0 else 0.0) for i in range(1900)] + [("en", False, 0.4, 0.0)] * 30 + [("en", False, 0.0, 0.3)] * 2
+    for lang in ("de", "es", "fr"):
+        rows += [(lang, True, 0.0, 0.0)] * 400 + [(lang, False, 0.4, 0.0)] * 5
+    grids = {"symbols": [4.0, 2.0, 1.0, 0.5, 0.35, 0.25], "repeats": [0.5, 0.4, 0.2, 0.1]}
+    scored = spark.createDataFrame(rows, "s string, good boolean, symbols double, repeats double")
+    cuts = {r.s: (r.cut_symbols, r.cut_repeats) for r in quality.calibrated(scored, "s", "good", grids=grids).collect()}
+    assert cuts == {lang: (0.35, None) for lang in ("en", "de", "es", "fr")}
+    # the pool alone is too small
+    few = quality.calibrated(scored.where("s <> 'fr'"), "s", "good", grids=grids).collect()
+    assert {r.s: r.cut_symbols for r in few} == {"en": 0.35, "de": None, "es": None}
+    # a looser cutoff that fails ends the tests of its rule, and what turns away too many good rows is never used
+    worse = scored.withColumn("symbols", F.when(F.col("good") & (F.col("s") == "en") & (F.rand(1) < 0.02), 3.0).otherwise(F.col("symbols")))
+    assert {r.s: r.cut_symbols for r in quality.calibrated(worse, "s", "good", grids=grids).collect()}["en"] is None
+
+
 # -- op7
 
 
