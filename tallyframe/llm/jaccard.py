@@ -25,7 +25,7 @@ import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tallyframe.llm.common import blank_separated, components, cut_words, encoded, field, slices
 from tallyframe.session import written
@@ -95,11 +95,11 @@ def frequencies(texts: DataFrame, n: int) -> np.ndarray:
     return out.ravel()
 
 
-SIGNED = "row long, id long, n int, d1 long, d2 long, prefix array<long>, bins binary"
+SIGNED = "row long, id long, mark long, n int, d1 long, d2 long, prefix array<long>, bins binary"
 
 
 def signed(texts: DataFrame, n: int, percent: int, order: np.ndarray) -> DataFrame:
-    """For each row (_id, _text): the set's size, a 128-bit digest of the set, its prefix (rare first) and its suffix profile."""
+    """For each row (_id, _mark, _text): the set's size, a 128-bit digest of the set, its prefix (rare first) and its suffix profile."""
     shared = texts.sparkSession.sparkContext.broadcast(order)
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -121,11 +121,11 @@ def signed(texts: DataFrame, n: int, percent: int, order: np.ndarray) -> DataFra
                 prefixes.append(first.astype(np.int64))
                 bins.append(np.bincount((s & np.uint64(BINS - 1)).astype(np.int64), minlength=BINS).astype(np.uint32).tobytes())
             ends = np.append(0, np.cumsum([len(p) for p in prefixes])).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(row, row + part.num_rows)), field(part, "_id"), pa.array(sizes, pa.int32()), pa.array(one, pa.int64()), pa.array(two, pa.int64()),
-                                              pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(prefixes))), pa.array(bins, pa.binary())], names=["row", "id", "n", "d1", "d2", "prefix", "bins"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(row, row + part.num_rows)), field(part, "_id"), field(part, "_mark"), pa.array(sizes, pa.int32()), pa.array(one, pa.int64()), pa.array(two, pa.int64()),
+                                              pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(prefixes))), pa.array(bins, pa.binary())], names=["row", "id", "mark", "n", "d1", "d2", "prefix", "bins"])
             row += part.num_rows
 
-    return written(texts.select("_id", "_text").mapInArrow(sign, SIGNED), "shingle-signs")
+    return written(texts.select("_id", "_mark", "_text").mapInArrow(sign, SIGNED), "shingle-signs")
 
 
 def met(prefixes: DataFrame, percent: int) -> DataFrame:
@@ -243,13 +243,12 @@ def digest(s: np.ndarray) -> tuple[int, int]:
     return int(s.sum(dtype=np.uint64).astype(np.int64)), int(mixed(s ^ PRIMES[1]).sum(dtype=np.uint64).astype(np.int64))
 
 
-def joined(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 3, percent: int = 90) -> DataFrame:
-    """One row per document: (key, n_shingles, component_id, n_class: texts with the same set). ``percent``: least Jaccard
-    similarity in hundredths."""
-    texts = docs.select(F.col(key).cast("long").alias("_id"), F.col(text).cast("string").alias("_text"))
+def placed(docs: DataFrame, key: str, text: str, n: int, percent: int, mark: Column) -> DataFrame:
+    """One row per document: (id, mark, n, component: a number, component_id, n_class). ``mark`` goes along with the id."""
+    texts = docs.select(F.col(key).cast("long").alias("_id"), mark.alias("_mark"), F.col(text).cast("string").alias("_text"))
     signs = signed(texts, n, percent, frequencies(texts, n))
     classes = written(signs.where("n > 0").groupBy("d1", "d2", "n").agg(F.min("row").alias("head"), F.count(F.lit(1)).alias("n_class"), F.min("id").alias("least")), "shingle-classes")
-    heads = signs.join(classes.select(F.col("head").alias("row"), "n_class"), "row")
+    heads = signs.drop("mark").join(classes.select(F.col("head").alias("row"), "n_class"), "row")
     prefixes = heads.select("row", "n", F.posexplode("prefix").alias("pos", "token"))
     shared = prefixes.groupBy("token").agg(F.count(F.lit(1)).alias("k")).where("k > 1").drop("k")
     own = F.row_number().over(Window.partitionBy("row").orderBy("pos")) - 1  # a window over one prefix
@@ -260,22 +259,37 @@ def joined(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 3,
     labels = components(links).select(F.col("node").alias("row"), "component")
     links = links.union(verified(untried(unconnected(prefixes, labels), tried, percent), heads, texts, n, percent))
     labels = written(components(links).select(F.col("node").alias("head"), "component"), "shingle-labels")
-    placed = classes.join(labels, "head", "left").withColumn("component", F.coalesce("component", "head"))
-    least = placed.groupBy("component").agg(F.min("least").alias("component_id"))
-    placed = placed.join(least, "component").select("d1", "d2", "n", "component_id", "n_class")
-    out = signs.select("id", "n", "d1", "d2").join(placed, ["d1", "d2", "n"], "left")
+    classes = classes.join(labels, "head", "left").withColumn("component", F.coalesce("component", "head"))
+    least = classes.groupBy("component").agg(F.min("least").alias("component_id"))
+    classes = classes.join(least, "component").select("d1", "d2", "n", "component", "component_id", "n_class")
+    return signs.select("id", "mark", "n", "d1", "d2").join(classes, ["d1", "d2", "n"], "left").drop("d1", "d2")
+
+
+def joined(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 3, percent: int = 90) -> DataFrame:
+    """One row per document: (key, n_shingles, component_id, n_class: texts with the same set). ``percent``: least Jaccard
+    similarity in hundredths."""
+    out = placed(docs, key, text, n, percent, F.lit(0).cast("long"))
     own = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id"))
     return out.select(F.col("id").alias(key), F.col("n").cast("long").alias("n_shingles"), own.alias("component_id"), F.coalesce("n_class", F.lit(1)).alias("n_class"))
 
 
 def one_per_component(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 3, percent: int = 90) -> DataFrame:
-    """Of each component the row with its smallest id stays (of rows that share that id the smallest text); rows without
-    n-grams all stay, with all columns."""
-    marked = docs.withColumn("_mark", F.xxhash64(F.col(key), F.col(text)))
-    found = joined(marked, key, text, n, percent).select(F.col(key).alias("_id"), "n_shingles", "component_id").distinct()
-    # an id is kept if it names its component; equal ids with different texts are told apart by the text's hash below
-    gone = found.where((F.col("n_shingles") > 0) & ~F.col("_id").eqNullSafe(F.col("component_id"))).select("_id").distinct()
-    left = marked.join(gone, marked[key].eqNullSafe(gone["_id"]), "left_anti")
-    first = left.where(F.col(key).isNotNull()).groupBy(key).agg(F.min("_mark").alias("_first"), F.count(F.lit(1)).alias("_k")).where("_k > 1").drop("_k")
-    return left.join(first, key, "left").where(F.col("_first").isNull() | (F.col("_mark") == F.col("_first"))).select(*docs.columns)
-
+    """Of each component one row stays: that with the smallest id (null last), of rows that share it the one with the smallest
+    hash of its columns, of rows that are alike in all columns any one; rows without n-grams all stay, with all columns."""
+    # rows are told apart by their id and a hash of all that can be hashed
+    mark = F.xxhash64(*[c for c, kind in docs.dtypes if not any(x in kind for x in ("map<", "variant"))])
+    found = placed(docs, key, text, n, percent, mark).where("n > 0")
+    found = written(found.groupBy("component", "id", "mark").agg(F.count(F.lit(1)).alias("k")), "shingle-rows")
+    first = found.groupBy("component").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "mark")).alias("first"))
+    first = first.select("component", F.col("first.id").alias("_first"), F.col("first.mark").alias("_least"))
+    stays = F.col("id").eqNullSafe(F.col("_first")) & (F.col("mark") == F.col("_least"))
+    found = written(found.join(first, "component").select(F.col("id").alias("_id"), F.col("mark").alias("_row"), "k", (~stays).alias("gone")).where("gone OR k > 1"), "shingle-verdicts")
+    marked = docs.withColumn("_mark", mark)
+    these = lambda rows, other: (rows["_mark"] == other["_row"]) & rows[key].cast("long").eqNullSafe(other["_id"])
+    gone, again = found.where("gone"), found.where("NOT gone")
+    left = marked.join(gone, these(marked, gone), "left_anti")
+    if again.isEmpty():
+        return left.select(*docs.columns)
+    # rows that repeat the one that stays: one of them
+    once = marked.join(again, these(marked, again), "left_semi").dropDuplicates([key, "_mark"])
+    return left.join(again, these(left, again), "left_anti").union(once).select(*docs.columns)

@@ -224,6 +224,22 @@ def test_jaccard_join_of_repeated_and_null_ids(twice):
     assert {r.component_id for r in got if r.doc_id in (19, None)} == {16}
 
 
+def test_one_per_component_goes_by_rows(spark):
+    near = "a b c d e f g h i j k l m n o p q r s t u v w x y z"
+    lone = [f"{w}1 {w}2 {w}3 {w}4 {w}5 {w}6" for w in "pqrst"]
+    rows = [(1, near, "en"), (5, near + " tail", "en"), (5, lone[0], "en"), (6, lone[1], "en"), (6, lone[2], "en"),  # an id with unlike texts
+            (7, lone[3], "en"), (7, lone[3], "en"), (7, lone[3], "en"),  # a row three times
+            (None, near, "en"), (None, lone[4], "en"),  # a null id with a known and a text of its own
+            (None, "only null ids have this text", "en"), (None, "only null ids have this text", "de"), (None, "only null ids have this text", "de"),
+            (8, None, "en"), (8, None, "en"), (None, "", "en")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    left = jaccard.one_per_component(docs, n=2, percent=80)
+    assert left.columns == docs.columns
+    got = sorted(((r.doc_id, r.text) for r in left.collect()), key=str)
+    want = [(1, near), (5, lone[0]), (6, lone[1]), (6, lone[2]), (7, lone[3]), (None, lone[4]), (None, "only null ids have this text"), (8, None), (8, None), (None, "")]
+    assert got == sorted(want, key=str)
+
+
 # -- op5
 
 
