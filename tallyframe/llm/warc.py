@@ -7,7 +7,7 @@ folder and report them; the report is a committed table, so only files of succes
 Defined cases: a null payload is empty; equal payloads of at least ``least`` bytes: the row with the smallest id is the
 response, the others (a null id too, if any id is known) revisit it; rows that repeat that smallest id are responses as
 well; rows without any id are responses; an empty table gives no archive and no rows; a member that does not inflate to its
-end gives a row of type ``corrupt``.
+end, or ends inside its header, gives a row of type ``corrupt``; a header has any length.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ from tallyframe.llm.common import field, slices
 from tallyframe.session import scratch_path
 
 MAGIC = b"\x1f\x8b\x08"
-FILE_BYTES, SPLIT_BYTES, CHUNK, HEADER = 256 << 20, 16 << 20, 1 << 18, 1 << 16
+FILE_BYTES, SPLIT_BYTES, CHUNK = 256 << 20, 16 << 20, 1 << 18
 MANIFEST = "path string, bytes long, records long"
 RECORDS = ("path string, offset long, record_type string, record_id string, target_uri string, refers_to string, "
            "payload_bytes long, payload_digest string, payload binary")
@@ -129,7 +129,8 @@ class Window:
 
 
 def inflated(window: Window) -> tuple[str, bytes, int]:
-    """The member at the window's start: ("no" if its start is no WARC header, "corrupt" or "ok"; its bytes; its length)."""
+    """The member at the window's start: ("no" if it does not start as a WARC header, "corrupt" or "ok"; its
+    bytes; its length). A header may have any length.."""
     unpack, out, used, at = zlib.decompressobj(31), bytearray(), 0, 0
     while True:
         if at >= len(window.held) and not window.more():
@@ -138,12 +139,12 @@ def inflated(window: Window) -> tuple[str, bytes, int]:
         try:
             out += unpack.decompress(piece)
         except zlib.error:
-            return ("corrupt" if out.startswith(b"WARC/") and b"\r\n\r\n" in out else "no"), bytes(out), used
+            return ("corrupt" if out.startswith(b"WARC/") else "no"), bytes(out), used
         used, at = used + len(piece) - len(unpack.unused_data), at + len(piece)
-        if len(out) >= 5 and not out.startswith(b"WARC/") or len(out) > HEADER and b"\r\n\r\n" not in out[:HEADER]:
+        if len(out) >= 5 and not out.startswith(b"WARC/"):
             return "no", b"", 0
         if unpack.eof:
-            return ("ok" if out.startswith(b"WARC/") and b"\r\n\r\n" in out else "no"), bytes(out), used
+            return ("no" if not out.startswith(b"WARC/") else "ok" if b"\r\n\r\n" in out else "corrupt"), bytes(out), used
 
 
 def fields_of(head: bytes) -> dict[str, str]:
@@ -198,7 +199,7 @@ def read_archives(files: DataFrame, payloads: bool = True, split_bytes: int = SP
                     for at, data in records_between(file, start, start + split_bytes):
                         found = parsed(data) if data is not None else ("corrupt", *[None] * 6)
                         rows.append((path, at, *found[:6], found[6] if payloads else None))
-                        held += len(data or b"") if payloads else 256
+                        held += len(data or b"") if payloads else 256 + len(found[2] or "")
                         if held >= 8 << 20:
                             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), schema.types)], schema=schema)
                             rows, held = [], 0

@@ -61,6 +61,21 @@ def test_empty_and_damaged_archives(spark, tmp_path):
     assert [r.record_type for r in got] == ["response", "corrupt"] and got[0].payload == b"first"
 
 
+@pytest.mark.parametrize("split", [1 << 20, 700])
+def test_long_headers_come_back(spark, tmp_path, split):
+    long = "https://h.example/" + "".join(hashlib.sha1(str(i).encode()).hexdigest() for i in range(2500))  # 100 KB that hardly shrink
+    rows = [(1, "https://h.example/1", "one", "p", 1, 0, "h"), (2, long, "two", "p", 1, 0, "h"), (3, long, "one", "p", 1, 0, "h"), (4, "u", "four", "p", 1, 0, "h")]
+    files = warc.write_archives(spark.createDataFrame(rows, SCHEMA).coalesce(1), str(tmp_path / "w"))
+    got = warc.read_archives(files, split_bytes=split).where("record_type <> 'warcinfo'").collect()
+    assert len(got) == sum(f.records for f in files.collect()) == len(rows)
+    assert {r.record_id: (r.target_uri, r.record_type) for r in got} == {str(k): (u, "revisit" if k == 3 else "response") for k, u, *_ in rows}
+    # damaged inside a long header: a corrupt row, not none
+    path = tmp_path / "cut.warc.gz"
+    path.write_bytes(warc.member(warc.record("1", "u", b"first", None)) + warc.member(warc.record("2", long, b"x", None))[:40_000])
+    cut = warc.read_archives(spark.createDataFrame([(str(path), path.stat().st_size, 2)], warc.MANIFEST)).orderBy("offset").collect()
+    assert [r.record_type for r in cut] == ["response", "corrupt"]
+
+
 def verdict(host, path):
     best = None
     for v, rule in RULES:
