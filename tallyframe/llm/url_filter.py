@@ -1,8 +1,8 @@
 """URL filter: explicit host/path rules, and for the rest a path-template tree per host. DataFrame expressions only.
 
-Level by level below a host, a path segment that is common enough stays a constant branch and all others become one
-wildcard branch. Constant siblings whose share of good labelled pages does not differ significantly from that of their
-siblings together are merged. A page's leaf is its template; templates whose smoothed share of good labelled pages is
+Level by level below a host, a path segment with at least ``least`` pages stays a constant branch, however large its host
+is, and all others become one wildcard branch. Constant siblings whose share of good labelled pages does not differ
+significantly from that of their siblings together are merged into one branch, ``{first|+others}``. A page's leaf is its template; templates whose smoothed share of good labelled pages is
 below a threshold are rejected. Segments beyond ``depth`` form one tail wildcard, so that every path has a template.
 
 Defined cases: a null url or one without ``://`` has an empty host and path and is judged like any page of that host;
@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tallyframe.session import written
 
-DEPTH, LEAST, SHARE, Z, WEIGHT, PURITY = 5, 20, 0.02, 2.58, 20.0, 0.5
+DEPTH, LEAST, Z, WEIGHT, PURITY = 5, 20, 2.58, 20.0, 0.5
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -42,26 +42,23 @@ def rule_of(host: Column, path: Column, rules: Sequence[tuple[str, str]]) -> Col
     return found
 
 
-def grown(pages: DataFrame, depth: int, least: int, share: float, z: float) -> DataFrame:
+def grown(pages: DataFrame, depth: int, least: int, z: float) -> DataFrame:
     """Adds ``template``. ``pages`` has host, path and good (boolean, null = not labelled)."""
     rows = pages.withColumn("_segs", F.array_remove(F.split("path", "/"), "")).withColumn("template", F.lit(""))
     rows = written(rows, "url-level")
     for level in range(depth):
         rows = rows.withColumn("_seg", F.get("_segs", F.lit(level)))
         node = ["host", "template"]
-        counts = rows.where(F.col("_seg").isNotNull()).groupBy(*node, "_seg").agg(
-            F.count(F.lit(1)).alias("n"), F.sum(F.col("good").cast("long")).alias("g"), F.count("good").alias("m"))
-        totals = counts.groupBy(*node).agg(F.sum("n").alias("total"))
-        constant = counts.join(totals, node).where((F.col("n") >= least) & (F.col("n") >= share * F.col("total")))
-        # at most 1 / share constants below a node
-        listed = constant.groupBy(*node).agg(F.collect_list(F.struct("_seg", F.coalesce("g", F.lit(0)).cast("double").alias("g"), F.col("m").cast("double").alias("m"))).alias("all"))
-        listed = listed.withColumn("p", F.expr("aggregate(all, 0D, (s, x) -> s + x.g) / greatest(1D, aggregate(all, 0D, (s, x) -> s + x.m))"))
-        alike = F.filter("all", lambda x: F.abs(x["g"] - x["m"] * F.col("p")) <= z * F.sqrt(x["m"] * F.col("p") * (1 - F.col("p"))))
-        listed = listed.withColumn("alike", F.transform(alike, lambda x: x["_seg"]))
-        merged = F.concat(F.lit("{"), F.array_join(F.array_sort("alike"), "|"), F.lit("}"))
-        branches = listed.select(*node, F.explode("all").alias("x"), "alike", F.when(F.size("alike") > 1, merged).alias("merged"))
-        branches = branches.select(*node, F.col("x._seg").alias("_seg"),
-                                   F.when(F.array_contains("alike", F.col("x._seg")), F.coalesce("merged", "x._seg")).otherwise(F.col("x._seg")).alias("_branch"))
+        constant = rows.where(F.col("_seg").isNotNull()).groupBy(*node, "_seg").agg(
+            F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.col("good").cast("double")), F.lit(0.0)).alias("g"), F.count("good").cast("double").alias("m")).where(F.col("n") >= least)
+        constant = written(constant, "url-constants")
+        pooled = constant.groupBy(*node).agg((F.sum("g") / F.greatest(F.lit(1.0), F.sum("m"))).alias("p"))
+        spread = F.col("m") * F.col("p") * (1 - F.col("p"))
+        alike = F.abs(F.col("g") - F.col("m") * F.col("p")) <= z * F.sqrt(F.greatest(F.lit(0.0), spread)) + 1e-9
+        constant = written(constant.join(pooled, node).select(*node, "_seg", alike.alias("alike")), "url-constants")
+        merged = constant.where("alike").groupBy(*node).agg(F.min("_seg").alias("_first"), F.count(F.lit(1)).alias("_k")).where("_k > 1")
+        name = F.when(F.col("alike") & F.col("_k").isNotNull(), F.concat(F.lit("{"), "_first", F.lit("|+"), (F.col("_k") - 1).cast("string"), F.lit("}")))
+        branches = constant.join(merged, node, "left").select(*node, "_seg", F.coalesce(name, "_seg").alias("_branch"))
         rows = rows.join(branches, [*node, "_seg"], "left").withColumn(
             "template", F.when(F.col("_seg").isNull(), F.col("template")).otherwise(F.concat("template", F.lit("/"), F.coalesce("_branch", F.lit("*"))))).drop("_seg", "_branch")
         rows = written(rows, "url-level")
@@ -70,11 +67,11 @@ def grown(pages: DataFrame, depth: int, least: int, share: float, z: float) -> D
 
 
 def judged(pages: DataFrame, rules: Sequence[tuple[str, str]], key: str = "page_id", url: str = "url", good: str = "good", depth: int = DEPTH,
-           least: int = LEAST, share: float = SHARE, z: float = Z, weight: float = WEIGHT, purity: float = PURITY) -> DataFrame:
+           least: int = LEAST, z: float = Z, weight: float = WEIGHT, purity: float = PURITY) -> DataFrame:
     """(key, host, path, rule, verdict, template, purity) for every row."""
     host, path = host_and_path(F.col(url))
     rows = pages.select(F.col(key).alias("_key"), host.alias("host"), path.alias("path"), F.col(good).cast("boolean").alias("good"))
-    rows = grown(rows, depth, least, share, z)
+    rows = grown(rows, depth, least, z)
     g, m = F.sum(F.coalesce(F.col("good").cast("long"), F.lit(0))), F.count("good")
     leaves = rows.groupBy("host", "template").agg(g.alias("g"), m.alias("m"))
     leaves = written(leaves, "url-templates")

@@ -124,3 +124,17 @@ def test_templates_generalise_merge_and_reject(spark):
     want = (sum(own) + url_filter.WEIGHT * host) / (len(own) + url_filter.WEIGHT)
     assert next(r.purity for r in out if r.template == "/spam/*") == pytest.approx(want)
     assert F is not None
+
+
+def test_a_section_is_judged_whatever_its_hosts_size(spark):
+    # 80 sections of 25 pages on one host, each 1.25 % of it, one of them bad; the same two sections on a small host
+    rows = [(i, f"https://hot.example/s{i % 80}/{i}", i % 80 != 7) for i in range(2000)]
+    rows += [(5000 + i, f"https://cold.example/s{i % 2 + 6}/{i}", i % 2 == 0) for i in range(50)]
+    rows += [(9000 + i, f"https://hot.example/rare{i}/x", None) for i in range(30)]
+    out = url_filter.judged(spark.createDataFrame(rows, "page_id long, url string, good boolean"), []).collect()
+    assert len(out) == len(rows)
+    for host in ("hot.example", "cold.example"):
+        assert {r.verdict for r in out if r.host == host and r.path.startswith("/s7/")} == {"block"}
+        assert {r.verdict for r in out if r.host == host and not r.path.startswith("/s7/")} == {"allow"}
+    templates = {r.template for r in out if r.host == "hot.example"}
+    assert templates == {"/s7/*", "/{s0|+78}/*", "/*/x"}
