@@ -6,7 +6,7 @@ import importlib
 
 QUERIES, ORACLES = {}, {}
 
-for _name in ("q_documents", "q_pages"):
+for _name in ("q_conversations", "q_documents", "q_pages"):
     _module = importlib.import_module(f"tallyframe.llm.{_name}")
     QUERIES |= _module.QUERIES
     ORACLES |= _module.ORACLES
