@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tallyframe.llm import attention_lm, jaccard, langid, mixing, phrase_index, quality, suffix_dedup, token_files
+from tallyframe.llm import attention_lm, jaccard, langid, mixing, phrase_index, quality, spelling, suffix_dedup, token_files
 from tallyframe.llm.common import read
 from tallyframe.session import scratch_path
 
@@ -75,5 +75,10 @@ def op10_lm_score(spark, sf_dir):
     return attention_lm.scored(docs.select("doc_id", "held_out", "text"), docs.where(~F.col("held_out")), tokenizer())
 
 
-QUERIES = {f.__name__: f for f in (op2_decontamination, op3_suffix_dedup, op4_jaccard_join, op5_quality_rules, op7_token_files, op8_language_id, op9_mixing, op10_lm_score)}
+def op12_spelling(spark, sf_dir):
+    """Every frequent long word of the damaged texts: its near words, its form and the root of its forms."""
+    return spelling.grouped(spelling.counted(spelling.damaged_words(read(spark, sf_dir, "documents"))))
+
+
+QUERIES = {f.__name__: f for f in (op2_decontamination, op3_suffix_dedup, op4_jaccard_join, op5_quality_rules, op7_token_files, op8_language_id, op9_mixing, op10_lm_score, op12_spelling)}
 ORACLES = {}
