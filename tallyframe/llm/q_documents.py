@@ -4,15 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tallyframe.llm import attention_lm, jaccard, langid, mixing, phrase_index, quality, spelling, suffix_dedup, token_files
+from tallyframe.llm import attention_lm, jaccard, langid, mixing, packing, phrase_index, quality, spelling, suffix_dedup, token_files
 from tallyframe.llm.common import read
-from tallyframe.session import scratch_path
+from tallyframe.session import scratch_path, written
 
 
-def tokenizer() -> str:
+def tokenizer(name: str = "word_bpe_49k.json") -> str:
     import public_tokenizers
 
-    return public_tokenizers.path("word_bpe_49k.json")
+    return public_tokenizers.path(name)
 
 
 def op2_decontamination(spark, sf_dir):
@@ -80,5 +80,12 @@ def op12_spelling(spark, sf_dir):
     return spelling.grouped(spelling.counted(spelling.damaged_words(read(spark, sf_dir, "documents"))))
 
 
-QUERIES = {f.__name__: f for f in (op2_decontamination, op3_suffix_dedup, op4_jaccard_join, op5_quality_rules, op7_token_files, op8_language_id, op9_mixing, op10_lm_score, op12_spelling)}
+def op13_packing(spark, sf_dir):
+    """Every document's pieces, their place in the id stream of the document and in the packed sequences."""
+    found = packing.pieces(read(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json")).withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+    found = written(found.withColumn("row", F.monotonically_increasing_id()), "packing-pieces")
+    return found.join(packing.packed(found.select("row", "length")), "row").select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+QUERIES = {f.__name__: f for f in (op2_decontamination, op3_suffix_dedup, op4_jaccard_join, op5_quality_rules, op7_token_files, op8_language_id, op9_mixing, op10_lm_score, op12_spelling, op13_packing)}
 ORACLES = {}
