@@ -25,9 +25,15 @@ def unit(seed, row_id: str, field: str) -> str:
     return f"({u32(seed, row_id, field)} / 4294967296D)"
 
 
+def u60(seed, row_id: str, field: str) -> str:
+    """Uniform integer in [0, 2^60)."""
+    return f"cast(conv(substring({digest(seed, row_id, field)}, 1, 15), 16, 10) as bigint)"
+
+
 def between(seed, row_id: str, field: str, low: int, high: int) -> str:
-    """Uniform integer in [low, high]."""
-    return f"({u32(seed, row_id, field)} % {high - low + 1} + {low})"
+    """Uniform integer in [low, high]; ranges too wide for 32 bits take 60."""
+    drawn = u32 if high - low < 1 << 24 else u60
+    return f"({drawn(seed, row_id, field)} % {high - low + 1} + {low})"
 
 
 def pick(seed, row_id: str, field: str, values: Sequence[str]) -> str:
@@ -35,19 +41,32 @@ def pick(seed, row_id: str, field: str, values: Sequence[str]) -> str:
     return f"element_at({array(values)}, cast({u32(seed, row_id, field)} % {len(values)} + 1 as int))"
 
 
-def _stream(seed, row_id: str, field: str, width: int, alphabet: str) -> str:
-    blocks = [f"translate({digest(seed, row_id, f'{field}#{i}')}, '0123456789abcdef', '{alphabet}')"
-              for i in range((width + 31) // 32)]
-    return f"substring(concat({', '.join(blocks)}), 1, {width})"
+def digits(seed, row_id: str, field: str, width: int) -> str:
+    """Eight digits from each half of a digest, as the rest of a 60-bit number: even to one part in 10^10."""
+    halves = [f"lpad(cast(cast(conv(substring({digest(seed, row_id, f'{field}#{i // 2}')}, {i % 2 * 16 + 1}, 15), 16, 10) as bigint) % 100000000 as string), 8, '0')"
+              for i in range((width + 7) // 8)]
+    return f"substring(concat({', '.join(halves)}), 1, {width})"
 
 
-def digits(seed, row_id: str, field: str, width: int) -> str:
-    return _stream(seed, row_id, field, width, "0123456789012345")
+#: Base-64 symbols that do not stand for one of the alphabet's; those that are left are equally likely.
+NOT_ALNUM, NOT_LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ+/", "0123456789+/"
+
+
+def blocks_for(width: int) -> int:
+    """Digests whose 21 full base-64 symbols leave at least ``width`` after rejection, with many deviations to spare."""
+    return width // 8 + 4
+
+
+def _symbols(seed, row_id: str, field: str, width: int, rejected: str) -> str:
+    blocks = [f"substring(base64(unhex({digest(seed, row_id, f'{field}#{i}')})), 1, 21)" for i in range(blocks_for(width))]
+    return f"substring(upper(translate(concat({', '.join(blocks)}), '{rejected}', '')), 1, {width})"
 
 
 def alnum(seed, row_id: str, field: str, width: int) -> str:
-    return _stream(seed, row_id, field, width, "K7MQ2XZ9TB4WRD8H")
+    """A-Z and 0-9, all equally likely."""
+    return _symbols(seed, row_id, field, width, NOT_ALNUM)
 
 
 def letters(seed, row_id: str, field: str, width: int) -> str:
-    return _stream(seed, row_id, field, width, "ETAOINSHRDLUCMFW")
+    """A-Z, all equally likely."""
+    return _symbols(seed, row_id, field, width, NOT_LETTERS)

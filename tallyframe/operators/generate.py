@@ -101,12 +101,12 @@ def account_number(seed, row: str, field: str, length: int) -> str:
 
 def amount(seed, row: str, field: str, width: int, low: int = 100, high: int = 999_999) -> str:
     """Whole cents in range, zero-filled."""
-    high = min(high, 10 ** min(width, 7) - 1)
+    high = min(high, 10 ** min(width, 17) - 1)
     return f"lpad(cast({seeded.between(seed, row, field, min(max(low, 1), high), high)} as string), {width}, '0')"
 
 
 def numeric(seed, row: str, field: str, width: int, low: int = 1, high: int = 9999) -> str:
-    high = min(high, 10 ** min(width, 9) - 1)
+    high = min(high, 10 ** min(width, 17) - 1)
     return f"lpad(cast({seeded.between(seed, row, field, min(low, high), high)} as string), {width}, '0')"
 
 
@@ -141,6 +141,14 @@ def person(seed, row: str, field: str) -> str:
     return f"concat({seeded.pick(seed, row, field + '.first', FIRST_NAMES)}, ' ', {seeded.pick(seed, row, field + '.last', LAST_NAMES)})"
 
 
+def other_person(seed, row: str, field: str, other: str) -> str:
+    """A person with another first name than that drawn for ``other``."""
+    n = len(FIRST_NAMES)
+    place = f"({seeded.u32(seed, row, other + '.first')} % {n} + 1 + {seeded.u32(seed, row, field + '.first')} % {n - 1}) % {n} + 1"
+    first = f"element_at(array({', '.join(q(x) for x in FIRST_NAMES)}), cast({place} as int))"
+    return f"concat({first}, ' ', {seeded.pick(seed, row, field + '.last', LAST_NAMES)})"
+
+
 def _by_name(kind: str, f: Field, seed, row: str, as_of: str, width: int) -> str:
     name = f.name
     if kind == "routing":
@@ -271,8 +279,10 @@ def from_table(generated: DataFrame, index: str, source: DataFrame, order: list[
 
 
 def trace_number(odfi: str, sequence: str) -> str:
-    """Originator's eight digits and a seven-digit running number, which starts again at 0 after 9,999,999."""
-    return f"concat(substring({odfi}, 1, 8), lpad(cast({sequence} % 10000000 as string), 7, '0'))"
+    """Originator's eight digits and a seven-digit running number; a number beyond 9,999,999 is an error, as trace numbers of a
+    file must ascend."""
+    number = f"if({sequence} > 9999999, raise_error('trace number over 9999999'), lpad(cast({sequence} as string), 7, '0'))"
+    return f"concat(substring({odfi}, 1, 8), {number})"
 
 
 def batch_of(position: str, total: str, per_batch: int = 5) -> str:
@@ -302,9 +312,9 @@ def mt103(drive: DataFrame, seed, row: str, as_of: str, cents: str, keep: tuple[
         f"concat(':32A:', {day}, {seeded.pick(seed, row, 'ccy', MT_CURRENCIES)}, {checks.cents_to_swift_amount(cents)})",
         f"concat(':50K:/', {seeded.digits(seed, row, 'payer', 16)})", person(seed, row, "payer_name"),
         seeded.pick(seed, row, "payer_city", CITIES), f"concat(':57A:', {receiver})",
-        f"concat(':59:/', {seeded.digits(seed, row, 'payee', 16)})", person(seed, row, "payee_name"),
+        f"concat(':59:/', {seeded.digits(seed, row, 'payee', 16)})", other_person(seed, row, "payee_name", "payer_name"),
         seeded.pick(seed, row, "payee_city", CITIES), f"concat(':70:/INV/', cast({row} as string))",
-        "'PAYMENT FOR SERVICES RENDERED'", f"concat(':71A:', {seeded.pick(seed, row, 'charge', CHARGES)})", "'-}'",
+        "'GOODS DELIVERED AS AGREED'", f"concat(':71A:', {seeded.pick(seed, row, 'charge', CHARGES)})", "'-}'",
         f"concat('{{5:{{CHK:', {seeded.alnum(seed, row, 'chk', 12)}, '}}}}')"]
     return drive.select(*keep, F.expr(f"concat_ws('\\n', {', '.join(parts)})").alias("message"))
 

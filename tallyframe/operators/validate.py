@@ -126,7 +126,7 @@ def checked(lines: DataFrame, spec: Spec, dialect: str = "lenient") -> DataFrame
     # A one-element ``inline`` evaluates the cut value once per row; as plain columns the optimizer would inline the
     # substring into every check and again into the filter on findings.
     valued = joined.select(*keep, *spec_cols, F.expr(f"""inline(array(struct(if(pos = 0, length(line), null) as line_len,
-        if(pos = 0, substring(line, 1, 80), null) as head, if(pos = 0, '', {trimmed}) as v,
+        if(pos = 0, line, null) as head, if(pos = 0, '', {trimmed}) as v,
         if(with_digit, concat(substring(line, start, len), substring(line, end + 1, 1)), null) as nine)))"""))
 
     def bound(**named: str) -> DataFrame:
@@ -171,13 +171,11 @@ def checked(lines: DataFrame, spec: Spec, dialect: str = "lenient") -> DataFrame
 
 
 def errors(result: DataFrame) -> DataFrame:
-    """Long error table: file_id, line_no, record_type, field, pos, severity, code, value (cut to 80 characters)."""
+    """Long error table: file_id, line_no, record_type, field, pos, severity, code, value (whole; a line's own finding has the line)."""
     found = result.filter("codes <> ''").withColumn("code", F.explode(F.split("codes", ",")))
     return found.select(
         "file_id", "line_no", "record_type", F.when(F.col("pos") == 0, F.col("code")).otherwise(F.col("field")).alias("field"),
-        "pos", F.when(F.col("pos") == 0, "WARNING").otherwise("ERROR").alias("severity"), "code",
-        F.when(F.col("code") == "RECORD_TYPE", F.substring("value", 1, 1)).otherwise(F.substring("value", 1, VALUE_CHARS))
-        .alias("value"))
+        "pos", F.when(F.col("pos") == 0, "WARNING").otherwise("ERROR").alias("severity"), "code", "value")
 
 
 def capped_field_errors(found: DataFrame, cap: int = FIELD_ERROR_CAP) -> DataFrame:
@@ -193,10 +191,12 @@ def capped_field_errors(found: DataFrame, cap: int = FIELD_ERROR_CAP) -> DataFra
 
 
 def capped_report(found: DataFrame, errors_cap: int = REPORT_ERRORS, warnings_cap: int = REPORT_WARNINGS) -> DataFrame:
-    """First 200 errors and 100 warnings per file, in line and field order."""
+    """First 200 errors and 100 warnings per file, in line and field order; values are cut to 80 characters, an unknown record type
+    to its letter."""
     order = Window.partitionBy("file_id", "severity").orderBy("line_no", "pos", "code")
     ranked = found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= max(errors_cap, warnings_cap))
-    return ranked.filter(F.col("rank") <= F.when(F.col("severity") == "ERROR", errors_cap).otherwise(warnings_cap))
+    ranked = ranked.filter(F.col("rank") <= F.when(F.col("severity") == "ERROR", errors_cap).otherwise(warnings_cap))
+    return ranked.withColumn("value", F.when(F.col("code") == "RECORD_TYPE", F.substring("value", 1, 1)).otherwise(F.substring("value", 1, VALUE_CHARS)))
 
 
 def report(result: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tallyframe.functions import checks, fixed, seeded
-from tallyframe.operators import generate, ordered, sinks, synth, validate
+from tallyframe.operators import computed, generate, ordered, sinks, synth, validate
 from tallyframe.plans import shared
 from tallyframe.plans.registry import query
 from tallyframe.plans.shared import LINES, _lit
@@ -26,24 +26,37 @@ def o_pick(row, field, values):
 
 
 def o_between(row, field, low, high):
-    return f"({u(row, field)} % {high - low + 1} + {low})"
+    drawn = u(row, field) if high - low < 1 << 24 else f"(('0x' || substr({o_md5(row, field)}, 1, 15))::bigint)"
+    return f"({drawn} % {high - low + 1} + {low})"
 
 
-def o_stream(row, field, width, alphabet):
-    blocks = " || ".join(f"translate(md5('{SEED}|' || cast({row} AS varchar) || '|{field}#{i}'), '0123456789abcdef', '{alphabet}')" for i in range((width + 31) // 32))
-    return f"substr({blocks}, 1, {width})"
+def o_md5(row, field):
+    return f"md5('{SEED}|' || cast({row} AS varchar) || '|{field}')"
 
 
 def o_digits(row, field, width):
-    return o_stream(row, field, width, "0123456789012345")
+    halves = " || ".join(f"lpad(cast(('0x' || substr({o_md5(row, f'{field}#{i // 2}')}, {i % 2 * 16 + 1}, 15))::bigint % 100000000 AS varchar), 8, '0')" for i in range((width + 7) // 8))
+    return f"substr({halves}, 1, {width})"
+
+
+def o_symbols(row, field, width, kept):
+    """Symbols of ``kept`` out of base-64 text, in upper case."""
+    blocks = " || ".join(f"substr(to_base64(unhex({o_md5(row, f'{field}#{i}')})), 1, 21)" for i in range(seeded.blocks_for(width)))
+    return f"substr(upper(regexp_replace({blocks}, '[^{kept}]', '', 'g')), 1, {width})"
 
 
 def o_alnum(row, field, width):
-    return o_stream(row, field, width, "K7MQ2XZ9TB4WRD8H")
+    return o_symbols(row, field, width, "a-z0-9")
 
 
 def o_letters(row, field, width):
-    return o_stream(row, field, width, "ETAOINSHRDLUCMFW")
+    return o_symbols(row, field, width, "A-Za-z")
+
+
+def o_other(row, field, other, values):
+    """A value that differs from the one drawn for ``other``."""
+    n = len(values)
+    return f"([{', '.join(_lit(v) for v in values)}])[({u(row, other)} % {n} + 1 + {u(row, field)} % {n - 1}) % {n} + 1]"
 
 
 def o_person(row, field):
@@ -134,15 +147,68 @@ def g9(spark, folder):
     return numbered.selectExpr("c_custkey", f"{enum} as enum_value", f"{const} as constant_value", f"{seq} as sequence_value")
 
 
-@query("g10_computed_fields", """SELECT 'card-' || cast(l_suppkey AS varchar) AS file_id, lpad(cast(count(*) AS varchar), 8, '0') AS total_records,
+@query("g10_card_totals", """SELECT 'card-' || cast(l_suppkey AS varchar) AS file_id, lpad(cast(count(*) AS varchar), 8, '0') AS total_records,
   lpad(cast(sum(cast(round(l_extendedprice * 100) AS bigint)) AS varchar), 15, '0') AS total_amount,
   lpad(cast(sum(cast(round(l_extendedprice * 100) AS bigint)) % 10000000000 AS varchar), 10, '0') AS file_hash FROM lineitem GROUP BY 1""")
-def g10(spark, folder):
+def g10_totals(spark, folder):
     formulas = {"total_records": ("total_records", 8), "total_amount": ("total_amount", 15), "file_hash": ("total_amount % 10000000000", 10)}
     totals = synth.card_totals(derived.card_details(spark, folder), "file_id")
     return totals.selectExpr("file_id", *[f"{fixed.fit(t, w, 'right', '0')} as {n}" for n, (t, w) in formulas.items()])
 
 
+def _pay_spec():
+    """A settlement batch whose totals, nets and check digits follow from its other fields."""
+    cells = {"HDR": (("record_id", 3, "constant", "HDR"), ("declared", 8, "computed", None), ("declared_check", 1, "checksum", None)),
+             "TXN": (("record_id", 3, "constant", "TXN"), ("pan_body", 15, "numeric", None), ("pan_check", 1, "checksum", None), ("amount", 12, "amount", None), ("fee", 12, "computed", None),
+                     ("net", 12, "computed", None), ("account", 10, "account_number", None), ("account_check", 2, "checksum", None)),
+             "TRL": (("record_id", 3, "constant", "TRL"), ("total_records", 8, "computed", None), ("total_amount", 15, "computed", None), ("total_net", 15, "computed", None), ("file_hash", 10, "checksum", None))}
+    fields = []
+    for kind, row in cells.items():
+        at = 1
+        for pos, (name, width, data_type, default) in enumerate(row, 1):
+            text = data_type == "constant"
+            fields.append(Field(kind, name, data_type, at, at + width - 1, width, default=default, justify="left" if text else "right", pad=" " if text else "0", pos=pos))
+            at += width
+    records = tuple(layouts.Record(kind, kind, category, i, sum(w for _, w, _, _ in cells[kind])) for i, (kind, category) in enumerate((("HDR", "header"), ("TXN", "detail"), ("TRL", "trailer"))))
+    return layouts.Spec("settlement", "fixed_width", "", records, tuple(fields))
+
+
+PAY = _pay_spec()
+PAY_FORMULAS = [
+    computed.Formula("HDR", "declared", ("TRL.total_records",), "copy", "cast(total_records as bigint) + 2"),
+    computed.Formula("HDR", "declared_check", ("declared",), "aba", ""),
+    computed.Formula("TXN", "pan_check", ("pan_body",), "luhn", ""),
+    computed.Formula("TXN", "fee", ("amount",), "row", "cast(amount as bigint) * 15 div 1000"),
+    computed.Formula("TXN", "net", ("amount", "fee"), "row", "cast(amount as bigint) - cast(fee as bigint)"),
+    computed.Formula("TXN", "account_check", ("account",), "mod97", ""),
+    computed.Formula("TRL", "total_records", ("TXN.amount",), "total", "count(amount)"),
+    computed.Formula("TRL", "total_amount", ("TXN.amount",), "total", "sum(cast(amount as bigint))"),
+    computed.Formula("TRL", "total_net", ("TXN.net",), "total", "sum(cast(net as bigint))"),
+    computed.Formula("TRL", "file_hash", ("total_amount",), "row", "cast(total_amount as bigint) % 10000000000"),
+]
+_TXN_KEY = "concat(l_orderkey, '-', l_linenumber)"
+_O_KEY = "(l_orderkey || '-' || l_linenumber)"
+
+
+@query("g10_computed_fields", f"""WITH txn AS (SELECT 'pay-' || l_suppkey AS file_id, {_O_KEY} AS txn, {o_digits(_O_KEY, 'pan_body', 15)} AS pan, cast(round(l_extendedprice * 100) AS bigint) AS amount,
+    {o_account(_O_KEY, 'account', 10)} AS account FROM lineitem),
+  paid AS (SELECT *, amount * 15 // 1000 AS fee, amount - amount * 15 // 1000 AS net, cast({shared.luhn_sql('pan')} AS varchar) AS pan_check, lpad(cast(98 - cast(account AS hugeint) * 100 % 97 AS varchar), 2, '0') AS account_check FROM txn),
+  sums AS (SELECT file_id, count(*) AS n, sum(amount) AS amount, sum(net) AS net FROM paid GROUP BY 1),
+  heads AS (SELECT file_id, lpad(cast(n + 2 AS varchar), 8, '0') AS declared FROM sums)
+  SELECT file_id, '' AS txn, 'HDR' || declared || cast({shared.aba_sql('declared')} AS varchar) AS line FROM heads
+  UNION ALL SELECT file_id, txn, 'TXN' || pan || pan_check || lpad(cast(amount AS varchar), 12, '0') || lpad(cast(fee AS varchar), 12, '0') || lpad(cast(net AS varchar), 12, '0') || account || account_check FROM paid
+  UNION ALL SELECT file_id, '', 'TRL' || lpad(cast(n AS varchar), 8, '0') || lpad(cast(amount AS varchar), 15, '0') || lpad(cast(net AS varchar), 15, '0') || lpad(cast(amount % 10000000000 AS varchar), 10, '0') FROM sums""")
+def g10(spark, folder):
+    """Whole settlement files: rows generated first, then every field that follows from others, rendered as lines."""
+    items = derived.table(spark, folder, "lineitem").withColumns({"file_id": F.concat(F.lit("pay-"), "l_suppkey"), "txn": F.expr(_TXN_KEY)})
+    drives = {"TXN": items, "HDR": items.select("file_id").distinct().withColumn("txn", F.lit("")), "TRL": items.select("file_id").distinct().withColumn("txn", F.lit(""))}
+    batch = {kind: generate.rows(drive, PAY, kind, SEED, _TXN_KEY if kind == "TXN" else "file_id", AS_OF, keep=("file_id", "txn"),
+                                 overrides={"amount": "cast(round(l_extendedprice * 100) as bigint)"}) for kind, drive in drives.items()}
+    done = computed.filled(batch, PAY, PAY_FORMULAS, ["file_id"])
+    parts = [generate.lines(rows, PAY, kind, keep=("file_id", "txn")) for kind, rows in done.items()]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
 def o_tcr0():
     r = K
     cells = {
@@ -185,7 +251,7 @@ def c7(spark, folder):
 
 @query("g13_delimited_from_spec", f"""SELECT c_custkey, concat_ws('|', {o_pick(K, 'status', ('Y', 'N'))}, upper(strftime({o_near(K, 'effective_date')}, '%d-%b-%Y')), {o_digits(K, 'code_combination_id', 15)},
   {", ".join(f"cast({o_between(K, f'segment{i}', 1000, 9999)} AS varchar)" for i in range(1, 6))}, {", ".join(o_amount(K, n, 22) for n in ('entered_dr', 'entered_cr', 'accounted_dr', 'accounted_cr'))},
-  {o_pick(K, 'description', generate.DESCRIPTIONS)} || ' ' || cast({o_between(K, 'description.no', 1000, 9999)} AS varchar), {", ".join(o_alnum(K, n, 100) for n in ('attribute1', 'attribute2', 'reference1', 'reference2'))}) AS line FROM customer""")
+  {o_pick(K, 'description', generate.DESCRIPTIONS)} || ' ' || cast({o_between(K, 'description.no', 1000, 9999)} AS varchar), {", ".join(o_alnum(K, n, next(f.length or f.max_len for f in GL.fields if f.name == n)) for n in ('attribute1', 'attribute2', 'reference1', 'reference2'))}) AS line FROM customer""")
 def g13(spark, folder):
     return generate.lines(generate.rows(customers(spark, folder), GL, "LINE", SEED, K, AS_OF, keep=("c_custkey",)), GL, "LINE", keep=("c_custkey",))
 
@@ -326,8 +392,8 @@ _RECV = f"({_BIC})[({u(O, 'sender')} % 10 + 1 + {u(O, 'receiver')} % 9) % 10 + 1
 MT_SQL = f"""SELECT o_orderkey, 'TXN' || lpad(cast(o_orderkey AS varchar), 12, '0') AS tag_20_sender_reference, 'CRED' AS tag_23b_bank_operation_code,
   '/' || {o_digits(O, 'payer', 16)} || chr(10) || {o_person(O, 'payer_name')} || chr(10) || {o_pick(O, 'payer_city', generate.CITIES)} AS tag_50_ordering_customer_account,
   {_RECV} AS tag_57a_account_with_institution,
-  '/' || {o_digits(O, 'payee', 16)} || chr(10) || {o_person(O, 'payee_name')} || chr(10) || {o_pick(O, 'payee_city', generate.CITIES)} AS tag_59_beneficiary_customer,
-  '/INV/' || cast(o_orderkey AS varchar) || chr(10) || 'PAYMENT FOR SERVICES RENDERED' AS tag_70_remittance_information,
+  '/' || {o_digits(O, 'payee', 16)} || chr(10) || {o_other(O, 'payee_name.first', 'payer_name.first', generate.FIRST_NAMES)} || ' ' || {o_pick(O, 'payee_name.last', generate.LAST_NAMES)} || chr(10) || {o_pick(O, 'payee_city', generate.CITIES)} AS tag_59_beneficiary_customer,
+  '/INV/' || cast(o_orderkey AS varchar) || chr(10) || 'GOODS DELIVERED AS AGREED' AS tag_70_remittance_information,
   {o_pick(O, 'charge', generate.CHARGES)} AS tag_71a_details_of_charges, '' AS tag_72_sender_to_receiver_info,
   strftime({o_near(O, 'day', 1)}, '%y%m%d') AS tag_32a_value_date, {o_pick(O, 'ccy', generate.MT_CURRENCIES)} AS tag_32a_currency,
   cast(c // 100 AS varchar) || ',' || lpad(cast(c % 100 AS varchar), 2, '0') AS tag_32a_amount FROM (SELECT *, cast(round(o_totalprice * 100) AS bigint) AS c FROM orders)"""
@@ -338,10 +404,11 @@ def s7(spark, folder):
     return generate.parse_mt103(messages(spark, folder), "o_orderkey")
 
 
-@query("g14_messages", f"""SELECT o_orderkey, '{{1:F01' || ({_BIC})[{u(O, 'sender')} % 10 + 1] || '0000000000}}' AS sender_block, '{{2:I103' || {_RECV} || 'N}}' AS receiver_block FROM orders""")
+@query("g14_messages", f"""SELECT o_orderkey, concat_ws(chr(10), '{{1:F01' || ({_BIC})[{u(O, 'sender')} % 10 + 1] || '0000000000}}', '{{2:I103' || {_RECV} || 'N}}', '{{3:{{108:REF' || {o_digits(O, 'ref', 4)} || '}}}}', '{{4:',
+  ':20:' || tag_20_sender_reference, ':23B:' || tag_23b_bank_operation_code, ':32A:' || upper(tag_32a_value_date) || tag_32a_currency || tag_32a_amount, ':50K:' || tag_50_ordering_customer_account, ':57A:' || tag_57a_account_with_institution,
+  ':59:' || tag_59_beneficiary_customer, ':70:' || tag_70_remittance_information, ':71A:' || tag_71a_details_of_charges, '-}}', '{{5:{{CHK:' || {o_alnum(O, 'chk', 12)} || '}}}}') AS message FROM ({MT_SQL})""")
 def g14(spark, folder):
-    return messages(spark, folder).selectExpr("o_orderkey", "substring_index(message, '\\n', 1) as sender_block",
-                                              "element_at(split(message, '\\n'), 2) as receiver_block")
+    return messages(spark, folder)
 
 
 # --------------------------------------------------------------------------------------------- sources and sinks

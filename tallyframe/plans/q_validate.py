@@ -32,7 +32,7 @@ def card_errors(spark, folder):
 
 
 def code_sql(base: str, table: str, codes: str) -> str:
-    return f"""{base} SELECT file_id, line_no, record_type, field, code, substr(v, 1, 80) AS value
+    return f"""{base} SELECT file_id, line_no, record_type, field, code, v AS value
       FROM (SELECT *, unnest(codes) AS code FROM {table}) WHERE code IN ({codes})"""
 
 

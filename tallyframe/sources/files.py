@@ -110,7 +110,7 @@ def spec_dependencies(fields: DataFrame) -> DataFrame:
 
 def tagged_pairs(lines: DataFrame, key: str, line: str = "line") -> DataFrame:
     """KEY=VALUE pairs of tagged lines: (key, tag, value)."""
-    pairs = F.expr(f"regexp_extract_all({line}, '[A-Z_]{{2,30}}=[^|,\\n]*', 0)")
+    pairs = F.expr(f"regexp_extract_all({line}, '[A-Z_]{{2,}}=[^|,\\n]*', 0)")
     return lines.select(key, F.explode(pairs).alias("pair")).select(
         key, F.expr("substring_index(pair, '=', 1) as tag"), F.expr("substring(pair, instr(pair, '=') + 1) as value"))
 
