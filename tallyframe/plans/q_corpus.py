@@ -377,10 +377,19 @@ def a34(spark, folder):
     return bpe.pair_counts(bpe.segmented(bpe.word_frequencies(docs(spark, folder), "text")))
 
 
+#: Entries of the learned vocabulary.
+BPE_VOCABULARY = 1000
+
+
 def _bpe(spark, folder):
-    texts = bench(spark, folder)
-    letters = texts.select(F.explode(F.array_distinct(tx.characters(F.regexp_replace("text", f"[{tx.SPACE}]", "")))).alias("ch")).distinct().count()
-    return bpe.learn(texts, "text", vocab_size=letters + 5 + 12)
+    """Merges of the whole document table, learned once per application."""
+    key = (spark.sparkContext.applicationId, folder)
+    if key not in _LEARNED:
+        _LEARNED[key] = bpe.learn(docs(spark, folder), "text", vocab_size=BPE_VOCABULARY)
+    return _LEARNED[key]
+
+
+_LEARNED = {}
 
 
 @query("a35_bpe_merges", None)

@@ -181,9 +181,30 @@ def plain_encode(text, merges, vocabulary):
     return out
 
 
+def test_bpe_rounds_take_independent_merges(spark):
+    """Hundreds of merges over texts with runs, ties and words that are equal but for their end, in far fewer rounds."""
+    rng = random.Random(11)
+    parts = ["".join(rng.choice("abcdeéß") for _ in range(rng.randint(1, 4))) for _ in range(60)]
+    texts = [" ".join("".join(rng.choices(parts, k=rng.randint(1, 4))) for _ in range(60)) for _ in range(40)] + ["aaaa aaaaa aaaaaaa abab ababab", "", "b" * 300]
+    whole = " ".join(texts)
+    target = 4 + len(set(whole) - {" "}) + 1 + 120
+    merges, vocabulary, rounds = bpe.learned(make_docs(spark, texts), "text", vocab_size=target, cut_every=5, top_pairs=100)
+    assert merges == plain_bpe(whole, target) and len(merges) == 120
+    assert rounds < len(merges) / 3
+    assert bpe.learned(make_docs(spark, ["", None]), "text")[0] == []
+
+
+def test_independent_pairs():
+    assert bpe.independent([("a", "b", 9), ("c", "d", 8), ("b", "e", 7)], set("abcde"), True) == [("a", "b"), ("c", "d")]
+    assert bpe.independent([("a", "b", 9), ("c", "d", 8), ("x", "a", 8)], set("abcdx"), True) == [("a", "b")]  # (x, ab) may come first
+    assert bpe.independent([("a", "b", 9), ("c", "d", 8)], set("abcd"), False) == [("a", "b")]  # what is not in the list may be as frequent
+    assert bpe.independent([("a", "b", 9), ("c", "d", 8)], {"a", "b", "ab"}, True) == [("a", "b")]
+    assert bpe.independent([], set(), True) == []
+
+
 def test_bpe(spark):
     text = "low lower lowest new newer newest wide wider aaaa aaa a$b a$b \\E \\E"
-    merges, vocabulary = bpe.learn(make_docs(spark, [text]), "text", vocab_size=4 + 20 + 10, checkpoint_every=3)
+    merges, vocabulary = bpe.learn(make_docs(spark, [text]), "text", vocab_size=4 + 20 + 10, cut_every=3)
     assert merges == plain_bpe(text, 4 + 20 + 10)
     enc = bpe.encode(make_docs(spark, [text, "zzz low", ""]), "text", merges, vocabulary)
     got = bpe.decode(enc, vocabulary).orderBy("doc_id").collect()
