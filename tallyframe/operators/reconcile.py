@@ -12,13 +12,16 @@ from tallyframe.sources.layouts import ACH, CARD
 HASH = synth.HASH_MODULUS
 
 
-def with_batch(lines: DataFrame) -> DataFrame:
+def with_batch(lines: DataFrame, before: DataFrame | None = None) -> DataFrame:
     """Record type and enclosing batch of each line: the last type-5 header at or above it. ``batch_id`` counts the
-    headers of the file; lines before the first header or after a control belong to none (null)."""
+    headers of the file; lines before the first header or after a control belong to none (null). ``before`` (file_id, opened,
+    closed) has the headers and controls of lines that came earlier, for files that arrive in parts."""
     kinds = lines.withColumn("record_type", fixed.classify(F.col("line"), ACH.record_types, "9" * 94))
     counted = ordered.running_sums(kinds, ["file_id"], ["line_no"], {
         "_opened": (F.coalesce(F.col("record_type"), F.lit("")) == "5").cast("int"),
-        "_closed": (F.coalesce(F.col("record_type"), F.lit("")) == "8").cast("int")})
+        "_closed": (F.coalesce(F.col("record_type"), F.lit("")) == "8").cast("int")}, per_group=before)
+    if before is not None:
+        counted = counted.withColumns({f"_{n}": F.col(f"_{n}") + F.coalesce(F.col(n), F.lit(0)) for n in ("opened", "closed")}).drop("opened", "closed")
     inside = (F.col("_opened") > F.col("_closed")) | (F.col("record_type") == "8")
     return counted.withColumn("batch_id", F.when(inside & (F.col("_opened") > 0), F.col("_opened"))) \
         .drop("_opened", "_closed")
@@ -54,9 +57,10 @@ def _mismatches(joined: DataFrame, keys: list[str], names: tuple[str, ...]) -> D
             .filter(~F.col("expected").eqNullSafe(F.col("actual"))))
 
 
-def batch_mismatches(records: DataFrame) -> DataFrame:
-    """Batch control records against computed totals."""
-    totals = computed_batches(records)
+def batch_mismatches(records: DataFrame, totals: DataFrame | None = None) -> DataFrame:
+    """Batch control records against computed totals. Given ``totals`` as of ``computed_batches``, headers and controls are all that
+    ``records`` must have."""
+    totals = computed_batches(records) if totals is None else totals
     control = records.filter((F.col("record_type") == "8") & F.col("batch_id").isNotNull()).select(
         "file_id", "batch_id", *[F.expr(f"try_cast({_cut(n, '8')} as bigint) as r_{n}") for n in TOTALS])
     headers = records.filter(F.col("record_type") == "5").select("file_id", "batch_id")
@@ -83,14 +87,24 @@ def computed_files(records: DataFrame) -> DataFrame:
 FILE_TOTALS = ("batch_count", "block_count") + TOTALS
 
 
-def file_mismatches(records: DataFrame) -> DataFrame:
-    """File control record against computed totals."""
+def file_mismatches(records: DataFrame, computed: DataFrame | None = None) -> DataFrame:
+    """File control record against computed totals, which may be given as of ``computed_files``."""
     control = records.filter(F.col("record_type") == "9").select(
         "file_id", *[F.expr(f"try_cast({_cut(n, '9')} as bigint) as r_{n}") for n in FILE_TOTALS])
-    computed = computed_files(records).select("file_id", *[F.col(n).alias(f"c_{n}") for n in FILE_TOTALS])
+    computed = (computed_files(records) if computed is None else computed).select("file_id", *[F.col(n).alias(f"c_{n}") for n in FILE_TOTALS])
     return _mismatches(computed.join(control, "file_id", "full_outer"), ["file_id"], FILE_TOTALS)
 
 
+def detail_sums(records: DataFrame) -> DataFrame:
+    """Sums of detail lines per (file, batch) that may be added up over parts of a file (the hash sum is not cut yet)."""
+    code, amount = _cut("transaction_code", "6"), f"coalesce(try_cast({_cut('amount', '6')} as bigint), 0)"
+    credit, entry = synth.is_credit(code), "record_type = '6'"
+    return records.filter(F.col("batch_id").isNotNull() & F.col("record_type").isin("6", "7")).groupBy("file_id", "batch_id").agg(
+        F.expr(f"count_if({entry}) as entries"), F.expr("count(1) as entry_addenda_count"),
+        F.expr(f"sum(if({entry}, coalesce(try_cast({_cut('rdfi_routing_transit', '6')} as bigint), 0), 0)) as entry_hash"),
+        F.expr(f"sum(if({entry} and not {credit}, {amount}, 0)) as total_debit_amount"), F.expr(f"sum(if({entry} and {credit}, {amount}, 0)) as total_credit_amount"))
+
+
 def rollup_totals(records: DataFrame) -> DataFrame:
     """Batch, file and grand totals in one pass."""
     code, amount = _cut("transaction_code", "6"), f"coalesce(try_cast({_cut('amount', '6')} as bigint), 0)"

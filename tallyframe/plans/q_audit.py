@@ -140,11 +140,12 @@ def st1b(spark, folder):
     return audit.hourly(events(spark, folder))
 
 
-@query("st2_validate_stream", shared.ach_checks() + """ SELECT file_id, field, code, cast(count(*) AS bigint) AS n FROM (SELECT file_id, field, unnest(codes) AS code FROM lenient
-  UNION ALL SELECT file_id, 'RECORD_LENGTH', 'RECORD_LENGTH' FROM typed WHERE length(line) <> 94 UNION ALL SELECT file_id, 'RECORD_TYPE', 'RECORD_TYPE' FROM typed WHERE record_type IS NULL) GROUP BY 1, 2, 3""")
+@query("st2_validate_stream", shared.ach_checks() + """ SELECT file_id, line_no, field, code FROM (SELECT file_id, line_no, field, unnest(codes) AS code FROM lenient
+  UNION ALL SELECT file_id, line_no, 'RECORD_LENGTH', 'RECORD_LENGTH' FROM typed WHERE length(line) <> 94 UNION ALL SELECT file_id, line_no, 'RECORD_TYPE', 'RECORD_TYPE' FROM typed WHERE record_type IS NULL)""")
 def st2(spark, folder):
+    """Every finding with its line number, from files that arrive in several micro-batches."""
     path = jobs.write_for_stream(shared.raw(spark, folder), "arrivals")
-    return jobs.validate_stream(spark, path, ACH).groupBy("file_id", "field", "code").agg(F.count(F.lit(1)).alias("n"))
+    return jobs.validate_stream(spark, path, ACH, files_per_batch=20).select("file_id", "line_no", "field", "code")
 
 
 def _totals_sql():
@@ -157,7 +158,7 @@ def _totals_sql():
 @query("st3_reconcile_stream", _totals_sql())
 def st3(spark, folder):
     path = jobs.write_for_stream(shared.raw(spark, folder), "arrivals")
-    return jobs.reconcile_stream(spark, path)
+    return jobs.reconcile_stream(spark, path, files_per_batch=20)
 
 
 @query("st4_training_stream", TRAIN_SQL.format(run="'all' AS run,", group=""))

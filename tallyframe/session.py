@@ -60,3 +60,11 @@ def written(df: DataFrame, label: str) -> DataFrame:
     path = scratch_path(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
+
+
+def dropped(spark: SparkSession, path: str) -> None:
+    """Delete an intermediate table of ours below the shared folder, if it is there."""
+    if not path.startswith(shared_dir(spark)) and "version=" not in path:
+        raise ValueError(f"{path} is no intermediate table")
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(target, True)

@@ -13,9 +13,12 @@ AUDIT_SCHEMA = T.StructType([
     T.StructField("field_count", T.LongType()), T.StructField("filename", T.StringType())])
 
 
-def raw_lines(spark: SparkSession, path: str, streaming: bool = False) -> DataFrame:
-    """Text rows with the place they came from: path, part number, file name, split start."""
+def raw_lines(spark: SparkSession, path: str, streaming: bool = False, files_per_batch: int | None = None) -> DataFrame:
+    """Text rows with the place they came from: path, part number, file name, split start. A stream takes at most
+    ``files_per_batch`` new files at a time."""
     reader = spark.readStream if streaming else spark.read
+    if files_per_batch:
+        reader = reader.option("maxFilesPerTrigger", files_per_batch)
     part = F.coalesce(F.regexp_extract("_metadata.file_name", r"part-(\d+)", 1).try_cast("bigint"), F.lit(0).cast("bigint"))
     return reader.text(path).select(
         F.regexp_replace(F.make_valid_utf8("value"), r"\r$", "").alias("line"), F.col("_metadata.file_path").alias("path"),

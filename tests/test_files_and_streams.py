@@ -1,9 +1,11 @@
 import json
 import os
 
+import pytest
 from pyspark.sql import functions as F
 
-from tallyframe.operators import audit, sinks, validate
+from tallyframe.operators import audit, reconcile, sinks, validate
+from tallyframe.plans import shared
 from tallyframe.sources import files
 from tallyframe.sources.layouts import TCR0
 from tallyframe.streaming import jobs
@@ -102,10 +104,82 @@ def test_stream_resumes_without_duplicates(spark, tmp_path):
     first = jobs.validate_stream(spark, src, TCR0, **places)
     n = first.count()
     assert n > 0 and jobs.validate_stream(spark, src, TCR0, **places).count() == n
-    batch = validate.errors(validate.checked(files.read_lines(spark, src, files.partition_file_id()), TCR0)).drop("line_no")
+    batch = validate.errors(validate.checked(files.read_lines(spark, src, files.partition_file_id()), TCR0))
     assert sorted(map(str, first.select(batch.columns).collect())) == sorted(map(str, batch.collect()))
 
 
+def arrivals(folder, parts, first=0):
+    """Parts of files as ``file_id=f/part-n.txt``, with rising modification times."""
+    for n, (name, text) in enumerate(parts, first):
+        path = os.path.join(folder, f"file_id={name}")
+        os.makedirs(path, exist_ok=True)
+        with open(os.path.join(path, f"part-{n:05d}.txt"), "w") as out:
+            out.write("".join(line + "\n" for line in text))
+        os.utime(os.path.join(path, f"part-{n:05d}.txt"), (1_700_000_000 + 10 * n,) * 2)
+
+
+@pytest.fixture(scope="module")
+def ach(spark):
+    """Lines of the ACH files of the smallest tables, with their defects."""
+    rows = shared.raw(spark, "/root/testdata/sf0.001").orderBy("file_id", "line_no").collect()
+    out = {}
+    for r in rows:
+        out.setdefault(r["file_id"], []).append(r["line"])
+    return out
+
+
+def in_batch(spark, ach):
+    lines = spark.createDataFrame([(f, i + 1, x) for f, held in ach.items() for i, x in enumerate(held)], "file_id string, line_no long, line string")
+    records = reconcile.with_batch(lines)
+    whole = reconcile.file_mismatches(records).withColumn("batch_id", F.lit(0).cast("bigint"))
+    return sorted(map(str, reconcile.batch_mismatches(records).unionByName(whole).withColumnRenamed("batch_id", "batch_no").select("file_id", "batch_no", "field", "expected", "actual").collect()))
+
+
+def rows_of(df):
+    return sorted(map(str, df.select("file_id", "batch_no", "field", "expected", "actual").collect()))
+
+
+def test_files_in_parts_reconcile_as_whole_files(spark, ach, tmp_path):
+    """Every file in three parts over many micro-batches: cut inside a batch, and before the padding behind the control record."""
+    names = sorted(ach)[:3]
+    some = {n: ach[n] for n in names}
+    parts = []
+    for k in range(3):
+        for n in names:
+            cuts = [0, len(ach[n]) // 3, len(ach[n]) - 2, len(ach[n])]
+            parts.append((n, ach[n][cuts[k]:cuts[k + 1]]))
+    arrivals(str(tmp_path / "in"), parts)
+    want = in_batch(spark, some)
+    assert want and rows_of(jobs.reconcile_stream(spark, str(tmp_path / "in"), files_per_batch=2)) == want
+
+
+def test_state_outlives_a_run_and_ends_with_patience(spark, ach, tmp_path):
+    name, other = sorted(ach)[:2]
+    half = len(ach[name]) // 2
+    places = {"table": str(tmp_path / "table"), "checkpoint": str(tmp_path / "state")}
+    run = lambda **how: jobs.reconcile_stream(spark, str(tmp_path / "in"), files_per_batch=1, flush=False, **how, **places)
+    arrivals(str(tmp_path / "in"), [(name, ach[name][:half])])
+    assert run().count() == 0
+    assert run().count() == 0  # nothing new
+    arrivals(str(tmp_path / "in"), [(name, ach[name][half:])], first=1)
+    assert rows_of(run()) == in_batch(spark, {name: ach[name]})
+    arrivals(str(tmp_path / "in"), [(other, ach[other][:5]), ("tick", ["x"])], first=2)
+    rest = rows_of(run(patience=1))
+    assert [r for r in rest if f"file_id='{name}'" in r] == in_batch(spark, {name: ach[name]})
+    assert [r for r in rest if f"file_id='{other}'" in r] == in_batch(spark, {other: ach[other][:5]})
+    assert not any("file_id='tick'" in r for r in rest)
+
+
+def test_line_numbers_run_on_over_parts(spark, tmp_path):
+    good = "05" + "1" * 141 + "  "
+    held = [good, "zz" + good[2:], good, "yy" + good[2:], good, "xx" + good[2:]]
+    arrivals(str(tmp_path / "in"), [("a", held[:2]), ("b", held), ("a", held[2:5]), ("a", held[5:])])
+    got = jobs.validate_stream(spark, str(tmp_path / "in"), TCR0, files_per_batch=1)
+    batch = validate.errors(validate.checked(files.read_lines(spark, str(tmp_path / "in"), files.partition_file_id()), TCR0))
+    assert sorted(map(str, got.select(batch.columns).collect())) == sorted(map(str, batch.collect()))
+    assert {r["line_no"] for r in got.collect()} == set(range(1, 7))
+
+
 def test_iso_text(spark):
     row = files.iso_text(spark.sql("select date '2026-01-02' as d, timestamp '2026-01-02 03:04:05' as t, 1.50BD as n, 2 as i, array(1) as a")).first()
     assert (row["d"], row["t"], row["n"], row["i"], row["a"]) == ("2026-01-02", "2026-01-02T03:04:05", "1.50", 2, "[1]")
