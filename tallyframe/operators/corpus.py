@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from tallyframe.functions import text as tx
 from tallyframe.functions.sqltext import q
 from tallyframe.operators import ordered, skew
-from tallyframe.session import ensure_checkpoint_dir, scratch_path, written
+from tallyframe.session import written
 
 BLOCK = 512
 OVERLAP = 0.5
@@ -60,7 +60,7 @@ def block_overlap(hashes: DataFrame, kept: DataFrame | None = None, key: str = "
     else:
         firsts = hashes.join(kept, key, "left_semi").groupBy("hash").agg(F.min(key).alias("first_key"))
         lookup = weights.drop("first_any").join(firsts, "hash", "left")
-    looked = skew.lookup_join(hashes, lookup, ["hash"], ["first_key"], "_n", [key, "hash"])
+    looked = skew.lookup_join(hashes, lookup, ["hash"], ["first_key"])
     seen = F.coalesce(F.col("first_key") < F.col(key), F.lit(False))
     return looked.groupBy(key).agg(F.max("n_blocks").alias("n_blocks"), F.count_if(seen).alias("seen_blocks"))
 
@@ -70,27 +70,33 @@ def dedup_documents(docs: DataFrame, size: int = BLOCK, threshold: float = OVERL
     """Drop documents half of whose blocks an earlier kept document has.
 
     The sequential rule depends on what was kept before. ``one_pass`` compares with all earlier documents. Otherwise
-    the kept set is iterated: a document's verdict is right as soon as all earlier verdicts are, so the iteration ends
-    at the sequential answer. Only documents that share a block with another one take part; all others stay."""
+    verdicts are found in rounds. For an undecided document, the blocks that an earlier kept document has are a lower bound of its
+    seen blocks, those that an earlier kept or undecided one has an upper bound. It is dropped if the lower bound reaches the
+    threshold, kept if the upper one does not, and stays undecided else. At least the smallest undecided document is decided
+    in a round. Only blocks of undecided documents are read again, and only those of newly kept ones are added to what is known;
+    both are written each round. Documents that share no block with another one are kept without taking part."""
     hashes = block_hashes(docs, size, key, text)
     if one_pass:
         gone = block_overlap(hashes, None, key).filter(F.col("seen_blocks") >= F.col("n_blocks") * threshold)
         return docs.join(gone.select(key), key, "left_anti")
-    spark = docs.sparkSession
-    ensure_checkpoint_dir(spark)
-    path = scratch_path(spark, "block-hashes")
-    counts = hashes.groupBy("hash").agg(F.count(F.lit(1)).alias("_n"), F.min(key).alias("_first"))
-    shared = skew.lookup_join(hashes, counts, ["hash"], ["_n"], "_n", [key, "hash"]).filter("_n > 1").drop("_n")
-    shared.write.parquet(path)  # cuts the lineage: the loop below reads this table
-    shared = spark.read.parquet(path)
-    kept, dropped = shared.select(key).distinct(), None
+    counts = hashes.groupBy("hash").agg(F.count(F.lit(1)).alias("_n"))
+    open_ = written(skew.lookup_join(hashes, counts, ["hash"], ["_n"]).filter("_n > 1").drop("_n"), "block-hashes")
+    first = open_.select("hash", F.col(key).alias("_first")).limit(0)
+    dropped = open_.select(key).limit(0)
     while True:
-        gone = block_overlap(shared, kept, key).filter(F.col("seen_blocks") >= F.col("n_blocks") * threshold).select(key).checkpoint()
-        changed = gone.exceptAll(dropped).union(dropped.exceptAll(gone)).limit(1).count() if dropped is not None else gone.limit(1).count()
-        dropped = gone
-        if not changed:
+        here = open_.groupBy("hash").agg(F.min(key).alias("_least")).join(first, "hash", "left")
+        looked = skew.lookup_join(open_, here, ["hash"], ["_least", "_first"])
+        bounds = looked.groupBy(key).agg(F.max("n_blocks").alias("_n"), F.count_if(F.coalesce(F.col("_first") < F.col(key), F.lit(False))).alias("_low"),
+                                         F.count_if(F.least("_least", "_first") < F.col(key)).alias("_high"))
+        enough = F.col("_n") * threshold
+        verdict = F.when(F.col("_low") >= enough, "dropped").when(F.col("_high") < enough, "kept").otherwise("open")
+        verdicts = written(bounds.select(key, verdict.alias("_verdict")), "block-verdicts")
+        if verdicts.isEmpty():
             return docs.join(dropped, key, "left_anti")
-        kept = shared.select(key).distinct().join(dropped, key, "left_anti")
+        dropped = dropped.union(verdicts.filter("_verdict = 'dropped'").select(key))
+        kept = open_.join(verdicts.filter("_verdict = 'kept'"), key, "left_semi").select("hash", F.col(key).alias("_first"))
+        first = written(first.union(kept).groupBy("hash").agg(F.min("_first").alias("_first")), "block-firsts")
+        open_ = written(open_.join(verdicts.filter("_verdict = 'open'"), key, "left_semi"), "block-hashes")
 
 
 def intersection_ratio(left: DataFrame, right: DataFrame, key: str, item: str) -> DataFrame:
@@ -106,7 +112,7 @@ def split_by_offset(docs: DataFrame, splits=SPLITS, corpus: str = "corpus", key:
     if abs(sum(w for _, w in splits) - 1.0) > 1e-6:
         raise ValueError("split fractions must sum to 1")
     totals = docs.groupBy(corpus).agg(F.sum(F.length(text).cast("bigint")).alias("_total"))
-    placed = ordered.running_sums(docs.select(corpus, key, text), [corpus], [key], {"_upto": F.length(text)}, per_group=totals)
+    placed = ordered.running_sums(docs.select(corpus, key, text), [corpus], [key], {"_upto": F.length(text)}, per_group=totals, sparse=True)
     (_, a), (_, b), _ = splits
     first, second = f"floor(_total * {a}D)", f"floor(_total * ({a}D + {b}D))"
     at = f"(_upto - length({text}))"

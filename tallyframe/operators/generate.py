@@ -263,7 +263,7 @@ def lines(records: DataFrame, spec: Spec, record_type: str, keep: tuple[str, ...
 def from_table(generated: DataFrame, index: str, source: DataFrame, order: list[str], spec: Spec, record_type: str) -> DataFrame:
     """The i-th generated record takes the i-th source row: field names match exactly or in the other case; an empty
     value falls to the next candidate. Positions meet in an equi-join on the row number."""
-    numbered = ordered.numbered(source, [], order, "_i") if order else source
+    numbered = ordered.numbered(source, [], order, "_i", sparse=True) if order else source
     by_lower = {}
     for c in source.columns:
         by_lower.setdefault(c.lower(), []).append(c)

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tallyframe.functions import seeded, text as tx
-from tallyframe.operators import skew
+from tallyframe.operators import ordered, skew
 from tallyframe.session import ensure_checkpoint_dir
 
 START, END = "^", "$"
@@ -149,7 +149,7 @@ def _walk_joins(rows: DataFrame, choices: DataFrame, alphabet: DataFrame, length
     for step in range(length):
         weights = state.groupBy("field", "context").agg(F.count(F.lit(1)).alias("_w"))
         table = choices.join(weights, ["field", "context"])
-        joined = skew.lookup_join(state, table, ["field", "context"], ["choices"], "_w", ["row"])
+        joined = skew.lookup_join(state, table, ["field", "context"], ["choices"])
         u = _uniform_sql(seed, "row", step)
         picked = f"""case when done then '' when choices is not null then
             coalesce(filter(choices, x -> {u} <= x.c)[0].ch, element_at(choices, -1).ch)
@@ -170,15 +170,24 @@ def char_vocabulary(texts: DataFrame, text: str, offset: int = len(SPECIALS)) ->
 
 
 def vocabulary_string(vocabulary: DataFrame) -> Column:
-    """All characters in id order as one scalar, so encoding is a position lookup without a join."""
+    """All characters in id order as one scalar, so decoding is a position lookup without a join."""
     return vocabulary.agg(F.expr("listagg(ch, '') within group (order by id)")).scalar()
 
 
-def encode(texts: DataFrame, text: str, vocabulary: DataFrame, offset: int = len(SPECIALS)) -> DataFrame:
+def code_point_pages(vocabulary: DataFrame) -> Column:
+    """Ids by code point as one scalar, an array of pages of 256 code points (null where no character is known): the id of a
+    character is two array accesses away, however many characters there are. At most 4,352 pages."""
+    pages = vocabulary.select((F.ascii("ch") / 256).cast("int").alias("page"), (F.ascii("ch") % 256).alias("at"), "id").groupBy("page").agg(
+        F.map_from_entries(F.collect_list(F.struct("at", "id"))).alias("_m")).select("page", F.transform(F.sequence(F.lit(0), F.lit(255)), lambda i: F.try_element_at("_m", i)).alias("cells"))
+    whole = pages.agg(F.map_from_entries(F.collect_list(F.struct("page", "cells"))).alias("_m"), F.coalesce(F.max("page"), F.lit(0)).alias("_last"))
+    return whole.select(F.transform(F.sequence(F.lit(0), F.col("_last")), lambda p: F.try_element_at("_m", p))).scalar()
+
+
+def encode(texts: DataFrame, text: str, vocabulary: DataFrame) -> DataFrame:
     """Add ``ids``: character ids, unknown characters as 3."""
-    staged = texts.withColumn("_v", vocabulary_string(vocabulary))
+    staged = texts.withColumn("_pages", code_point_pages(vocabulary))
     return staged.withColumn("ids", F.expr(
-        f"transform(filter(split({text}, ''), c -> c <> ''), c -> if(locate(c, _v) = 0, {SPECIALS['<UNK>']}, locate(c, _v) - 1 + {offset}))")).drop("_v")
+        f"transform(filter(split({text}, ''), c -> c <> ''), c -> coalesce(try_element_at(try_element_at(_pages, shiftright(ascii(c), 8) + 1), ascii(c) % 256 + 1), {SPECIALS['<UNK>']}))")).drop("_pages")
 
 
 def decode(encoded: DataFrame, vocabulary: DataFrame, offset: int = len(SPECIALS)) -> DataFrame:
@@ -200,3 +209,29 @@ def windows(encoded: DataFrame, key: str, length: int, stride: int = 1) -> DataF
     starts = F.expr(f"explode(if(size(ids) > {length}, sequence(0, size(ids) - {length} - 1, {stride}), cast(array() as array<int>))) as start")
     return encoded.select(key, "ids", starts).select(
         key, "start", F.expr(f"slice(ids, start + 1, {length}) as x"), F.expr(f"slice(ids, start + 2, {length}) as y"))
+
+
+#: Positions of the token stream whose windows one group makes.
+SEGMENT = 1 << 16
+
+
+def stream_windows(encoded: DataFrame, key: str, length: int, stride: int = 1, group: Sequence[str] = (), segment: int = SEGMENT) -> DataFrame:
+    """(group, start, x, y): the training windows of the one token stream that the texts make in order of ``key`` (an integer, unique
+    in its group), texts of any length and windows across their borders. ``start`` counts tokens from the stream's beginning.
+
+    The stream is never put together. Every text knows its place from a running sum; it is cut where segments of the stream begin,
+    and each segment also gets the next ``length`` tokens, its neighbour's first ones. So all windows that start in a segment are made
+    from it alone, and no group holds more than ``segment + length`` tokens, whatever the texts' lengths or number."""
+    rows = encoded.select(*group, key, "ids").filter(F.size("ids") > 0)
+    placed = ordered.running_sums(rows, list(group), [key], {"_end": F.size("ids")}, sparse=True).withColumn("_from", F.col("_end") - F.size("ids"))
+    first = F.greatest(F.lit(0), F.floor((F.col("_from") - length) / segment))
+    parts = placed.withColumn("_segment", F.explode(F.sequence(first.cast("bigint"), F.floor((F.col("_end") - 1) / segment).cast("bigint"))))
+    begin = F.greatest(F.col("_from"), F.col("_segment") * segment)
+    stop = F.least(F.col("_end"), (F.col("_segment") + 1) * segment + length)
+    parts = parts.select(*group, "_segment", begin.alias("_at"), F.slice("ids", (begin - F.col("_from") + 1).cast("int"), F.greatest(F.lit(0), stop - begin).cast("int")).alias("_piece")).filter(F.size("_piece") > 0)
+    whole = parts.groupBy(*group, "_segment").agg(F.sort_array(F.collect_list(F.struct("_at", "_piece"))).alias("_p"))
+    whole = whole.select(*group, (F.col("_segment") * segment).alias("_base"), F.flatten(F.transform("_p", lambda p: p["_piece"])).alias("_t"))
+    low, high = F.ceil(F.col("_base") / stride) * stride, F.least(F.col("_base") + segment, F.col("_base") + F.size("_t") - length) - 1
+    starts = F.when(low <= high, F.sequence(low, high, F.lit(stride).cast("bigint")))
+    cut = lambda more: F.expr(f"slice(_t, cast(start - _base as int) + {more}, {length})")
+    return whole.withColumn("start", F.explode(starts)).select(*group, "start", cut(1).alias("x"), cut(2).alias("y"))

@@ -1,10 +1,12 @@
 """Running values over very long ordered groups without putting a group into one task.
 
 A plain ``Window.partitionBy(file)`` sends a whole file to one task, and a single file may hold a third of all
-rows. Here a group is cut into chunks by a monotone integer of its order (line number, unique key): the window runs
-per (group, chunk); the summaries, one row per chunk of 131072 positions, are scanned per group, and the offsets
-come back by an equi-join on (group, chunk). Only summaries ever meet in one task: a group of 10^12 rows has fewer
-than 8 million of them.
+rows. Here a group is cut into chunks by a monotone integer of its order: the window runs per (group, chunk); the
+summaries, one row per chunk of about 131072 rows, are scanned per group, and the offsets come back by an equi-join on
+(group, chunk). Only summaries ever meet in one task: a group of 10^12 rows has about 8 million of them.
+
+Line numbers and other dense positions are cut by their value. Keys of any kind (``sparse=True``) are cut where the rows
+are: see ``ranged``.
 """
 
 from __future__ import annotations
@@ -13,6 +15,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from tallyframe.session import written
+
 CHUNK_ROWS = 1 << 17
 
 
@@ -20,6 +24,25 @@ def _chunk(order: Column, chunk_rows: int) -> Column:
     return F.floor(order / F.lit(chunk_rows)).cast("bigint")
 
 
+def ranged(df: DataFrame, keys: Sequence[str], order: str, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+    """Add ``_chunk``, which rises with the integer ``order`` in each group and holds about ``chunk_rows`` rows, wherever in 64
+    bits they lie. Groups of at most that many rows are one chunk. A larger one is cut into equal ranges of values, as many as it has chunks;
+    ranges that still hold more than two chunks, around a cluster of values, are cut again the same way (the chunk is the
+    path of range numbers). Only ranges to be cut are looked up, fewer than rows / chunk_rows. Equal values stay together."""
+    low, wide = F.min(order).cast("decimal(20,0)"), F.max(order).cast("decimal(20,0)")
+    out, group = df.withColumns({"_all": F.lit(0), "_chunk": F.array().cast("array<bigint>")}), [*keys, "_all", "_chunk"]
+    most = chunk_rows
+    while True:
+        stats = out.groupBy(*group).agg(F.count(F.lit(1)).alias("_n"), low.alias("_low"), wide.alias("_high")).where((F.col("_n") > most) & (F.col("_high") > F.col("_low")))
+        step = F.greatest(F.lit(1).cast("decimal(20,0)"), F.ceil((F.col("_high") - F.col("_low") + 1) / F.ceil(F.col("_n") / chunk_rows))).cast("decimal(20,0)")
+        stats = written(stats.select(*group, "_low", step.alias("_step")), "chunk-ranges")
+        if stats.isEmpty():
+            return out.drop("_all")
+        place = F.floor((F.col(order).cast("decimal(20,0)") - F.col("_low")) / F.col("_step")).cast("bigint")
+        out = out.join(stats, group, "left").withColumn("_path", F.concat("_chunk", F.array(F.coalesce(place, F.lit(0))))).drop("_low", "_step", "_chunk").withColumnRenamed("_path", "_chunk")
+        most = 2 * chunk_rows
+
+
 def _attach(df: DataFrame, offsets: DataFrame, keys: Sequence[str], cols: Sequence[str]) -> DataFrame:
     """Equi-join offset columns back by (keys, chunk)."""
     return df.join(offsets.select(*keys, *cols), list(keys), "left")
@@ -34,12 +57,16 @@ def _offsets(summary: DataFrame, keys: Sequence[str], sums: Sequence[str]) -> Da
 
 def running_sums(df: DataFrame, keys: Sequence[str], order: Sequence[str], values: dict[str, Column],
                  chunk_of: Column | None = None, chunk_rows: int = CHUNK_ROWS,
-                 per_group: DataFrame | None = None) -> DataFrame:
+                 per_group: DataFrame | None = None, sparse: bool = False) -> DataFrame:
     """Add inclusive running sums. ``order`` is a total order whose first column is an integer; ``values`` maps new
     column names to the integer expressions to sum. Keys must not be null. Columns of ``per_group`` (one row per
-    group) travel with the chunk offsets, so attaching them costs no further shuffle of the rows."""
-    chunk = _chunk(chunk_of if chunk_of is not None else F.col(order[0]), chunk_rows)
-    staged = df.withColumns({"_chunk": chunk, **{f"_v_{n}": e.cast("bigint") for n, e in values.items()}})
+    group) travel with the chunk offsets, so attaching them costs no further shuffle of the rows. ``sparse``: the first order
+    column is no dense position, so chunks follow the rows."""
+    if sparse:
+        staged = ranged(df, keys, order[0], chunk_rows)
+    else:
+        staged = df.withColumn("_chunk", _chunk(chunk_of if chunk_of is not None else F.col(order[0]), chunk_rows))
+    staged = staged.withColumns({f"_v_{n}": e.cast("bigint") for n, e in values.items()})
     window = Window.partitionBy(*keys, "_chunk").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     local = staged.withColumns({f"_r_{n}": F.sum(f"_v_{n}").over(window) for n in values})
     summary = staged.groupBy(*keys, "_chunk").agg(*[F.sum(f"_v_{n}").alias(f"_s_{n}") for n in values])
@@ -56,9 +83,9 @@ def running_sums(df: DataFrame, keys: Sequence[str], order: Sequence[str], value
 
 def numbered(df: DataFrame, keys: Sequence[str], order: Sequence[str], out: str = "rn",
              chunk_of: Column | None = None, chunk_rows: int = CHUNK_ROWS,
-             per_group: DataFrame | None = None) -> DataFrame:
+             per_group: DataFrame | None = None, sparse: bool = False) -> DataFrame:
     """Row number 1..n per group in order."""
-    return running_sums(df, keys, order, {out: F.lit(1)}, chunk_of, chunk_rows, per_group)
+    return running_sums(df, keys, order, {out: F.lit(1)}, chunk_of, chunk_rows, per_group, sparse)
 
 
 def neighbour(df: DataFrame, keys: Sequence[str], order: str, cols: dict[str, str], forward: bool,

@@ -4,26 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame
 
-HOT_KEYS = 1000
-HOT_ROWS = 100_000
 
-
-def lookup_join(big: DataFrame, lookup: DataFrame, keys: Sequence[str], values: Sequence[str], weight: str,
-                spread: Sequence[str], hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Left-join ``values`` of ``lookup`` (unique on ``keys``; ``weight`` = rows of that key in ``big``).
-
-    The heaviest keys - at most ``HOT_KEYS`` rows, so broadcasting them has a fixed bound - are joined map-side.
-    All other keys go through one shuffle; hot rows ride along spread evenly by a salt that matches nothing, so no
-    task receives a whole hot key, and no row is dropped.
-    """
-    hot = (lookup.filter(F.col(weight) >= hot_rows).orderBy(F.col(weight).desc(), *keys).limit(HOT_KEYS)
-           .select(*keys, F.struct(*values).alias("_hot")))
-    staged = big.join(F.broadcast(hot), list(keys), "left")
-    salt = F.when(F.col("_hot").isNotNull(), F.xxhash64(*spread) % 1_000_003 + 1_000_004).otherwise(F.lit(0))
-    staged = staged.withColumn("_salt", salt.cast("bigint"))
-    cold = lookup.select(*keys, F.lit(0).cast("bigint").alias("_salt"), F.struct(*values).alias("_cold"))
-    joined = staged.join(cold, [*keys, "_salt"], "left")
-    return joined.select("*", *[F.coalesce(F.col("_hot"), F.col("_cold"))[v].alias(v) for v in values]) \
-        .drop("_hot", "_cold", "_salt")
+def lookup_join(big: DataFrame, lookup: DataFrame, keys: Sequence[str], values: Sequence[str]) -> DataFrame:
+    """Left-join ``values`` of ``lookup`` (unique on ``keys``). ``big`` is the outer side, so adaptive execution may cut its heavy
+    partitions, one key's rows as well, and give every part the lookup's few rows: any number of hot keys, none of them a
+    single task. A lookup that turns out to be small is broadcast by its measured size."""
+    return big.join(lookup.select(*keys, *values), list(keys), "left")

@@ -78,7 +78,7 @@ def ach_files(entries: DataFrame, odfi8: str = "02100002", company_id: str = "12
         "entries_before": F.coalesce(F.sum("entries").over(earlier), F.lit(0))})
     numbered = ordered.running_sums(
         entries, ["file_id", "batch_no"], ["src_key"], {"used_to": F.expr("1 + has_addenda"), "seq": F.lit(1)},
-        per_group=placed.select("file_id", "batch_no", "start", "entries_before"))
+        per_group=placed.select("file_id", "batch_no", "start", "entries_before"), sparse=True)
     seq7 = "lpad(cast((entries_before + seq) % 10000000 as string), 7, '0')"
     entry = render_record(ACH, "6", {
         "transaction_code": "transaction_code", "rdfi_routing_transit": "rdfi8", "check_digit": "check_digit",
@@ -138,7 +138,7 @@ def card_files(details: DataFrame, order: list[str], values: Mapping[str, str],
     """Header, numbered details and a trailer with computed totals. ``values`` maps detail fields to SQL text;
     ``order[0]`` is an integer column."""
     totals = card_totals(details, "file_id")
-    numbered = ordered.numbered(details, ["file_id"], order, "seq")
+    numbered = ordered.numbered(details, ["file_id"], order, "seq", sparse=True)
     body = numbered.select("file_id", F.col(order[0]).cast("bigint").alias("src_key"), F.expr("seq + 1 as line_no"),
                            F.lit("DETAIL").alias("record_type"),
                            F.expr(render_record(CARD, "DETAIL", values)).alias("line"))
@@ -154,7 +154,7 @@ def card_files(details: DataFrame, order: list[str], values: Mapping[str, str],
 def gl_files(rows: DataFrame, order: list[str], values: Mapping[str, str], header: Mapping[str, str]) -> DataFrame:
     """Journal files: a row of column names, one journal header, numbered journal lines."""
     spec = GL
-    numbered = ordered.numbered(rows, ["file_id"], order, "seq")
+    numbered = ordered.numbered(rows, ["file_id"], order, "seq", sparse=True)
     body = numbered.select("file_id", F.expr("seq + 2 as line_no"), F.expr(render_row(spec, "LINE", values)).alias("line"))
     names = q(spec.delimiter.join(f.name.upper() for f in spec.of("HEADER")))
     top = rows.select("file_id").distinct().select("file_id", F.expr(

@@ -367,6 +367,34 @@ def w18(spark, folder):
     return found.select("doc_id", "start", F.md5(F.array_join("x", ",")).alias("x"), F.md5(F.array_join("y", ",")).alias("y"))
 
 
+def _stream_sql(table, key, length, stride):
+    """Windows of the concatenated stream, from the one list of all ids."""
+    return f"""WITH {VOCAB.format(table='benchmark')}, c AS (SELECT {key} AS k, unnest({CHARS}) AS ch, unnest(range(1, len({CHARS}) + 1)) AS i FROM {table}),
+  t AS (SELECT list(coalesce(id, 3) ORDER BY k, i) AS ids FROM c LEFT JOIN v USING (ch)), w AS (SELECT ids, unnest(range(0, len(ids) - {length}, {stride})) AS st FROM t)
+  SELECT cast(st AS bigint) AS start, md5(array_to_string(ids[st + 1:st + {length}], ',')) AS x, md5(array_to_string(ids[st + 2:st + {length} + 1], ',')) AS y FROM w"""
+
+
+def _stream(ids, key, length, stride):
+    found = ngram.stream_windows(ids, key, length, stride)
+    return found.select("start", F.md5(F.array_join("x", ",")).alias("x"), F.md5(F.array_join("y", ",")).alias("y"))
+
+
+@query("w18_stream_windows", f"""WITH {VOCAB.format(table='benchmark')}, c AS (SELECT doc_id AS k, unnest({CHARS}) AS ch, unnest(range(1, len({CHARS}) + 1)) AS i FROM documents),
+  s AS (SELECT coalesce(id, 3) AS id, row_number() OVER (ORDER BY k, i) - 1 AS p FROM c LEFT JOIN v USING (ch)),
+  xs AS (SELECT p // 64 * 64 AS start, md5(string_agg(id, ',' ORDER BY p)) AS x FROM s GROUP BY 1), ys AS (SELECT (p - 1) // 64 * 64 AS start, md5(string_agg(id, ',' ORDER BY p)) AS y FROM s WHERE p > 0 GROUP BY 1)
+  SELECT cast(start AS bigint) AS start, x, y FROM xs JOIN ys USING (start) WHERE start + 64 < (SELECT count(*) FROM s)""")
+def w18b(spark, folder):
+    """Windows of the stream of all documents."""
+    return _stream(encoded(spark, folder), "doc_id", 64, 64)
+
+
+@query("w18_every_window", _stream_sql("benchmark", "item_id", 32, 1))
+def w18c(spark, folder):
+    """Every window of the stream of all benchmark passages, one token apart."""
+    texts = bench(spark, folder)
+    return _stream(ngram.encode(texts.select("item_id", "text"), "text", ngram.char_vocabulary(texts, "text")), "item_id", 32, 1)
+
+
 PAIRS = f"""wf AS (SELECT w, count(*) AS freq FROM (SELECT unnest({WORDS}) AS w FROM documents) GROUP BY 1),
   sy AS (SELECT freq, list_append(list_filter(string_split(w, ''), lambda c: c <> ''), '</w>') AS s FROM wf),
   pr AS (SELECT freq, s[i] AS l, s[i + 1] AS r FROM (SELECT freq, s, unnest(range(1, len(s))) AS i FROM sy))"""
@@ -415,11 +443,10 @@ def c8(spark, folder):
 
 @query("c9_token_windows", None)
 def c9(spark, folder):
-    """Character ids of the cleaned documents as training windows with their split."""
-    clean = corpus.cleaned(docs(spark, folder).select("doc_id", "text"))
-    ids = ngram.encode(clean, "text", ngram.char_vocabulary(clean, "text"))
-    found = ngram.windows(ids, "doc_id", 256, 256)
-    return corpus.split_by_hash(found).select("doc_id", "start", "split", "x", "y")
+    """BPE ids of the cleaned documents as training windows over the token stream of each split."""
+    clean = corpus.split_by_hash(corpus.cleaned(docs(spark, folder).select("doc_id", "text")))
+    found = ngram.stream_windows(bpe.encode(clean, "text", *_bpe(spark, folder)), "doc_id", 256, 256, ["split"])
+    return found.select("split", "start", "x", "y")
 
 
 @query("c10_text_metrics", None)

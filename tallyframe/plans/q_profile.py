@@ -263,7 +263,7 @@ def mixed(spark, folder):
         "concat('csv-', c_mktsegment) as file_id", "c_custkey",
         "concat(concat_ws(',', c_custkey, c_name, c_nationkey, cast(c_acctbal as decimal(18,2))), if(c_custkey % 7 = 0, ',', '')) as line")
     from tallyframe.operators import ordered
-    csv = ordered.numbered(customers, ["file_id"], ["c_custkey"], "line_no").select("file_id", "line_no", "line")
+    csv = ordered.numbered(customers, ["file_id"], ["c_custkey"], "line_no", sparse=True).select("file_id", "line_no", "line")
     return shared.raw(spark, folder).unionByName(shared.gl_lines(spark, folder)).unionByName(csv)
 
 

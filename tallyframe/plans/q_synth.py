@@ -140,7 +140,7 @@ def g8(spark, folder):
 @query("g9_enum_constant_sequence", f"""SELECT c_custkey, {o_pick(K, 'sec', ('PPD', 'CCD', 'CTX'))} AS enum_value, '094' AS constant_value,
   lpad(cast(row_number() OVER (ORDER BY c_custkey) AS varchar), 7, '0') AS sequence_value FROM customer""")
 def g9(spark, folder):
-    numbered = ordered.numbered(customers(spark, folder), [], ["c_custkey"], "rn")
+    numbered = ordered.numbered(customers(spark, folder), [], ["c_custkey"], "rn", sparse=True)
     enum = generate.value(Field("R", "sec", "enum", length=3, allowed=("PPD", "CCD", "CTX")), SEED, K, AS_OF)
     const = generate.value(Field("R", "size", "constant", length=3, default="094"), SEED, K, AS_OF)
     seq = generate.value(Field("R", "n", "sequence", length=7, justify="right", pad="0"), SEED, K, AS_OF, "rn")
@@ -299,12 +299,12 @@ def p10(spark, folder):
 @query("w7_sequence_counter", "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey) AS seq FROM (SELECT DISTINCT l_orderkey, l_linenumber, l_partkey, l_suppkey FROM lineitem)")
 def w7(spark, folder):
     rows = derived.table(spark, folder, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").distinct()
-    return ordered.numbered(rows, ["l_suppkey"], ["l_orderkey", "l_linenumber", "l_partkey"], "seq")
+    return ordered.numbered(rows, ["l_suppkey"], ["l_orderkey", "l_linenumber", "l_partkey"], "seq", sparse=True)
 
 
 @query("w8_trace_numbers", "SELECT o_orderkey, '02100002' || lpad(cast(row_number() OVER (ORDER BY o_orderkey) AS varchar), 7, '0') AS trace FROM orders")
 def w8(spark, folder):
-    numbered = ordered.numbered(derived.table(spark, folder, "orders").select("o_orderkey"), [], ["o_orderkey"], "rn")
+    numbered = ordered.numbered(derived.table(spark, folder, "orders").select("o_orderkey"), [], ["o_orderkey"], "rn", sparse=True)
     return numbered.selectExpr("o_orderkey", f"{generate.trace_number("'021000021'", 'rn')} as trace")
 
 
@@ -313,7 +313,7 @@ def w8(spark, folder):
 def w9(spark, folder):
     orders = derived.table(spark, folder, "orders").select("o_orderkey").withColumn("run", F.lit("all"))
     total = orders.groupBy("run").agg(F.count(F.lit(1)).alias("total"))
-    numbered = ordered.numbered(orders, ["run"], ["o_orderkey"], "rn", per_group=total)
+    numbered = ordered.numbered(orders, ["run"], ["o_orderkey"], "rn", per_group=total, sparse=True)
     return numbered.selectExpr("o_orderkey", f"{generate.batch_of('rn', 'total')} as batch")
 
 

@@ -3,6 +3,7 @@ import math
 import random
 from collections import Counter
 
+import pytest
 from pyspark.sql import functions as F
 
 from tallyframe.operators import bpe, corpus, ngram
@@ -17,6 +18,29 @@ def block_docs(rng):
     return ["".join(rng.choice(pool) for _ in range(rng.randint(0, 6))) for _ in range(60)]
 
 
+@pytest.mark.parametrize("length, stride, segment", [(4, 1, 8), (5, 3, 16), (64, 64, 32), (3, 1, 1 << 16)])
+def test_stream_windows_cross_texts(spark, length, stride, segment):
+    rng = random.Random(length)
+    held = {g: [(rng.randint(-2**62, 2**62), [rng.randint(0, 99) for _ in range(rng.choice((0, 1, 2, 9, 150)))]) for _ in range(30)] for g in ("a", "b")} | {"short": [(1, [7] * length)]}
+    rows = [(g, k, ids) for g, texts in held.items() for k, ids in texts]
+    df = spark.createDataFrame(rows, "g string, k bigint, ids array<int>").repartition(3)
+    got = {(r["g"], r["start"]): (r["x"], r["y"]) for r in ngram.stream_windows(df, "k", length, stride, ["g"], segment).collect()}
+    want = {}
+    for g, texts in held.items():
+        stream = [t for _, ids in sorted(texts) for t in ids]
+        want |= {(g, p): (stream[p:p + length], stream[p + 1:p + length + 1]) for p in range(0, len(stream) - length, stride)}
+    assert got == want
+
+
+def test_character_ids_by_code_point_pages(spark):
+    vocabulary = ngram.char_vocabulary(make_docs(spark, ["az", "é\u07ff漢", "\U0001F600\U0010FFFF\x00 "]), "text")
+    ids = {r["ch"]: r["id"] for r in vocabulary.collect()}
+    text = "a\U0001F600é漢\U0010FFFF\x00 b\U0001F601\u0100\u07ff"
+    assert ngram.encode(make_docs(spark, [text, "", None]), "text", vocabulary).orderBy("doc_id").first()["ids"] == [ids.get(c, 3) for c in text]
+    none = ngram.char_vocabulary(make_docs(spark, [""]), "text")
+    assert ngram.encode(make_docs(spark, ["ab"]), "text", none).first()["ids"] == [3, 3]
+
+
 def sequential_dedup(texts, size):
     seen, kept = set(), []
     for i, t in enumerate(texts):

@@ -50,10 +50,39 @@ def test_last_seen_across_chunks(spark):
             assert got[key, pos] == last
 
 
-def test_lookup_join_keeps_every_row_on_both_paths(spark):
-    big = spark.range(1000).select("id", F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("k"), F.col("id") % 50)).alias("key"))
-    lookup = big.groupBy("key").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n"))
-    want = {r["key"]: r["first"] for r in lookup.collect()}
-    for limit in (1, 100, 10 ** 9):
-        got = skew.lookup_join(big, lookup, ["key"], ["first"], "n", ["id"], hot_rows=limit).collect()
-        assert len(got) == 1000 and all(r["first"] == want[r["key"]] for r in got)
+def scattered(spark):
+    """One huge group with keys over all 64 bits, a cluster and stray keys far from it; many small groups; equal keys."""
+    rng = random.Random(9)
+    ids = {rng.randint(-2**63, 2**63 - 1) for _ in range(600)} | set(range(10**6, 10**6 + 900)) | {-2**63, 2**63 - 1}
+    rows = [("big", i, 1) for i in ids] + [(f"s{k}", i, k) for k in range(200) for i in (5, 2**40, -7)] + [("same", 4, v) for v in range(300)]
+    return rows, spark.createDataFrame(rows, "k string, id bigint, v int").repartition(5)
+
+
+def test_chunks_follow_the_rows(spark):
+    rows, df = scattered(spark)
+    chunk = 50
+    held = ordered.ranged(df, ["k"], "id", chunk).groupBy("k", "_chunk").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("a"), F.max("id").alias("b")).orderBy("k", "_chunk").collect()
+    assert sum(r["n"] for r in held) == len(rows)
+    big = [r for r in held if r["k"] == "big"]
+    assert len(held) - len(big) == 201 and len(big) <= 4 * sum(r["n"] for r in big) / chunk
+    assert max(r["n"] for r in big) <= 2 * chunk
+    assert all(x["b"] < y["a"] for x, y in zip(big, big[1:]))
+
+
+def test_numbers_over_sparse_keys(spark):
+    rows, df = scattered(spark)
+    got = {(r["k"], r["id"], r["v"]): r["rn"] for r in ordered.numbered(df, ["k"], ["id", "v"], "rn", chunk_rows=50, sparse=True).collect()}
+    for key in {r[0] for r in rows}:
+        for n, row in enumerate(sorted(r for r in rows if r[0] == key), 1):
+            assert got[row] == n
+    whole = ordered.numbered(df, [], ["id", "k", "v"], "rn", chunk_rows=50, sparse=True).orderBy("rn").collect()
+    assert [(r["id"], r["k"], r["v"]) for r in whole] == sorted((i, k, v) for k, i, v in rows)
+    assert ordered.numbered(df.limit(0), ["k"], ["id"], "rn", sparse=True).collect() == []
+
+
+def test_lookup_join_with_any_number_of_hot_keys(spark):
+    """1,001 keys of equal weight, each far above the partition size at which adaptive execution calls it skewed."""
+    big = spark.range(200_200).select("id", (F.col("id") % 1001).alias("key"))
+    lookup = big.groupBy("key").agg(F.min("id").alias("first"))
+    got = skew.lookup_join(big, lookup, ["key"], ["first"])
+    assert got.filter("first = id % 1001").count() == 200_200
