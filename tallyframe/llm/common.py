@@ -10,7 +10,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tallyframe.session import written
 
@@ -21,6 +21,21 @@ def read(spark: SparkSession, folder: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{table}.parquet")
 
 
+def absent(docs: DataFrame, *names: str) -> list[str]:
+    """The names with as many underscores before them as no column of ``docs`` starts with (in any case), so that helper columns never hide
+    one of the table's own."""
+    bar = "_"
+    while any(c.lower() == (bar + n).lower() for c in docs.columns for n in names):
+        bar += "_"
+    return [bar + n for n in names]
+
+
+def row_mark(docs: DataFrame, *columns: str) -> Column:
+    """Text by which rows meet their verdict again: a SHA-256 of the columns' values, null told from empty."""
+    parts = [F.coalesce(F.concat(F.length(F.col(c).cast("string")).cast("string"), F.lit(":"), F.col(c).cast("string")), F.lit("-")) for c in columns]
+    return F.sha2(F.concat_ws("|", *parts), 256)
+
+
 def byte_table(separators: bytes, lower: bool) -> np.ndarray:
     """A 256-entry byte map: separators become blanks and, if asked for, A-Z become a-z. UTF-8 stays valid."""
     table = np.arange(256, dtype=np.uint8)

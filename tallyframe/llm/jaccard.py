@@ -27,7 +27,7 @@ import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tallyframe.llm.common import blank_separated, components, cut_words, encoded, field, slices
+from tallyframe.llm.common import absent, blank_separated, components, cut_words, encoded, field, slices
 from tallyframe.session import written
 
 BITS, SHARDS, FAN_IN, BINS = 20, 16, 64, 32
@@ -284,12 +284,13 @@ def one_per_component(docs: DataFrame, key: str = "doc_id", text: str = "text",
     first = first.select("component", F.col("first.id").alias("_first"), F.col("first.mark").alias("_least"))
     stays = F.col("id").eqNullSafe(F.col("_first")) & (F.col("mark") == F.col("_least"))
     found = written(found.join(first, "component").select(F.col("id").alias("_id"), F.col("mark").alias("_row"), "k", (~stays).alias("gone")).where("gone OR k > 1"), "shingle-verdicts")
-    marked = docs.withColumn("_mark", mark)
-    these = lambda rows, other: (rows["_mark"] == other["_row"]) & rows[key].cast("long").eqNullSafe(other["_id"])
+    (name,) = absent(docs, "mark")
+    marked = docs.withColumn(name, mark)
+    these = lambda rows, other: (rows[name] == other["_row"]) & rows[key].cast("long").eqNullSafe(other["_id"])
     gone, again = found.where("gone"), found.where("NOT gone")
     left = marked.join(gone, these(marked, gone), "left_anti")
     if again.isEmpty():
         return left.select(*docs.columns)
     # rows that repeat the one that stays: one of them
-    once = marked.join(again, these(marked, again), "left_semi").dropDuplicates([key, "_mark"])
+    once = marked.join(again, these(marked, again), "left_semi").dropDuplicates([key, name])
     return left.join(again, these(left, again), "left_anti").union(once).select(*docs.columns)

@@ -16,6 +16,7 @@ each; a null label leaves its row out of the learning; an empty table gives no r
 
 from __future__ import annotations
 
+import logging
 import math
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -84,13 +85,15 @@ def posteriors(docs: DataFrame, model: dict, text: str) -> DataFrame:
     return out.withColumn("n_tokens", F.size("_w").cast("long")).withColumn("posterior", F.transform("_e", lambda x: x / total)).drop("_w", "_hit", "_at", "_log", "_top", "_e")
 
 
-def rate_after(steps: list[list[float]], pull: float, size: float) -> Column:
-    """A row's rate after the steps' gradients: r <- max(0, r - size (p . g + pull (r - 1))), from 1."""
+def rate_after(steps: list[list[float]], pull: float, size: float, least: Column | None = None) -> Column:
+    """A row's rate after the steps' gradients: r <- max(least, r - size (p . g + pull (r - 1))), from 1. ``least`` is 0 or a column from 0
+    to 1."""
+    least = F.lit(0.0) if least is None else least
     if not steps:
         return F.lit(1.0)
     gradients = F.array(*[F.array(*[F.lit(float(x)) for x in g]) for g in steps])
     dot = lambda g: F.aggregate(F.zip_with(g, F.col("posterior"), lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
-    return F.aggregate(gradients, F.lit(1.0), lambda r, g: F.greatest(F.lit(0.0), r - F.lit(size) * (dot(g) + F.lit(pull) * (r - 1.0))))
+    return F.aggregate(gradients, F.lit(1.0), lambda r, g: F.greatest(least, r - F.lit(size) * (dot(g) + F.lit(pull) * (r - 1.0))))
 
 
 def scales(second: list[list[float]], pull: float) -> tuple[list[float], float]:
@@ -101,7 +104,7 @@ def scales(second: list[list[float]], pull: float) -> tuple[list[float], float]:
     return weight, 1.0 / (max(sum(second[i][k] * math.sqrt(weight[i] * weight[k]) for k in width) for i in width) + pull)
 
 
-def rated(scored: DataFrame, targets: list[float], steps: int = STEPS, pull: float = PULL) -> tuple[DataFrame, list[float]]:
+def rated(scored: DataFrame, targets: list[float], steps: int = STEPS, pull: float = PULL, least: Column | None = None) -> tuple[DataFrame, list[float]]:
     """Adds ``rate`` to rows with ``n_tokens`` and ``posterior``, and returns the domains' shares that the rates reach.
     Targets are shares of all tokens. With T the expected domain totals as shares, the objective is
     1/2 sum_d w_d (T_d(r) - target_d)^2 + pull/2 sum t_i (r_i - 1)^2 / sum t_i; a row's gradient is taken per token, see ``scales`` for w."""
@@ -111,7 +114,7 @@ def rated(scored: DataFrame, targets: list[float], steps: int = STEPS, pull: flo
         return scored.withColumn("rate", F.lit(1.0)), [0.0] * width
 
     def shares(history: list[list[float]], size: float) -> list[float]:
-        r = rate_after(history, pull, size)
+        r = rate_after(history, pull, size, least)
         row = scored.select("n_tokens", "posterior", r.alias("r")).agg(*[F.sum(F.col("n_tokens") * F.col("r") * F.col("posterior")[i]) for i in range(width)]).first()
         return [(x or 0.0) / total for x in row]
 
@@ -126,7 +129,9 @@ def rated(scored: DataFrame, targets: list[float], steps: int = STEPS, pull: flo
             break
         history.append([w * g for w, g in zip(weight, gap)])
         reached = shares(history, size)
-    return scored.withColumn("rate", rate_after(history, pull, size)), reached
+    if max(abs(a - b) for a, b in zip(reached, targets)) > 0.01:
+        logging.getLogger(__name__).warning("targets %s are not met: %s", targets, reached)
+    return scored.withColumn("rate", rate_after(history, pull, size, least)), reached
 
 
 def mixed(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], key: str = "doc_id", text: str = "text", domain: str = "domain") -> DataFrame:
@@ -142,6 +147,23 @@ def mixed(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], key:
     return out
 
 
+def resampled(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], keep: str | None = None, key: str = "doc_id", text: str = "text", domain: str = "domain") -> tuple[DataFrame, list[float]]:
+    """(rows of ``docs`` as often as their own rate says, the domains' expected shares by the rates). ``keep`` names a domain none of whose
+    likely rows (posterior of one half or more) may go: their rates are at least 1, as a bound in the least squares, so the other rates
+    make up for it. The rates alone decide; they are per row, so unlike texts of one id, and null ids, have their own."""
+    domains = sorted(targets)
+    total = sum(targets.values())
+    model = learned(labelled, domains, text, domain, key)
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(text).alias("text"))
+    scored = written(posteriors(rows, model, "text").drop("text"), "mixing-rows")
+    if not model["words"]:
+        return docs, [0.0] * len(domains)
+    least = F.when(F.col("posterior")[domains.index(keep)] >= 0.5, 1.0).otherwise(0.0) if keep else None
+    out, reached = rated(scored, [targets[d] / total for d in domains], least=least)
+    times = copies(F.col("rate"), F.xxhash64(F.col("row")[key], F.col("row")[text]))
+    return out.withColumn("times", times).where("times > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("times")))).select("row.*"), reached
+
+
 def copies(rate: Column, key: Column) -> Column:
     """How often a row is taken: the rate's whole part, and one more with the probability of the rest, by a hash of the key."""
     draw = F.pmod(F.xxhash64(key, F.lit("mix")), F.lit(1 << 40)) / float(1 << 40)

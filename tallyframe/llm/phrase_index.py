@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tallyframe.llm.common import cut_words, encoded, field, gather, letter_words, slices
+from tallyframe.llm.common import absent, cut_words, encoded, field, gather, letter_words, row_mark, slices
 from tallyframe.session import scratch_path, written
 
 WINDOW, SEGMENT_BYTES, BLOCK_WORDS, BROADCAST_WORDS = 13, 12 << 20, 200_000, 100_000
@@ -82,18 +82,20 @@ def item_terms(items: DataFrame, key: str, text: str) -> DataFrame:
     return F.broadcast(terms) if total <= BROADCAST_WORDS else terms
 
 
-def near(lists: list[np.ndarray], slop: int) -> np.ndarray:
-    """Positions of the rarest term from which the whole sequence can be read, with at most ``slop`` foreign words
-    between neighbours."""
+def spans(lists: list[np.ndarray], slop: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(positions of the rarest term from which the whole sequence can be read, with at most ``slop`` foreign words between
+    neighbours; position of its first word; of its last). Each word takes the nearest place from which the rest can be read,
+    so no other reading has a later first word or an earlier last one: if this one reaches into another document, all do."""
     rarest = min(range(len(lists)), key=lambda i: len(lists[i]))
     alive = np.ones(len(lists[rarest]), bool)
+    ends = {1: lists[rarest], -1: lists[rarest]}
     for side in (1, -1):
         chain = range(rarest + 1, len(lists)) if side > 0 else range(rarest - 1, -1, -1)
         # walk to the end of the chain and back: a position stays if its next one is reachable and stays
         path = [rarest, *chain]
-        good = np.ones(len(lists[path[-1]]), bool)
+        good, reach = np.ones(len(lists[path[-1]]), bool), lists[path[-1]]
         for here, there in zip(path[-2::-1], path[:0:-1]):
-            target = lists[there][good]
+            target, far = lists[there][good], reach[good]
             if side > 0:
                 at = np.searchsorted(target, lists[here], side="right")
                 gap = np.where(at < len(target), target[np.minimum(at, len(target) - 1)] if len(target) else 0, 1 << 60) - lists[here]
@@ -101,8 +103,15 @@ def near(lists: list[np.ndarray], slop: int) -> np.ndarray:
                 at = np.searchsorted(target, lists[here], side="left") - 1
                 gap = lists[here] - np.where(at >= 0, target[np.maximum(at, 0)] if len(target) else 0, -(1 << 60))
             good = gap <= slop + 1
+            reach = far[np.clip(at, 0, max(0, len(far) - 1))] if len(far) else np.zeros(len(good), np.int64)
         alive &= good
-    return lists[rarest][alive]
+        ends[side] = reach
+    return lists[rarest][alive], ends[-1][alive], ends[1][alive]
+
+
+def near(lists: list[np.ndarray], slop: int) -> np.ndarray:
+    """Positions of the rarest term in ``spans``."""
+    return spans(lists, slop)[0]
 
 
 def exact(lists: list[np.ndarray]) -> np.ndarray:
@@ -131,19 +140,24 @@ def matcher(window: int, slop: int):
             need = min(window, uses[at][2])  # only unbroken runs of an item's words can hold a window
             for s in range(at, end - need + 1):
                 run = [lists[uses[k][3]] for k in range(s, s + need)]
-                hits = near(run, slop) if slop else exact(run)
-                if len(hits):
-                    found.append((uses[s][4], hits, need))
+                if slop:
+                    _, first, last = spans(run, slop)
+                else:
+                    first = exact(run)
+                    last = first + need - 1
+                if len(first):
+                    found.append((uses[s][4], first, last - first + 1))
             at = end
         out = {"segment": np.full(sum(len(h) for _, h, _ in found), key[0]), "item": pd.Series([i for i, h, _ in found for _ in h], dtype=object),
-               "position": np.concatenate([h for _, h, _ in found]) if found else np.zeros(0, np.int64), "length": [n for _, h, n in found for _ in h]}
+               "position": np.concatenate([h for _, h, _ in found]) if found else np.zeros(0, np.int64), "length": np.concatenate([n for *_, n in found]) if found else np.zeros(0, np.int64)}
         return pd.DataFrame(out)
     return match
 
 
 def matches(index: DataFrame, items: DataFrame, key: str = "item_id", text: str = "text", window: int = WINDOW, slop: int = 0) -> DataFrame:
-    """(segment, item, position, length): occurrences of every item's windows - of the phrase (``slop`` 0: its first word's
-    position), or of the words in order and near each other (the rarest word's position)."""
+    """(segment, item, position, length): occurrences of every item's windows, of the phrase (``slop`` 0) or of the words in order
+    and near each other, from the first word's position to the last word's. Those that reach into the next document are taken out
+    where documents are looked up."""
     terms = item_terms(items, key, text)
     postings = index.where(F.col("term").isNotNull()).select("segment", "term", "positions")
     return postings.join(terms, "term").select("segment", "block", "positions", "uses").groupBy("segment", "block").applyInPandas(matcher(window, slop), HIT)
@@ -197,14 +211,22 @@ def contaminated() -> Column:
     return (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))
 
 
-def checked(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc as string, n_words, n_hit, n_items, items_sha256, contaminated) of every row of ``docs``."""
+def checked(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", slop: int = 0) -> DataFrame:
+    """(doc as string, n_words, n_hit, n_items, items_sha256, contaminated) of every row of ``docs``; with ``slop`` also n_near and
+    n_near_items, the words and items of windows whose words stand in order with at most that many foreign words between two."""
     index = build(docs, key, text)
-    return per_document(index, matches(index, items)).withColumn("contaminated", contaminated())
+    if not slop:
+        return per_document(index, matches(index, items)).withColumn("contaminated", contaminated())
+    marked = index.withColumn("keys", F.when(F.col("keys").isNotNull(), F.transform("keys", lambda k, i: F.concat(F.col("segment").cast("string"), F.lit(":"), i.cast("string"), F.lit(":"), F.coalesce(k, F.lit(""))))))
+    exactly, nearby = per_document(marked, matches(index, items)), per_document(marked, matches(index, items, slop=slop))
+    out = exactly.join(nearby.select("doc", F.col("n_hit").alias("n_near"), F.col("n_items").alias("n_near_items")), "doc")
+    own = F.regexp_extract("doc", r"(?s)^\d+:\d+:(.*)$", 1)
+    return out.withColumn("doc", own).withColumn("contaminated", contaminated())
 
 
 def clean_documents(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs`` whose own text is not contaminated; rows meet their verdict by id and text."""
-    marked = docs.withColumn("_mark", F.xxhash64(F.col(key), F.col(text)))
-    gone = checked(marked, items, "_mark", text).where("contaminated").select(F.col("doc").cast("long").alias("_mark")).distinct()
-    return marked.join(gone, "_mark", "left_anti").select(*docs.columns)
+    (mark,) = absent(docs, "mark")
+    marked = docs.withColumn(mark, row_mark(docs, key, text))
+    gone = checked(marked, items, mark, text).where("contaminated").select(F.col("doc").alias(mark)).distinct()
+    return marked.join(gone, mark, "left_anti").select(*docs.columns)

@@ -17,8 +17,8 @@ def tokenizer(name: str = "word_bpe_49k.json") -> str:
 
 def op2_decontamination(spark, sf_dir):
     """For every document: words inside occurrences of benchmark windows, and the items that have one."""
-    out = phrase_index.checked(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
-    return out.withColumn("doc_id", F.col("doc").cast("long")).select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+    out = phrase_index.checked(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), slop=1)
+    return out.withColumn("doc_id", F.col("doc").cast("long")).select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "n_near", "n_near_items")
 
 
 def op3_suffix_dedup(spark, sf_dir):

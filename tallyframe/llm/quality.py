@@ -24,6 +24,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from tallyframe.llm.common import absent, row_mark
 from tallyframe.session import written
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -141,11 +142,8 @@ def kept_documents(docs: DataFrame, labels: DataFrame, key: str = "doc_id", **op
     """The documents that neither the base rules nor the calibrated rules reject, with their columns."""
     # repeated ids have equal or different texts; a row leaves only for its own text, so rows meet their verdict by id and text
     columns = docs.columns
-    named = docs.withColumn("_mark", F.xxhash64(F.col(key), F.col(options.get("text", "text")), F.col(options.get("stratum", "lang"))))
-    verdict = judged(named.withColumn("_id0", F.col("_mark")), labels_by_mark(named, labels, key), "_id0", **options)
-    gone = verdict.where(~F.col("kept")).select(F.col("_id0").alias("_mark")).distinct()
-    return named.join(gone, "_mark", "left_anti").select(*columns)
-
-
-def labels_by_mark(named: DataFrame, labels: DataFrame, key: str) -> DataFrame:
-    return named.select(key, "_mark").join(labels.select(key, "quality"), key).select(F.col("_mark").alias("_id0"), "quality")
+    (mark,) = absent(docs, "mark")
+    named = docs.withColumn(mark, row_mark(docs, key, options.get("text", "text"), options.get("stratum", "lang")))
+    marks = named.select(F.col(key).alias("_key"), mark).join(labels.select(F.col(key).alias("_key"), "quality"), "_key").select(mark, "quality")
+    gone = judged(named, marks, mark, **options).where(~F.col("kept")).select(mark).distinct()
+    return named.join(gone, mark, "left_anti").select(*columns)

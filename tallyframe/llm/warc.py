@@ -15,6 +15,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import uuid
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -152,17 +153,34 @@ def fields_of(head: bytes) -> dict[str, str]:
     return {k.strip().lower(): v.strip() for k, _, v in pairs}
 
 
+CORRUPT = ("corrupt", *[None] * 6)
+
+
+def length_of(names: dict[str, str], most: int | None = None) -> int | None:
+    """The Content-Length of a header, 0 if it has none; None if it is no number, or more than there is."""
+    text = names.get("content-length", "0")
+    if not re.fullmatch("[0-9]{1,18}", text):
+        return None
+    return int(text) if most is None or int(text) <= most else None
+
+
 def parsed(data: bytes) -> tuple:
-    """(type, id, uri, refers to, payload bytes, digest, payload) of a record; of a revisit, what its headers say."""
+    """(type, id, uri, refers to, payload bytes, digest, payload) of a record; of a revisit, what its headers say. A length that is
+    no number or exceeds the member makes the record corrupt."""
     head, _, rest = data.partition(b"\r\n\r\n")
     names = fields_of(head)
-    block = rest[:int(names.get("content-length", 0))]
+    length = length_of(names, len(rest))
+    if length is None:
+        return CORRUPT
+    block = rest[:length]
     kind, payload, size = names.get("warc-type"), block, len(block)
     if names.get("content-type", "").startswith("application/http"):
         http, _, payload = block.partition(b"\r\n\r\n")
         size = len(payload)
         if kind == "revisit":
-            size = int(fields_of(http).get("content-length", 0))
+            size = length_of(fields_of(http))
+            if size is None:
+                return CORRUPT
     bare = lambda x: x.strip("<>").removeprefix("urn:page:") if x else None
     digest = base64.b32encode(hashlib.sha1(payload).digest()).decode()
     if kind == "revisit":
@@ -197,7 +215,7 @@ def read_archives(files: DataFrame, payloads: bool = True, split_bytes: int = SP
                 rows, held = [], 0
                 with store.open_input_file(inner) as file:
                     for at, data in records_between(file, start, start + split_bytes):
-                        found = parsed(data) if data is not None else ("corrupt", *[None] * 6)
+                        found = parsed(data) if data is not None else CORRUPT
                         rows.append((path, at, *found[:6], found[6] if payloads else None))
                         held += len(data or b"") if payloads else 256 + len(found[2] or "")
                         if held >= 8 << 20:

@@ -134,6 +134,32 @@ def test_proximity(spark):
     assert [(r.doc, r.item, r.position, r.length) for r in place] == [("1", "2", 1, 3)]
 
 
+def test_proximity_stays_in_its_document(spark):
+    """Documents of one segment: a sequence over their border is no match, one whose rarest word stands at a document's end is."""
+    docs = spark.createDataFrame([(1, "alpha beta"), (2, "gamma delta gamma"), (3, "alpha x beta y gamma"), (4, "alpha alpha beta"), (5, "x gamma")], "doc_id long, text string").coalesce(1)
+    items = spark.createDataFrame([(1, "alpha beta gamma")], "item_id long, text string")
+    index = phrase_index.build(docs)
+    assert index.where("term IS NULL").count() == 1
+    place = phrase_index.located(index, phrase_index.matches(index, items, slop=1)).collect()
+    assert [(r.doc, r.item, r.position, r.length) for r in place] == [("3", "1", 0, 5)]
+    got = {r.doc: (r.n_hit, r.n_items, r.n_near, r.n_near_items) for r in phrase_index.checked(docs, items, slop=1).collect()}
+    assert got == {"1": (0, 0, 0, 0), "2": (0, 0, 0, 0), "3": (0, 0, 5, 1), "4": (0, 0, 0, 0), "5": (0, 0, 0, 0)}
+
+
+def test_proximity_equals_brute_force(spark):
+    rng = random.Random(12)
+    texts = [" ".join(rng.choices("abcdx", k=rng.randint(0, 25))) for _ in range(60)]
+    item = "a b c d"
+    for slop in (1, 2):
+        docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(2)
+        got = {int(r.doc): r.n_near_items for r in phrase_index.checked(docs, spark.createDataFrame([(1, item)], "item_id long, text string"), slop=slop).collect()}
+        for i, t in enumerate(texts):
+            reach = {k for k, w in enumerate(t.split()) if w == "a"}
+            for w in "bcd":
+                reach = {k for k, x in enumerate(t.split()) if x == w and any(0 < k - j <= slop + 1 for j in reach)}
+            assert got[i] == int(bool(reach)), t
+
+
 # -- op3
 
 
@@ -445,7 +471,10 @@ def test_each_id_is_scored_once_with_its_past_only():
     rng = np.random.default_rng(0)
     ids, ends = rng.integers(0, 3000, 100), np.array([37, 37, 100])
     classes = attention_lm.Classes.from_counts(np.bincount(ids, minlength=attention_lm.VOCABULARY))
-    p = attention_lm.trained(ids, ends, classes, steps=30)
+    fit = attention_lm.Fit(attention_lm.start(np.bincount(ids, minlength=attention_lm.VOCABULARY), classes), classes, [0])
+    for _ in range(30):
+        fit.read(ids, ends)
+    p = fit.p
     score = attention_lm.Scorer(p, classes)
     logs = score(ids, ends)
     # a probability over all ids
@@ -491,6 +520,67 @@ def test_training_helps(spark):
     assert row.score > row.base_score
 
 
+def test_training_reads_every_row_and_whole_texts(spark):
+    """Pairs of words that only the tail of one long text has are known to the model: a held-out text of such pairs scores better
+    than one of the same words in another order."""
+    rng = random.Random(4)
+    plain = [" ".join(rng.choices(["north", "south", "east", "west"], k=300)) for _ in range(60)]
+    tail = " ".join(["river", "bank"] * 6_000)
+    docs = spark.createDataFrame([*enumerate(plain), (100, " ".join(rng.choices(["north", "south"], k=6_000)) + " " + tail)], "doc_id long, text string").repartition(4)
+    asked = spark.createDataFrame([(1, "river bank " * 50), (2, "river river bank bank " * 25)], "doc_id long, text string")
+    got = {r.doc_id: r.score for r in attention_lm.scored(asked, docs, tokenizer()).collect()}
+    assert got[1] > got[2] + 5
+
+
+def test_parameters_are_averaged_in_a_tree(spark):
+    fan = attention_lm.FAN
+    attention_lm.FAN = 3
+    try:
+        rows = [(i, float(i + 1), [float((i + 1) * x) for x in (i, 2 * i)]) for i in range(20)]
+        got = attention_lm.averaged(spark.createDataFrame(rows, attention_lm.PARTS))
+        weight = sum(r[1] for r in rows)
+        assert got == pytest.approx([sum(r[2][k] for r in rows) / weight for k in (0, 1)])
+        assert attention_lm.averaged(spark.createDataFrame([], attention_lm.PARTS)) is None
+    finally:
+        attention_lm.FAN = fan
+
+
+def test_helper_columns_hide_none(spark, rows, docs):
+    """Columns with the helpers' names come through all stages that keep rows."""
+    named = docs.select("*", (F.col("doc_id") + 1).alias("_mark"), F.lit("m").alias("__mark"), F.lit(3).alias("_MARK_"), F.lit(0.5).alias("rate"), F.lit(7).alias("copy"), F.lit("r").alias("times"))
+    labels = spark.createDataFrame([(r[0], int(i % 3 > 0), 0) for i, r in enumerate(rows)], "doc_id long, quality int, toxic int")
+    items = spark.createDataFrame(items_of(rows), "item_id long, text string")
+    domain = docs.select("doc_id", "text", F.when(F.col("doc_id") % 2 == 0, "clean").otherwise("junk").alias("domain"))
+    for out in (quality.kept_documents(named, labels), phrase_index.clean_documents(named, items), jaccard.one_per_component(named, n=5, percent=80), mixing.resampled(named, domain, {"clean": 0.5, "junk": 0.5})[0]):
+        assert out.columns == named.columns
+        got = out.collect()
+        assert got and all(r["_mark"] == r["doc_id"] + 1 and (r["__mark"], r["_MARK_"], r["rate"], r["copy"], r["times"]) == ("m", 3, 0.5, 7, "r") for r in got)
+
+
+def test_resampled_rows_follow_their_own_rates(spark):
+    """Copies are the rates' whole parts or one more, their sum meets the rates; rows that are likely of the kept domain stay; rows of
+    one id and null ids are told apart by their texts."""
+    rng = random.Random(6)
+    word = {"clean": "good fine plain clear", "junk": "spam offer click cheap", "toxic": "nasty awful vile mean"}
+    rows = []
+    for i in range(900):
+        domain = rng.choices(["clean", "junk", "toxic"], [5, 3, 2])[0]
+        rows.append((None if i % 50 == 0 else i // 2, " ".join(rng.choices(word[domain].split() + ["the", "of", "and"], k=40)), domain))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, domain string")
+    targets = {"clean": 0.9, "junk": 0.06, "toxic": 0.04}
+    out, reached = mixing.resampled(docs, docs.where("doc_id % 3 > 0"), targets, keep="clean")
+    got = collections.Counter((r.doc_id, r.text) for r in out.collect())
+    assert all(got[i, t] >= 1 for i, t, d in rows if d == "clean")
+    total = collections.Counter()
+    for (i, t), n in got.items():
+        total[next(d for a, b, d in rows if (a, b) == (i, t))] += 40 * n
+    share = {d: total[d] / sum(total.values()) for d in targets}
+    assert all(abs(share[d] - targets[d]) < 0.04 for d in targets), share
+    assert sum(reached) == pytest.approx(1, abs=0.2)
+    free, _ = mixing.resampled(docs, docs.where("doc_id % 3 > 0"), {"clean": 0.1, "junk": 0.8, "toxic": 0.1})
+    assert len({(r.doc_id, r.text) for r in free.collect()} & {(i, t) for i, t, d in rows if d == "clean"}) < 300
+
+
 # -- the pipeline
 
 

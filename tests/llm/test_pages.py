@@ -138,3 +138,13 @@ def test_a_section_is_judged_whatever_its_hosts_size(spark):
         assert {r.verdict for r in out if r.host == host and not r.path.startswith("/s7/")} == {"allow"}
     templates = {r.template for r in out if r.host == "hot.example"}
     assert templates == {"/s7/*", "/{s0|+78}/*", "/*/x"}
+
+
+def test_malformed_lengths_are_corrupt():
+    head = b"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:5>\r\nContent-Length: %s\r\n\r\nbody"
+    assert warc.parsed(head % b"4")[:2] == ("response", "5")
+    for bad in (b"four", b"-1", b"", b"5", b"9" * 30, "４".encode()):
+        assert warc.parsed(head % bad) == warc.CORRUPT
+    inner = b"HTTP/1.1 200 OK\r\nContent-Length: many\r\n\r\n"
+    revisit = b"WARC/1.1\r\nWARC-Type: revisit\r\nContent-Type: application/http\r\nContent-Length: %d\r\n\r\n" % len(inner) + inner
+    assert warc.parsed(revisit) == warc.CORRUPT
