@@ -1,8 +1,14 @@
-"""The training-data pipeline: each stage works on all that its predecessor kept."""
+"""The training-data pipeline: each stage works on all that its predecessor kept.
+
+Defined cases, for every stage: a null text counts as empty; null ids and repeated ids are decided row by row; rows that are alike
+in all columns share a verdict, but one of them stays as its component's row in the n-gram Jaccard join; of equal rows of a component the
+smallest id stays, null ids last; texts of any length are read whole; extra columns come through whatever their names; an empty table gives
+an empty result, and empty labels or benchmark tables no rejections by them. The last stage returns ids by position, see
+``token_files``."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 from tallyframe.llm import jaccard, mixing, phrase_index, quality, token_files
 from tallyframe.llm.common import read
@@ -26,13 +32,9 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixing_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents are taken as often as their rate says: those of the toxic and junk domains seldom or never, clean ones once or
-    more. A rate of at least one half never drops a document, so clean ones stay."""
-    rates = mixing.mixed(docs, labelled(docs, read(spark, sf_dir, "labels")), TARGETS).groupBy("doc_id").agg(F.max("rate").alias("_rate"))
-    rated = docs.join(rates, docs["doc_id"].eqNullSafe(rates["doc_id"]), "left").select(docs["*"], F.coalesce("_rate", F.lit(1.0)).alias("_rate"))
-    times = mixing.copies(F.col("_rate"), F.col("doc_id"))
-    times = F.when(F.col("_rate") >= 0.5, F.greatest(F.lit(1), times)).otherwise(times)
-    return rated.where(times > 0).withColumn("_copy", F.explode(F.sequence(F.lit(1), times))).select(*docs.columns)
+    """Every row is taken as often as its own rate says: those of the toxic and junk domains seldom or never, those that are likely
+    clean at least once, as a bound in the least squares."""
+    return mixing.resampled(docs, labelled(docs, read(spark, sf_dir, "labels")), TARGETS, keep="clean")[0]
 
 
 def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
