@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 PAGE = 200
 
@@ -16,6 +16,14 @@ def page(events: DataFrame, limit: int = PAGE, action: str | None = None, spec:
     return events.orderBy(F.col("ts").desc(), F.col(tie).desc()).limit(limit)
 
 
+def newest_pages(events: DataFrame, key: str, limit: int = PAGE, tie: str = "event_id") -> DataFrame:
+    """(key, newest): the ids of the newest events of each key, a page of ``limit``, newest first. The rank limit runs before the
+    shuffle, so a frequent key sends a page per task."""
+    order = Window.partitionBy(key).orderBy(F.col("ts").desc(), F.col(tie).desc())
+    top = events.select(key, "ts", tie).withColumn("_rank", F.row_number().over(order)).filter(F.col("_rank") <= limit)
+    return top.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("_rank", tie))).alias("_p")).select(key, F.transform("_p", lambda p: p[tie]).alias("newest"))
+
+
 def by_action(events: DataFrame) -> DataFrame:
     """Events per action and the mean score of validations."""
     return events.groupBy("action").agg(

@@ -34,22 +34,23 @@ def similarity(counts: DataFrame, key: str, terms: DataFrame, idf: bool = False)
     if idf:
         total = terms.select("spec").distinct().count()
         df = terms.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-        terms = terms.join(F.broadcast(df), "term").withColumn(
+        terms = terms.join(df, "term").withColumn(
             "weight", F.col("weight") * (F.log((F.lit(total) + 1) / (F.col("df") + 1)) + 1)).drop("df")
     spec_norm = terms.groupBy("spec").agg(F.expr("sqrt(sum(weight * weight)) as spec_norm"))
     text_norm = counts.groupBy(key).agg(F.expr("sqrt(sum(n * n)) as text_norm"))
-    dots = counts.join(F.broadcast(terms), "term").groupBy(key, "spec").agg(F.expr("sum(n * weight) as dot"))
-    return dots.join(text_norm, key).join(F.broadcast(spec_norm), "spec").select(
+    dots = counts.join(terms, "term").groupBy(key, "spec").agg(F.expr("sum(n * weight) as dot"))
+    return dots.join(text_norm, key).join(spec_norm, "spec").select(
         key, "spec", F.expr("round(dot / (text_norm * spec_norm), 6) as score"))
 
 
 def identify(texts: DataFrame, key: str, text: str, specs: tuple[Spec, ...] = tuple(BUILT_IN.values()),
              k: int = TOP_K, idf: bool = False) -> DataFrame:
-    """Top-k specs per text. Every text is scored against every spec (the list is fixed); no common term scores 0."""
+    """Top-k specs per text, which may stand in several rows of one key. Every key is scored against every spec (the list is
+    fixed); no common term scores 0."""
     spark = texts.sparkSession
     scores = similarity(term_counts(texts, key, text), key, spec_terms(spark, *specs), idf)
     names = ", ".join(q(s.name) for s in specs)
-    pairs = texts.select(key, F.expr(f"explode(array({names})) as spec"))
+    pairs = texts.select(key).distinct().select(key, F.expr(f"explode(array({names})) as spec"))
     ranked = pairs.join(scores, [key, "spec"], "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
     order = Window.partitionBy(key).orderBy(F.col("score").desc(), "spec")
     return ranked.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)

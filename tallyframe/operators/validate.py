@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from tallyframe.functions import checks, fixed
 from tallyframe.functions.sqltext import q
+from tallyframe.session import written
 from tallyframe.sources.layouts import Spec, spec_table
 
 FIELD_ERROR_CAP = 5
@@ -202,17 +203,43 @@ def capped_report(found: DataFrame, errors_cap: int = REPORT_ERRORS, warnings_ca
 def report(result: DataFrame) -> DataFrame:
     """Per file: lines, passed and failed checks, warnings, affected lines, validity and score percent."""
     found = "if(codes = '', 0L, cast(size(split(codes, ',')) as bigint))"
-    return result.groupBy("file_id").agg(
+    return report_scores(result.groupBy("file_id").agg(
         F.expr("count_if(pos = 0) as total_records"),
         F.expr("sum(cast(good as bigint)) as passed"),
         F.expr(f"sum(if(pos > 0, {found}, 0)) as failed"),
         F.expr(f"sum(if(pos = 0, {found}, 0)) as warnings"),
-        F.expr("count(distinct if(pos > 0 and codes <> '', line_no, null)) as records_with_errors"),
-    ).withColumns({
+        F.expr("count(distinct if(pos > 0 and codes <> '', line_no, null)) as records_with_errors")))
+
+
+def report_scores(counts: DataFrame) -> DataFrame:
+    return counts.withColumns({
         "is_valid": F.col("failed") == 0,
         "score": F.expr("if(passed + failed = 0, 0D, round(100D * passed / (passed + failed), 2))")})
 
 
+def findings_once(result: DataFrame) -> DataFrame:
+    """What ``checked`` found, once, for both the report and the error table: a row per finding's field, and all other checks of a
+    file added up in one row (combined map-side, so only findings and one row per file and task travel)."""
+    one = F.when(F.col("codes") != "", F.struct("line_no", "record_type", "pos", "field", "value", "codes"))
+    sums = result.groupBy("file_id", one.alias("finding")).agg(F.sum(F.col("good").cast("bigint")).alias("good"), F.count_if(F.col("pos") == 0).alias("lines"))
+    return sums.select("file_id", "finding.*", "good", "lines")
+
+
+def reported(once: DataFrame) -> DataFrame:
+    """``report`` from ``findings_once``."""
+    found = "if(codes is null, 0L, cast(size(split(codes, ',')) as bigint))"
+    return report_scores(once.groupBy("file_id").agg(
+        F.expr("sum(lines) as total_records"), F.expr("sum(good) as passed"), F.expr(f"sum(if(pos > 0, {found}, 0)) as failed"),
+        F.expr(f"sum(if(pos = 0, {found}, 0)) as warnings"), F.expr("count(distinct if(pos > 0, line_no, null)) as records_with_errors")))
+
+
+def all_findings(result: DataFrame) -> DataFrame:
+    """The whole outcome of a validation, whatever its size: every finding of every file in a row of its own, next to the file's report;
+    files without a finding have one row without one. Lines are checked once."""
+    once = written(findings_once(result), "findings")
+    return reported(once).join(errors(once.filter("codes is not null")), "file_id", "left")
+
+
 def error_counts(found: DataFrame) -> DataFrame:
     return found.groupBy("record_type", "field", "code").agg(
         F.count_if(F.col("severity") == "ERROR").alias("errors"),
@@ -241,7 +268,7 @@ def prefix_matches(lines: DataFrame, prefixes: DataFrame, widths: list[int]) ->
     """Line x record definitions by prefix; a line may match several. ``prefixes`` (record_id, record_name) is a
     definition table; its few distinct widths turn the theta join into an equi-join on the cut prefix."""
     cut = F.explode(F.array(*[F.substring("line", 1, w) for w in widths]))
-    return lines.withColumn("record_id", cut).join(F.broadcast(prefixes), "record_id")
+    return lines.withColumn("record_id", cut).join(prefixes, "record_id")
 
 
 def generic_errors(matched: DataFrame, spec: Spec) -> DataFrame:

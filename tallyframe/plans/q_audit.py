@@ -89,12 +89,12 @@ def a38(spark, folder):
 
 
 @query("c11_audit_report", f"""WITH {EVENTS_SQL} SELECT action, cast(count(*) AS bigint) AS n, round(avg(CASE WHEN action = 'VALIDATE' THEN score END), 2) AS avg_valid_score,
-  max(ts) AS last_ts, cast(count(DISTINCT spec) AS bigint) AS specs FROM ev GROUP BY 1""")
+  max(ts) AS last_ts, cast(count(DISTINCT spec) AS bigint) AS specs, list(event_id ORDER BY ts DESC, event_id DESC)[1:200] AS newest FROM ev GROUP BY 1""")
 def c11(spark, folder):
     """Statistics by action next to the newest page of each action."""
     ev = events(spark, folder)
     newest = ev.groupBy("action").agg(F.max("ts").alias("last_ts"), F.countDistinct("spec").alias("specs"))
-    return audit.by_action(ev).join(newest, "action")
+    return audit.by_action(ev).join(newest, "action").join(audit.newest_pages(ev, "action"), "action")
 
 
 @query("t9_detection_windows", """SELECT doc_id, array_to_string(string_split(text, chr(10))[1:20], chr(10)) AS first_lines, substr(text, 1, 500) AS short_window, substr(text, 1, 5000) AS long_window FROM documents""")

@@ -133,13 +133,14 @@ def t1(spark, folder):
 
 @query("c5_identify_files", f"""WITH {spec_terms_sql()}, {LINES}, {shared.GL_LINES}, {shared.CARD_LINES}, tx AS (SELECT file_id, line FROM lines UNION ALL SELECT file_id, line FROM gl_lines UNION ALL SELECT file_id, line FROM card_lines),
   tc AS (SELECT file_id, term, count(*) AS n FROM (SELECT file_id, unnest(regexp_extract_all(lower(line), '[\\p{{L}}\\p{{N}}_]+')) AS term FROM tx) GROUP BY 1, 2),
-  tn AS (SELECT file_id, sqrt(sum(n * n)::double) AS tn FROM tc GROUP BY 1), sn AS (SELECT spec, sqrt(sum(weight * weight)::double) AS sn FROM sterms GROUP BY 1)
-  SELECT file_id, spec, round(dot / (tn * sn), 6) AS score FROM (SELECT file_id, spec, sum(n * weight)::double AS dot FROM tc JOIN sterms USING (term) GROUP BY 1, 2) JOIN tn USING (file_id) JOIN sn USING (spec)""")
+  tn AS (SELECT file_id, sqrt(sum(n * n)::double) AS tn FROM tc GROUP BY 1), sn AS (SELECT spec, sqrt(sum(weight * weight)::double) AS sn FROM sterms GROUP BY 1),
+  sim AS (SELECT file_id, spec, round(dot / (tn * sn), 6) AS score FROM (SELECT file_id, spec, sum(n * weight)::double AS dot FROM tc JOIN sterms USING (term) GROUP BY 1, 2) JOIN tn USING (file_id) JOIN sn USING (spec)),
+  r AS (SELECT file_id, s.spec, coalesce(score, 0) AS score, cast(row_number() OVER (PARTITION BY file_id ORDER BY coalesce(score, 0) DESC, s.spec) AS int) AS rank
+    FROM (SELECT DISTINCT file_id FROM tx) CROSS JOIN (SELECT DISTINCT spec FROM sterms) s LEFT JOIN sim USING (file_id, spec)) SELECT * FROM r WHERE rank <= 3""")
 def c5(spark, folder):
     """Best three formats of every derived file, scored on its lines as text (terms are counted, never concatenated)."""
     texts = shared.raw(spark, folder).unionByName(shared.gl_lines(spark, folder)).unionByName(shared.card_lines(spark, folder))
-    counts = identify.term_counts(texts, "file_id", "line")
-    return identify.similarity(counts, "file_id", identify.spec_terms(spark))
+    return identify.identify(texts, "file_id", "line")
 
 
 @query("a24_vocabulary", """SELECT word, cast(count(*) AS bigint) AS n FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z_]+')) AS word FROM documents)

@@ -432,6 +432,16 @@ def s2(spark, folder):
     return files.read_delimited(spark, path, ",")
 
 
+@query("s2_detected_header", """SELECT kind, cast(c_custkey AS varchar) AS custkey, c_name AS name FROM customer CROSS JOIN (VALUES ('named'), ('bare')) k(kind)""")
+def s2b(spark, folder):
+    """The same rows with and without a row of names; the reader finds out."""
+    rows, out = customers(spark, folder).select("c_custkey", "c_name"), []
+    for kind, header in (("named", True), ("bare", False)):
+        path = round_trip(spark, f"delimited-{kind}", lambda p, h=header: sinks.write_delimited(rows, p, ";", header=h))
+        out.append(files.read_delimited(spark, path, ";", header=None).toDF("custkey", "name").withColumn("kind", F.lit(kind)))
+    return out[0].unionByName(out[1])
+
+
 @query("s3_plain_split", f"""WITH {shared.GL_LINES} SELECT file_id, line_no, coalesce(string_split(line, '|')[1], '') AS status, coalesce(string_split(line, '|')[9], '') AS entered_dr,
   coalesce(string_split(line, '|')[17], '') AS reference2, coalesce(string_split(line, '|')[40], '') AS beyond FROM gl_lines""")
 def s3(spark, folder):

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import dataclasses
+
 from pyspark.sql import functions as F
 
 from tallyframe.functions import checks, fixed
@@ -96,6 +98,16 @@ def j15(spark, folder):
     return found.groupBy("record_id", "record_name").agg(F.count(F.lit(1)).alias("n"), F.sum("line_no").alias("line_sum"))
 
 
+@query("j15_generic_errors", f"""WITH {LINES}, defs(record_id) AS (VALUES ('1'), ('5'), ('6'), ('7'), ('8'), ('9')), m AS (SELECT * FROM lines JOIN defs ON starts_with(line, record_id)),
+  f(record_id, field, s, e) AS (VALUES {", ".join(f"('{f.record_type}', '{f.name}', {f.start}, {f.end})" for f in ACH.fields if f.data_type in ("numeric", "amount"))}),
+  v AS (SELECT file_id, line_no, m.record_id, field, trim(substr(line, s, e - s + 1)) AS value FROM m JOIN f USING (record_id) WHERE length(line) >= e)
+  SELECT * FROM v WHERE value <> '' AND NOT regexp_full_match(value, '[0-9]+')""")
+def j15_generic(spark, folder):
+    """Number and amount fields that are no digits, for lines by the prefix of their record definition."""
+    defs = spark.createDataFrame([(t,) for t in ACH.record_types], "record_id string")
+    return validate.generic_errors(validate.prefix_matches(shared.raw(spark, folder), defs, [1]), ACH)
+
+
 @query("f1_required_gate", code_sql(GL_SQL, "lenient", "'REQUIRED'"))
 def f1(spark, folder):
     return with_codes(gl_errors(spark, folder), "REQUIRED")
@@ -131,16 +143,18 @@ def f6(spark, folder):
     return with_codes(card_errors(spark, folder), "PATTERN")
 
 
-@query("f7_fixed_value", f"""WITH {LINES} SELECT file_id, line_no, substr(line, 2, 3) AS service_class_code FROM lines
-  WHERE substr(line, 1, 1) IN ('5', '8') AND trim(substr(line, 80, 8)) <> '02100002'""")
+@query("f7_fixed_value", f"""WITH {LINES}, v AS (SELECT file_id, line_no, CASE WHEN length(line) >= 87 THEN trim(substr(line, 80, 8)) ELSE '' END AS value FROM lines
+  WHERE substr(line, 1, 1) IN ('5', '8') AND line <> repeat('9', 94)) SELECT * FROM v WHERE value <> '02100002'""")
 def f7(spark, folder):
-    return shared.raw(spark, folder).filter("substring(line, 1, 1) in ('5', '8') and trim(substring(line, 80, 8)) <> '02100002'") \
-        .selectExpr("file_id", "line_no", "substring(line, 2, 3) as service_class_code")
+    """The layout with the originator's number as a fixed value: findings FIXED."""
+    fixed_odfi = dataclasses.replace(ACH, fields=tuple(dataclasses.replace(f, fixed="02100002") if f.record_type in "58" and f.start == 80 else f for f in ACH.fields))
+    found = validate.errors(validate.checked(shared.raw(spark, folder), fixed_odfi))
+    return found.filter("code = 'FIXED' and record_type in ('5', '8') and value <> '02100002' and field in (" + ", ".join(f"'{f.name}'" for f in fixed_odfi.fields if f.fixed == "02100002") + ")").select("file_id", "line_no", "value")
 
 
 @query("f8_record_length", f"WITH {LINES} SELECT file_id, line_no, cast(length(line) AS int) AS line_len FROM lines WHERE length(line) <> 94")
 def f8(spark, folder):
-    return shared.raw(spark, folder).selectExpr("file_id", "line_no", "length(line) as line_len").filter("line_len <> 94")
+    return ach_errors(spark, folder).filter("code = 'RECORD_LENGTH'").select("file_id", "line_no", F.length("value").alias("line_len"))
 
 
 @query("x30_check_fold", code_sql(ACH_SQL, "lenient", "'REQUIRED', 'LENGTH', 'TYPE', 'DATE', 'ROUTING', 'ALLOWED', 'FIXED'"))
@@ -424,13 +438,16 @@ def a39(spark, folder):
     return reconcile.native_stats(shared.raw(spark, folder))
 
 
-@query("c1_validate_files", None)
+@query("c1_validate_files", ACH_SQL + """, per_line AS (SELECT t.file_id, t.line_no, coalesce(sum(good), 0) AS good, coalesce(sum(len(codes)), 0) AS bad,
+    any_value(CASE WHEN length(line) <> 94 THEN 1 ELSE 0 END + CASE WHEN t.record_type IS NULL THEN 1 ELSE 0 END) AS notes
+  FROM typed t LEFT JOIN lenient l ON t.file_id = l.file_id AND t.line_no = l.line_no GROUP BY 1, 2),
+  rep AS (""" + REPORT_SQL + """), e AS (SELECT file_id, line_no, record_type, field, cast(pos AS int) AS pos, 'ERROR' AS severity, unnest(codes) AS code, v AS value FROM lenient
+    UNION ALL SELECT file_id, line_no, record_type, 'RECORD_LENGTH', 0, 'WARNING', 'RECORD_LENGTH', line FROM typed WHERE length(line) <> 94
+    UNION ALL SELECT file_id, line_no, record_type, 'RECORD_TYPE', 0, 'WARNING', 'RECORD_TYPE', line FROM typed WHERE record_type IS NULL)
+  SELECT rep.*, e.* EXCLUDE (file_id) FROM rep LEFT JOIN e USING (file_id)""")
 def c1(spark, folder):
-    """Report joined with the capped findings of each file, as the service returns it."""
-    result = ach_result(spark, folder)
-    top = validate.capped_report(validate.errors(result)).groupBy("file_id").agg(
-        F.sort_array(F.collect_list(F.struct("severity", "rank", "line_no", "field", "code", "value"))).alias("messages"))
-    return validate.report(result).join(top, "file_id", "left")
+    """Every finding of every file next to the file's report."""
+    return validate.all_findings(ach_result(spark, folder))
 
 
 def _c2_sql():

@@ -50,13 +50,26 @@ def partition_file_id() -> Column:
     return F.regexp_extract("path", "file_id=([^/]+)", 1)
 
 
-def read_delimited(spark: SparkSession, path: str, delimiter: str, header: bool = True, schema: str | None = None) -> DataFrame:
-    """Quoted delimited files; blank rows are skipped."""
+def read_delimited(spark: SparkSession, path: str, delimiter: str, header: bool | None = True, schema: str | None = None) -> DataFrame:
+    """Quoted delimited files; blank rows are skipped. ``header=None`` looks at the first row to tell whether it has names."""
+    if header is None:
+        header = has_header(spark, path, delimiter)
     reader = spark.read.option("sep", delimiter).option("header", header).option("quote", '"').option("escape", '"')
     df = (reader.schema(schema) if schema else reader).csv(path)
     return df.filter(F.coalesce(*[F.nullif(F.trim(F.col(f"`{c}`").cast("string")), F.lit("")) for c in df.columns]).isNotNull())
 
 
+def has_header(spark: SparkSession, path: str, delimiter: str) -> bool:
+    """Whether the first row of the first file with rows looks like names."""
+    rows = spark.read.option("sep", delimiter).option("quote", '"').option("escape", '"').csv(path)
+    cells = [F.coalesce(F.col(f"`{c}`"), F.lit("")) for c in rows.columns]
+    if not cells:
+        return False
+    first = rows.select(F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("at"), F.monotonically_increasing_id().alias("id"), looks_like_header(cells).alias("header"))
+    row = first.agg(F.min_by("header", F.struct("file", "at", "id")).alias("header")).first()
+    return bool(row["header"])
+
+
 def looks_like_header(first: list[Column]) -> Column:
     """A first row is a header when every cell has a letter or underscore."""
     ok = F.lit(True)
