@@ -509,6 +509,15 @@ def s9(spark, folder):
     return docs.select(F.regexp_extract("path", r"page_id=(\d+)", 1).cast("bigint").alias("page_id"), F.length(body).alias("chars"), F.md5(body).alias("digest"))
 
 
+@query("t9_file_heads", """SELECT page_id, cast(strlen(html) + 1 AS bigint) AS length, md5((encode(html || chr(10)))[1:500]) AS digest FROM pages""")
+def t9_heads(spark, folder):
+    """Each page as a file of its own, of which detection reads the first 500 bytes."""
+    pages = derived.table(spark, folder, "pages").select("page_id", F.col("html").alias("value"))
+    path = round_trip(spark, "texts", lambda p: pages.repartition("page_id").write.partitionBy("page_id").text(p))
+    heads = files.read_heads(spark, path, 500).filter(F.col("path").like("%.txt"))
+    return heads.select(F.regexp_extract("path", r"page_id=(\d+)", 1).cast("bigint").alias("page_id"), "length", F.md5("head").alias("digest"))
+
+
 @query("k6_report_json", None)
 def k6(spark, folder):
     result = validate.checked(shared.raw(spark, folder), layouts.ACH)

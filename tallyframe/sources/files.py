@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
+import pyarrow.fs as fs
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
 from tallyframe.functions import fixed
@@ -46,6 +50,35 @@ def read_lines(spark: SparkSession, path: str, file_id: Column | None = None) ->
     return numbered_lines(raw_lines(spark, path), file_id if file_id is not None else F.col("path"))
 
 
+def read_heads(spark: SparkSession, path: str, most_bytes: int = 65_536) -> DataFrame:
+    """(path, length, head): the first ``most_bytes`` bytes of every file below ``path``, and no byte more is read of it: Spark lists
+    the files with their lengths (the content column is pruned), and tasks open each one and read its beginning. Empty files have no row."""
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "length")
+
+    def beginnings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 64):
+                part, heads = batch.slice(at, 64), []
+                for name in part.column(0).to_pylist():
+                    store, inner = fs.FileSystem.from_uri(name)
+                    with store.open_input_stream(inner, buffer_size=0) as file:
+                        heads.append(file.read(most_bytes))
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(heads, pa.binary())], names=["path", "length", "head"])
+
+    return listed.mapInArrow(beginnings, "path string, length long, head binary")
+
+
+def head_lines(heads: DataFrame, most_lines: int | None = None, file_id: Column | None = None) -> DataFrame:
+    """(file_id, line_no, line): the non-blank whole lines of ``read_heads``, for detection on samples; a line that the bound cuts is
+    left out, unless it is the file's only one."""
+    lines = F.split(F.decode(F.make_valid_utf8(F.col("head").cast("string")).cast("binary"), F.lit("UTF-8")), "\r?\n")
+    cut = (F.col("length") > F.length("head")) & (F.size("_lines") > 1)
+    rows = heads.withColumn("_lines", lines).withColumn("_lines", F.when(cut, F.slice("_lines", F.lit(1), F.size("_lines") - 1)).otherwise(F.col("_lines")))
+    kept = F.filter("_lines", lambda line: F.trim(line) != "")
+    rows = rows.select((F.col("path") if file_id is None else file_id).alias("file_id"), F.posexplode(kept if most_lines is None else F.slice(kept, 1, most_lines)).alias("line_no", "line"))
+    return rows.withColumn("line_no", F.col("line_no").cast("long") + 1)
+
+
 def partition_file_id() -> Column:
     return F.regexp_extract("path", "file_id=([^/]+)", 1)
 

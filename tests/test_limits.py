@@ -7,7 +7,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from tallyframe.functions import seeded
-from tallyframe.operators import generate, identify, validate
+from tallyframe.operators import generate, identify, profile, validate
 from tallyframe.sources import files
 from tallyframe.sources.layouts import ACH, Field, Record, Spec
 
@@ -67,3 +67,16 @@ def test_every_file_is_ranked(spark):
     got = identify.identify(texts, "k", "t").collect()
     assert {(r["k"], r["rank"]) for r in got} == {(k, n) for k in ("known", "strange") for n in (1, 2, 3)}
     assert {r["score"] for r in got if r["k"] == "strange"} == {0.0}
+
+
+def test_heads_read_a_bounded_part(spark, tmp_path):
+    line = "a|b|c é"
+    for name, n in (("long", 5_000), ("short", 3), ("one", 0)):
+        (tmp_path / f"{name}.txt").write_text("\n".join([line] * n) if n else "x" * 500)
+    (tmp_path / "empty.txt").write_text("")  # has no beginning and no row
+    heads = files.read_heads(spark, str(tmp_path), 100)
+    got = {r["path"].rpartition("/")[2]: (r["length"], bytes(r["head"])) for r in heads.collect()}
+    assert got == {p.name: (p.stat().st_size, p.read_bytes()[:100]) for p in tmp_path.glob("*.txt") if p.stat().st_size}
+    lines = collections.Counter((r["file_id"].rpartition("/")[2], r["line"]) for r in files.head_lines(heads).collect())
+    assert lines == {("long.txt", line): 100 // len((line + "\n").encode()), ("short.txt", line): 3, ("one.txt", "x" * 100): 1}
+    assert profile.detect_delimiter(files.head_lines(heads, 5)).filter("file_id like '%long.txt'").first()["delimiter"] == "|"
