@@ -71,7 +71,7 @@ def read_heads(spark: SparkSession, path: str, most_bytes: int = 65_536) -> Data
 def head_lines(heads: DataFrame, most_lines: int | None = None, file_id: Column | None = None) -> DataFrame:
     """(file_id, line_no, line): the non-blank whole lines of ``read_heads``, for detection on samples; a line that the bound cuts is
     left out, unless it is the file's only one."""
-    lines = F.split(F.decode(F.make_valid_utf8(F.col("head").cast("string")).cast("binary"), F.lit("UTF-8")), "\r?\n")
+    lines = F.split(F.make_valid_utf8(F.col("head").cast("string")), "\r?\n")
     cut = (F.col("length") > F.length("head")) & (F.size("_lines") > 1)
     rows = heads.withColumn("_lines", lines).withColumn("_lines", F.when(cut, F.slice("_lines", F.lit(1), F.size("_lines") - 1)).otherwise(F.col("_lines")))
     kept = F.filter("_lines", lambda line: F.trim(line) != "")
