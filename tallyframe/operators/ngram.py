@@ -2,19 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tallyframe.functions import seeded, text as tx
 from tallyframe.operators import ordered, skew
-from tallyframe.session import ensure_checkpoint_dir
+from tallyframe.session import written
 
 START, END = "^", "$"
 FLOOR = 1e-6
 SPECIALS = {"<PAD>": 0, "<BOS>": 1, "<EOS>": 2, "<UNK>": 3}
-BROADCAST_ROWS = 1_000_000
 
 
 def model(texts: DataFrame, field: str, text: str, n: int = 3, weight: str | None = None) -> DataFrame:
@@ -96,60 +94,24 @@ def _uniform_sql(seed: int, row: str, step: int) -> str:
     return seeded.unit(seed, row, f"step{step}")
 
 
-def generate_text(rows: DataFrame, row: str, field: str, counts: DataFrame, length: int, temperature: float = 0.8, seed: int = 42,
-                  n: int = 3, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+#: Steps between two written states of a walk.
+WALK_STEPS = 4
+
+
+def generate_text(rows: DataFrame, row: str, field: str, counts: DataFrame, length: int, temperature: float = 0.8, seed: int = 42, n: int = 3) -> DataFrame:
     """(row, field, text): one sampled text per row, at most ``length`` characters, padded with blanks.
 
-    The draw at each step is a hash of (seed, row, step). A model of up to ``broadcast_rows`` contexts (counted first)
-    is walked inside Arrow batches; a larger one is joined step by step, with the same result. A context never seen
-    falls back to the field's alphabet, uniformly."""
-    choices = _choices(counts, temperature)
+    The draw at each step is a hash of (seed, row, step). All rows walk together: a step joins their contexts with the model, of any
+    size (``skew.lookup_join``: that all rows start from one context is no hot task), and every few steps the rows are written. A
+    context never seen falls back to the field's alphabet, uniformly."""
+    choices = written(_choices(counts, temperature), "ngram-choices")
     alphabet = counts.groupBy("field").agg(F.sort_array(F.collect_set("next")).alias("alphabet"))
-    small = choices.limit(broadcast_rows + 1).count() <= broadcast_rows
-    walk = _walk_batches if small else _walk_joins
-    return walk(rows.select(F.col(row).alias("row"), F.col(field).alias("field")), choices, alphabet, length, seed, n)
-
-
-def _walk_batches(rows: DataFrame, choices: DataFrame, alphabet: DataFrame, length: int, seed: int, n: int) -> DataFrame:
-    import hashlib
-    table = {(r["field"], r["context"]): ([c["ch"] for c in r["choices"]], [c["c"] for c in r["choices"]]) for r in choices.collect()}
-    letters = {r["field"]: list(r["alphabet"]) for r in alphabet.collect()}
-    shared = rows.sparkSession.sparkContext.broadcast((table, letters))
-
-    def sample(row_id, field: str) -> str:
-        contexts, alphabets = shared.value
-        context, out = START * (n - 1), []
-        for step in range(length):
-            digest = hashlib.md5(f"{seed}|{row_id}|step{step}".encode()).hexdigest()
-            u = int(digest[:8], 16) / 4294967296.0
-            found = contexts.get((field, context))
-            if found:
-                chars, cumulative = found
-                ch = next((x for x, c in zip(chars, cumulative) if u <= c), chars[-1])
-                if ch == END:
-                    break
-            else:
-                pool = alphabets.get(field) or [" "]
-                ch = pool[int(u * len(pool))]
-            out.append(ch)
-            context = (context + ch)[-(n - 1):]
-        return "".join(out).ljust(length)
-
-    def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            yield frame.assign(text=[sample(r, f) for r, f in zip(frame["row"], frame["field"])])
-
-    return rows.mapInPandas(batches, f"row {rows.schema['row'].dataType.simpleString()}, field string, text string")
-
-
-def _walk_joins(rows: DataFrame, choices: DataFrame, alphabet: DataFrame, length: int, seed: int, n: int) -> DataFrame:
-    ensure_checkpoint_dir(rows.sparkSession)
-    state = rows.join(alphabet, "field", "left").withColumns({
-        "context": F.lit(START * (n - 1)), "text": F.lit(""), "done": F.lit(False)}).checkpoint()
+    state = rows.select(F.col(row).alias("row"), F.col(field).alias("field")).join(alphabet, "field", "left").withColumns({
+        "context": F.lit(START * (n - 1)), "text": F.lit(""), "done": F.lit(False)})
     for step in range(length):
-        weights = state.groupBy("field", "context").agg(F.count(F.lit(1)).alias("_w"))
-        table = choices.join(weights, ["field", "context"])
-        joined = skew.lookup_join(state, table, ["field", "context"], ["choices"])
+        if step % WALK_STEPS == 0:
+            state = written(state, "ngram-walk")
+        joined = skew.lookup_join(state, choices, ["field", "context"], ["choices"])
         u = _uniform_sql(seed, "row", step)
         picked = f"""case when done then '' when choices is not null then
             coalesce(filter(choices, x -> {u} <= x.c)[0].ch, element_at(choices, -1).ch)
@@ -158,7 +120,6 @@ def _walk_joins(rows: DataFrame, choices: DataFrame, alphabet: DataFrame, length
             "done", F.expr(f"done or (choices is not null and _ch = '{END}')")).withColumns({
                 "text": F.expr("if(done, text, concat(text, _ch))"),
                 "context": F.expr(f"if(done, context, right(concat(context, _ch), {n - 1}))")}).drop("_ch", "choices")
-        state = state.checkpoint()  # every step reads the state twice; without the cut the plan would grow exponentially
     return state.select("row", "field", F.rpad("text", length, " ").alias("text"))
 
 

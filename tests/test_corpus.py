@@ -130,15 +130,30 @@ def test_ngram_model_and_distribution(spark):
         assert abs(r["p"] - 1) < 1e-9 and abs(r["c"] - 1) < 1e-9
 
 
-def test_generation_paths_agree(spark):
+def plain_walk(row, field, table, letters, length, seed, n):
+    context, out = ngram.START * (n - 1), []
+    for step in range(length):
+        u = int(hashlib.md5(f"{seed}|{row}|step{step}".encode()).hexdigest()[:8], 16) / 4294967296.0
+        if found := table.get((field, context)):
+            ch = next((c["ch"] for c in found if u <= c["c"]), found[-1]["ch"])
+            if ch == ngram.END:
+                break
+        else:
+            ch = letters[field][int(u * len(letters[field]))]
+        out.append(ch)
+        context = (context + ch)[-(n - 1):]
+    return "".join(out).ljust(length)
+
+
+def test_generated_texts_equal_a_plain_walk(spark):
     df = spark.createDataFrame([("a", t) for t in ("john smith", "jane doe", "jim jones")] + [("b", "xyz")], "field string, t string")
     model = ngram.model(df, "field", "t")
     rows = spark.range(40).selectExpr("id", "if(id % 3 = 0, 'b', 'a') as field")
-    batch = ngram.generate_text(rows, "id", "field", model, 8, seed=4)
-    joined = ngram.generate_text(rows, "id", "field", model, 8, seed=4, broadcast_rows=0)
-    left = {r["row"]: r["text"] for r in batch.collect()}
-    right = {r["row"]: r["text"] for r in joined.collect()}
-    assert left == right and all(len(t) == 8 for t in left.values()) and len(set(left.values())) > 3
+    got = {r["row"]: r["text"] for r in ngram.generate_text(rows, "id", "field", model, 8, seed=4).collect()}
+    table = {(r["field"], r["context"]): r["choices"] for r in ngram._choices(model, 0.8).collect()}
+    letters = {f: sorted({r["next"] for r in model.filter(F.col("field") == f).collect()}) for f in "ab"}
+    assert got == {i: plain_walk(i, "b" if i % 3 == 0 else "a", table, letters, 8, 4, 3) for i in range(40)}
+    assert all(len(t) == 8 for t in got.values()) and len(set(got.values())) > 3
 
 
 def test_loss(spark):
