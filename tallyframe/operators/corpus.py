@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from tallyframe.functions import text as tx
 from tallyframe.functions.sqltext import q
-from tallyframe.operators import ordered, skew
+from tallyframe.operators import ordered, sinks, skew
 from tallyframe.session import written
 
 BLOCK = 512
@@ -161,6 +161,19 @@ def top_chars(counts: DataFrame, k: int = 10) -> DataFrame:
     return counts.groupBy("ch").agg(F.sum("n").alias("n")).orderBy(F.col("n").desc(), "ch").limit(k)
 
 
+def summary(docs: DataFrame, by: list[str], text: str = "text", k: int = 10) -> DataFrame:
+    """Statistics per group: characters, lines, words, mean line length, distinct characters and the k most frequent ones (ties: the
+    smaller character). What is ranked has one row per group and character of the alphabet."""
+    counts = char_counts(docs, by, text)
+    ranked = counts.withColumn("_rank", F.row_number().over(Window.partitionBy(*by).orderBy(F.col("n").desc(), "ch")))
+    alphabet = ranked.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("unique_chars"),
+        F.expr(f"transform(sort_array(collect_list(if(_rank <= {k}, struct(_rank, ch, n), null))), x -> struct(x.ch, x.n)) as top_chars"))
+    return stats(docs, by, text).join(alphabet, by, "left").withColumns({
+        "unique_chars": F.coalesce("unique_chars", F.lit(0)),
+        "top_chars": F.coalesce("top_chars", F.expr("cast(array() as array<struct<ch:string,n:bigint>>)"))})
+
+
 def distinct_share(docs: DataFrame, n: int, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Distinct-n: unique over all n-grams of words; 0 when there is none."""
     grams = docs.select(key, tx.word_ngrams(tx.words(F.col(text)), n).alias("g"))
@@ -242,3 +255,19 @@ def prepared(docs: DataFrame, dedup: bool = True, factor: int = 1, key: str = "d
         out = dedup_documents(written(out, "cleaned-documents"), key=key)
         out = rebuilt(distinct_lines(doc_lines(out, key), key), key)
     return augment(out, factor, key=key) if factor > 1 else out
+
+
+def prepare(docs: DataFrame, path: str | None = None, factor: int = 1, splits=SPLITS, key: str = "doc_id", **options) -> DataFrame:
+    """The whole preparation: ``prepared`` texts (key, variant, kind, text) with the split of their document, written once. Variants
+    of a document stay in its split, so no augmented text leaks from training into the other splits.
+
+    With ``path`` the splits are also written there as ordered text files, documents in the order of key and variant, each
+    followed by an empty line. Documents may be empty, null or missing; null texts count as empty and go."""
+    out = prepared(docs, factor=factor, key=key, **options)
+    if factor <= 1:
+        out = out.withColumns({"variant": F.lit(0), "kind": F.lit("original")})
+    out = written(split_by_hash(out.select(key, "variant", "kind", "text"), splits, key), "prepared-corpus")
+    if path is not None:
+        lines = out.select("split", key, "variant", F.posexplode(F.split(F.concat("text", F.lit("\n")), "\n", -1)).alias("pos", "text"))
+        sinks.write_splits(lines.withColumn("position", F.struct(key, "variant", "pos")), path)
+    return out

@@ -10,6 +10,7 @@ from tallyframe.session import written
 from tallyframe.sources.layouts import ACH, CARD
 
 HASH = synth.HASH_MODULUS
+WIDTH = 94
 
 
 def with_batch(lines: DataFrame, before: DataFrame | None = None) -> DataFrame:
@@ -169,7 +170,7 @@ def sequence_errors(records: DataFrame) -> DataFrame:
 
 
 def findings(lines: DataFrame) -> DataFrame:
-    """All cross-record findings as one table (file_id, check, field, at, expected, actual). Five checks read the lines
+    """All cross-record findings as one table (file_id, check, field, at, expected, actual). Seven checks read the lines
     with their batch, so that table is written once."""
     rec = written(with_batch(lines), "batched-lines")
     parts = [
@@ -181,6 +182,10 @@ def findings(lines: DataFrame) -> DataFrame:
                                                   "cast(batch_id as string) as at", "expected", "actual"),
         orphan_addenda(rec).selectExpr("file_id", "'ORPHAN_ADDENDA' as check", "'trace' as field", "cast(line_no as string) as at",
                                        "cast(null as string) as expected", "parent as actual"),
+        entries_without_addenda(rec).selectExpr("file_id", "'MISSING_ADDENDA' as check", "'trace' as field", "cast(line_no as string) as at",
+                                                "parent as expected", "cast(null as string) as actual"),
+        rec.filter(F.length("line") != WIDTH).selectExpr("file_id", "'RECORD_LENGTH' as check", "'line' as field", "cast(line_no as string) as at",
+                                                         f"'{WIDTH}' as expected", "cast(length(line) as string) as actual"),
         sequence_errors(rec).selectExpr("file_id", "'SEQUENCE' as check", "rule as field", "cast(line_no as string) as at",
                                         "expected", "actual"),
     ]

@@ -435,10 +435,24 @@ def x19(spark, folder):
 
 
 # ------------------------------------------------------------------------------------------------------ composites
+#: Line bounds and copies of a prepared corpus.
+PREPARED = {"min_line_len": 20, "max_line_len": 2000, "factor": 2}
+
+
 @query("c8_prepare_corpus", None)
 def c8(spark, folder):
-    """Cleaned, deduplicated corpus with splits."""
-    return corpus.split_by_hash(corpus.prepared(docs(spark, folder)))
+    """Cleaned, line-bounded, deduplicated and augmented corpus with splits."""
+    return corpus.prepare(docs(spark, folder), **PREPARED)
+
+
+@query("c8_corpus_summary", None)
+def c8b(spark, folder):
+    """Statistics of the prepared corpus per split and kind of text, next to the lines and characters of the split files as written."""
+    path = scratch_path(spark, "corpus-splits")
+    ready = corpus.prepare(docs(spark, folder), path, **PREPARED)
+    back = spark.read.option("lineSep", "\n").text(path).groupBy("split").agg(
+        F.count(F.lit(1)).alias("file_lines"), F.sum(F.length("value").cast("bigint")).alias("file_chars"))
+    return corpus.summary(ready, ["split", "kind"]).join(back, "split", "left")
 
 
 @query("c9_token_windows", None)

@@ -182,7 +182,8 @@ DOC_SQL = f"""WITH d AS (SELECT p_brand AS spec, p_partkey AS line_no, trim({DOC
     CASE shape WHEN 1 THEN cast(regexp_extract(raw, '  ([0-9]+)  AN', 1) AS int) WHEN 2 THEN cast(regexp_extract(raw, '  ([0-9]+)  N', 1) AS int) ELSE 12 END AS length,
     CASE shape WHEN 1 THEN 'alphanumeric' WHEN 2 THEN 'numeric' ELSE 'amount' END AS data_type, shape <> 2 AS required,
     CASE shape WHEN 2 THEN 1 END AS min_value, CASE shape WHEN 2 THEN cast(regexp_extract(raw, 'range: 1-([0-9]+)', 1) AS bigint) END AS max_value,
-    CASE shape WHEN 1 THEN 'A,B,C' END AS allowed FROM sh)"""
+    CASE shape WHEN 1 THEN 'A,B,C' END AS allowed,
+    CASE WHEN shape <> 3 THEN nullif(regexp_extract(raw, '(?i)format[\\s:]+([YMD0-9X]+)', 1), '') END AS format FROM sh)"""
 
 
 @query("x8_spec_tokens", DOC_SQL + """ SELECT spec, line_no, data_type, cast(len(regexp_extract_all(raw, '[A-Za-z_]+')) AS int) AS words, cast(len(regexp_extract_all(raw, '[0-9]+')) AS int) AS numbers FROM tok""")
@@ -243,9 +244,12 @@ def w14(spark, folder):
 
 
 @query("c6_learn_spec_documents", DOC_SQL + """, fw AS (SELECT spec, name, min(source_line) AS source_line FROM fl GROUP BY 1, 2)
-  SELECT fl.spec, fl.name, fl.source_line, fl.start, fl."end", fl.length, fl.data_type, fl.required FROM fl JOIN fw USING (spec, name, source_line)""")
+  SELECT fl.spec, fl.name, fl.source_line, fl.start, fl."end", fl.length, fl.data_type, fl.required,
+    cast(fl.min_value AS bigint) AS min_value, fl.max_value, fl.allowed, fl.format FROM fl JOIN fw USING (spec, name, source_line)""")
 def c6(spark, folder):
-    return specdoc.learn(spec_lines(spark, folder)).drop("rules")
+    """Learned fields with the rules that their lines word."""
+    learned = specdoc.learn(spec_lines(spark, folder))
+    return learned.select(*[c for c in learned.columns if c != "rules"], "rules.*")
 
 
 # ---------------------------------------------------------------------------------------------- naming functions

@@ -457,6 +457,8 @@ def _c2_sql():
       UNION ALL SELECT file_id, 'FILE_TOTAL', field, '', cast(expected AS varchar), cast(actual AS varchar) FROM ({inner("j6_file_mismatches")})
       UNION ALL SELECT file_id, 'HEADER_CONTROL', field, cast(batch_id AS varchar), expected, actual FROM ({inner("j8_header_control")})
       UNION ALL SELECT file_id, 'ORPHAN_ADDENDA', 'trace', cast(line_no AS varchar), NULL, parent FROM ({inner("j9_orphan_addenda")})
+      UNION ALL SELECT file_id, 'MISSING_ADDENDA', 'trace', cast(line_no AS varchar), parent, NULL FROM ({inner("j9_missing_addenda")})
+      UNION ALL SELECT file_id, 'RECORD_LENGTH', 'line', cast(line_no AS varchar), '94', cast(length(line) AS varchar) FROM ({BATCHED} SELECT * FROM rec) WHERE length(line) <> 94
       UNION ALL SELECT file_id, 'SEQUENCE', rule, cast(line_no AS varchar), expected, actual FROM ({inner("w16_sequence_rules")})"""
 
 

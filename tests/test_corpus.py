@@ -256,3 +256,38 @@ def test_prepared_corpus(spark):
     docs = make_docs(spark, [f"{same}\nkeep", f"{same}\nkeep", "\t \n", "other\nkeep\nline"])
     got = corpus.prepared(docs).orderBy("doc_id").collect()
     assert [(r["doc_id"], r["text"]) for r in got] == [(0, f"{same}\nkeep"), (3, "other\nline")]
+
+
+def test_whole_preparation(spark, tmp_path):
+    body = ["alpha line number %d of the corpus" % i for i in range(12)]
+    texts = [f"{body[i]}\n{body[(i + 1) % 12]}\nshort\n{'long ' * 30}{i}" for i in range(12)] + ["", None, "tiny", body[0]]
+    path = str(tmp_path / "splits")
+    ready = corpus.prepare(make_docs(spark, texts), path, factor=3, min_line_len=8, max_line_len=100)
+    rows = sorted(ready.collect(), key=lambda r: (r["doc_id"], r["variant"]))
+    seen, want = set(), {}
+    for i, t in enumerate(texts):
+        lines = [x[:100].strip() for x in (t or "").split("\n") if len(x) >= 8]
+        new = []
+        for line in lines:
+            if line not in seen:
+                seen.add(line)
+                new.append(line)
+        if new:
+            want[i] = "\n".join(new)
+    assert {r["doc_id"]: r["text"] for r in rows if r["variant"] == 0} == want
+    assert len(rows) == 3 * len(want) and all(len({r["split"] for r in rows if r["doc_id"] == d}) == 1 for d in want)
+    for split in {r["split"] for r in rows}:
+        parts = sorted((tmp_path / "splits" / f"split={split}").glob("*.txt"))
+        assert "".join(p.read_text() for p in parts) == "".join(r["text"] + "\n\n" for r in rows if r["split"] == split)
+    for got in corpus.summary(ready, ["split", "kind"], k=3).collect():
+        mine = [r["text"] for r in rows if (r["split"], r["kind"]) == (got["split"], got["kind"])]
+        lines = [x for t in mine for x in t.split("\n")]
+        chars = Counter("".join(mine))
+        assert (got["characters"], got["lines"], got["words"]) == (sum(map(len, mine)), len(lines), sum(len(t.split()) for t in mine))
+        assert got["unique_chars"] == len(chars) and got["avg_line_len"] == round(sum(map(len, lines)) / len(lines), 6)
+        assert [(c["ch"], c["n"]) for c in got["top_chars"]] == sorted(chars.items(), key=lambda x: (-x[1], x[0]))[:3]
+
+
+def test_whole_preparation_of_nothing(spark):
+    empty = make_docs(spark, [None, ""])
+    assert corpus.prepare(empty).count() == 0 and corpus.summary(empty.fillna({"text": ""}), ["doc_id"]).filter("unique_chars = 0").count() == 2

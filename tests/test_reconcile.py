@@ -1,3 +1,5 @@
+from collections import Counter
+
 from pyspark.sql import functions as F
 
 from tallyframe.operators import reconcile, synth, validate
@@ -70,6 +72,12 @@ def test_mutations(spark):
     assert {r["rule"] for r in reconcile.sequence_errors(changed("5", 88, "0000007")).collect()} == {"BATCH_NUMBER"}
     assert reconcile.orphan_addenda(changed("7", 88, "9999999")).count() == 1
     assert reconcile.entries_without_addenda(changed("7", 88, "9999999")).count() == 1
+    torn = changed("7", 88, "9999999").select("file_id", "line_no", F.expr("if(record_type = '9', concat(line, 'xy'), line) as line"))
+    found = Counter((r["check"], r["expected"], r["actual"]) for r in reconcile.findings(torn).collect() if r["check"] != "ORPHAN_ADDENDA")
+    files = base.select("file_id").distinct().count()
+    assert found.pop(("RECORD_LENGTH", "94", "96")) == files
+    ((check, expected, actual),) = found
+    assert check == "MISSING_ADDENDA" and expected != "9999999" and actual is None
 
 
 def test_lines_after_control_belong_to_no_batch(spark):
