@@ -1,5 +1,6 @@
-"""Column profiling and type inference. All columns are unpivoted once and reduced to distinct values with counts
-(map-side combined), so patterns and checksums run once per distinct value and a hot value costs one row."""
+"""Column profiling and type inference. All columns are unpivoted once; those that repeat their values are reduced to distinct
+values with counts (map-side combined), so patterns and checksums run once per distinct value and a hot value costs one row.
+Near-unique columns, found by a sketch, skip that shuffle: their rows go straight into the aggregations per field."""
 
 from __future__ import annotations
 
@@ -77,6 +78,8 @@ DATE_SHAPES = (
 DELIMITERS = ("|", "\t", ",", ";", "~")
 RIGHT_JUSTIFIED = ("NUMERIC", "AMOUNT", "SEQUENCE")
 SAMPLES = 10
+MOST_VALUES = 4096
+NEAR_UNIQUE = 0.1
 # ---------------------------------------------------------------------------------------------------------------
 
 
@@ -92,8 +95,41 @@ def value_counts(long: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("n"), F.min("pos").alias("first_pos"))
 
 
+def weighted(long: DataFrame, most: int = MOST_VALUES, share: float = NEAR_UNIQUE, in_place: bool | None = None) -> DataFrame:
+    """Non-empty values with weights (field, value, n, first_pos, once): per field either its distinct values with counts (``once``
+    true) or, for near-unique fields, its rows as they are with weight 1. Sums of ``n`` over a field agree in both forms.
+
+    A first pass estimates the distinct values of every field. Fields with more than ``most`` of them that are also more than
+    ``share`` of their rows gain little from counting and would shuffle most of the table, so their values stay where they are.
+    ``most`` is far above the sizes that rules ask for (25 values at most), so an estimate cannot change a verdict. The
+    estimates are broadcast: one row per column of the profiled table.
+
+    ``in_place`` False counts all fields; by default that is so where the input has fewer files than the session has cores, as
+    there the shuffle is what puts the cores to work (measured on one file of 150,000 rows and 8 cores: 18 s against 29 s)."""
+    if in_place is None:
+        in_place = not 0 < len(long.inputFiles()) < long.sparkSession.sparkContext.defaultParallelism
+    if not in_place:
+        return value_counts(long).withColumn("once", F.lit(True))
+    if most < 100:
+        raise ValueError("most must be at least 100, well above the value sets that types are told by")
+    rows = long.filter("value <> ''")
+    sizes = rows.groupBy("field").agg(F.approx_count_distinct("value").alias("_card"), F.count(F.lit(1)).alias("_rows"))
+    unique = sizes.select("field", ((F.col("_card") > most) & (F.col("_card") > F.col("_rows") * share)).alias("_unique"))
+    marked = rows.join(F.broadcast(unique), "field")
+    counted = value_counts(marked.filter("not _unique")).withColumn("once", F.lit(True))
+    return counted.unionByName(marked.filter("_unique").select(
+        "field", "value", F.lit(1).cast("bigint").alias("n"), F.col("pos").alias("first_pos"), F.lit(False).alias("once")))
+
+
 def profile(counts: DataFrame) -> DataFrame:
-    """Length and numeric statistics of every field."""
+    """Length and numeric statistics of every field, from ``value_counts`` or ``weighted`` values. The exact number of distinct
+    values of a near-unique field comes from the 16-byte hashes of its values, the only thing of it that is shuffled."""
+    if "once" in counts.columns:
+        hashes = counts.filter("not once").select("field", F.unhex(F.md5("value")).alias("_hash")).distinct()
+        many = hashes.groupBy("field").agg(F.count(F.lit(1)).alias("_many"))
+        found = profile(counts.drop("once"))
+        return found.join(F.broadcast(many), "field", "left").withColumn(
+            "distinct_values", F.coalesce("_many", "distinct_values")).drop("_many")
     num = checks.to_number("value")
     return counts.select("field", "n", "value", F.expr("length(value) as len"), F.expr(f"{num} as num")) \
         .groupBy("field").agg(
@@ -258,15 +294,17 @@ def justification(kind: str) -> tuple[str, str]:
     return f"if({right}, 'right', 'left')", f"if({right}, '0', ' ')"
 
 
-def learn(long: DataFrame, threshold: float = CONFIDENCE_THRESHOLD) -> DataFrame:
+def learn(long: DataFrame, threshold: float = CONFIDENCE_THRESHOLD, most: int = MOST_VALUES, in_place: bool | None = None) -> DataFrame:
     """Learned spec: one row per field with type, confidence, lengths, range, allowed values, format, default, samples.
 
-    Six aggregations read the value counts, which are far smaller than the input; they are written once."""
-    counts = written(value_counts(long), "value-counts")
+    Six aggregations read the weighted values, which are written once; each ends in one row per field and task."""
+    counts = written(weighted(long, most, in_place=in_place), "weighted-values")
     typed = winners(field_votes(counts)).withColumn(
         "type", F.expr(f"if(type <> 'STRING' and confidence < {threshold}, 'STRING', type)"))
     justify, pad = justification("type")
-    parts = [profile(counts), allowed_values(counts), most_common(counts).selectExpr("field", "value as common"),
+    # defaults belong to enumerations, which have few values
+    few = counts.filter("once")
+    parts = [profile(counts), allowed_values(few), most_common(few).selectExpr("field", "value as common"),
              date_formats(counts), first_samples(long)]
     out = typed
     for p in parts:

@@ -44,12 +44,25 @@ def counts(spark, folder):
     return profile.value_counts(long(spark, folder))
 
 
-@query("a7_column_profile", f"""WITH {LONG_SQL}, x AS (SELECT field, value, length(value) AS len, {NUM_D} AS num FROM long WHERE value <> '')
+def weighted(spark, folder):
+    return profile.weighted(long(spark, folder))
+
+
+A7_SQL = f"""WITH {LONG_SQL}, x AS (SELECT field, value, length(value) AS len, {NUM_D} AS num FROM long WHERE value <> '')
   SELECT field, cast(count(*) AS bigint) AS non_empty, cast(count(DISTINCT value) AS bigint) AS distinct_values, cast(min(len) AS int) AS min_len,
     cast(max(len) AS int) AS max_len, round(avg(len), 6) AS mean_len, round(coalesce(stddev_samp(len), 0), 6) AS stdev_len,
-    min(num) AS min_value, max(num) AS max_value FROM x GROUP BY 1""")
+    min(num) AS min_value, max(num) AS max_value FROM x GROUP BY 1"""
+
+
+@query("a7_column_profile", A7_SQL)
 def a7(spark, folder):
-    return profile.profile(counts(spark, folder))
+    return profile.profile(weighted(spark, folder))
+
+
+@query("a7_column_profile_in_place", A7_SQL)
+def a7b(spark, folder):
+    """The same profile with near-unique columns left where they are, as for inputs of many files."""
+    return profile.profile(profile.weighted(long(spark, folder), most=1000, in_place=True))
 
 
 def rates_sql(patterns, flag):
@@ -64,13 +77,13 @@ RATES_SQL = rates_sql(profile.FIELD_PATTERNS, "i")
 
 @query("a8_pattern_rates", f"WITH {LONG_SQL}, {RATES_SQL} SELECT field, cast(pattern_no AS int) AS pattern_no, type, round(rate, 6) AS rate FROM rates")
 def a8(spark, folder):
-    return profile.pattern_rates(counts(spark, folder)).select("field", "pattern_no", "type", F.round("rate", 6).alias("rate"))
+    return profile.pattern_rates(weighted(spark, folder)).select("field", "pattern_no", "type", F.round("rate", 6).alias("rate"))
 
 
 @query("a8_pattern_rates_sample", f"""WITH {LONG_SQL}, {rates_sql(profile.SAMPLE_PATTERNS, 'c')}
   SELECT field, cast(pattern_no AS int) AS pattern_no, type, round(rate, 6) AS rate FROM rates""")
 def a8b(spark, folder):
-    return profile.pattern_rates(counts(spark, folder), profile.SAMPLE_PATTERNS, False).select(
+    return profile.pattern_rates(weighted(spark, folder), profile.SAMPLE_PATTERNS, False).select(
         "field", "pattern_no", "type", F.round("rate", 6).alias("rate"))
 
 
@@ -104,7 +117,7 @@ win AS (SELECT field, first(type ORDER BY score DESC, ord) AS type, round(least(
 
 
 def strategy(spark, folder, name):
-    return profile.field_votes(counts(spark, folder)).filter(F.col("strategy") == name).select(
+    return profile.field_votes(weighted(spark, folder)).filter(F.col("strategy") == name).select(
         "field", "type", F.round("score", 6).alias("score"))
 
 
@@ -129,7 +142,7 @@ def a11(spark, folder):
 
 @query("a12_type_winner", VOTES_SQL + WIN_SQL + " SELECT * FROM win")
 def a12(spark, folder):
-    return profile.winners(profile.field_votes(counts(spark, folder)))
+    return profile.winners(profile.field_votes(weighted(spark, folder)))
 
 
 @query("a12_type_winner_sample", f"""WITH {LONG_SQL}, {rates_sql(profile.SAMPLE_PATTERNS, 'c')}, {FACTS}, names(ord, type, w, k) AS (VALUES {SNAME_ROWS}),
@@ -140,7 +153,7 @@ votes AS (SELECT * FROM cand
     WHERE field IN (SELECT field FROM cand WHERE type = 'PAN') GROUP BY 1) WHERE rate > 0.8
   UNION ALL SELECT field, 'ENUM', 1.5, 400 FROM facts WHERE card BETWEEN 2 AND 20 AND card / total::double < 0.3)""" + WIN_SQL + " SELECT * FROM win")
 def a12b(spark, folder):
-    return profile.winners(profile.sample_votes(counts(spark, folder)))
+    return profile.winners(profile.sample_votes(weighted(spark, folder)))
 
 
 @query("a13_json_type_ladder", f"""WITH {LONG_SQL} SELECT field, CASE WHEN bool_and(regexp_full_match(value, '-?[0-9]+')) THEN 'NUMERIC'
@@ -149,7 +162,7 @@ def a12b(spark, folder):
     WHEN count(DISTINCT value) <= 10 OR (count(DISTINCT value) / count(*)::double < 0.4 AND count(DISTINCT value) <= 20) THEN 'ENUM' ELSE 'STRING' END AS type
   FROM long WHERE value <> '' GROUP BY 1""")
 def a13(spark, folder):
-    return profile.json_ladder(counts(spark, folder))
+    return profile.json_ladder(weighted(spark, folder))
 
 
 STRICT_SQL = f"""WITH {LONG_SQL}, k AS (SELECT field, CASE WHEN count(*) = 1 THEN 'FIXED'
@@ -165,7 +178,7 @@ STRICT_SQL = f"""WITH {LONG_SQL}, k AS (SELECT field, CASE WHEN count(*) = 1 THE
 
 @query("a14_strict_type_ladder", STRICT_SQL)
 def a14(spark, folder):
-    return profile.strict_ladder(counts(spark, folder)).select(
+    return profile.strict_ladder(weighted(spark, folder)).select(
         "field", "type", F.expr(profile.learned_name("0", "type", "first_len")).alias("learned_name"))
 
 
@@ -184,7 +197,7 @@ SHAPES_D = " ".join(f"WHEN bool_and(regexp_matches(value, '{p}')) THEN '{n}'" fo
 
 @query("x7_date_format", f"WITH {LONG_SQL}, f AS (SELECT field, CASE {SHAPES_D} END AS format_string FROM counts GROUP BY 1) SELECT * FROM f WHERE format_string IS NOT NULL")
 def x7(spark, folder):
-    return profile.date_formats(counts(spark, folder))
+    return profile.date_formats(weighted(spark, folder))
 
 
 @query("t7_first_samples", f"""WITH {LONG_SQL}, r AS (SELECT field, value, row_number() OVER (PARTITION BY field ORDER BY pos) AS rank FROM long WHERE value <> '')
@@ -197,7 +210,7 @@ def t7(spark, folder):
     CASE WHEN type IN ('NUMERIC', 'AMOUNT', 'SEQUENCE') THEN '0' ELSE ' ' END AS pad FROM win""")
 def x28(spark, folder):
     justify, pad = profile.justification("type")
-    return profile.winners(profile.field_votes(counts(spark, folder))).select(
+    return profile.winners(profile.field_votes(weighted(spark, folder))).select(
         "field", "type", F.expr(justify).alias("justify"), F.expr(pad).alias("pad"))
 
 
@@ -221,6 +234,12 @@ def c3(spark, folder):
     return profile.learn(long(spark, folder))
 
 
+@query("c3_learn_spec_in_place", LEARN_SQL + " SELECT * FROM learned")
+def c3b(spark, folder):
+    """The same spec with near-unique columns left where they are, as for inputs of many files."""
+    return profile.learn(long(spark, folder), most=1000, in_place=True)
+
+
 SPEC_ROWS = ", ".join(f"({_lit(s.name)}, {_lit(f.record_type)}, {_lit(f.name)}, {_lit(f.fmt)}::varchar, {_lit(f.default)}::varchar, {_lit(f.min_value)}::double, {_lit(f.max_value)}::double)"
                       for s in (layouts.ACH, layouts.CARD) for f in s.fields)
 

@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from tallyframe.operators import generate, identify, profile, specdoc, structure
@@ -30,6 +31,24 @@ def test_inference_literals(spark):
     assert got["amount"]["samples"] == "10.00|200.50|3.99" and got["amount"]["justify"] == "right"
 
 
+def test_near_unique_fields_skip_counting(spark):
+    columns = {"trace": [f"{i * 7919 % 3000:015d}" for i in range(2900)] + ["000000000000001"] * 5, "amount": [f"{i}.50" for i in range(900)] * 2,
+               "state": ["ACTIVE", "CLOSED", "HELD"] * 500, "note": [f"né {i}, {'x' * (i % 9)}" for i in range(400)] + ["", " "], "one": ["0001"], "none": ["", None]}
+    rows = long(spark, columns).repartition(5)
+    weighted = profile.weighted(rows, most=200)
+    kinds = {r["field"]: r["once"] for r in weighted.select("field", "once").distinct().collect()}
+    assert kinds == {"trace": False, "amount": False, "note": False, "state": True, "one": True}
+    counts = profile.value_counts(rows)
+    for view in (profile.profile, profile.json_ladder, profile.strict_ladder, profile.date_formats, profile.pattern_rates, profile.allowed_values,
+                 lambda c: profile.winners(profile.field_votes(c)), lambda c: profile.winners(profile.sample_votes(c))):
+        assert sorted(map(str, view(weighted).collect())) == sorted(map(str, view(counts).collect()))
+    assert sorted(map(str, profile.learn(rows, most=200).collect())) == sorted(map(str, profile.learn(rows, in_place=False).collect()))
+    distinct = {r["field"]: r["distinct_values"] for r in profile.profile(weighted).collect()}
+    assert distinct == {f: len({v for v in vs if v}) for f, vs in columns.items() if any(vs)}
+    with pytest.raises(ValueError):
+        profile.weighted(rows, most=10)
+
+
 def test_json_ladder(spark):
     counts = profile.value_counts(long(spark, {
         "id": ["1", "2", "3"], "amount": ["1.5", "2", "3.25"], "day": ["2024-01-01", "2024-01-02"], "flag": ["true", "no"],
