@@ -148,7 +148,7 @@ def encode(texts: DataFrame, text: str, vocabulary: DataFrame) -> DataFrame:
     """Add ``ids``: character ids, unknown characters as 3."""
     staged = texts.withColumn("_pages", code_point_pages(vocabulary))
     return staged.withColumn("ids", F.expr(
-        f"transform(filter(split({text}, ''), c -> c <> ''), c -> coalesce(try_element_at(try_element_at(_pages, shiftright(ascii(c), 8) + 1), ascii(c) % 256 + 1), {SPECIALS['<UNK>']}))")).drop("_pages")
+        f"transform(if({text} = '', cast(array() as array<string>), split({text}, '')), c -> coalesce(try_element_at(try_element_at(_pages, shiftright(ascii(c), 8) + 1), ascii(c) % 256 + 1), {SPECIALS['<UNK>']}))")).drop("_pages")
 
 
 def decode(encoded: DataFrame, vocabulary: DataFrame, offset: int = len(SPECIALS)) -> DataFrame:

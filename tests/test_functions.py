@@ -90,3 +90,9 @@ def test_ngrams(spark):
     df = spark.createDataFrame([("abcd", ["a", "b", "c"]), ("a", ["a"]), ("", [])], "t string, w array<string>")
     got = df.select(tx.char_ngrams(F.col("t"), 3), tx.word_ngrams(F.col("w"), 2)).collect()
     assert [tuple(r) for r in got] == [(["abc", "bcd"], ["a b", "b c"]), ([], []), ([], [])]
+
+
+def test_characters_split_without_a_lambda(spark):
+    df = spark.createDataFrame([("a😀é\n ",), ("",), (None,)], "t string").select(tx.characters(F.col("t")).alias("c"))
+    assert [r.c for r in df.collect()] == [["a", "😀", "é", "\n", " "], [], None]
+    assert "lambda" not in df._jdf.queryExecution().optimizedPlan().toString()

@@ -159,3 +159,12 @@ def test_layouts_are_gapless(spec, record, n, width):
     assert len(fields) == n and fields[0].start == 1 and fields[-1].end == width
     assert all(a.end + 1 == b.start for a, b in zip(fields, fields[1:]))
     assert all(f.end - f.start + 1 == f.length for f in fields)
+
+
+def test_checks_keep_one_row_a_line_without_a_join(spark):
+    """The work between reading and findings grows with the lines, not with lines times the fields of the spec."""
+    lines = ["12345,22,260419,021000021,1234.56,,", "12ABC,99,999999,123456789,NOTANUMBER,A1,101", ""]
+    for dialect in ("lenient", "strict"):
+        result = findings(spark, MINI, lines, dialect)
+        assert "Join" not in result._jdf.queryExecution().optimizedPlan().toString()
+        assert result.count() == len(lines)
