@@ -168,3 +168,16 @@ def test_checks_keep_one_row_a_line_without_a_join(spark):
         result = findings(spark, MINI, lines, dialect)
         assert "Join" not in result._jdf.queryExecution().optimizedPlan().toString()
         assert result.count() == len(lines)
+
+
+def test_strict_report_counts_every_failing_check(spark):
+    """Of ten checks of a value each failing one is missing from the passed ones, allowed values and patterns too."""
+    spec = Spec("S", "fixed", "", (Record("R", "row", "detail", 0, 6, None),), (
+        Field("R", "a", "enum", 1, 2, 2, allowed=("05", "06"), min_len=2, max_len=2, pos=1),
+        Field("R", "b", "numeric", 3, 6, 4, min_len=4, max_len=4, pattern="[0-9]+", min_value=10, max_value=99, pos=2)), None)
+    got = {n: validate.report(findings(spark, spec, [line], "strict")).first() for n, line in
+           {"good": "050042", "allowed": "990042", "letters": "05AAAA", "high": "050500", "blank": "05    "}.items()}
+    assert {n: (r["passed"], r["failed"], r["records_with_errors"]) for n, r in got.items()} == {
+        "good": (9, 0, 0), "allowed": (8, 1, 1), "letters": (7, 2, 1), "high": (8, 1, 1), "blank": (3, 1, 1)}
+    (row,) = validate.all_findings(findings(spark, spec, ["05AAA"], "strict")).filter("code = 'REQUIRED'").collect()
+    assert (row["field"], row["value"], row["passed"]) == ("b", "", 3)
