@@ -9,7 +9,7 @@ from tallyframe.operators import computed, generate, ordered, sinks, synth, vali
 from tallyframe.plans import shared
 from tallyframe.plans.registry import query
 from tallyframe.plans.shared import LINES, _lit
-from tallyframe.session import scratch_path
+from tallyframe.session import scratch_path, spread
 from tallyframe.sources import derived, files, layouts
 from tallyframe.sources.layouts import CARD, GL, TCR0, Field
 
@@ -76,7 +76,8 @@ def o_near(row, field, days=30):
 
 
 def customers(spark, folder):
-    return derived.table(spark, folder, "customer")
+    """What drives the generators, in many tasks: a generated row costs far more than a read one."""
+    return spread(derived.table(spark, folder, "customer"))
 
 
 K = "c_custkey"
