@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from tallyframe.functions.sqltext import q
+from tallyframe.session import written
 from tallyframe.sources.layouts import BUILT_IN, Spec
 
 WORD = r"[\p{L}\p{N}_]+"
@@ -37,9 +38,16 @@ def similarity(counts: DataFrame, key: str, terms: DataFrame, idf: bool = False)
         terms = terms.join(df, "term").withColumn(
             "weight", F.col("weight") * (F.log((F.lit(total) + 1) / (F.col("df") + 1)) + 1)).drop("df")
     spec_norm = terms.groupBy("spec").agg(F.expr("sqrt(sum(weight * weight)) as spec_norm"))
-    text_norm = counts.groupBy(key).agg(F.expr("sqrt(sum(n * n)) as text_norm"))
-    dots = counts.join(terms, "term").groupBy(key, "spec").agg(F.expr("sum(n * weight) as dot"))
-    return dots.join(text_norm, key).join(spec_norm, "spec").select(
+    # The counts are dear, so one pass makes both sums: a term meets each spec that has it, and itself (the norm, without a spec).
+    kind = terms.schema["weight"].dataType.simpleString()
+    of = terms.groupBy("term").agg(F.collect_list(F.struct("spec", "weight")).alias("specs"))
+    met = counts.join(of, "term", "left").select(key, "n", F.expr(
+        f"inline(concat(array(struct(cast(null as string) as spec, cast(n as {kind}) as weight)), coalesce(specs, array())))"))
+    sums = met.groupBy(key, "spec").agg(F.expr("sum(n * weight) as dot"))
+    text = Window.partitionBy(key)
+    normed = sums.withColumn("text_norm", F.sqrt(F.max(F.when(F.col("spec").isNull(), F.col("dot"))).over(text))).filter("spec is not null")
+    # a text without a key has no place among the scores
+    return normed.filter(F.col(key).isNotNull()).join(spec_norm, "spec").select(
         key, "spec", F.expr("round(dot / (text_norm * spec_norm), 6) as score"))
 
 
@@ -63,9 +71,12 @@ def vocabulary(texts: DataFrame, text: str, pattern: str = "[a-z_]+", most: int
 
 
 def cosine(left: DataFrame, right: DataFrame, key: str, term: str) -> DataFrame:
-    """Cosine of each keyed profile in ``left`` (key, term, n) with the single profile ``right`` (term, n)."""
-    ln = left.groupBy(key).agg(F.expr("sqrt(sum(n * n)) as ln"))
+    """Cosine of each keyed profile in ``left`` (key, term, n) with the single profile ``right`` (term, m; unique terms). ``left`` is read
+    once; ``right`` is written, so that a small one is broadcast by its size."""
+    right = written(right, "profile")
     norm = right.agg(F.expr("sqrt(sum(m * m))")).scalar()
-    dots = left.join(right, term).groupBy(key).agg(F.expr("sum(n * m) as dot"))
-    joined = ln.join(dots, key, "left").withColumn("rn", norm)
+    sums = left.join(right, term, "left").groupBy(key).agg(
+        F.expr("sqrt(sum(n * n)) as ln"),
+        F.expr(f"sum(if({key} is null, null, n * m)) as dot"))
+    joined = sums.withColumn("rn", norm)
     return joined.select(key, F.expr("round(if(ln = 0 or rn = 0, 0D, coalesce(dot, 0) / (ln * rn)), 6) as overlap"))
