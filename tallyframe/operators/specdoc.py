@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from tallyframe.functions import fixed
 from tallyframe.functions.sqltext import q
 from tallyframe.operators import ordered
+from tallyframe.session import written
 
 # ---------------------------------------------------------------------------------------------------------------
 # Wordings, type codes and line shapes that spec documents use.
@@ -125,5 +126,5 @@ def positioned(fields: DataFrame) -> DataFrame:
 
 
 def learn(lines: DataFrame) -> DataFrame:
-    """Spec documents to field tables."""
-    return positioned(first_wins(parsed_fields(tokens(lines))))
+    """Spec documents to field tables. Positions need several passes over the fields, so the lines' patterns are matched in one before."""
+    return positioned(written(first_wins(parsed_fields(tokens(lines))), "learned-fields"))

@@ -9,6 +9,7 @@ from tallyframe.operators import identify, specdoc, structure
 from tallyframe.plans import shared
 from tallyframe.plans.registry import query
 from tallyframe.plans.shared import LINES, _lit
+from tallyframe.session import spread
 from tallyframe.sources import derived, layouts
 from tallyframe.sources.layouts import ACH
 
@@ -169,7 +170,7 @@ DOC_D = """CASE p_size % 4
 
 
 def spec_lines(spark, folder):
-    return derived.table(spark, folder, "part").selectExpr("p_brand as spec", "p_partkey as line_no", f"{DOC_S} as line")
+    return spread(derived.table(spark, folder, "part")).selectExpr("p_brand as spec", "p_partkey as line_no", f"{DOC_S} as line")
 
 
 DOC_SQL = f"""WITH d AS (SELECT p_brand AS spec, p_partkey AS line_no, trim({DOC_D}) AS raw FROM part),
