@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from tallyframe.functions import text as tx
 from tallyframe.functions.sqltext import q
 from tallyframe.operators import ordered, sinks, skew
-from tallyframe.session import written
+from tallyframe.session import by_key, written
 
 BLOCK = 512
 OVERLAP = 0.5
@@ -182,8 +182,8 @@ def distinct_share(docs: DataFrame, n: int, key: str = "doc_id", text: str = "te
 
 
 def repetition_rate(docs: DataFrame, n: int = 3, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Share of distinct n-grams that occur more than once; 0 when there is none."""
-    grams = docs.select(key, F.explode(tx.word_ngrams(tx.words(F.col(text)), n)).alias("g")).groupBy(key, "g").agg(F.count(F.lit(1)).alias("c"))
+    """Share of distinct n-grams that occur more than once; 0 when there is none. Texts meet at their key, not their n-grams."""
+    grams = by_key(docs.select(key, text), key, text).select(key, F.explode(tx.word_ngrams(tx.words(F.col(text)), n)).alias("g")).groupBy(key, "g").agg(F.count(F.lit(1)).alias("c"))
     rates = grams.groupBy(key).agg(F.expr("round(count_if(c > 1) / count(1), 6) as repetition"))
     return docs.select(key).join(rates, key, "left").fillna({"repetition": 0.0})
 

@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.functions import pandas_udf
 
 from tallyframe.functions import seeded, text as tx
 from tallyframe.operators import ordered, skew
-from tallyframe.session import written
+from tallyframe.session import by_key, written
 
 START, END = "^", "$"
 FLOOR = 1e-6
@@ -58,12 +61,15 @@ def repetition_penalty(dist: DataFrame, previous: Column, penalty: float) -> Dat
 
 
 def lookup(tests: DataFrame, counts: DataFrame, key: str, text: str, n: int = 3, floor: float = FLOOR) -> DataFrame:
-    """n-grams of test texts with the probability a single-field model gives them: (key, context, next, n, p)."""
+    """n-grams of test texts with the probability a single-field model gives them: (key, context, next, n, p).
+
+    The texts travel to their key, not their n-grams, which are many times as much; the model is written, so that a small one is
+    broadcast by its size and nothing else moves."""
     padded = F.concat(F.lit(START * (n - 1)), F.col("_t"), F.lit(END))
-    rows = tests.select(key, tx.strip_blank(F.col(text)).alias("_t")).filter("_t <> ''")
+    rows = by_key(tests.select(key, text), key, text).select(key, tx.strip_blank(F.col(text)).alias("_t")).filter("_t <> ''")
     grams = rows.select(key, F.explode(tx.char_ngrams(padded, n)).alias("g")).groupBy(key, "g").agg(F.count(F.lit(1)).alias("n"))
     totals = F.sum("n").over(Window.partitionBy("context"))
-    probs = counts.withColumn("_p", F.col("n") / totals).select(F.concat("context", "next").alias("g"), "_p")
+    probs = written(counts.withColumn("_p", F.col("n") / totals).select(F.concat("context", "next").alias("g"), "_p"), "ngram-model")
     return grams.join(probs, "g", "left").select(
         key, F.expr(f"substring(g, 1, {n - 1}) as context"), F.expr(f"substring(g, {n}, 1) as next"), "n",
         F.coalesce("_p", F.lit(floor)).alias("p"))
@@ -135,20 +141,23 @@ def vocabulary_string(vocabulary: DataFrame) -> Column:
     return vocabulary.agg(F.expr("listagg(ch, '') within group (order by id)")).scalar()
 
 
-def code_point_pages(vocabulary: DataFrame) -> Column:
-    """Ids by code point as one scalar, an array of pages of 256 code points (null where no character is known): the id of a
-    character is two array accesses away, however many characters there are. At most 4,352 pages."""
-    pages = vocabulary.select((F.ascii("ch") / 256).cast("int").alias("page"), (F.ascii("ch") % 256).alias("at"), "id").groupBy("page").agg(
-        F.map_from_entries(F.collect_list(F.struct("at", "id"))).alias("_m")).select("page", F.transform(F.sequence(F.lit(0), F.lit(255)), lambda i: F.try_element_at("_m", i)).alias("cells"))
-    whole = pages.agg(F.map_from_entries(F.collect_list(F.struct("page", "cells"))).alias("_m"), F.coalesce(F.max("page"), F.lit(0)).alias("_last"))
-    return whole.select(F.transform(F.sequence(F.lit(0), F.col("_last")), lambda p: F.try_element_at("_m", p))).scalar()
+def encode(texts: DataFrame, text: str, vocabulary: DataFrame) -> DataFrame:
+    """Add ``ids``: character ids, unknown characters as 3. A table over the code points, bounded by the alphabet, gives the ids of
+    a whole text at once."""
+    known = {ord(r["ch"]): r["id"] for r in vocabulary.select("ch", "id").collect()}
+    table = np.full(max(known, default=0) + 2, SPECIALS["<UNK>"], np.int32)
+    table[list(known)] = list(known.values())
+    shared = texts.sparkSession.sparkContext.broadcast(table)
+
+    def of(value: str) -> np.ndarray:
+        points = np.frombuffer(value.encode("utf-32-le"), np.uint32)
+        return shared.value[np.minimum(points, len(shared.value) - 1)]
 
+    @pandas_udf("array<int>")
+    def ids(values: pd.Series) -> pd.Series:
+        return pd.Series([None if v is None else of(v) for v in values], dtype=object)
 
-def encode(texts: DataFrame, text: str, vocabulary: DataFrame) -> DataFrame:
-    """Add ``ids``: character ids, unknown characters as 3."""
-    staged = texts.withColumn("_pages", code_point_pages(vocabulary))
-    return staged.withColumn("ids", F.expr(
-        f"transform(if({text} = '', cast(array() as array<string>), split({text}, '')), c -> coalesce(try_element_at(try_element_at(_pages, shiftright(ascii(c), 8) + 1), ascii(c) % 256 + 1), {SPECIALS['<UNK>']}))")).drop("_pages")
+    return texts.withColumn("ids", ids(F.col(text)))
 
 
 def decode(encoded: DataFrame, vocabulary: DataFrame, offset: int = len(SPECIALS)) -> DataFrame:
@@ -182,8 +191,9 @@ def stream_windows(encoded: DataFrame, key: str, length: int, stride: int = 1, g
 
     The stream is never put together. Every text knows its place from a running sum; it is cut where segments of the stream begin,
     and each segment also gets the next ``length`` tokens, its neighbour's first ones. So all windows that start in a segment are made
-    from it alone, and no group holds more than ``segment + length`` tokens, whatever the texts' lengths or number."""
-    rows = encoded.select(*group, key, "ids").filter(F.size("ids") > 0)
+    from it alone, and no group holds more than ``segment + length`` tokens, whatever the texts' lengths or number. The ids are written
+    once, as several passes read where they begin."""
+    rows = written(encoded.select(*group, key, "ids"), "token-ids").filter(F.size("ids") > 0)
     placed = ordered.running_sums(rows, list(group), [key], {"_end": F.size("ids")}, sparse=True).withColumn("_from", F.col("_end") - F.size("ids"))
     first = F.greatest(F.lit(0), F.floor((F.col("_from") - length) / segment))
     parts = placed.withColumn("_segment", F.explode(F.sequence(first.cast("bigint"), F.floor((F.col("_end") - 1) / segment).cast("bigint"))))
