@@ -200,7 +200,8 @@ def stream_windows(encoded: DataFrame, key: str, length: int, stride: int = 1, g
     begin = F.greatest(F.col("_from"), F.col("_segment") * segment)
     stop = F.least(F.col("_end"), (F.col("_segment") + 1) * segment + length)
     parts = parts.select(*group, "_segment", begin.alias("_at"), F.slice("ids", (begin - F.col("_from") + 1).cast("int"), F.greatest(F.lit(0), stop - begin).cast("int")).alias("_piece")).filter(F.size("_piece") > 0)
-    whole = parts.groupBy(*group, "_segment").agg(F.sort_array(F.collect_list(F.struct("_at", "_piece"))).alias("_p"))
+    # a stream of one chunk was numbered in one task, which would otherwise keep all its segments
+    whole = parts.repartition(*group, "_segment").groupBy(*group, "_segment").agg(F.sort_array(F.collect_list(F.struct("_at", "_piece"))).alias("_p"))
     whole = whole.select(*group, (F.col("_segment") * segment).alias("_base"), F.flatten(F.transform("_p", lambda p: p["_piece"])).alias("_t"))
     low, high = F.ceil(F.col("_base") / stride) * stride, F.least(F.col("_base") + segment, F.col("_base") + F.size("_t") - length) - 1
     starts = F.when(low <= high, F.sequence(low, high, F.lit(stride).cast("bigint")))
