@@ -5,7 +5,7 @@ the sorted positions of that term (delta coded), and one directory row with its
 between tasks. The test items get an index of the same kind (term -> item, place). Both meet by a join on the term; the
 terms of one segment and one block of items then form a bounded group in which offset-adjusted position lists are
 intersected from the rarest term on. Exact phrases and proximity (at most ``slop`` foreign words between neighbours, same
-order) are answered the same way.
+order) are answered the same way; only windows that a walk from their rarest term's positions covers are read in full.
 
 Defined cases: null or wordless texts have no positions, hits or items; an item shorter than the window is one window;
 repeated documents are rows of their own, repeated equal items count once; a null item id counts as an empty string; empty
@@ -126,6 +126,33 @@ def exact(lists: list[np.ndarray]) -> np.ndarray:
     return starts
 
 
+def extent(lists: list[np.ndarray], at: int, step: int, most: int, slop: int) -> int:
+    """Neighbours of ``lists[at]`` in one direction (``step`` 1 or -1), at most ``most``, that a chain from any of its positions reaches."""
+    here, n = lists[at], 0
+    while n < most and 0 <= at + step * (n + 1) < len(lists):
+        there = lists[at + step * (n + 1)]
+        beside = here + step if not slop else np.unique(np.concatenate([here + step * d for d in range(1, slop + 2)]))
+        here = beside[there[np.minimum(np.searchsorted(there, beside), len(there) - 1)] == beside]
+        if not len(here):
+            break
+        n += 1
+    return n
+
+
+def candidates(lists: list[np.ndarray], need: int, slop: int) -> Iterator[int]:
+    """Starts of the windows of ``need`` lists that may be read. Windows that slide over the same rarest term share the walk from its
+    positions, which mostly ends after a few words."""
+    known: dict[int, tuple[int, int]] = {}
+    sizes = [len(x) for x in lists]
+    for s in range(len(lists) - need + 1):
+        rarest = min(range(s, s + need), key=sizes.__getitem__)
+        if rarest not in known:
+            known[rarest] = extent(lists, rarest, -1, need - 1, slop), extent(lists, rarest, 1, need - 1, slop)
+        left, right = known[rarest]
+        if rarest - s <= left and s + need - 1 - rarest <= right:
+            yield s
+
+
 def matcher(window: int, slop: int):
     def match(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         """All occurrences of the block's windows in one segment."""
@@ -138,15 +165,16 @@ def matcher(window: int, slop: int):
             while end < len(uses) and uses[end][0] == uses[at][0] and uses[end][1] == uses[end - 1][1] + 1:
                 end += 1
             need = min(window, uses[at][2])  # only unbroken runs of an item's words can hold a window
-            for s in range(at, end - need + 1):
-                run = [lists[uses[k][3]] for k in range(s, s + need)]
+            row = [lists[uses[k][3]] for k in range(at, end)]
+            for s in candidates(row, need, slop):
+                run = row[s:s + need]
                 if slop:
                     _, first, last = spans(run, slop)
                 else:
                     first = exact(run)
                     last = first + need - 1
                 if len(first):
-                    found.append((uses[s][4], first, last - first + 1))
+                    found.append((uses[at][4], first, last - first + 1))
             at = end
         out = {"segment": np.full(sum(len(h) for _, h, _ in found), key[0]), "item": pd.Series([i for i, h, _ in found for _ in h], dtype=object),
                "position": np.concatenate([h for _, h, _ in found]) if found else np.zeros(0, np.int64), "length": np.concatenate([n for *_, n in found]) if found else np.zeros(0, np.int64)}

@@ -8,6 +8,7 @@ import re
 import zlib
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F, types as T
@@ -160,6 +161,31 @@ def test_proximity_equals_brute_force(spark):
             assert got[i] == int(bool(reach)), t
 
 
+@pytest.mark.parametrize("slop", [0, 1, 2])
+def test_only_windows_that_may_be_read_are_read(monkeypatch, slop):
+    """Every window with a reading is found, and of windows without any nearly none is read in full."""
+    rng = random.Random(slop)
+    text = [rng.choice("abcdefghijklmnop") for _ in range(3000)]
+    items = [text[at:at + 20] for at in range(0, 2000, 100)] + [[rng.choice("abcdefghijklmnop") for _ in range(20)] for _ in range(60)]
+    terms = sorted(set(text))
+    at = {t: np.array([i for i, w in enumerate(text) if w == t], np.int32) for t in terms}
+    uses = [[{"row": r, "item": str(r), "place": p, "length": 20} for r, words in enumerate(items) for p, w in enumerate(words) if w == t] for t in terms]
+    group = pd.DataFrame({"positions": [np.diff(at[t], prepend=np.int32(0)).astype(np.int32).tobytes() for t in terms], "uses": uses})
+    calls = collections.Counter()
+    for name in ("spans", "exact"):
+        monkeypatch.setattr(phrase_index, name, lambda *a, f=getattr(phrase_index, name): (calls.update(["read"]), f(*a))[1])
+    got = phrase_index.matcher(8, slop)((3, 0), group)
+    read = calls["read"]
+    want = collections.Counter()
+    for r, words in enumerate(items):
+        for s in range(13):
+            run = [at[w].astype(np.int64) for w in words[s:s + 8]]
+            first, last = phrase_index.spans(run, slop)[1:] if slop else ((x := phrase_index.exact(run)), x + 7)
+            want.update((str(r), int(a), int(b - a + 1)) for a, b in zip(first, last))
+    assert collections.Counter(zip(got["item"], got["position"], got["length"])) == want and len(want) >= 20 * 13
+    assert read < 0.6 * 80 * 13
+
+
 # -- op3
 
 
