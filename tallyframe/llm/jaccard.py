@@ -82,7 +82,7 @@ def frequencies(texts: DataFrame, n: int) -> np.ndarray:
         return pd.DataFrame({"shard": [group["shard"].iloc[0]], "part": [group["part"].iloc[0] // FAN_IN], "counts": [np.minimum(total, 0xFFFFFFFF).astype(np.uint32).tobytes()]})
 
     schema = "shard int, part long, counts binary"
-    now = written(texts.select("_text").mapInArrow(count, schema), "shingle-counts")
+    now = written(texts.select("_text").mapInArrow(count, schema), "shingle-counts", small=True)
     parts = (now.agg(F.max("part")).first()[0] or 0) + 1
     while True:
         now = written(now.groupBy("shard", F.floor(F.col("part") / FAN_IN)).applyInPandas(add, schema), "shingle-counts")
@@ -125,7 +125,7 @@ def signed(texts: DataFrame, n: int, percent: int, order: np.ndarray) -> DataFra
                                               pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(prefixes))), pa.array(bins, pa.binary())], names=["row", "id", "mark", "n", "d1", "d2", "prefix", "bins"])
             row += part.num_rows
 
-    return written(texts.select("_id", "_mark", "_text").mapInArrow(sign, SIGNED), "shingle-signs")
+    return written(texts.select("_id", "_mark", "_text").mapInArrow(sign, SIGNED), "shingle-signs", small=True)
 
 
 def met(prefixes: DataFrame, percent: int) -> DataFrame:
@@ -194,7 +194,7 @@ def texts_of(heads: DataFrame, texts: DataFrame, n: int) -> DataFrame:
             same = [digest(s) == (x, y) for s, x, y in zip(sets, one, two)]
             yield part.select(["row", "n_class", "_text"]).filter(pa.array(same, pa.bool_()))
 
-    found = written(named.mapInArrow(own, "row long, n_class long, _text string"), "shingle-texts")
+    found = written(named.mapInArrow(own, "row long, n_class long, _text string"), "shingle-texts", small=True)
     return found.where("n_class = 1").select("row", "_text").union(found.where("n_class > 1").groupBy("row").agg(F.first("_text").alias("_text")))
 
 
@@ -229,7 +229,7 @@ def verified(pairs: DataFrame, heads: DataFrame, texts: DataFrame, n: int, perce
                 sizes = np.array([len(x) for x in sets], np.int64)[codes]
                 yield part.select(["a", "b"]).filter(pa.array(100 * shared >= percent * (sizes[:rows] + sizes[rows:] - shared)))
 
-    return written(both.select("a", "b", "ta", "tb").mapInArrow(compare, "a long, b long"), "shingle-links")
+    return written(both.select("a", "b", "ta", "tb").mapInArrow(compare, "a long, b long"), "shingle-links", small=True)
 
 
 def overlap(one: np.ndarray, two: np.ndarray) -> int:

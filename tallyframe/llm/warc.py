@@ -24,7 +24,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tallyframe.llm.common import field, slices
-from tallyframe.session import scratch_path
+from tallyframe.session import scratch_path, small_batches
 
 MAGIC = b"\x1f\x8b\x08"
 FILE_BYTES, SPLIT_BYTES, CHUNK = 256 << 20, 16 << 20, 1 << 18
@@ -97,7 +97,8 @@ def write_archives(pages: DataFrame, folder: str, key: str = "page_id", payload:
             yield report()
 
     report = scratch_path(spark, "warc-report")
-    rows.mapInArrow(write, MANIFEST).write.parquet(report)
+    with small_batches(spark):
+        rows.mapInArrow(write, MANIFEST).write.parquet(report)
     return spark.read.schema(MANIFEST).parquet(report)
 
 

@@ -2,10 +2,12 @@
 
 import collections
 
+import pyarrow as pa
 import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
+from tallyframe import session
 from tallyframe.functions import seeded
 from tallyframe.operators import generate, identify, profile, validate
 from tallyframe.sources import files
@@ -80,3 +82,21 @@ def test_heads_read_a_bounded_part(spark, tmp_path):
     lines = collections.Counter((r["file_id"].rpartition("/")[2], r["line"]) for r in files.head_lines(heads).collect())
     assert lines == {("long.txt", line): 100 // len((line + "\n").encode()), ("short.txt", line): 3, ("one.txt", "x" * 100): 1}
     assert profile.detect_delimiter(files.head_lines(heads, 5)).filter("file_id like '%long.txt'").first()["delimiter"] == "|"
+
+
+def test_texts_go_to_python_in_small_batches(spark):
+    """Whatever the rows' width, a task holds little more than BATCH_BYTES of them at once; a caller's own bound stays."""
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_pydict({"bytes": [b.nbytes]})
+
+    wide = spark.range(0, 60, 1, 1).select(F.repeat(F.lit("x"), 500_000).alias("one"), F.repeat(F.lit("y"), 500_000).alias("two"))
+    found = session.written(wide.mapInArrow(sizes, "bytes long"), "batches", small=True).agg(F.max("bytes"), F.sum("bytes")).first()
+    assert found[0] < 2 * session.BATCH_BYTES and found[1] >= 60_000_000
+    assert session.BATCH_SETTING not in spark.conf.getAll
+    spark.conf.set(session.BATCH_SETTING, "32m")
+    try:
+        assert session.written(wide.mapInArrow(sizes, "bytes long"), "batches", small=True).agg(F.max("bytes")).first()[0] > 30_000_000
+        assert spark.conf.get(session.BATCH_SETTING) == "32m"
+    finally:
+        spark.conf.unset(session.BATCH_SETTING)
