@@ -5,7 +5,8 @@ the sorted positions of that term (delta coded), and one directory row with its
 between tasks. The test items get an index of the same kind (term -> item, place). Both meet by a join on the term; the
 terms of one segment and one block of items then form a bounded group in which offset-adjusted position lists are
 intersected from the rarest term on. Exact phrases and proximity (at most ``slop`` foreign words between neighbours, same
-order) are answered the same way; only windows that a walk from their rarest term's positions covers are read in full.
+order) are answered the same way; only windows that a walk from their rarest term's positions covers are read in full, and of their
+other terms only the positions that the walk came by.
 
 Defined cases: null or wordless texts have no positions, hits or items; an item shorter than the window is one window;
 repeated documents are rows of their own, repeated equal items count once; a null item id counts as an empty string; empty
@@ -82,11 +83,11 @@ def item_terms(items: DataFrame, key: str, text: str) -> DataFrame:
     return F.broadcast(terms) if total <= BROADCAST_WORDS else terms
 
 
-def spans(lists: list[np.ndarray], slop: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(positions of the rarest term from which the whole sequence can be read, with at most ``slop`` foreign words between
+def spans(lists: list[np.ndarray], slop: int, rarest: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(positions of the rarest term, or of that at the given place, from which the whole sequence can be read, with at most ``slop`` foreign words between
     neighbours; position of its first word; of its last). Each word takes the nearest place from which the rest can be read,
     so no other reading has a later first word or an earlier last one: if this one reaches into another document, all do."""
-    rarest = min(range(len(lists)), key=lambda i: len(lists[i]))
+    rarest = min(range(len(lists)), key=lambda i: len(lists[i])) if rarest is None else rarest
     alive = np.ones(len(lists[rarest]), bool)
     ends = {1: lists[rarest], -1: lists[rarest]}
     for side in (1, -1):
@@ -95,15 +96,13 @@ def spans(lists: list[np.ndarray], slop: int) -> tuple[np.ndarray, np.ndarray, n
         path = [rarest, *chain]
         good, reach = np.ones(len(lists[path[-1]]), bool), lists[path[-1]]
         for here, there in zip(path[-2::-1], path[:0:-1]):
-            target, far = lists[there][good], reach[good]
-            if side > 0:
-                at = np.searchsorted(target, lists[here], side="right")
-                gap = np.where(at < len(target), target[np.minimum(at, len(target) - 1)] if len(target) else 0, 1 << 60) - lists[here]
-            else:
-                at = np.searchsorted(target, lists[here], side="left") - 1
-                gap = lists[here] - np.where(at >= 0, target[np.maximum(at, 0)] if len(target) else 0, -(1 << 60))
-            good = gap <= slop + 1
-            reach = far[np.clip(at, 0, max(0, len(far) - 1))] if len(far) else np.zeros(len(good), np.int64)
+            target, far = (lists[there], reach) if good.all() else (lists[there][good], reach[good])
+            if not len(target):
+                return lists[rarest][:0], lists[rarest][:0], lists[rarest][:0]
+            at = target.searchsorted(lists[here], "right") if side > 0 else target.searchsorted(lists[here], "left") - 1
+            gap = (target.take(at, mode="clip") - lists[here]) * side  # none beyond the ends: these are not on this side
+            good = (gap > 0) & (gap <= slop + 1)
+            reach = far.take(at, mode="clip")
         alive &= good
         ends[side] = reach
     return lists[rarest][alive], ends[-1][alive], ends[1][alive]
@@ -119,38 +118,43 @@ def exact(lists: list[np.ndarray]) -> np.ndarray:
     order = sorted(range(len(lists)), key=lambda i: len(lists[i]))
     starts = lists[order[0]] - order[0]
     for i in order[1:]:
-        at = np.searchsorted(lists[i], starts + i)
-        starts = starts[lists[i][np.minimum(at, len(lists[i]) - 1)] == starts + i]
+        here = starts + i
+        starts = starts[lists[i].take(lists[i].searchsorted(here), mode="clip") == here]
         if not len(starts):
             break
     return starts
 
 
-def extent(lists: list[np.ndarray], at: int, step: int, most: int, slop: int) -> int:
-    """Neighbours of ``lists[at]`` in one direction (``step`` 1 or -1), at most ``most``, that a chain from any of its positions reaches."""
-    here, n = lists[at], 0
-    while n < most and 0 <= at + step * (n + 1) < len(lists):
-        there = lists[at + step * (n + 1)]
-        beside = here + step if not slop else np.unique(np.concatenate([here + step * d for d in range(1, slop + 2)]))
-        here = beside[there[np.minimum(np.searchsorted(there, beside), len(there) - 1)] == beside]
+def reached(lists: list[np.ndarray], at: int, step: int, most: int, slop: int) -> list[np.ndarray]:
+    """The positions that a chain from any position of ``lists[at]`` comes by, list after list in one direction (``step`` 1 or -1): at most
+    ``most`` lists, up to the first without any."""
+    out, here = [], lists[at]
+    while len(out) < most and 0 <= at + step * (len(out) + 1) < len(lists):
+        there = lists[at + step * (len(out) + 1)]
+        beside = (here[:, None] + step * np.arange(1, slop + 2)).ravel() if slop else here + step
+        here = beside[there.take(there.searchsorted(beside), mode="clip") == beside]
         if not len(here):
             break
-        n += 1
-    return n
+        if slop and len(here) > 1:
+            here = np.unique(here)
+        out.append(here)
+    return out
 
 
-def candidates(lists: list[np.ndarray], need: int, slop: int) -> Iterator[int]:
-    """Starts of the windows of ``need`` lists that may be read. Windows that slide over the same rarest term share the walk from its
-    positions, which mostly ends after a few words."""
-    known: dict[int, tuple[int, int]] = {}
+def candidates(lists: list[np.ndarray], need: int, slop: int) -> Iterator[tuple[list[np.ndarray], int]]:
+    """(lists, place of the rarest) of the windows of ``need`` lists that may be read. Windows that slide over the same rarest term share
+    the walk from its positions, which mostly ends after a few words. No reading through the rarest term has other positions than
+    the walk came by, and each of them keeps all that follow it, so the other lists are cut to these."""
+    known: dict[int, tuple[list[np.ndarray], list[np.ndarray]]] = {}
     sizes = [len(x) for x in lists]
     for s in range(len(lists) - need + 1):
         rarest = min(range(s, s + need), key=sizes.__getitem__)
         if rarest not in known:
-            known[rarest] = extent(lists, rarest, -1, need - 1, slop), extent(lists, rarest, 1, need - 1, slop)
+            known[rarest] = reached(lists, rarest, -1, need - 1, slop), reached(lists, rarest, 1, need - 1, slop)
         left, right = known[rarest]
-        if rarest - s <= left and s + need - 1 - rarest <= right:
-            yield s
+        before, after = rarest - s, s + need - 1 - rarest
+        if before <= len(left) and after <= len(right):
+            yield [*left[:before][::-1], lists[rarest], *right[:after]], before
 
 
 def matcher(window: int, slop: int):
@@ -166,10 +170,9 @@ def matcher(window: int, slop: int):
                 end += 1
             need = min(window, uses[at][2])  # only unbroken runs of an item's words can hold a window
             row = [lists[uses[k][3]] for k in range(at, end)]
-            for s in candidates(row, need, slop):
-                run = row[s:s + need]
+            for run, rarest in candidates(row, need, slop):
                 if slop:
-                    _, first, last = spans(run, slop)
+                    _, first, last = spans(run, slop, rarest)
                 else:
                     first = exact(run)
                     last = first + need - 1

@@ -186,6 +186,30 @@ def test_only_windows_that_may_be_read_are_read(monkeypatch, slop):
     assert read < 0.6 * 80 * 13
 
 
+@pytest.mark.parametrize("slop", [0, 1, 2])
+def test_windows_read_no_far_positions_of_frequent_words(monkeypatch, slop):
+    """The other terms' positions are cut to those near the rarest term's, and the readings are those over all positions."""
+    rng = random.Random(slop)
+    text = [rng.choice(["the", "of", "the", "and", f"w{rng.randint(0, 300)}"]) for _ in range(20_000)]
+    items = [text[at:at + 9] for at in range(0, 20_000, 400)] + [["w1", "the", "the", "of"], ["the", "w2", "and", "the", "w3"]]
+    terms = sorted({w for words in items for w in words})
+    at = {t: np.array([i for i, w in enumerate(text) if w == t], np.int64) for t in terms}
+    uses = [[{"row": r, "item": str(r), "place": p, "length": len(words)} for r, words in enumerate(items) for p, w in enumerate(words) if w == t] for t in terms]
+    group = pd.DataFrame({"positions": [np.diff(at[t], prepend=0).astype(np.int32).tobytes() for t in terms], "uses": uses})
+    want, whole, sizes = collections.Counter(), 0, []
+    for r, words in enumerate(items):
+        for s in range(max(1, len(words) - 4)):
+            run = [at[w] for w in words[s:s + 5]]
+            first, last = phrase_index.spans(run, slop)[1:] if slop else ((x := phrase_index.exact(run)), x + len(run) - 1)
+            want.update((str(r), int(a), int(b - a + 1)) for a, b in zip(first, last))
+            whole += sum(map(len, run))
+    for name in ("spans", "exact"):
+        monkeypatch.setattr(phrase_index, name, lambda *a, f=getattr(phrase_index, name): (sizes.append(sum(map(len, a[0]))), f(*a))[1])
+    got = phrase_index.matcher(5, slop)((3, 0), group)
+    assert collections.Counter(zip(got["item"], got["position"], got["length"])) == want and len(want) >= 200
+    assert sum(sizes) < 0.2 * whole
+
+
 # -- op3
 
 
