@@ -355,10 +355,13 @@ def detect_delimiter(lines: DataFrame, sample_lines: int | None = None) -> DataF
 
 
 def header_trailer(lines: DataFrame) -> DataFrame:
-    """Per file: median line length, and whether the first / last line deviates by more than 25 % / 30 %."""
-    return lines.select("file_id", "line_no", F.expr("length(line) as len")).groupBy("file_id").agg(
-        F.expr("percentile(len, 0.5) as median_len"), F.expr("min_by(len, line_no) as first_len"),
-        F.expr("max_by(len, line_no) as last_len"), F.count(F.lit(1)).alias("lines")).select(
+    """Per file: median line length, and whether the first / last line deviates by more than 25 % / 30 %. Lines are counted by
+    length first, so that the median's lists hold a file's distinct lengths and its sort no lines."""
+    lengths = lines.select("file_id", "line_no", F.expr("length(line) as len")).groupBy("file_id", "len").agg(
+        F.min("line_no").alias("first_no"), F.max("line_no").alias("last_no"), F.count(F.lit(1)).alias("n"))
+    return lengths.groupBy("file_id").agg(
+        F.expr("percentile(len, 0.5, n) as median_len"), F.expr("min_by(len, first_no) as first_len"),
+        F.expr("max_by(len, last_no) as last_len"), F.sum("n").alias("lines")).select(
         "file_id", "median_len", "first_len", "last_len",
         F.expr("abs(first_len - median_len) / (median_len + 1) > 0.25 as has_header"),
         F.expr("lines > 2 and abs(last_len - median_len) / (median_len + 1) > 0.3 as has_trailer"))

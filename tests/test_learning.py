@@ -136,3 +136,10 @@ def test_table_driven_rendering_prefers_source_values(spark):
     got = generate.from_table(drive, "i", source, ["k"], TCR0, "TCR0").orderBy("i").collect()
     assert [r["merchant_name"] for r in got[:2]] == ["FIRST SHOP", "SECOND SHOP"] and got[1]["merchant_city"] == "PARIS"
     assert got[0]["merchant_city"].strip() and got[3]["merchant_name"].strip()
+
+
+def test_header_and_trailer_by_lengths(spark):
+    """Median over all lines, nulls left out; the first and last line by number, a null one without a length."""
+    rows = [("a", n, "x" * 10) for n in range(2, 9)] + [("a", 1, "x" * 20), ("a", 9, "x"), ("a", 5, "yy"), ("b", 1, None), ("b", 2, "abc"), ("b", 3, "abcd"), ("c", 7, None)]
+    got = {r["file_id"]: tuple(r)[1:] for r in profile.header_trailer(spark.createDataFrame(rows, "file_id string, line_no bigint, line string")).collect()}
+    assert got == {"a": (10.0, 20, 1, True, True), "b": (3.5, None, 4, None, False), "c": (None, None, None, None, False)}

@@ -1,5 +1,6 @@
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from tallyframe.operators import ordered, skew
@@ -86,3 +87,14 @@ def test_lookup_join_with_any_number_of_hot_keys(spark):
     lookup = big.groupBy("key").agg(F.min("id").alias("first"))
     got = skew.lookup_join(big, lookup, ["key"], ["first"])
     assert got.filter("first = id % 1001").count() == 200_200
+
+
+@pytest.mark.parametrize("chunk_rows", [1000, 8])
+def test_sorts_hold_a_bounded_number_of_rows(spark, monkeypatch, chunk_rows):
+    """The rows of many groups, or of the chunks of large ones, are sorted in tasks of about TASK_ROWS rows, dealt out once."""
+    monkeypatch.setattr(ordered, "TASK_ROWS", 100, raising=False)
+    rows = [(k, i * 7 % 40, i) for k in range(100) for i in range(40)]
+    df = spark.createDataFrame(rows, "k int, pos bigint, v int").repartition(3)
+    got = ordered.numbered(df, ["k"], ["pos"], chunk_rows=chunk_rows, sparse=True).withColumn("task", F.spark_partition_id())
+    assert max(r["count"] for r in got.groupBy("task").count().collect()) <= 400
+    assert {(r["k"], r["pos"], r["rn"]) for r in got.collect()} == {(k, p, p + 1) for k, p, _ in rows}
