@@ -563,6 +563,23 @@ def test_gradients_are_right():
         assert g[name][at] == pytest.approx((near[0] - near[1]) / 2e-4, rel=2e-2, abs=1e-5)
 
 
+@pytest.mark.parametrize("large", [1, 30])
+def test_gradients_are_sums_over_pieces(monkeypatch, large):
+    """Pieces of any size give the batch's gradients; ``large`` values take the way with shifted exponents."""
+    rng = np.random.default_rng(2)
+    p = {k: v.astype(np.float64) * (large if k in "eu" else 1) for k, v in attention_lm.fresh(rng).items()}
+    places, valid, counted = attention_lm.blocks(np.array([1, 70, 71, 150]))
+    emb, target = rng.integers(1, 50, valid.shape), rng.integers(0, attention_lm.CLASSES, counted.shape)
+    got = []
+    for size in (1, 3, 100):
+        monkeypatch.setattr(attention_lm, "PIECE", size)
+        got.append(attention_lm.gradients(p, emb, valid, target, counted))
+    for loss, g in got[:2]:
+        assert loss == pytest.approx(got[2][0])
+        for name, v in g.items():
+            assert np.isfinite(v).all() and np.allclose(v, got[2][1][name], rtol=1e-7, atol=1e-9)
+
+
 def test_training_helps(spark):
     text = ("the cat sat on the mat and the dog sat on the log " * 40).strip()
     docs = spark.createDataFrame([(i, text) for i in range(40)], "doc_id long, text string")
