@@ -24,6 +24,7 @@ bytes; an empty table gives no rows; only the id and text columns are read.
 from __future__ import annotations
 
 import hashlib
+import io
 import os
 import shutil
 import tempfile
@@ -35,10 +36,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from tallyframe.llm.common import field, gather, slices, text_buffers
-from tallyframe.session import written
+from tallyframe.session import dropped, scratch_path, written
 
 LENGTH, MER = 100, 30
-STRETCH, GROUP, BLOCK, PLACE_BITS = 1 << 21, 4096, 30_000, 24
+STRETCH, RUN, GROUP, BLOCK, PLACE_BITS = 1 << 21, 1 << 17, 4096, 30_000, 24
 BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -125,7 +126,13 @@ def stretches(part: pa.RecordBatch, length: int, mer: int) -> Iterator[tuple]:
     """Pieces of a slice; a row longer than a stretch is cut with an overlap, so that each window is in one stretch."""
     offs, raw = text_buffers(field(part, "_text"))
     if part.num_rows > 1 or len(raw) <= 2 * STRETCH:
-        yield pieces(raw, offs[1:], length, mer)
+        found = []  # a few rows at a time: the arrays of a run take some hundred times its bytes
+        bounds = np.unique(np.append(np.searchsorted(offs, np.arange(0, len(raw), RUN)), part.num_rows))
+        for a, b in zip(bounds[:-1], bounds[1:]):
+            row, *rest = pieces(raw[offs[a]:offs[b]], offs[a + 1:b + 1] - offs[a], length, mer)
+            found.append((row + a, *rest))
+        if found:
+            yield tuple(np.concatenate(x) for x in zip(*found))
         return
     for at in range(0, len(raw), STRETCH):
         piece = raw[at:at + STRETCH + length - 1]
@@ -210,14 +217,16 @@ class Columns:
     def rounds(self, length: int, lowest: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """For each column from the last to ``lowest``: the rows that have a symbol there in the order of their suffixes, and
         whether each equals the one before it over ``length`` columns."""
-        order_file, agree_file = os.path.join(self.folder, "order"), os.path.join(self.folder, "agree")
-        np.zeros(0, np.int32).tofile(order_file)
-        np.zeros(0, np.int32).tofile(agree_file)
+        with open(os.path.join(self.folder, "order"), "w+b", 0) as order_file, open(os.path.join(self.folder, "agree"), "w+b", 0) as agree_file:
+            yield from self._rounds(length, lowest, order_file, agree_file)
+
+    def _rounds(self, length: int, lowest: int, order_file: io.FileIO, agree_file: io.FileIO) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         symbol = np.zeros(self.n, np.int64)
+        n = 0
         for j in range(self.width - 1, lowest - 1, -1):
             rows, symbols = self.column(j)
             symbol[rows] = symbols
-            order, agree = np.fromfile(order_file, np.int32), np.fromfile(agree_file, np.int32)
+            order, agree = (np.frombuffer(os.pread(f.fileno(), 4 * n, 0), np.int32) for f in (order_file, agree_file))
             fresh = rows[self.right[rows] == j + 1]  # their suffix behind this column is empty: first in their group
             if len(order):
                 ongoing = self.left[order] <= j
@@ -246,11 +255,21 @@ class Columns:
             at = np.flatnonzero(same)
             if len(at):
                 agree[at] = range_least(level, after[at - 1] + 1, after[at] + 1)
-            order.astype(np.int32).tofile(order_file)
-            agree.tofile(agree_file)
+            # written over what was there: a file cut to nothing and filled again is sent to the disk by each close
+            n = len(order)
+            for f, values in ((order_file, order), (agree_file, agree)):
+                rewrite(f, values.astype(np.int32))
             yield order, same & (agree >= j + length)
 
 
+def rewrite(file: io.FileIO, values: np.ndarray) -> None:
+    """The file's first bytes become those of ``values``."""
+    data = memoryview(values.tobytes())
+    file.seek(0)
+    while len(data):
+        data = data[file.write(data):]
+
+
 def range_least(x: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Minimum of x[a:b] for each pair, a < b: most ranges are one long, the others come from a table of doubling widths."""
     out = x[a].copy()
@@ -329,8 +348,12 @@ def keyed(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 def spans_of(rows: DataFrame, length: int, mer: int) -> DataFrame:
     """(doc, start, size): stretches that go, overlapping ones as they were found."""
-    dealt = cut(rows.select("_doc", "_text"), length, mer).repartitionByRange("mini", "content").sortWithinPartitions("mini", "content", "doc", "start")
+    # written, as the ranges come from a pass of their own over the pieces
+    path = scratch_path(rows.sparkSession, "repeats-cut")
+    cut(rows.select("_doc", "_text"), length, mer).write.parquet(path)
+    dealt = rows.sparkSession.read.parquet(path).repartitionByRange("mini", "content").sortWithinPartitions("mini", "content", "doc", "start")
     found = written(sifted(dealt), "repeats-pieces")
+    dropped(rows.sparkSession, path)
     several = found.where("NOT whole").drop("whole")
     sizes = several.groupBy("mini").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("mini", F.ceil(F.col("k") / GROUP).cast("int").alias("salts"))
     several = written(several.join(sizes, "mini"), "repeats-several")

@@ -238,6 +238,32 @@ def test_suffix_dedup(rows, docs, empty, monkeypatch, group):
     assert suffix_dedup.removed(empty).count() == 0
 
 
+def test_suffix_dedup_cuts_its_pieces_once(docs, monkeypatch):
+    """The ranges of the pieces are found over written pieces, not by a second pass over the texts."""
+    plans, sifted = [], suffix_dedup.sifted
+    monkeypatch.setattr(suffix_dedup, "sifted", lambda dealt: plans.append(dealt._jdf.queryExecution().toString()) or sifted(dealt))
+    assert suffix_dedup.removed(docs).count() == docs.count()
+    assert len(plans) == 1 and "MapInArrow" not in plans[0]
+
+
+def test_rounds_write_over_their_files(tmp_path):
+    """Files that are cut to nothing and filled again in each round would be sent to the disk as often."""
+    texts = [b"xxabcabcab", b"abcabc", b"bcabcabcabc", b"zz"]
+    block = suffix_dedup.Columns(np.frombuffer(b"".join(texts), np.uint8), np.zeros(4, np.int64), np.zeros(4, np.int64), np.array([len(t) for t in texts]), str(tmp_path))
+    sizes, column = [], block.width
+    for order, equal in block.rounds(3, 0):
+        column -= 1
+        sizes.append([(tmp_path / name).stat().st_size for name in ("order", "agree")])
+        assert order.tolist() == sorted((i for i, t in enumerate(texts) if len(t) > column), key=lambda i: (texts[i][column:], ))
+        tails = [texts[i][column:column + 3] for i in order]
+        assert equal.tolist() == [i > 0 and len(t) == 3 and t == tails[i - 1] for i, t in enumerate(tails)]
+    assert sizes == sorted(sizes) and sizes[-1] == [16, 16]
+    # a block that loses rows on its way leaves their bytes in the files
+    block = suffix_dedup.Columns(np.frombuffer(b"abcde" * 2 + b"e", np.uint8), np.zeros(3, np.int64), np.array([0, 0, 4]), np.array([5, 5, 1]), str(tmp_path))
+    seen = [(order.tolist(), (tmp_path / "order").stat().st_size) for order, _ in block.rounds(3, 0)]
+    assert [len(order) for order, _ in seen] == [3, 2, 2, 2, 2] and {size for _, size in seen} == {12}
+
+
 def test_suffix_dedup_of_repeated_and_null_ids(twice):
     got = suffix_dedup.removed(twice).collect()
     assert len(got) == twice.count()
