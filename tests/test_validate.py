@@ -3,6 +3,7 @@ from dataclasses import replace
 import pytest
 from pyspark.sql import functions as F
 
+from tallyframe.functions import checks
 from tallyframe.operators import generate, synth, validate
 from tallyframe.sources.layouts import ACH, CARD, GL, MT103, TCR0, Field, Record, Spec
 
@@ -181,3 +182,35 @@ def test_strict_report_counts_every_failing_check(spark):
         "good": (9, 0, 0), "allowed": (8, 1, 1), "letters": (7, 2, 1), "high": (8, 1, 1), "blank": (3, 1, 1)}
     (row,) = validate.all_findings(findings(spark, spec, ["05AAA"], "strict")).filter("code = 'REQUIRED'").collect()
     assert (row["field"], row["value"], row["passed"]) == ("b", "", 3)
+
+
+@pytest.mark.parametrize("spec, dialect", [(ACH, "lenient"), (GL, "lenient"), (CARD, "strict")])
+def test_values_and_codes_are_generated_code(spark, spec, dialect):
+    """Inside the generator that keeps the outcome from being repeated every check would be interpreted, and in the one method of a
+    whole stage's code they would not be compiled either."""
+    steps = findings(spark, spec, ["x"], dialect)._jdf.queryExecution().executedPlan().toString().splitlines()
+    (outcome,) = [s for s in steps if "Generate inline" in s]
+    assert "RLIKE" not in outcome and "substring" not in outcome
+    cells, codes = ([s for s in steps if s.split("Project", 1)[0].strip("+-: ") == "" and f"AS {name}#" in s] for name in ("cells", "codes"))
+    assert len(cells) == len(codes) == 1  # no star and number before them: no part of a whole stage
+
+
+def test_values_are_cut_by_characters(spark):
+    spec = Spec("S", "fixed", "", (Record("R", "row", "detail", 0, 8, None),), (
+        Field("R", "a", "string", 1, 4, 4, allowed=("né  ",), min_len=4, max_len=4, pos=1), Field("R", "b", "numeric", 5, 8, 4, required=False, min_value=0, pos=2)), None)
+    found = findings(spark, spec, ["né  0042", "ne  0042", "né  ééé4", "né      ", "né  -004", "né  004"], "strict")
+    assert {(r["line_no"], r["field"], r["code"], r["value"]) for r in validate.errors(found).collect()} == {
+        (2, "a", "ALLOWED", "ne  "), (3, "b", "NOT_NUMERIC", "ééé4"), (5, "b", "MIN_VALUE", "-004"), (6, "RECORD_LENGTH", "RECORD_LENGTH", "né  004")}
+    assert {r["line_no"]: r["good"] for r in found.collect()} == {1: 5, 2: 4, 3: 4, 4: 4, 5: 4, 6: 4}
+
+
+def test_card_numbers_of_any_form_pass_the_luhn_test(spark):
+    def plain(value):
+        digits = [int(c) for c in value or "" if c in "0123456789"][::-1]
+        return len(digits) >= 13 and sum(sum(divmod(d * (1 + i % 2), 10)) for i, d in enumerate(digits)) % 10 == 0
+
+    values = ["4111111111111111", "4111111111111112", "4111-1111-1111-1111", "0000000000000", "411111111111111", "4111 1111 1111 1111 110",
+              "6304000000000000000", "", "x", None, *[str(7 ** k) for k in range(12, 40)], *[f"{7 ** k} " for k in range(12, 40)]]
+    rows = spark.createDataFrame([(v,) for v in values], "v string").selectExpr("v", f"{checks.luhn_ok('v')} as ok")
+    got = {r["v"]: r["ok"] for r in rows.collect()}
+    assert got == {v: plain(v) for v in values} and set(got.values()) == {True, False}
