@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window, functions as F
-from pyspark.sql.functions import pandas_udf
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from tallyframe.functions import seeded, text as tx
 from tallyframe.operators import ordered, skew
@@ -136,9 +136,26 @@ def char_vocabulary(texts: DataFrame, text: str, offset: int = len(SPECIALS)) ->
     return chars.withColumn("id", (F.row_number().over(Window.orderBy("ch")) - 1 + offset).cast("int"))
 
 
-def vocabulary_string(vocabulary: DataFrame) -> Column:
-    """All characters in id order as one scalar, so decoding is a position lookup without a join."""
-    return vocabulary.agg(F.expr("listagg(ch, '') within group (order by id)")).scalar()
+#: Characters, or ids, of a batch that encoding and decoding hand back. A batch of texts would come back as one of ids four times as large.
+BATCH_CHARS = 1 << 20
+
+
+def _in_batches(df: DataFrame, column: str, sizes: Callable[[pa.Array], pa.Array], out: str, kind: str, made: pa.DataType, of: Callable[[pa.Array], pa.Array]) -> DataFrame:
+    """Add ``out``, computed from ``column`` by Arrow batches of at most BATCH_CHARS by ``sizes``, or one row."""
+    schema = T.StructType([*[f for f in df.schema if f.name != out], T.StructField(out, T._parse_datatype_string(kind))])
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            values = batch.column(batch.schema.get_field_index(column))
+            ends, at = np.cumsum(pc.fill_null(sizes(values), 0).to_numpy(zero_copy_only=False).astype(np.int64)), 0
+            while at < batch.num_rows:
+                end = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + BATCH_CHARS, side="right")))
+                part, kept = batch.slice(at, end - at), [n for n in batch.schema.names if n != out]
+                columns = [part.column(part.schema.get_field_index(n)) for n in kept]
+                yield pa.RecordBatch.from_arrays([*columns, of(values.slice(at, end - at)).cast(made)], names=[*kept, out])
+                at = end
+
+    return df.mapInArrow(work, schema)
 
 
 def encode(texts: DataFrame, text: str, vocabulary: DataFrame) -> DataFrame:
@@ -149,27 +166,43 @@ def encode(texts: DataFrame, text: str, vocabulary: DataFrame) -> DataFrame:
     table[list(known)] = list(known.values())
     shared = texts.sparkSession.sparkContext.broadcast(table)
 
-    def of(value: str) -> np.ndarray:
-        points = np.frombuffer(value.encode("utf-32-le"), np.uint32)
-        return shared.value[np.minimum(points, len(shared.value) - 1)]
-
-    @pandas_udf("array<int>")
-    def ids(values: pd.Series) -> pd.Series:
-        return pd.Series([None if v is None else of(v) for v in values], dtype=object)
+    def of(values: pa.Array) -> pa.Array:
+        found = values.to_pylist()
+        points = np.frombuffer("".join(v for v in found if v is not None).encode("utf-32-le"), np.uint32)
+        ends = np.cumsum([0, *[len(v or "") for v in found]])
+        ids = shared.value[np.minimum(points, len(shared.value) - 1)]
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids), mask=pa.array([v is None for v in found]))
 
-    return texts.withColumn("ids", ids(F.col(text)))
+    return _in_batches(texts, text, pc.binary_length, "ids", "array<int>", pa.list_(pa.int32()), of)
 
 
 def decode(encoded: DataFrame, vocabulary: DataFrame, offset: int = len(SPECIALS)) -> DataFrame:
-    """Add ``decoded``: padding, start and end marks are skipped."""
-    staged = encoded.withColumn("_v", F.split(vocabulary_string(vocabulary), ""))
-    return staged.withColumn("decoded", F.expr(
-        f"array_join(transform(filter(ids, i -> i > 2), i -> if(i = 3, '<UNK>', coalesce(try_element_at(_v, i + 1 - {offset}), '?'))), '')")).drop("_v")
+    """Add ``decoded``: padding, start and end marks are skipped. A table over the ids, bounded by the alphabet, gives the characters of
+    all ids at once; ids behind its end are shown as a question mark."""
+    rows = sorted((r["id"], r["ch"]) for r in vocabulary.select("ch", "id").collect())
+    unknown = SPECIALS["<UNK>"]
+    known = {ord(ch) for _, ch in rows} | {ord("?")}
+    mark = next(c for c in range(0xE000, 0x110000) if c not in known)  # stands for unknown characters until the text is made
+    table = np.full(max(offset + len(rows), unknown + 1) + 1, ord("?"), np.uint32)
+    table[offset:offset + len(rows)] = [ord(ch) for _, ch in rows]
+    table[unknown] = mark
+    shared = encoded.sparkSession.sparkContext.broadcast((table, chr(mark)))
+
+    def of(values: pa.Array) -> pa.Array:
+        table, mark = shared.value
+        ids = values.flatten()
+        ids, sizes = ids.fill_null(0).to_numpy(zero_copy_only=False), pc.fill_null(pc.list_value_length(values), 0).to_numpy(zero_copy_only=False)
+        shown = ids >= unknown
+        ends = np.append(0, np.cumsum(shown))[np.append(0, np.cumsum(sizes))]
+        whole = table[np.minimum(ids[shown], len(table) - 1)].astype("<u4").tobytes().decode("utf-32-le", "replace")
+        return pa.array([None if null else whole[a:b].replace(mark, "<UNK>") for a, b, null in zip(ends[:-1].tolist(), ends[1:].tolist(), values.is_null().to_pylist())], pa.string())
+
+    return _in_batches(encoded, "ids", pc.list_value_length, "decoded", "string", pa.string(), of)
 
 
 def coverage(encoded: DataFrame, key: str) -> DataFrame:
     """Share of known characters, unknown count, tokens."""
-    unknown = F.size(F.filter("ids", lambda i: i == 3))
+    unknown = F.when(F.col("ids").isNull(), F.size("ids")).otherwise(F.size("ids") - F.size(F.array_remove("ids", SPECIALS["<UNK>"])))
     return encoded.select(key, unknown.cast("bigint").alias("unk_count"), F.size("ids").cast("bigint").alias("n_tokens")).withColumn(
         "coverage", F.expr("round(1 - unk_count / greatest(n_tokens, 1), 6)"))
 

@@ -177,6 +177,25 @@ def test_char_codec_and_windows(spark):
     assert [(r["x"], r["y"]) for r in wins] == [(t[i:i + 3], t[i + 1:i + 4]) for i in range(len(t) - 3)]
 
 
+def test_ids_and_characters_come_in_batches_of_bounded_size(spark):
+    """No lambda per character, and texts of more characters than a batch, next to empty and null ones, come back whole."""
+    n = ngram.BATCH_CHARS
+    texts = make_docs(spark, ["ab" * (n // 2 + 5), "", None, "a😀b", *["ba" * (n // 8)] * 9, "zz"])
+    vocabulary = ngram.char_vocabulary(make_docs(spark, ["ab😀"]), "text")
+    got = ngram.decode(ngram.encode(texts, "text", vocabulary).drop("text"), vocabulary)
+    assert "lambda" not in got._jdf.queryExecution().optimizedPlan().toString()
+    want = {r["doc_id"]: r["text"] for r in texts.collect()}
+    back = {r["doc_id"]: r for r in got.collect()}
+    assert {k: r["decoded"] for k, r in back.items()} == {k: None if v is None else v.replace("z", "<UNK>") for k, v in want.items()}
+    assert all((r["ids"] is None) == (want[k] is None) and len(r["ids"] or []) == len(want[k] or "") for k, r in back.items())
+    odd = spark.createDataFrame([([0, 1, 2, 4, 3, 6, 7, 99, None, 5],), (None,), ([],)], "ids array<int>")
+    assert [r["decoded"] for r in ngram.decode(odd, vocabulary).collect()] == ["a<UNK>😀??b", None, ""]
+    # the share of known characters needs none either
+    covered = ngram.coverage(ngram.encode(texts, "text", vocabulary), "doc_id")
+    assert "lambda" not in covered._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted((r["unk_count"], r["n_tokens"]) for r in covered.filter("n_tokens < 10").collect()) == [(0, 0), (0, 3), (2, 2)]
+
+
 def plain_bpe(text, target):
     words = Counter(text.split())
     seqs = {w: [*w, "</w>"] for w in words}
