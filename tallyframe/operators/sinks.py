@@ -2,8 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from urllib.parse import quote
+
+import pyarrow as pa
+import pyarrow.fs as fs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from tallyframe.session import by_key
 from tallyframe.sources.files import AUDIT_SCHEMA
 
 ISO_MICROS = "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"
@@ -17,6 +24,46 @@ def write_lines(lines: DataFrame, path: str, line_sep: str = "\n") -> None:
      .write.partitionBy("file_id").option("lineSep", line_sep).text(path))
 
 
+def write_texts(texts: DataFrame, key: str, text: str, path: str) -> int:
+    """The texts of each key as lines of a file of their own, ``bucket=.../<key>=<value>.txt``; returns the number of files.
+
+    Tasks open the files themselves. A folder, an attempt's folder and a move for each file, which Spark's writer makes for
+    partitions of one file, take many times as long as a small text. A repeated task writes the same names again. Stores that pyarrow does not
+    know get Spark's writer, ``<key>=<value>/part-...``."""
+    rows = texts.select(F.col(key).cast("string").alias("key"), F.col(text).alias("value"))
+    try:
+        fs.FileSystem.from_uri(path)
+    except (pa.ArrowInvalid, pa.ArrowNotImplementedError):
+        rows.withColumnRenamed("key", key).repartition(key).write.partitionBy(key).text(path)
+        return rows.select("key").distinct().count()
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, inner = fs.FileSystem.from_uri(path)
+        folder = f"{inner}/bucket={TaskContext.get().partitionId()}"
+        files, last, file = 0, None, None
+        try:
+            for batch in batches:
+                keys, values = batch.columns
+                for at, name in enumerate(keys.to_pylist()):
+                    if file is None or name != last:
+                        if file is None:
+                            store.create_dir(folder, recursive=True)
+                        else:
+                            file.close()
+                        shown = "__HIVE_DEFAULT_PARTITION__" if name is None else quote(name, safe=" ")
+                        file, last, files = store.open_output_stream(f"{folder}/{key}={shown}.txt", compression=None), name, files + 1
+                    value = values[at].as_buffer()
+                    if value is not None:
+                        file.write(value)
+                    file.write(b"\n")
+        finally:
+            if file is not None:
+                file.close()
+        yield pa.RecordBatch.from_arrays([pa.array([files], pa.int64())], names=["files"])
+
+    return by_key(rows, "key", "value").sortWithinPartitions("key").mapInArrow(write, "files long").agg(F.sum("files")).first()[0] or 0
+
+
 def write_delimited(df: DataFrame, path: str, delimiter: str, header: bool = True) -> None:
     df.write.option("sep", delimiter).option("header", header).option("quote", '"').option("escape", '"').csv(path)
 

@@ -503,8 +503,7 @@ def u8(spark, folder):
 @query("s9_text_files", """SELECT page_id, cast(length(html) AS int) AS chars, md5(html) AS digest FROM pages""")
 def s9(spark, folder):
     """Each page written as its own text file, read back whole with the file as document boundary."""
-    pages = derived.table(spark, folder, "pages").select("page_id", F.col("html").alias("value"))
-    path = round_trip(spark, "texts", lambda p: pages.repartition("page_id").write.partitionBy("page_id").text(p))
+    path = round_trip(spark, "texts", lambda p: sinks.write_texts(derived.table(spark, folder, "pages"), "page_id", "html", p))
     docs = files.read_texts(spark, path)
     body = F.expr("substring(text, 1, length(text) - 1)")
     return docs.select(F.regexp_extract("path", r"page_id=(\d+)", 1).cast("bigint").alias("page_id"), F.length(body).alias("chars"), F.md5(body).alias("digest"))
@@ -513,8 +512,7 @@ def s9(spark, folder):
 @query("t9_file_heads", """SELECT page_id, cast(strlen(html) + 1 AS bigint) AS length, md5((encode(html || chr(10)))[1:500]) AS digest FROM pages""")
 def t9_heads(spark, folder):
     """Each page as a file of its own, of which detection reads the first 500 bytes."""
-    pages = derived.table(spark, folder, "pages").select("page_id", F.col("html").alias("value"))
-    path = round_trip(spark, "texts", lambda p: pages.repartition("page_id").write.partitionBy("page_id").text(p))
+    path = round_trip(spark, "texts", lambda p: sinks.write_texts(derived.table(spark, folder, "pages"), "page_id", "html", p))
     heads = files.read_heads(spark, path, 500).filter(F.col("path").like("%.txt"))
     return heads.select(F.regexp_extract("path", r"page_id=(\d+)", 1).cast("bigint").alias("page_id"), "length", F.md5("head").alias("digest"))
 

@@ -9,6 +9,7 @@ import pyarrow.fs as fs
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
 from tallyframe.functions import fixed
+from tallyframe.session import TASKS_PER_CORE
 
 AUDIT_SCHEMA = T.StructType([
     T.StructField("ts", T.TimestampType()), T.StructField("action", T.StringType()), T.StructField("spec", T.StringType()),
@@ -54,6 +55,9 @@ def read_heads(spark: SparkSession, path: str, most_bytes: int = 65_536) -> Data
     """(path, length, head): the first ``most_bytes`` bytes of every file below ``path``, and no byte more is read of it: Spark lists
     the files with their lengths (the content column is pruned), and tasks open each one and read its beginning. Empty files have no row."""
     listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "length")
+    # Spark counts a file as 4 MB or more, about 32 to a task; a beginning takes less than the start of a task's worker
+    tasks, few = listed._jdf.rdd().getNumPartitions(), TASKS_PER_CORE * spark.sparkContext.defaultParallelism
+    listed = listed.coalesce(max(few, tasks // 16)) if tasks > few else listed
 
     def beginnings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

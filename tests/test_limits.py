@@ -1,6 +1,7 @@
 """Things that used to be cut or capped, and values that used to be uneven."""
 
 import collections
+import re
 
 import pyarrow as pa
 import pytest
@@ -9,7 +10,9 @@ from pyspark.sql import functions as F
 
 from tallyframe import session
 from tallyframe.functions import seeded
-from tallyframe.operators import generate, identify, profile, validate
+from tallyframe.operators import generate, identify, profile, sinks, validate
+from tallyframe.plans import catalog
+from tallyframe.session import TASKS_PER_CORE
 from tallyframe.sources import files
 from tallyframe.sources.layouts import ACH, Field, Record, Spec
 
@@ -100,3 +103,33 @@ def test_texts_go_to_python_in_small_batches(spark):
         assert spark.conf.get(session.BATCH_SETTING) == "32m"
     finally:
         spark.conf.unset(session.BATCH_SETTING)
+
+
+def test_texts_are_written_as_files_without_a_folder_each(spark, tmp_path):
+    rows = [(i, f"text {i}\nof two lines" if i % 7 else None) for i in range(300)] + [(5, "again"), (301, ""), (302, "ö😀\r\n")]
+    texts = spark.createDataFrame(rows, "id long, body string")
+    assert sinks.write_texts(texts, "id", "body", str(tmp_path / "out")) == 302
+    want = collections.defaultdict(list)
+    for key, body in rows:
+        want[key].append(body or "")
+    back = {int(re.search(r"id=(\d+)", r["path"]).group(1)): r["text"] for r in files.read_texts(spark, str(tmp_path / "out")).collect()}
+    assert back.keys() == want.keys()
+    assert all(sorted(back[k]) == sorted("".join(v + "\n" for v in want[k])) and back[k].endswith("\n") for k in want)
+    folders = [p for p in (tmp_path / "out").rglob("*") if p.is_dir()]
+    assert 0 < len(folders) <= TASKS_PER_CORE * spark.sparkContext.defaultParallelism
+    # beginnings are read by a few tasks, not by one for every 32 files
+    heads = files.read_heads(spark, str(tmp_path / "out"), 4)
+    assert heads.rdd.getNumPartitions() <= TASKS_PER_CORE * spark.sparkContext.defaultParallelism
+    assert {r["length"] for r in heads.filter("path like '%id=302.txt'").collect()} == {len("ö😀\r\n".encode()) + 1} and heads.count() == 302
+    # a store that pyarrow does not know is left to Spark, here as far as that there is no such store
+    with pytest.raises(Exception, match="nowhere"):
+        sinks.write_texts(texts, "id", "body", "nowhere://store/out")
+
+
+def test_pages_are_written_as_files_without_a_folder_each(spark, tmp_path, monkeypatch):
+    spark.createDataFrame([(i, f"<p>{i}</p>") for i in range(200)], "page_id long, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    monkeypatch.setattr(session, "shared_dir", lambda spark: str(tmp_path / "shared"))
+    for name in ("s9_text_files", "t9_file_heads"):
+        assert catalog.queries()[name](spark, str(tmp_path)).count() == 200
+    for made in (tmp_path / "shared").glob("texts-*"):
+        assert len(list(made.rglob("*.txt"))) == 200 and len([p for p in made.rglob("*") if p.is_dir()]) <= TASKS_PER_CORE * spark.sparkContext.defaultParallelism
