@@ -96,3 +96,13 @@ def test_characters_split_without_a_lambda(spark):
     df = spark.createDataFrame([("a😀é\n ",), ("",), (None,)], "t string").select(tx.characters(F.col("t")).alias("c"))
     assert [r.c for r in df.collect()] == [["a", "😀", "é", "\n", " "], [], None]
     assert "lambda" not in df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_character_windows_take_one_pass(spark):
+    """No lambda per character; characters beyond the basic plane, line ends and combining marks count as what they are."""
+    texts = ["", "a", "ab", "abc", "a😀b😀😀c", "\n\r\n x\t y\u0085", "éx", "𐀀z￿", "👨‍👩zz", None]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    for n in (1, 2, 3, 4):
+        got = rows.select("t", tx.char_ngrams(F.col("t"), n).alias("g"))
+        assert "lambda" not in got._jdf.queryExecution().optimizedPlan().toString()
+        assert {r["t"]: r["g"] for r in got.collect()} == {t: None if t is None else [t[i:i + n] for i in range(len(t) - n + 1)] for t in texts}
